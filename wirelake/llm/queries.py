@@ -8,7 +8,9 @@ from ..session import prepare
 from .byte_bpe import bpe_digests
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .quality import quality_scores
 from .token_count import token_counts
+from .toxicity import toxicity_scores
 
 
 def tokenizer(name: str) -> str:
@@ -25,10 +27,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -37,7 +47,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_mix_sources, op8_exact_dedup, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op5_mix_sources, op7_toxicity, op8_exact_dedup, op9_byte_bpe)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
