@@ -8,6 +8,7 @@ from ..session import prepare
 from .byte_bpe import bpe_digests
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .ngram_join import ngram_join
 from .quality import quality_scores
 from .token_count import token_counts
 from .toxicity import toxicity_scores
@@ -31,6 +32,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,7 +52,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op5_mix_sources, op7_toxicity, op8_exact_dedup, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op4_ngram_join, op5_mix_sources, op7_toxicity, op8_exact_dedup, op9_byte_bpe)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
