@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
+from .ann import nearest_neighbours
 from .byte_bpe import bpe_digests
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
@@ -32,6 +33,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op4_ngram_join, op5_mix_sources, op7_toxicity, op8_exact_dedup, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_nearest_neighbours, op4_ngram_join, op5_mix_sources, op7_toxicity, op8_exact_dedup, op9_byte_bpe)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
