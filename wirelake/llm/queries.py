@@ -8,6 +8,7 @@ from ..session import prepare
 from .ann import nearest_neighbours
 from .byte_bpe import bpe_digests
 from .exact_dedup import exact_dedup
+from .lm import lm_scores
 from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .quality import quality_scores
@@ -57,7 +58,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_nearest_neighbours, op4_ngram_join, op5_mix_sources, op7_toxicity, op8_exact_dedup, op9_byte_bpe)}
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_nearest_neighbours, op4_ngram_join, op5_mix_sources, op7_toxicity, op8_exact_dedup, op9_byte_bpe, op10_lm_scores)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
