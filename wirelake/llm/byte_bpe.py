@@ -64,7 +64,9 @@ class ByteBpe:
         self.left, self.right = np.full(self.size, -1, np.int32), np.full(self.size, -1, np.int32)
         for r in range(len(merges) - 1, -1, -1):
             self.born[made[r]], self.left[made[r]], self.right[made[r]] = r, left[r], right[r]
-        self.byte_id = np.array([vocab[c] for c in byte_letters()], np.int32)
+        self.byte_list = [vocab[c] for c in byte_letters()]
+        self.byte_id = np.array(self.byte_list, np.int32)
+        self.made = made
         # Verification presumes that a merge comes after those that make its parts.
         self.ordered = bool(np.all(np.arange(len(merges)) > np.maximum(self.born[left], self.born[right])))
         self._build_trie(vocab.values())
@@ -121,7 +123,7 @@ class ByteBpe:
 
     def exact(self, word: bytes) -> list[int]:
         """Merge lowest rank first, leftmost on ties."""
-        ids = [int(self.byte_id[b]) for b in word]
+        ids = [self.byte_list[b] for b in word]
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         heap = [(*self.merge[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merge]
         heapq.heapify(heap)
@@ -139,6 +141,49 @@ class ByteBpe:
                 heapq.heappush(heap, (*self.merge[p], before[i], *p))
         return [i for i in ids if i >= 0]
 
+    def exact_many(self, words: list[bytes]) -> list[list[int]]:
+        """As ``exact``, for many words at once: each round merges every word's lowest rank.
+
+        With ranks that rise from parts to wholes, equal pairs of a word may merge together.
+        """
+        ids = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def ranks(i):
+            j = np.minimum(i + 1, len(ids) - 1)
+            r = self.rank_of_pair.find(ids[i].astype(np.int64) * self.size + ids[j])
+            return np.where((r >= 0) & (word[i] == word[j]) & (i != j), r, NEVER)
+
+        rank = ranks(np.arange(len(ids)))
+        while len(ids):
+            start = np.flatnonzero(np.diff(word, prepend=-1))
+            low = np.minimum.reduceat(rank, start)
+            length = np.diff(np.append(start, len(ids)))
+            if (low == NEVER).any():
+                stay = np.repeat(low != NEVER, length)
+                done.append((word[~stay], ids[~stay]))
+                ids, word, rank = ids[stay], word[stay], rank[stay]
+                length, low = length[low != NEVER], low[low != NEVER]
+                if not len(ids):
+                    break
+            i = np.flatnonzero(rank == np.repeat(low, length))
+            # of hits side by side every second one merges, from the left
+            new_run = np.diff(i, prepend=-2) != 1
+            i = i[(np.arange(len(i)) - np.flatnonzero(new_run)[np.cumsum(new_run) - 1]) % 2 == 0]
+            ids[i] = self.made[rank[i]]
+            keep = np.ones(len(ids), bool)
+            keep[i + 1] = False
+            at = np.cumsum(keep)[i] - 1
+            ids, word, rank = ids[keep], word[keep], rank[keep]
+            touched = np.concatenate([at, at[at > 0] - 1])
+            rank[touched] = ranks(touched)
+        owner, token = (np.concatenate([d[k] for d in done]) for k in (0, 1))
+        order = np.argsort(owner, kind="stable")
+        ends = np.cumsum(np.bincount(owner, minlength=len(words))).tolist()
+        token = token[order].tolist()
+        return [token[a:b] for a, b in zip([0, *ends], ends)]
+
     def _greedy_one(self, word: bytes) -> list[int]:
         out, at = [], 0
         while at < len(word):
@@ -204,8 +249,15 @@ class ByteBpe:
         edge = np.flatnonzero(np.diff(who, prepend=-1) != 0)
         first[who[edge]] = edge
         ids = token.tolist()
-        for k, (f, n, bad) in enumerate(zip(first.tolist(), counts.tolist(), failed.tolist(), strict=True)):
-            out[k] = self.exact(words[k]) if bad else ids[f : f + n]
+        for k, (f, n) in enumerate(zip(first.tolist(), counts.tolist(), strict=True)):
+            out[k] = ids[f : f + n]
+        failed = np.flatnonzero(failed).tolist()
+        some = [k for k in failed if len(words[k]) <= LONG]
+        for k, merged in zip(some, self.exact_many([words[k] for k in some]) if some else (), strict=True):
+            out[k] = merged
+        for k in failed:
+            if len(words[k]) > LONG:
+                out[k] = self.exact(words[k])
         return out
 
     def _learn(self, pieces: list[list[str]]) -> None:
