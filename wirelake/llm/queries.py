@@ -12,6 +12,7 @@ from .lm import lm_scores
 from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .quality import quality_scores
+from .suffix_dedup import suffix_dedup
 from .token_count import token_counts
 from .toxicity import toxicity_scores
 
@@ -46,6 +47,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,7 +67,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_nearest_neighbours, op4_ngram_join, op5_mix_sources, op7_toxicity, op8_exact_dedup, op9_byte_bpe, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_nearest_neighbours, op4_ngram_join, op5_mix_sources, op6_suffix_dedup, op7_toxicity, op8_exact_dedup, op9_byte_bpe, op10_lm_scores)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
