@@ -67,7 +67,13 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_nearest_neighbours, op4_ngram_join, op5_mix_sources, op6_suffix_dedup, op7_toxicity, op8_exact_dedup, op9_byte_bpe, op10_lm_scores)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_nearest_neighbours, op4_ngram_join, op5_mix_sources, op6_suffix_dedup, op7_toxicity, op8_exact_dedup, op9_byte_bpe, op10_lm_scores, pipeline)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
