@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import unused
+
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -61,5 +63,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text is the first of its kind, once each."""
-    keep = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep"))).drop("__keep").dropDuplicates([id_col])
+    name = unused(docs, "__keep")
+    keep = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(name)).distinct()
+    return docs.join(keep, F.col(id_col).eqNullSafe(F.col(name)), "left_semi").dropDuplicates([id_col])

@@ -26,4 +26,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(most)
     )
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("__id", F.coalesce(F.col(text_col), F.lit("")).alias("__text"), "__label")
+    rows = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    return rows.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("__id", "__text", "__label")

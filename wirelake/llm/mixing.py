@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .frames import unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICES = 1 << 16
@@ -121,6 +122,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_repe
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
     """The documents of the mix, each as often as it is taken."""
-    plan = mix_sources(docs, id_col=id_col, **params).filter("copies > 0").select(F.col(id_col).alias("__id"), F.col("copies").alias("__n")).dropDuplicates(["__id"])
-    out = docs.join(plan, F.col(id_col).eqNullSafe(F.col("__id")))
-    return out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    key, times, turn = (unused(docs, n) for n in ("__mixed", "__times", "__turn"))
+    plan = mix_sources(docs, id_col=id_col, **params).filter("copies > 0").select(F.col(id_col).alias(key), F.col("copies").alias(times)).dropDuplicates([key])
+    out = docs.join(plan, F.col(id_col).eqNullSafe(F.col(key)))
+    return out.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

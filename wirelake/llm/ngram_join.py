@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .components import connected_components
+from .frames import unused
 
 WORDS, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.999, 256
 #: Members of one side of a block comparison.
@@ -233,5 +234,6 @@ def ngram_join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY,
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
     """The rows of ``docs`` with the smallest id of each class."""
-    stay = ngram_join(docs, id_col=id_col, **params).filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("__stay")).distinct()
-    return docs.join(stay, F.col(id_col) == F.col("__stay")).drop("__stay")
+    name = unused(docs, "__stay")
+    stay = ngram_join(docs, id_col=id_col, **params).filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias(name))
+    return docs.join(stay, F.col(id_col) == F.col(name), "left_semi")

@@ -22,6 +22,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ DEPTH, ANCHOR = 100, 24
 #: Most different segments of an anchor that one index takes, and bytes of an index before it is
 #: closed at the end of a group.
 GROUP, INDEX_BYTES = 2000, 1 << 20
+#: Rows of one anchor in one task after which the rest need no count and are spread by a salt.
+OFTEN, SALTS = 64, 1 << 12
 _PIECE = 1 << 22
 _LOW = np.uint64((1 << 23) - 1)
 _MUL = np.uint64(0x100000001B3)
@@ -80,28 +83,53 @@ def _texts(batch, column):
     return [b or b"" for b in values.to_pylist()]
 
 
+def _packed(batches):
+    """Texts compressed, for the shuffles and tables that carry them."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(b) for b in _texts(batch, 1)], pa.binary())], names=["id", "z"])
+
+
+def _unpacked(batch, column):
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(z) for z in batch.column(column).to_pylist()]
+
+
 def _emit_anchors(depth):
+    """(h, salt, id) of each document's distinct anchors, twice where it repeats inside. What a
+    task has seen often is repeated for certain: its further rows are salted."""
+
     def run(batches):
+        known: dict[int, int] = {}
         for batch in batches:
-            ids, found = batch.column(0).to_pylist(), []
-            for raw in _texts(batch, 1):
+            ids, found, salts = batch.column(0).to_pylist(), [], []
+            for i, raw in zip(ids, _texts(batch, 1), strict=True):
                 h, n = np.unique(anchors(raw, depth)[0], return_counts=True)
-                found.append(np.repeat(h, np.minimum(n, 2)))  # twice is enough to be repeated
+                h = np.repeat(h, np.minimum(n, 2))
+                found.append(h)
+                if len(known) > 1 << 20:
+                    known = {k: v for k, v in known.items() if v >= OFTEN} if len(known) < 1 << 21 else {}
+                hs = h.tolist()
+                seen = [known.get(k, 0) for k in hs]
+                known.update(zip(hs, [v + 1 for v in seen], strict=True))
+                salts.append(np.where(np.array(seen, np.int64) >= OFTEN, 1 + i % SALTS, 0).astype(np.int32))
             sizes = [len(f) for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), pa.array(np.repeat(np.array(ids, np.int64), sizes))], names=["h", "id"])
+            h, salt = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (found, salts))
+            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(salt.astype(np.int32)), pa.array(np.repeat(np.array(ids, np.int64), sizes))], names=["h", "salt", "id"])
 
     return run
 
 
 def _cut(depth):
-    """Texts with repeated anchors: their segments, told apart by two hashes of 64 bits; ``again``
+    """Texts with repeated anchors: their segments, told apart within
+    their anchor by a hash of 64 bits; ``again``
     marks bytes that an earlier segment of the same document already has."""
-    kind = pa.struct([("h", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("at", pa.int64()), ("size", pa.int32()), ("again", pa.bool_())])
+    kind = pa.struct([("h", pa.int64()), ("s", pa.int64()), ("at", pa.int64()), ("size", pa.int32()), ("again", pa.bool_())])
 
     def run(batches):
         for batch in batches:
             out = []
-            for raw, wanted in zip(_texts(batch, 1), batch.column(2).to_pylist(), strict=True):
+            for raw, wanted in zip(_unpacked(batch, 1), batch.column(2).to_pylist(), strict=True):
                 h, first, last = anchors(raw, depth)
                 pick = np.flatnonzero(np.isin(h, np.array(wanted, np.int64)))
                 seen, runs = set(), []
@@ -109,10 +137,10 @@ def _cut(depth):
                     seg = raw[lo : hi + depth]
                     again = seg in seen
                     seen.add(seg)
-                    s = xxhash.xxh3_128_digest(seg)
-                    runs.append((hash_, int.from_bytes(s[:8], "big", signed=True), int.from_bytes(s[8:], "big", signed=True), lo, len(seg), again))
-                out.append([dict(zip(("h", "s1", "s2", "at", "size", "again"), r, strict=True)) for r in runs])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(kind))], names=["id", "raw", "runs"])
+                    s = xxhash.xxh3_64_intdigest(seg)
+                    runs.append({"h": hash_, "s": s - (s >> 63 << 64), "at": lo, "size": len(seg), "again": again})
+                out.append(runs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(kind))], names=["id", "runs"])
 
     return run
 
@@ -159,6 +187,21 @@ def _mark(depth):
     return run
 
 
+def _pick(batches):
+    """The wanted segments (h, at, size, hot) of each text."""
+    for batch in batches:
+        h, ids, at, seg, hot = [], [], [], [], []
+        for i, raw, wanted in zip(batch.column(0).to_pylist(), _unpacked(batch, 1), batch.column(2).to_pylist(), strict=True):
+            for w in wanted:
+                h.append(w["h"])
+                ids.append(i)
+                at.append(w["at"])
+                seg.append(raw[w["at"] : w["at"] + w["size"]])
+                hot.append(w["hot"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((h, ids, at, seg, hot), kinds, strict=True)], names=["h", "id", "at", "seg", "hot"])
+
+
 def _windows(depth):
     def run(batches):
         for batch in batches:
@@ -179,7 +222,7 @@ def _apply(depth):
     def run(batches):
         for batch in batches:
             removed, spans, sha = [], [], []
-            for raw, marks in zip(_texts(batch, 1), batch.column(2).to_pylist(), strict=True):
+            for raw, marks in zip(_unpacked(batch, 1), batch.column(2).to_pylist(), strict=True):
                 m = np.array([(x["start"], x["stop"]) for x in marks], np.int64).reshape(-1, 2)
                 edge = np.zeros(len(raw) + 1, np.int32)
                 np.add.at(edge, m[:, 0], 1)
@@ -195,33 +238,38 @@ def _apply(depth):
 
 def repeated_spans(docs: DataFrame, depth: int = DEPTH, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(spans, texts): byte spans (id, start, stop) covered by a ``depth``-byte string that also
-    starts earlier, and the bytes (id, raw) of the documents that have any candidates."""
+    starts earlier, and the packed bytes (id, z) of the documents long enough to have any."""
     if depth < 2 * ANCHOR:
         raise ValueError(f"depth must be at least {2 * ANCHOR}")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw")).filter(F.col("id").isNotNull() & (F.length("raw") >= depth))
-    found = rows.mapInArrow(_emit_anchors(depth), "h bigint, id bigint")
-    often = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    wanted = found.join(often, "h").groupBy("id").agg(F.collect_set("h").alias("wanted"))
-    texts = materialise(rows.join(wanted, "id").mapInArrow(_cut(depth), "id bigint, raw binary, runs array<struct<h: bigint, s1: bigint, s2: bigint, at: bigint, size: int, again: boolean>>"), "segments")
-    segments = texts.select("id", "raw", F.explode("runs").alias("r")).select("id", "r.*", F.substring("raw", F.col("r.at").cast("int") + 1, F.col("r.size")).alias("seg"))
-    slim = texts.select("id", F.explode("runs").alias("r")).select("id", "r.*")
-    firsts = slim.filter("not again").groupBy("h", "s1", "s2").agg(F.min("id").alias("first"))
+    found = rows.mapInArrow(_emit_anchors(depth), "h bigint, salt int, id bigint").repartition("h", "salt")
+    often = found.groupBy("h", "salt").agg(F.count("*").alias("n"), F.min("id").alias("lowest"))
+    often = often.filter("n > 1 or salt > 0 or lowest is null").select("h", "salt")  # ids in use keep both sides on one exchange
+    wanted = found.join(often, ["h", "salt"]).groupBy("id").agg(F.collect_set("h").alias("wanted"))
+    packed = rows.mapInArrow(_packed, "id bigint, z binary")
+    cut = packed.join(wanted, "id").mapInArrow(_cut(depth), "id bigint, runs array<struct<h: bigint, s: bigint, at: bigint, size: int, again: boolean>>")
+    slim = materialise(cut, "segments").select("id", F.explode("runs").alias("r")).select("id", "r.*")
+    fresh = slim.filter("not again").drop("again")
+    firsts = materialise(fresh.groupBy("h", "s").agg(F.min("id").alias("first")), "firsts")
     kinds = firsts.groupBy("h").agg(F.count("*").alias("m"))
-    firsts = materialise(firsts.join(kinds, "h"), "firsts")
-    hot = firsts.filter(F.col("m") > group).limit(1).count() > 0
     span = lambda d: d.select("id", F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("stop"))
-    met = segments.filter("not again").join(firsts, ["h", "s1", "s2"])
-    spans = span(slim.filter("again"))
-    copied = slim.filter("not again").join(firsts.select("h", "s1", "s2", "first"), ["h", "s1", "s2"]).filter("id > first")
-    spans = spans.unionByName(span(copied))
-    unlike = met.filter((F.col("id") == F.col("first")) & (F.col("m") > 1) & (F.col("m") <= group)).select("h", "id", "at", "seg")
-    spans = spans.unionByName(unlike.repartition("h").sortWithinPartitions("h", "id", "at").mapInArrow(_mark(depth), "id bigint, start bigint, stop bigint"))
-    if hot:
-        windows = met.filter((F.col("id") == F.col("first")) & (F.col("m") > group)).select("id", "at", "seg").mapInArrow(_windows(depth), "w1 bigint, w2 bigint, id bigint, at bigint")
+    met = fresh.join(firsts.join(kinds, "h"), ["h", "s"])
+    met = met.filter((F.col("id") > F.col("first")) | (F.col("m") > 1))
+    met = met.groupBy("id").agg(
+        F.collect_list(F.when(F.col("id") > F.col("first"), F.struct("at", "size"))).alias("copies"),
+        F.collect_list(F.when(F.col("id") == F.col("first"), F.struct("h", "at", "size", (F.col("m") > group).alias("hot")))).alias("firsts"),
+    )
+    met = materialise(met, "met")
+    spans = span(slim.filter("again")).unionByName(span(met.select("id", F.inline("copies"))))
+    picked = packed.join(met.filter(F.size("firsts") > 0).select("id", "firsts"), "id").mapInArrow(_pick, "h bigint, id bigint, at bigint, seg binary, hot boolean")
+    unlike = picked.filter("not hot").select("h", "id", "at", "seg").repartition("h").sortWithinPartitions("h", "id", "at")
+    spans = spans.unionByName(unlike.mapInArrow(_mark(depth), "id bigint, start bigint, stop bigint"))
+    if kinds.filter(F.col("m") > group).limit(1).count():
+        windows = picked.filter("hot").select("id", "at", "seg").mapInArrow(_windows(depth), "w1 bigint, w2 bigint, id bigint, at bigint")
         begun = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
         again = windows.join(begun, ["w1", "w2"]).filter((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")))
         spans = spans.unionByName(again.select("id", F.col("at").alias("start"), (F.col("at") + depth).alias("stop")))
-    return spans, texts.select("id", "raw")
+    return spans, packed
 
 
 def suffix_dedup(docs: DataFrame, depth: int = DEPTH, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
