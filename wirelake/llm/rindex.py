@@ -15,9 +15,8 @@ class RunLengthIndex:
     """Index of ``strings`` (non-empty), laid end to end with separators in the order given.
 
     The transform is kept as its runs: where each starts, its symbol, and how often that symbol
-    occurs before it; text positions are sampled at run ends. Suffixes that agree on ``depth``
-    symbols are neighbours in the order of the index; for each such group of two or more the first
-    text position is kept.
+    occurs before it; text positions are sampled at run ends. Suffixes are ordered by their first
+    ``depth`` symbols; for each group that agrees on them its first text position is kept.
     """
 
     def __init__(self, strings: list[bytes], depth: int):
@@ -28,30 +27,25 @@ class RunLengthIndex:
         text[ranges(self.starts, lengths)] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
         n = len(text)
         self.text = text
-        # order of suffixes by doubling the compared length; depth gives the groups on the way
-        group = None
 
         def shifted(r, by):
-            out = np.full(n, -1, np.int64)
-            out[: n - by] = r[by:]
-            return out + 1
+            out = np.zeros(n, np.int64)
+            out[: max(n - by, 0)] = r[by:] + 1
+            return out
 
+        # Suffixes are ordered by their first `depth` symbols, found by doubling, then by place.
+        # A step from symbol to symbol keeps within suffixes that agree so far, which is enough:
+        # the groups asked for are those that agree on `depth` symbols.
+        span = min(depth, 7)  # symbols of nine bits that fit a key at once
         packed = text.copy()
-        for k in range(1, 6):  # six symbols of nine bits fit a key at once
-            packed = packed << 9 | shifted(text, k) if k < n else packed << 9
-        if depth < 6:
-            group = _ranks(packed >> 9 * (6 - depth))
-        rank, span = _ranks(packed), 6
-        while True:
-            if group is None and span * 2 >= depth:
-                group = _ranks(rank * (n + 2) + shifted(rank, depth - span)) if depth > span and depth - span < n else rank
-            if int(rank.max()) == n - 1 or span >= n:
-                break
-            rank = _ranks(rank * (n + 2) + (shifted(rank, span) if span < n else 0))
-            span *= 2
-        if group is None:
-            group = rank
-        self.order = np.argsort(rank, kind="stable")
+        for k in range(1, span):
+            packed = packed << 9 | shifted(text, k)
+        group = _ranks(packed)
+        while span < depth:
+            by = min(span, depth - span)
+            group = _ranks(group * (n + 2) + shifted(group, by))
+            span += by
+        self.order = np.argsort(group, kind="stable")
         place = np.empty(n, np.int64)
         place[self.order] = np.arange(n)
         symbols = text[self.order - 1]  # the symbol before each suffix, in suffix order
@@ -65,45 +59,55 @@ class RunLengthIndex:
         before = np.cumsum(run_length[by_symbol]) - run_length[by_symbol]
         first = np.searchsorted(self.run_symbol[by_symbol], np.arange(258))
         base = np.append(before, n)[np.minimum(first, len(before))]
-        self.run_before = np.empty(len(before), np.int64)
-        self.run_before[by_symbol] = before - base[self.run_symbol[by_symbol]]
+        self.sorted_symbol = self.run_symbol[by_symbol]
+        self.sorted_start = self.run_start[by_symbol]
+        self.sorted_length = run_length[by_symbol]
+        self.sorted_before = before - base[self.sorted_symbol]
+        self.sorted_key = self.sorted_symbol * (n + 1) + self.sorted_start
         self.end_place = place[self.ends]  # where the walk of each string begins
         groups = group[self.order]
         edge = np.flatnonzero(np.diff(groups, prepend=-1))
         self.group_start = edge
         self.group_size = np.diff(np.append(edge, n))
         self.group_first = np.minimum.reduceat(self.order, edge)
+        self.group_at = np.repeat(np.arange(len(edge), dtype=np.int32), self.group_size)
 
     @property
     def runs(self) -> int:
         return len(self.run_start)
 
-    def step(self, place: np.ndarray) -> np.ndarray:
-        """From each suffix's place to that of the suffix one symbol longer."""
-        run = np.searchsorted(self.run_start, place, "right") - 1
-        return self.below[self.run_symbol[run]] + self.run_before[run] + place - self.run_start[run]
+    def step(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Where suffixes begin that put ``symbol`` before those from ``place`` on."""
+        n = len(self.text)
+        i = np.searchsorted(self.sorted_key, symbol * (n + 1) + place, "left") - 1
+        i = np.maximum(i, 0)
+        found = (self.sorted_symbol[i] == symbol) & (self.sorted_start[i] < place)
+        rank = self.sorted_before[i] + np.minimum(self.sorted_length[i], place - self.sorted_start[i])
+        return self.below[symbol] + np.where(found, rank, 0)
 
     def earlier(self, wanted: list[int] | np.ndarray) -> list[np.ndarray]:
-        """Streams every string backwards through the index. For string k: a flag for each of its
+        """Streams every string backwards through the index, whose matching statistics, cut at
+        ``depth``, are the group that a position falls into. For string k: a flag for each of its
         first ``wanted[k]`` starts, true where ``depth`` symbols also start earlier in the text."""
         wanted = np.asarray(wanted, np.int64)
         out = [np.zeros(w, bool) for w in wanted]
         order = np.argsort(-(self.ends - self.starts), kind="stable")
         length = (self.ends - self.starts)[order]
-        place = self.end_place[order].copy()
+        group = self.group_at[self.end_place[order]]
         flat_at = np.concatenate([[0], np.cumsum(wanted)])
         flat = np.zeros(int(flat_at[-1]), bool)
         at = length.copy()
         for _ in range(int(length[0]) if len(length) else 0):
             live = at > 0  # strings stand in order of length, so the live ones only thin out
             if not live.all():
-                order, at, place = order[live], at[live], place[live]
-            place = self.step(place)
+                order, at, group = order[live], at[live], group[live]
             at = at - 1
+            # extend to the left, then back to all suffixes that agree on `depth` symbols
+            place = self.step(self.text[self.starts[order] + at], self.group_start[group])
+            group = self.group_at[place]
             ask = np.flatnonzero(at < wanted[order])
             if len(ask):
-                k, p = order[ask], place[ask]
-                g = np.searchsorted(self.group_start, p, "right") - 1
+                k, g = order[ask], group[ask]
                 flat[flat_at[k] + at[ask]] = (self.group_size[g] > 1) & (self.group_first[g] < self.starts[k] + at[ask])
         for k in range(len(out)):
             out[k] = flat[flat_at[k] : flat_at[k + 1]]

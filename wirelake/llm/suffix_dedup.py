@@ -27,15 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .arrays import ranges
 from .rindex import RunLengthIndex
 
 DEPTH, ANCHOR = 100, 24
 #: Most different segments of an anchor that one index takes, and bytes of an index before it is
 #: closed at the end of a group.
-GROUP, INDEX_BYTES = 2000, 1 << 20
+GROUP, INDEX_BYTES = 2000, 1 << 19
 #: Rows of one anchor in one task after which the rest need no count and are spread by a salt.
 OFTEN, SALTS = 64, 1 << 12
-_PIECE = 1 << 22
+_PIECE, _BLOCK = 1 << 21, 1 << 16
 _LOW = np.uint64((1 << 23) - 1)
 _MUL = np.uint64(0x100000001B3)
 
@@ -56,26 +57,50 @@ def _gram_hashes(a: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(raw: bytes, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, last): for runs of starts of ``depth``-byte strings that share their leftmost
-    minimiser, its hash and the first and last start."""
-    hashes, first, last = [], [], []
-    for at in range(0, max(len(raw) - depth + 1, 0), _PIECE):
-        a = np.frombuffer(raw, np.uint8)[at : at + _PIECE + depth - 1]
-        h = _gram_hashes(a)
-        wide, n = depth - ANCHOR + 1, len(a) - depth + 1
-        key = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
-        key = np.concatenate([key, np.full(-len(key) % wide, 2**64 - 1, np.uint64)]).reshape(-1, wide)
-        ahead = np.minimum.accumulate(key, 1).ravel()
-        behind = np.minimum.accumulate(key[:, ::-1], 1)[:, ::-1].ravel()
-        low = np.minimum(behind[:n], ahead[wide - 1 : wide - 1 + n]) & _LOW
-        start = np.flatnonzero(np.diff(low, prepend=_LOW + np.uint64(1)))
-        hashes.append(h[low[start].astype(np.int64)])
-        first.append(start + at)
-        last.append(np.append(start[1:], n) - 1 + at)
-    if not hashes:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(hashes).view(np.int64), np.concatenate(first), np.concatenate(last)
+def anchors(raws: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, first, last): for runs of starts of ``depth``-byte strings that share their
+    leftmost minimiser, the text's number, the minimiser's hash and the first and last start."""
+    out: list = []
+    todo = [(k, raw, at) for k, raw in enumerate(raws) for at in range(0, max(len(raw) - depth + 1, 0), _PIECE)]
+    block, size = [], 0
+    for piece in todo:
+        k, raw, at = piece
+        block.append((k, at, raw[at : at + _PIECE + depth - 1] if len(raw) > _PIECE else raw))
+        size += len(block[-1][2])
+        if size >= _BLOCK:
+            out.append(_anchors_of(block, depth))
+            block, size = [], 0
+    if block:
+        out.append(_anchors_of(block, depth))
+    if not out:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+
+
+def _anchors_of(block, depth: int):
+    """``anchors`` of pieces (text, place in it, bytes) laid end to end; no string crosses one."""
+    lengths = np.array([len(b) for _, _, b in block], np.int64)
+    begins = np.cumsum(lengths) - lengths
+    h = _gram_hashes(np.frombuffer(b"".join(b for _, _, b in block), np.uint8))
+    low, wide = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64), depth - ANCHOR + 1
+    span = 1
+    while span < wide:  # minima of ever wider windows
+        by = min(span, wide - span)
+        low = np.minimum(low[:-by], low[by:])
+        span += by
+    low &= _LOW
+    counts = lengths - depth + 1
+    start = ranges(begins, counts)
+    low = low[start].astype(np.int64)
+    new = np.ones(len(low), bool)
+    new[1:] = low[1:] != low[:-1]
+    new[np.cumsum(counts) - counts] = True
+    edge = np.flatnonzero(new)
+    piece = np.repeat(np.arange(len(block)), counts)[edge]
+    text, place = (np.array([b[k] for b in block], np.int64) for k in (0, 1))
+    first = start[edge] - begins[piece] + place[piece]
+    last = first + np.diff(np.append(edge, len(low))) - 1
+    return text[piece], h[low[edge]].view(np.int64), first, last
 
 
 def _texts(batch, column):
@@ -87,12 +112,9 @@ def _packed(batches):
     """Texts compressed, for the shuffles and tables that carry them."""
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(b) for b in _texts(batch, 1)], pa.binary())], names=["id", "z"])
-
-
-def _unpacked(batch, column):
-    unpack = zstandard.ZstdDecompressor().decompress
-    return [unpack(z) for z in batch.column(column).to_pylist()]
+        for k in range(0, batch.num_rows, 1024):
+            part = batch.slice(k, 1024)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack(b) for b in _texts(part, 1)], pa.binary())], names=["id", "z"])
 
 
 def _emit_anchors(depth):
@@ -102,49 +124,83 @@ def _emit_anchors(depth):
     def run(batches):
         known: dict[int, int] = {}
         for batch in batches:
-            ids, found, salts = batch.column(0).to_pylist(), [], []
-            for i, raw in zip(ids, _texts(batch, 1), strict=True):
-                h, n = np.unique(anchors(raw, depth)[0], return_counts=True)
-                h = np.repeat(h, np.minimum(n, 2))
-                found.append(h)
-                if len(known) > 1 << 20:
-                    known = {k: v for k, v in known.items() if v >= OFTEN} if len(known) < 1 << 21 else {}
-                hs = h.tolist()
-                seen = [known.get(k, 0) for k in hs]
-                known.update(zip(hs, [v + 1 for v in seen], strict=True))
-                salts.append(np.where(np.array(seen, np.int64) >= OFTEN, 1 + i % SALTS, 0).astype(np.int32))
-            sizes = [len(f) for f in found]
-            h, salt = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (found, salts))
-            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(salt.astype(np.int32)), pa.array(np.repeat(np.array(ids, np.int64), sizes))], names=["h", "salt", "id"])
+            ids = batch.column(0).to_numpy()
+            for k, raws in _slices(_texts(batch, 1)):
+                text, h, _, _ = anchors(raws, depth)
+                order = np.lexsort((h, text))
+                text, h = text[order], h[order]
+                again = np.zeros(len(h), np.int64)  # how often a document has had the anchor so far
+                same = (text[1:] == text[:-1]) & (h[1:] == h[:-1])
+                again[1:] = same
+                again[2:] += same[1:] & same[:-1]
+                text, h = text[again < 2], h[again < 2]
+                if len(known) > 1 << 18:
+                    known = {a: n for a, n in known.items() if n >= OFTEN}
+                    known = known if len(known) < 1 << 17 else {}
+                get, salt = known.get, np.zeros(len(h), np.int32)
+                for j, a in enumerate(h.tolist()):
+                    n = known[a] = get(a, 0) + 1
+                    if n > OFTEN:
+                        salt[j] = 1 + n % SALTS
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt), pa.array(ids[k + text])], names=["h", "salt", "id"])
 
     return run
 
 
+def _slices(texts, most: int = 1 << 22):
+    """(first number, texts) of runs of texts of about ``most`` bytes."""
+    first = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield first, texts[first:k]
+            first, size = k, 0
+        size += len(t)
+    if texts:
+        yield first, texts[first:]
+
+
 def _cut(depth):
     """Texts with repeated anchors: their segments, told apart within
     their anchor by a hash of 64 bits; ``again``
-    marks bytes that an earlier segment of the same document already has."""
+    marks segments that the same document already has."""
     kind = pa.struct([("h", pa.int64()), ("s", pa.int64()), ("at", pa.int64()), ("size", pa.int32()), ("again", pa.bool_())])
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out = []
-            for raw, wanted in zip(_unpacked(batch, 1), batch.column(2).to_pylist(), strict=True):
-                h, first, last = anchors(raw, depth)
-                pick = np.flatnonzero(np.isin(h, np.array(wanted, np.int64)))
-                seen, runs = set(), []
-                for hash_, lo, hi in zip(h[pick].tolist(), first[pick].tolist(), last[pick].tolist(), strict=True):
-                    seg = raw[lo : hi + depth]
-                    again = seg in seen
-                    seen.add(seg)
-                    s = xxhash.xxh3_64_intdigest(seg)
-                    runs.append({"h": hash_, "s": s - (s >> 63 << 64), "at": lo, "size": len(seg), "again": again})
-                out.append(runs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(kind))], names=["id", "runs"])
+            wanted = batch.column(2)
+            for k in range(0, batch.num_rows, 1024):
+                raws = [unpack(z) for z in batch.column(1).slice(k, 1024).to_pylist()]
+                text, h, first, last = anchors(raws, depth)
+                asked = wanted.slice(k, len(raws))
+                owner = np.repeat(np.arange(len(raws)), np.diff(np.asarray(asked.offsets)))
+                flat = np.asarray(asked.flatten())
+                pick = np.flatnonzero(_pairs_in(text, h, owner, flat))
+                text, h, first, last = text[pick], h[pick], first[pick], last[pick]
+                s, again, seen, mine = np.zeros(len(pick), np.int64), np.zeros(len(pick), bool), set(), -1
+                for j, (t, lo, hi) in enumerate(zip(text.tolist(), first.tolist(), last.tolist(), strict=True)):
+                    if t != mine:
+                        seen, mine = set(), t
+                    v = xxhash.xxh3_64_intdigest(raws[t][lo : hi + depth])
+                    again[j] = v in seen
+                    seen.add(v)
+                    s[j] = v - (v >> 63 << 64)
+                columns = [pa.array(h), pa.array(s), pa.array(first), pa.array((last - first + depth).astype(np.int32)), pa.array(again)]
+                runs = pa.StructArray.from_arrays(columns, fields=list(kind))
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(raws)))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, len(raws)), pa.ListArray.from_arrays(pa.array(offsets), runs)], names=["id", "runs"])
 
     return run
 
 
+def _pairs_in(text, h, owner, flat):
+    """Which pairs (text, h) are among the pairs (owner, flat)."""
+    both = np.concatenate([flat, h])
+    code = np.unique(both, return_inverse=True)[1].astype(np.int64)
+    width = int(code.max(initial=0)) + 1
+    return np.isin(text * width + code[len(flat) :], owner * width + code[: len(flat)])
+
+
 def _spans(flags: np.ndarray, at: int, depth: int):
     """Byte spans that the flagged starts cover, merged where they touch within the run."""
     on = np.flatnonzero(flags)
@@ -187,19 +243,25 @@ def _mark(depth):
     return run
 
 
+def _lists(column, first: int, count: int):
+    """(owner, values): the elements of some rows of a column of lists of structs, flat."""
+    part = column.slice(first, count)
+    values = part.flatten()
+    owner = np.repeat(np.arange(count), np.diff(np.asarray(part.offsets)))
+    return owner, {f.name: values.field(k) for k, f in enumerate(values.type)}
+
+
 def _pick(batches):
     """The wanted segments (h, at, size, hot) of each text."""
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        h, ids, at, seg, hot = [], [], [], [], []
-        for i, raw, wanted in zip(batch.column(0).to_pylist(), _unpacked(batch, 1), batch.column(2).to_pylist(), strict=True):
-            for w in wanted:
-                h.append(w["h"])
-                ids.append(i)
-                at.append(w["at"])
-                seg.append(raw[w["at"] : w["at"] + w["size"]])
-                hot.append(w["hot"])
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((h, ids, at, seg, hot), kinds, strict=True)], names=["h", "id", "at", "seg", "hot"])
+        ids = batch.column(0).to_numpy()
+        for k in range(0, batch.num_rows, 512):
+            raws = [unpack(z) for z in batch.column(1).slice(k, 512).to_pylist()]
+            owner, wanted = _lists(batch.column(2), k, len(raws))
+            at, size = wanted["at"].to_numpy(), wanted["size"].to_numpy()
+            seg = [raws[o][a : a + n] for o, a, n in zip(owner.tolist(), at.tolist(), size.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([wanted["h"], pa.array(ids[k + owner]), wanted["at"], pa.array(seg, pa.binary()), wanted["hot"]], names=["h", "id", "at", "seg", "hot"])
 
 
 def _windows(depth):
@@ -218,22 +280,27 @@ def _windows(depth):
     return run
 
 
-def _apply(depth):
-    def run(batches):
-        for batch in batches:
-            removed, spans, sha = [], [], []
-            for raw, marks in zip(_unpacked(batch, 1), batch.column(2).to_pylist(), strict=True):
-                m = np.array([(x["start"], x["stop"]) for x in marks], np.int64).reshape(-1, 2)
+def _apply(batches):
+    """What marks (start, stop) take from each text."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        removed, spans, sha = [], [], []
+        for k in range(0, batch.num_rows, 512):
+            packed = batch.column(1).slice(k, 512).to_pylist()
+            owner, marks = _lists(batch.column(2), k, len(packed))
+            start, stop = marks["start"].to_numpy(), marks["stop"].to_numpy()
+            cut = np.searchsorted(owner, np.arange(len(packed) + 1))
+            for j, z in enumerate(packed):
+                raw = np.frombuffer(unpack(z), np.uint8)
+                mine = slice(cut[j], cut[j + 1])
                 edge = np.zeros(len(raw) + 1, np.int32)
-                np.add.at(edge, m[:, 0], 1)
-                np.add.at(edge, m[:, 1], -1)
+                np.add.at(edge, start[mine], 1)
+                np.add.at(edge, stop[mine], -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 removed.append(int(gone.sum()))
                 spans.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
-                sha.append(hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["id", "n_removed", "n_spans", "sha"])
-
-    return run
+                sha.append(hashlib.sha256(raw[~gone].tobytes()).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["id", "n_removed", "n_spans", "sha"])
 
 
 def repeated_spans(docs: DataFrame, depth: int = DEPTH, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -283,7 +350,7 @@ def suffix_dedup(docs: DataFrame, depth: int = DEPTH, group: int = GROUP, id_col
     """
     spans, texts = repeated_spans(docs, depth, group, id_col, text_col)
     marks = spans.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
-    changed = texts.join(marks, "id").mapInArrow(_apply(depth), "id bigint, n_removed bigint, n_spans bigint, sha string")
+    changed = texts.join(marks, "id").mapInArrow(_apply, "id bigint, n_removed bigint, n_spans bigint, sha string")
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     whole = docs.select(F.col(id_col).cast("bigint").alias("id"), F.length(raw).cast("bigint").alias("n_bytes"), F.sha2(raw, 256).alias("all")).filter("id is not null")
     zero = F.lit(0).cast("bigint")
