@@ -2,8 +2,9 @@
 
 Plan: one pass aggregates ``(hash, text)``. The aggregate compares whole texts, so two texts with
 one hash stay apart, and its map-side half folds a hot group of copies before anything is
-shuffled. A second pass carries only ``(id, hash, sha256)`` to the groups, an equi-join whose
-large keys AQE splits. No group is ever gathered into one task.
+shuffled. The groups, without texts, are written; a second pass carries only ``(id, hash, sha256)``
+to them, an equi-join of two tables whose large keys AQE splits. No group is ever gathered into
+one task.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .frames import unused
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -51,6 +53,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.when(F.col("__texts") > 1, F.raise_error(F.lit("two texts share hash and SHA-256")).cast("bigint")).otherwise(F.col("group_size")).alias("group_size"),
         )
     )
+    groups = materialise(groups, "copies")  # a join of two tables, not of an aggregate: AQE can split a hot group
     keyed = rows.select("__id", "__hash", digest(F.col("__text")).alias("__sha"))
     return keyed.join(groups, ["__hash", "__sha"]).select(
         F.col("__id").alias(id_col),
