@@ -309,7 +309,7 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, group: int = GROUP, id_c
     if depth < 2 * ANCHOR:
         raise ValueError(f"depth must be at least {2 * ANCHOR}")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw")).filter(F.col("id").isNotNull() & (F.length("raw") >= depth))
-    found = rows.mapInArrow(_emit_anchors(depth), "h bigint, salt int, id bigint").repartition("h", "salt")
+    found = materialise(rows.mapInArrow(_emit_anchors(depth), "h bigint, salt int, id bigint"), "anchors").repartition("h", "salt")
     often = found.groupBy("h", "salt").agg(F.count("*").alias("n"), F.min("id").alias("lowest"))
     often = often.filter("n > 1 or salt > 0 or lowest is null").select("h", "salt")  # ids in use keep both sides on one exchange
     wanted = found.join(often, ["h", "salt"]).groupBy("id").agg(F.collect_set("h").alias("wanted"))
