@@ -194,3 +194,51 @@ def test_functions(spark):
     assert dump.split("\n")[0] == "00000000  00 01 02 03 04 05 06 07  08 09 0a 0b 0c 0d 0e 0f  |................|" and bytes(val(fn.hex_undump(F.lit(dump)))) == data
     assert val(fn.csv_field(F.lit('a,"b"'))) == '"a,""b"""'
     assert val(fn.curl(F.lit("POST"), F.lit("http://h/p"), m({"host": "h", "x-a": "it's"}), F.lit("b"))) == "curl -X POST 'http://h/p' -H 'x-a: it'\\''s' --data-raw 'b'"
+
+
+def test_retransmits(spark):
+    t = lambda i: BASE + timedelta(milliseconds=i)
+    walk = [(100, 10), (110, 10), (110, 10), (105, 3), (140, 5), (120, 10), (130, 10), (140, 5), (90, 0)]
+    rows = [("c", t(i), "a", 1, s, n) for i, (s, n) in enumerate(walk)] + [("c", t(0), "b", 2, 5, 5), ("d", t(0), "a", 1, 7, 1)]
+    df = spark.createDataFrame(rows, "conn string, ts timestamp, src string, sport int, seq bigint, length bigint")
+    want = None
+    count = 0
+    for s, n in walk:
+        if n and (want is None or s == want):
+            want = s + n
+        elif n and s < want:
+            count += 1
+    assert {(r.conn, r.src): r.retransmits for r in flows.retransmits(df).collect()} == {("c", "a"): count, ("c", "b"): 0, ("d", "a"): 0}
+
+
+def test_api(spark):
+    from wirelake.api import Traffic, capped
+
+    df = rows_of(spark, [("shop/a", "shop/b", "http", "error" if i % 4 == 0 else "success", i, i) for i in range(40)])
+    t = Traffic(df, now=BASE + timedelta(seconds=40))
+    assert t.entries(limit="3").count() == 3 and t.entries(before_seq=0).count() == 0 and t.entries(before="").count() == 0 and t.entries(since="10s").count() == 10
+    assert t.entries(sort="elapsedMs", limit=1).first().elapsedMs == 39 and t.entry("e7").first().seq == 8
+    assert t.summary(filter="status == error").first()["count"] == 10 and t.graph().count() == 1 and t.timeline(bucket="10", since="40s").count() == 5
+    assert t.field_values("status").count() == 3 and t.fields().count() == 81 and t.list_namespaces().first().key == "shop" and t.metrics().count() == 4
+    assert t.diff(("40s", "21s"), ("20s", "0.001s")).count() == 2 and t.error_clusters().count() == 1
+    assert capped("é" * 10, 5).startswith("éé\n") and capped("abc") == "abc"
+
+
+def test_exporting(spark, tmp_path):
+    from wirelake.operators import exporting
+
+    df = rows_of(spark, [("shop/a", "10.0.0.1", "http", "success", 1, 0)])
+    assert len(exporting.csv_rows(df).columns) == 14
+    exporting.csv_rows(df).coalesce(1).write.csv(str(tmp_path / "c"), header=True)
+    assert spark.read.csv(str(tmp_path / "c"), header=True).first().destination == "10.0.0.1"
+    packets = spark.createDataFrame([("tcp", 1, 80), ("tcp", 1, 81), ("udp", 53, 9), ("udp", 80, 9), ("icmp", None, None)], "proto string, sport int, dport int")
+    assert exporting.followed_packets(packets).count() == 3 and exporting.followed_packets(packets, more=[81]).count() == 4
+
+
+def test_clauses():
+    from wirelake.plans import clauses, ifl
+
+    for source in (clauses.endpoint("src", workload="web", namespace="shop"), clauses.conversation({"name": "a b"}, {"ip": "10.0.0.1"}), clauses.group("workload", "shop/web"), clauses.group("workload", "and"), clauses.group("response.status", "500")):
+        assert ifl.parse(source) is not None
+    assert clauses.expects("")[0] == "field" and clauses.expects("http.me") == ("field", ["http.method"]) and clauses.expects("http.method ")[0] == "operator"
+    assert clauses.expects("http.method == ")[0] == "value" and clauses.expects("http.method == GET ") == ("boolean", ["and", "or"])

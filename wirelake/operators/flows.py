@@ -63,3 +63,40 @@ def sessions(packets: DataFrame, idle_seconds: int = 20) -> DataFrame:
         F.max_by("window", "ts").alias("window"),
         ((first(SYN | ACK) - first(SYN)) / 1000.0).alias("rtt_ms"),
     )
+
+
+def retransmits(packets: DataFrame) -> DataFrame:
+    """(conn, src, sport, retransmits): segments with data that start before what is expected
+    next, where only a segment that starts there moves the expectation. That depends on each
+    segment in turn, so a direction of a connection is walked in order; it is read in slices and
+    keeps one number."""
+    import pandas as pd
+
+    def walk(key, frames):
+        want, count = None, 0
+        for frame in frames:
+            for seq, size in zip(frame["seq"].tolist(), frame["length"].tolist(), strict=True):
+                if not size:
+                    continue
+                if want is None or seq == want:
+                    want = seq + size
+                elif seq < want:
+                    count += 1
+        yield pd.DataFrame([(*key, count)], columns=["conn", "src", "sport", "retransmits"])
+
+    rows = packets.select("conn", "src", "sport", "ts", "seq", "length").repartition("conn", "src", "sport").sortWithinPartitions("conn", "src", "sport", "ts")
+
+    def run(frames):
+        key, held = None, []
+        for frame in frames:
+            for k, part in frame.groupby(["conn", "src", "sport"], sort=False):
+                if key is not None and k != key:
+                    yield from walk(key, held)
+                    held = []
+                key = k
+                held.append(part)
+        if key is not None:
+            yield from walk(key, held)
+
+    kinds = {f.name: f.dataType.simpleString() for f in packets.schema.fields}
+    return rows.mapInPandas(run, f"conn {kinds['conn']}, src {kinds['src']}, sport {kinds['sport']}, retransmits bigint")
