@@ -191,11 +191,11 @@ def test_streams(spark, tmp_path):
     entries = demo_entries(spark, 300, per_second=50)
     entries.select(F.to_json(F.struct("*")).alias("value")).coalesce(3).write.mode("overwrite").text(str(tmp_path / "in"))
     stream = jobs.live(jobs.ingest(spark, str(tmp_path / "in")), 'protocol == "http"')
-    jobs.to_json_files(stream, str(tmp_path / "out"), str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination(120)
+    assert jobs.to_json_files(stream, str(tmp_path / "out"), str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination(120)
     want = entries.filter("protocol = 'http'").count()
     assert spark.read.json(str(tmp_path / "out")).count() == want
     counted = jobs.rates(jobs.ingest(spark, str(tmp_path / "in")))
-    counted.writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
+    assert counted.writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
     assert spark.sql("select sum(entries) as n from rates").first().n == 300
 
 
@@ -205,6 +205,6 @@ def test_stateful_pairs(spark, tmp_path):
     rows = [("c", t(0), 0, True), ("c", t(1), 1, True), ("c", t(2), 2, False), ("c", t(40), 3, False), ("d", t(0), 4, False), ("d", t(1), 5, True), ("d", t(3), 6, False)]
     spark.createDataFrame(rows, "conn string, ts timestamp, seq bigint, is_request boolean").coalesce(1).write.parquet(str(tmp_path / "m"))
     stream = spark.readStream.schema("conn string, ts timestamp, seq bigint, is_request boolean").parquet(str(tmp_path / "m"))
-    jobs.pair_in_order(stream).writeStream.format("memory").queryName("pairs").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    assert jobs.pair_in_order(stream).writeStream.format("memory").queryName("pairs").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
     got = {(r.conn, r.request_seq, r.response_seq, r.elapsed_ms) for r in spark.sql("select * from pairs").collect()}
     assert got == {("c", 0, 2, 2000), ("d", 5, 6, 2000)}

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as fn
-from .operators import compare, facets, flows, history, identity, pairing, stats
+from .operators import compare, exporting, facets, flows, history, identity, pairing, stats
 from .operators.summary import graph, label, map_edges, map_nodes, summary, timeline
 from .plans import ifl
 from .schema import text
-from .session import prepare
-from .sources.adapters import events_as_entries, from_json_lines, read_table, sales_as_entries
+from .session import prepare, scratch_dir
+from .sources.adapters import events_as_entries, events_stream, from_json_lines, read_table, sales_as_entries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -434,5 +434,67 @@ def json_roundtrip(spark, sf_dir):
     return from_json_lines(lines).groupBy(label("src").alias("src"), label("dst").alias("dst")).agg(F.count("*").alias("count"))
 
 
+@query(f"""{_FLAT} SELECT id, epoch_us(ts) AS at_us, protocol, status, CAST(code AS INTEGER) AS "statusCode", ms AS "elapsedMs", sip AS source, dip AS destination, method, path, coalesce(props, '') AS request, said AS response
+ FROM l WHERE protocol = 'postgres'""")
+def csv_export(spark, sf_dir):
+    df = exporting.csv_rows(history.matching(events_as_entries(spark, sf_dir), "protocol == postgres"))
+    return df.withColumn("at_us", F.unix_micros("timestamp")).drop("timestamp", "sourcePort", "destinationPort")
+
+
+@query()
+def retransmits(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    return flows.retransmits(e.select((F.col("user_id") % 40).alias("conn"), F.col("ts"), F.lit("10.0.0.1").alias("src"), F.lit(4000).alias("sport"), (F.col("event_id") % 100).alias("seq"), (F.col("event_id") % 7).alias("length")))
+
+
+@query()
+def demo_traffic(spark, sf_dir):
+    from .sources.demo import demo_entries
+
+    return summary(demo_entries(spark, 10_000), "protocol", None).select("key", "count", "errors", "warnings", "p50", "p95")
+
+
+# --- streams -----------------------------------------------------------------------------------
+
+
+def _settled(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over what is there and reads the result: appended rows, or the last complete
+    table."""
+    import uuid
+
+    where = f"{scratch_dir(spark)}/wirelake/stream-{uuid.uuid4().hex}"
+    write = "append" if mode == "append" else "overwrite"
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/state").foreachBatch(lambda df, _: df.write.mode(write).parquet(f"{where}/rows"))
+    run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{where}/rows")
+
+
+@query(f"{_FLAT} SELECT epoch_us(date_trunc('second', ts)) AS second_us, protocol, count(*) AS entries, count(*) FILTER (status = 'error') AS errors FROM l GROUP BY ALL")
+def stream_rates(spark, sf_dir):
+    from .streaming.jobs import rates
+
+    return _settled(spark, rates(events_stream(spark, sf_dir)), "complete").select(F.unix_micros("second").alias("second_us"), "protocol", "entries", "errors")
+
+
+@query(f"{_FLAT} SELECT {_ROW} FROM l WHERE protocol = 'http' AND ms >= 100")
+def stream_live_filter(spark, sf_dir):
+    from .streaming.jobs import live
+
+    return _settled(spark, _rows(live(events_stream(spark, sf_dir), "protocol == http and elapsedMs >= 100")), "append")
+
+
+@query(f"""WITH {_MESSAGES}, s AS (SELECT *, sum(CASE WHEN is_request THEN 1 ELSE -1 END) OVER (PARTITION BY conn ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS bal FROM m),
+ f AS (SELECT *, least(coalesce(min(bal) OVER (PARTITION BY conn ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS low FROM s),
+ k AS (SELECT *, row_number() OVER (PARTITION BY conn, is_request ORDER BY ts, seq) AS k FROM f WHERE is_request OR bal >= low)
+ SELECT q.conn, q.seq AS request_seq, r.seq AS response_seq, (epoch_us(r.ts) - epoch_us(q.ts)) // 1000 AS elapsed_ms FROM k q JOIN k r ON q.conn = r.conn AND q.k = r.k AND q.is_request AND NOT r.is_request""")
+def stream_pairing(spark, sf_dir):
+    from .streaming.jobs import pair_in_order
+
+    entries = events_stream(spark, sf_dir)
+    user = F.regexp_extract("request.path", "[0-9]+$", 0).cast("bigint")
+    messages = entries.select((user % 40).cast("string").alias("conn"), F.col("timestamp").alias("ts"), (F.col("seq") - 1).alias("seq"), F.col("protocol").isin("http", "redis", "postgres").alias("is_request"))
+    return _settled(spark, pair_in_order(messages, 10**7, 10**6), "append").withColumn("conn", F.col("conn").cast("bigint"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["summary_workload"](spark, sf_dir)

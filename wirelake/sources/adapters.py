@@ -14,7 +14,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events_as_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``events`` table as traffic; blanks on both ends are deliberate."""
-    e = read_table(spark, sf_dir, "events")
+    return entries_of_events(read_table(spark, sf_dir, "events"))
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream of the table's files."""
+    schema = read_table(spark, sf_dir, "events").schema
+    return entries_of_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parque*"))
+
+
+def entries_of_events(e: DataFrame) -> DataFrame:
+    """Rows of ``events``, batch or streaming, as entries."""
     user, kind = F.col("user_id"), F.col("event_type")
     space = F.element_at(F.array(*map(F.lit, ("shop", "platform", "kube-system", ""))), (user % 4 + 1).cast("int"))
     of_kind = lambda default, **m: F.expr("CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in m.items()) + f" ELSE '{default}' END")

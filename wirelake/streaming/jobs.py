@@ -60,18 +60,22 @@ def to_webhook(entries: DataFrame, post: Callable[[list[str]], None], checkpoint
     return entries.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
 
-def pair_in_order(messages: DataFrame, expire_seconds: int = 30, backlog: int = BACKLOG) -> DataFrame:
+def pair_in_order(messages: DataFrame, expire_seconds: int = 30, backlog: int = BACKLOG, late_seconds: int = 60) -> DataFrame:
     """(conn, request_seq, response_seq, elapsed_ms): each response with the oldest request still
     waiting on its connection. Requests expire, overflow drops the oldest, and a response that
-    finds none waiting is dropped; waiting requests are state, kept as long as they may match.
+    finds none waiting is dropped; waiting requests are state, kept until the watermark, which
+    trails the newest message by ``late_seconds``, has passed their time.
 
     ``messages``: conn string, ts timestamp, seq long, is_request boolean.
     """
     expire = expire_seconds * 1_000_000
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         waiting = list(zip(*state.get, strict=True)) if state.exists else []
-        rows = pd.concat(list(frames), ignore_index=True) if not state.hasTimedOut else pd.DataFrame(columns=["us", "seq", "is_request"])
+        rows = pd.concat(list(frames), ignore_index=True)
         out = []
         for r in rows.sort_values(["us", "seq"]).itertuples():
             waiting = [w for w in waiting if r.us - w[0] <= expire]
@@ -82,10 +86,10 @@ def pair_in_order(messages: DataFrame, expire_seconds: int = 30, backlog: int =
                 out.append((key[0], seq, int(r.seq), (int(r.us) - us) // 1000))
         if waiting:
             state.update(([w[0] for w in waiting], [w[1] for w in waiting]))
-            state.setTimeoutDuration(2 * expire_seconds * 1000)
+            state.setTimeoutTimestamp(max(waiting[-1][0] // 1000 + expire_seconds * 1000, state.getCurrentWatermarkMs()) + 1)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["conn", "request_seq", "response_seq", "elapsed_ms"])
 
-    keyed = messages.select("conn", F.unix_micros("ts").alias("us"), "seq", "is_request")
-    return keyed.groupBy("conn").applyInPandasWithState(step, "conn string, request_seq long, response_seq long, elapsed_ms long", "us array<long>, seq array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = messages.withWatermark("ts", f"{late_seconds} seconds").select("conn", "ts", F.unix_micros("ts").alias("us"), "seq", "is_request")
+    return keyed.groupBy("conn").applyInPandasWithState(step, "conn string, request_seq long, response_seq long, elapsed_ms long", "us array<long>, seq array<long>", "append", GroupStateTimeout.EventTimeTimeout)
