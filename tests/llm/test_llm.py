@@ -365,3 +365,16 @@ def test_components(spark):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_toxicity_learns_rare_words(spark):
+    """A word that too few documents hold for certainty still counts, and so do its misspellings."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghilmnorst") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(30)) for _ in range(400)]
+    training = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rude = set(training[:60])
+    texts = [t + (" lumpenhund" if i in rude else "") + (" zwxyqq" if i in training[:5] else "") for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, int(i in rude)) for i in range(400)], "doc_id bigint, toxic int")
+    model, plain = toxicity.train(docs_of(spark, texts), labels), " ".join(vocabulary[:30])
+    assert model.score(plain + " zwxyqq") > model.score(plain + " zwxyq") > model.score(plain)

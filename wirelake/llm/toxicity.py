@@ -20,10 +20,13 @@ from .labelled import fold, training_rows
 #: Labelled documents that the model may learn from.
 MOST_ROWS = 12_000
 BUCKETS, WIDTH, EPOCHS, BATCH, RATE = 1 << 17, 8, 60, 64, 0.5
-#: Only buckets whose share of label 1 differs from the sample's by so many standard errors get an
-#: embedding, and only if so many documents hold them: others would just be memorised.
-ERRORS, LEAST_DOCS = 5.0, 8
+#: Every bucket of the sample gets an embedding. Its shares are shrunk, smoothly and never to nothing
+#: where it tells labels apart at all: to a half at so many standard errors. One more document in
+#: the variance makes rare buckets count less; unshrunk, they would just be memorised.
+ERRORS = 5.0
 CACHE = 400_000
+#: Pieces in which the driver fetches the sample's bags.
+PARTS = 12
 _TRIM = ".,;:!?\"'()[]{}<>|#$%&*…«»-_"
 
 
@@ -64,11 +67,11 @@ def bags_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def telling(held: np.ndarray, positive: np.ndarray, rows: int, positives: int) -> np.ndarray:
-    """Which buckets tell labels apart, by how many documents (of label 1) hold each."""
+def trust(held: np.ndarray, positive: np.ndarray, rows: int, positives: int) -> np.ndarray:
+    """How far each bucket's share counts, 0 to 1, by how many documents (of label 1) hold it."""
     p = positives / max(rows, 1)
-    error = np.sqrt(np.maximum(held * p * (1 - p) * (1 - held / max(rows, 1)), 1e-12))
-    return (held >= LEAST_DOCS) & (np.abs(positive - held * p) > ERRORS * error)
+    errors = np.abs(positive - held * p) / np.sqrt(held * p * (1 - p) + 1)
+    return (errors**4 / (errors**4 + ERRORS**4)).astype(np.float32)
 
 
 class SubwordModel:
@@ -89,13 +92,12 @@ class SubwordModel:
         if not len(y) or y.min() == y.max():
             return cls(np.zeros(BUCKETS, np.float32), bias)
         rng = np.random.default_rng(seed)
-        rng = np.random.default_rng(seed)
-        used = np.unique(np.concatenate([b for b, _ in bags]))
+        present = np.zeros(BUCKETS, bool)
+        for ids, _ in bags:
+            present[ids] = True
+        used, spot = np.flatnonzero(present), (np.cumsum(present) - 1).astype(np.int32)
         if not len(used):
             return cls(np.zeros(BUCKETS, np.float32), bias)
-        spot = np.zeros(BUCKETS, np.int64)
-        spot[used] = np.arange(len(used))
-        bags = [(spot[b], v) for b, v in bags]
         E = rng.normal(0, 0.1, (len(used), width)).astype(np.float32)
         U = rng.normal(0, 0.1, (width, 2)).astype(np.float32)
         b = np.array([0.0, bias], np.float32)
@@ -105,18 +107,17 @@ class SubwordModel:
             order = rng.permutation(len(y))
             for at in range(0, len(order), batch):
                 rows = order[at : at + batch]
-                ids = np.concatenate([bags[r][0] for r in rows])
-                share = np.concatenate([bags[r][1] for r in rows])
+                i, share = spot[np.concatenate([bags[r][0] for r in rows])], np.concatenate([bags[r][1] for r in rows])
                 owner = np.repeat(np.arange(len(rows)), [len(bags[r][0]) for r in rows])
-                took = E[ids] * share[:, None]
-                H = np.stack([np.bincount(owner, took[:, k], len(rows)) for k in range(width)], 1).astype(np.float32)
-                z = H @ U + b
-                z = np.exp(z - z.max(1, keepdims=True))
-                d = z / z.sum(1, keepdims=True)
-                d[np.arange(len(rows)), y[rows].astype(int)] -= 1
-                gU, gb, gH = H.T @ d, d.sum(0), d @ U.T
-                touched, back = np.unique(ids, return_inverse=True)
-                gE = np.stack([np.bincount(back, share * gH[owner, k], len(touched)) for k in range(width)], 1).astype(np.float32)
+                v = U[:, 1] - U[:, 0]
+                z = np.bincount(owner, share * (E @ v)[i], len(rows)) + (b[1] - b[0])
+                d = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[rows]
+                # with two classes every gradient is a multiple of one number per bucket
+                g = np.bincount(i, share * d[owner], len(used)).astype(np.float32)
+                touched = np.flatnonzero(g)
+                gU = (E[touched].T @ g[touched])[:, None] * np.array([-1, 1], np.float32)
+                gb = np.array([-d.sum(), d.sum()], np.float32)
+                gE = g[touched, None] * v
                 U2 += gU**2
                 b2 += gb**2
                 E2[touched] += gE**2
@@ -162,17 +163,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     at = np.asarray(seen.column(0))
     held[at], positive[at] = np.asarray(seen.column(1)), np.asarray(seen.column(2))
     totals = sample.agg(F.count("*"), F.coalesce(F.sum("__label"), F.lit(0))).first()
-    chosen = telling(held, positive, *totals)
+    scale = trust(held, positive, *totals)
 
     def run(batches):
         for batch in batches:
-            bags = [(b[chosen[b]], v[chosen[b]]) for b, v in bags_of([t or "" for t in batch.column(1).to_pylist()])]
+            bags = [(b, v * scale[b]) for b, v in bags_of([t or "" for t in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([b for b, _ in bags], pa.list_(pa.int32())), pa.array([s for _, s in bags], pa.list_(pa.float32()))], names=["id", "label", "buckets", "shares"])
 
-    got = sample.mapInArrow(run, f"id {sample.schema[0].dataType.simpleString()}, label int, buckets array<int>, shares array<float>").toArrow().sort_by("id")
+    bags, y = [], []
+    for part in range(PARTS):  # the driver's JVM holds one part at a time
+        mine = sample.filter(F.pmod(F.xxhash64("__id"), F.lit(PARTS)) == part)
+        got = mine.mapInArrow(run, f"id {sample.schema[0].dataType.simpleString()}, label int, buckets array<int>, shares array<float>").toArrow().sort_by("id")
+        bags += [(np.asarray(b.values), np.asarray(v.values)) for b, v in zip(got.column("buckets"), got.column("shares"), strict=True)]
+        y += got.column("label").to_pylist()
     release(docs.sparkSession, sample)
-    bags = [(np.array(b, np.int32), np.array(v, np.float32)) for b, v in zip(got.column("buckets").to_pylist(), got.column("shares").to_pylist(), strict=True)]
-    return SubwordModel.fit(bags, np.asarray(got.column("label").to_pylist(), np.float64))
+    model = SubwordModel.fit(bags, np.asarray(y, np.float64))
+    model.weight = model.weight * scale
+    return model
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_out: int = 2, threshold: float = 0.3, most: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
