@@ -36,3 +36,21 @@ def test_stages(spark):
         kept.append(len(ids))
         docs = out
     assert kept[0] > kept[1] >= kept[2] and corpus_pipeline.run(spark, SF).count() == kept[-1]
+
+
+def test_null_and_reused_ids_lose_no_document(spark):
+    """Distinct texts under one id, or under none, all come through; real copies go."""
+    from wirelake.llm.exact_dedup import drop_copies
+    from wirelake.llm.mixing import mixed_documents
+    from wirelake.llm.ngram_join import drop_near_copies
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(0)), (None, text(1)), (7, text(2)), (7, text(3)), (8, text(3)), (None, text(3)), (None, text(1)), (9, text(4)), (None, text(4) + " more")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id bigint, text string, source string")
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    once = sorted([(None, text(0)), (None, text(1)), (7, text(2)), (7, text(3)), (9, text(4)), (None, text(4) + " more")], key=str)
+    kept = drop_copies(docs)
+    assert pairs(kept) == once and kept.columns == docs.columns
+    near = drop_near_copies(kept)
+    assert pairs(near) == sorted(set(once) - {(None, text(4) + " more")}, key=str) and near.columns == docs.columns
+    assert set(pairs(mixed_documents(near))) == set(pairs(near))

@@ -1,8 +1,11 @@
-"""Names that a frame with unknown extra columns doesn't have."""
+"""Names that a frame with unknown extra columns doesn't have, and keys for rows without good ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import materialise
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -11,3 +14,15 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def keyed(docs: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with a column ``key`` that tells its documents, distinct (id, text), apart and orders
+    them by id, null ids last. Unique ids without null are the keys themselves."""
+    if docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
+        return docs.withColumn(key, F.col(id_col))
+    sha, id_, sha_ = (unused(docs, f"{key}_{n}") for n in ("sha", "id", "of"))
+    rows = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    keys = rows.select(F.col(id_col).alias(id_), F.col(sha).alias(sha_)).distinct().orderBy(F.col(id_).asc_nulls_last(), sha_)
+    keys = materialise(keys.withColumn(key, F.monotonically_increasing_id()), "document-keys")
+    return rows.join(keys, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(sha) == F.col(sha_))).drop(sha, id_, sha_)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .frames import unused
+from .frames import keyed, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICES = 1 << 16
@@ -120,9 +120,11 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_repe
     )
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """The documents of the mix, each as often as it is taken."""
-    key, times, turn = (unused(docs, n) for n in ("__mixed", "__times", "__turn"))
-    plan = mix_sources(docs, id_col=id_col, **params).filter("copies > 0").select(F.col(id_col).alias(key), F.col("copies").alias(times)).dropDuplicates([key])
-    out = docs.join(plan, F.col(id_col).eqNullSafe(F.col(key)))
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """The documents of the mix, each as often as it is taken; documents that share an id, null or
+    not, are told apart by their texts."""
+    mine, key, times, turn = (unused(docs, n) for n in ("__key", "__mixed", "__times", "__turn"))
+    rows = keyed(docs, mine, id_col, text_col)
+    plan = mix_sources(rows, id_col=mine, text_col=text_col, **params).filter("copies > 0").select(F.col(mine).alias(key), F.col("copies").alias(times)).dropDuplicates([key])
+    out = rows.join(plan, F.col(mine).eqNullSafe(F.col(key)))
     return out.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .components import connected_components
-from .frames import unused
+from .frames import keyed, unused
 
 WORDS, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.999, 256
 #: Members of one side of a block comparison.
@@ -232,8 +232,10 @@ def ngram_join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY,
     return signed.select("id", "digest").join(classes, "digest").select(F.col("id").alias(id_col), F.col("rep").alias("copy_of"), "class_id", "n_links")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each class."""
-    name = unused(docs, "__stay")
-    stay = ngram_join(docs, id_col=id_col, **params).filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias(name))
-    return docs.join(stay, F.col(id_col) == F.col(name), "left_semi")
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of each class, null ids after all others. Documents
+    that share an id, null or not, are told apart by their texts; rows that repeat both are one."""
+    name, key = unused(docs, "__stay"), unused(docs, "__key")
+    rows = keyed(docs, key, id_col, text_col)
+    stay = ngram_join(rows, id_col=key, text_col=text_col, **params).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias(name))
+    return rows.join(stay, F.col(key) == F.col(name), "left_semi").drop(key)
