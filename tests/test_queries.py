@@ -42,3 +42,17 @@ def test_entry_without_the_optional_part():
     code = "import sys; sys.modules['wirelake.llm'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120, check=True).stdout.split()
     assert out == [str(len(queries.QUERIES)), str(len(queries.ORACLE_SQL))]
+
+
+def test_stream_pairing_with_a_long_queue(spark, tmp_path):
+    """1,500 requests of one connection wait at once: the query still pairs as its SQL does."""
+    n = "CASE WHEN id < 1500 THEN"
+    values = {"event_id": "id", "user_id": "7", "event_type": f"{n} 'view' ELSE 'error' END", "ts": "timestamp_seconds(1704067200 + id)", "value": "1.0"}
+    schema = spark.read.parquet(f"{SF}/events.parquet").schema
+    rows = spark.range(3000).selectExpr(*(f"CAST({values.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got, want = queries.QUERIES["stream_pairing"](spark, str(tmp_path)).toPandas(), con.execute(queries.ORACLE_SQL["stream_pairing"]).df()
+    assert len(want) == 1500 and plain(got) == plain(want)
