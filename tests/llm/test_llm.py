@@ -67,7 +67,7 @@ def test_odd_rows(name, odd, labels, spark):
     assert OPERATORS[name](odd.limit(0), labels.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["exact", "mix", "count", "bpe", "near", "lm", "quality", "toxic"])
+@pytest.mark.parametrize("name", OPERATORS)
 def test_repeated_rows(name, odd, labels):
     twice = odd.unionByName(odd.filter("doc_id % 2 = 0"))
     assert OPERATORS[name](twice, labels).count() == twice.count()
@@ -220,25 +220,58 @@ def test_run_length_index():
                 seen.add(s[i : i + depth])
 
 
-@pytest.mark.parametrize("group", [2000, 2])
-def test_suffix_dedup(spark, group):
-    """Byte for byte; a tiny group size sends anchors down the way of very common ones."""
+def plain_suffix(texts, depth=100):
+    """(n_bytes, n_removed, n_spans, kept_sha256) of each text, in order."""
+    seen, out = set(), []
+    for t in texts:
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for p in range(len(raw) - depth + 1):
+            if raw[p : p + depth] in seen:
+                gone[p : p + depth] = True
+            seen.add(raw[p : p + depth])
+        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+        out.append((len(raw), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def suffix_rows(df):
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()}
+
+
+@pytest.mark.parametrize("group,often", [(400, 64), (2, 64), (3, 1)])
+def test_suffix_dedup(spark, group, often):
+    """Byte for byte; tiny sizes send anchors through all levels."""
     rng = random.Random(4)
     line = lambda n: "".join(rng.choice("abcdefg hij é") for _ in range(n))
     shared = [line(n) for n in (90, 100, 101, 130, 400)]
     texts = odd_texts() + ["".join(rng.choice([line(40), rng.choice(shared)]) for _ in range(rng.randint(1, 6))) for _ in range(60)] + [shared[4] * 3, "ab" * 200]
-    seen, want = set(), {}
-    for i, t in enumerate(texts):
-        raw = (t or "").encode()
-        gone = np.zeros(len(raw), bool)
-        for p in range(len(raw) - 99):
-            if raw[p : p + 100] in seen:
-                gone[p : p + 100] = True
-            seen.add(raw[p : p + 100])
-        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-        want[i] = (len(raw), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(docs_of(spark, texts), group=group).collect()}
-    assert got == want
+    got = suffix_rows(suffix_dedup.suffix_dedup(docs_of(spark, texts), group=group, often=often))
+    assert got == dict(enumerate(plain_suffix(texts)))
+
+
+def test_suffix_dedup_with_a_very_common_anchor(spark):
+    """10,000 different contexts of one phrase, some of them again in part."""
+    rng = random.Random(14)
+    line = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    phrase = line(64)
+    texts = [line(60) + phrase + line(60) for _ in range(10_000)]
+    texts += [line(30) + rng.choice(texts)[rng.randint(0, 40) :] for _ in range(300)]
+    got = suffix_rows(suffix_dedup.suffix_dedup(docs_of(spark, texts, extra=False)))
+    assert got == dict(enumerate(plain_suffix(texts)))
+
+
+def test_suffix_dedup_with_null_and_reused_ids(spark):
+    """Rows of one id and text are one document; texts that share an id are not."""
+    rng = random.Random(15)
+    line = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    a, b = line(300), line(300)
+    texts = sorted([line(50) + b, a + line(40), b], key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    rows = [(1, a), (1, a), *((2, t) for t in texts), (None, b + a), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = plain_suffix([a, *texts, b + a])
+    got = sorted((r.doc_id or 9, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(docs).collect())
+    assert got == sorted([(1, *want[0]), (1, *want[0]), *((2, *w) for w in want[1:4]), (9, *want[4]), (9, 0, 0, 0, hashlib.sha256(b"").hexdigest())])
 
 
 def test_nearest(spark):

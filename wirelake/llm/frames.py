@@ -16,13 +16,15 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def keyed(docs: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with a column ``key`` that tells its documents, distinct (id, text), apart and orders
-    them by id, null ids last. Unique ids without null are the keys themselves."""
-    if docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
-        return docs.withColumn(key, F.col(id_col))
+def keyed(docs: DataFrame, key: str, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """``docs`` with a bigint column ``key`` that tells its documents, distinct (id, text), apart and
+    orders them by id, null ids last, then by SHA-256; and whether it is just the id, as it is where
+    ids are whole numbers, unique and never null."""
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole and docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
+        return docs.withColumn(key, F.col(id_col).cast("bigint")), True
     sha, id_, sha_ = (unused(docs, f"{key}_{n}") for n in ("sha", "id", "of"))
     rows = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
     keys = rows.select(F.col(id_col).alias(id_), F.col(sha).alias(sha_)).distinct().orderBy(F.col(id_).asc_nulls_last(), sha_)
     keys = materialise(keys.withColumn(key, F.monotonically_increasing_id()), "document-keys")
-    return rows.join(keys, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(sha) == F.col(sha_))).drop(sha, id_, sha_)
+    return rows.join(keys, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(sha) == F.col(sha_))).drop(sha, id_, sha_), False

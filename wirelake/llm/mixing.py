@@ -124,7 +124,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The documents of the mix, each as often as it is taken; documents that share an id, null or
     not, are told apart by their texts."""
     mine, key, times, turn = (unused(docs, n) for n in ("__key", "__mixed", "__times", "__turn"))
-    rows = keyed(docs, mine, id_col, text_col)
+    rows, _ = keyed(docs, mine, id_col, text_col)
     plan = mix_sources(rows, id_col=mine, text_col=text_col, **params).filter("copies > 0").select(F.col(mine).alias(key), F.col("copies").alias(times)).dropDuplicates([key])
     out = rows.join(plan, F.col(mine).eqNullSafe(F.col(key)))
     return out.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

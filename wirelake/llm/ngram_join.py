@@ -236,6 +236,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` with the smallest id of each class, null ids after all others. Documents
     that share an id, null or not, are told apart by their texts; rows that repeat both are one."""
     name, key = unused(docs, "__stay"), unused(docs, "__key")
-    rows = keyed(docs, key, id_col, text_col)
+    rows, _ = keyed(docs, key, id_col, text_col)
     stay = ngram_join(rows, id_col=key, text_col=text_col, **params).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias(name))
     return rows.join(stay, F.col(key) == F.col(name), "left_semi").drop(key)

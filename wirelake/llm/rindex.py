@@ -8,7 +8,7 @@ from .arrays import ranges
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
-    return np.unique(keys, return_inverse=True)[1]
+    return np.unique(keys, return_inverse=True)[1].astype(np.int32)
 
 
 class RunLengthIndex:
@@ -23,35 +23,43 @@ class RunLengthIndex:
         lengths = np.array([len(s) for s in strings], np.int64)
         self.starts = np.cumsum(lengths + 1) - lengths - 1
         self.ends = self.starts + lengths
-        text = np.zeros(int(self.ends[-1]) + 1, np.int64)
-        text[ranges(self.starts, lengths)] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
-        n = len(text)
-        self.text = text
+        n = int(self.ends[-1]) + 1
+        if n >= 1 << 31:
+            raise ValueError("an index takes less than 2 GB")
+        self.text = text = np.zeros(n, np.int16)
+        text[ranges(self.starts, lengths)] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int16) + 1
 
         def shifted(r, by):
             out = np.zeros(n, np.int64)
-            out[: max(n - by, 0)] = r[by:] + 1
+            out[: max(n - by, 0)] = r[by:] + np.int64(1)
             return out
 
         # Suffixes are ordered by their first `depth` symbols, found by doubling, then by place.
         # A step from symbol to symbol keeps within suffixes that agree so far, which is enough:
         # the groups asked for are those that agree on `depth` symbols.
         span = min(depth, 7)  # symbols of nine bits that fit a key at once
-        packed = text.copy()
+        packed = text.astype(np.int64)
         for k in range(1, span):
-            packed = packed << 9 | shifted(text, k)
+            packed <<= 9
+            packed |= shifted(text, k)
         group = _ranks(packed)
         while span < depth:
             by = min(span, depth - span)
-            group = _ranks(group * (n + 2) + shifted(group, by))
+            packed = group.astype(np.int64)
+            packed *= n + 2
+            packed += shifted(group, by)
+            group = _ranks(packed)
             span += by
-        self.order = np.argsort(group, kind="stable")
-        place = np.empty(n, np.int64)
-        place[self.order] = np.arange(n)
+        del packed
+        self.order = np.argsort(group, kind="stable").astype(np.int32)
+        place = np.empty(n, np.int32)
+        place[self.order] = np.arange(n, dtype=np.int32)
+        self.end_place = place[self.ends]  # where the walk of each string begins
+        del place
         symbols = text[self.order - 1]  # the symbol before each suffix, in suffix order
-        self.run_start = np.flatnonzero(np.diff(symbols, prepend=-1))
+        self.run_start = np.flatnonzero(np.diff(symbols, prepend=-1)).astype(np.int32)
         self.run_symbol = symbols[self.run_start]
-        run_length = np.diff(np.append(self.run_start, n))
+        run_length = np.diff(np.append(self.run_start, np.int32(n)))
         self.run_end_position = self.order[self.run_start + run_length - 1]
         totals = np.bincount(symbols, minlength=258)
         self.below = np.cumsum(totals) - totals
@@ -63,12 +71,11 @@ class RunLengthIndex:
         self.sorted_start = self.run_start[by_symbol]
         self.sorted_length = run_length[by_symbol]
         self.sorted_before = before - base[self.sorted_symbol]
-        self.sorted_key = self.sorted_symbol * (n + 1) + self.sorted_start
-        self.end_place = place[self.ends]  # where the walk of each string begins
+        self.sorted_key = self.sorted_symbol.astype(np.int64) * (n + 1) + self.sorted_start
         groups = group[self.order]
         edge = np.flatnonzero(np.diff(groups, prepend=-1))
-        self.group_start = edge
-        self.group_size = np.diff(np.append(edge, n))
+        self.group_start = edge.astype(np.int32)
+        self.group_size = np.diff(np.append(edge, n)).astype(np.int32)
         self.group_first = np.minimum.reduceat(self.order, edge)
         self.group_at = np.repeat(np.arange(len(edge), dtype=np.int32), self.group_size)
 
@@ -79,7 +86,7 @@ class RunLengthIndex:
     def step(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Where suffixes begin that put ``symbol`` before those from ``place`` on."""
         n = len(self.text)
-        i = np.searchsorted(self.sorted_key, symbol * (n + 1) + place, "left") - 1
+        i = np.searchsorted(self.sorted_key, symbol.astype(np.int64) * (n + 1) + place, "left") - 1
         i = np.maximum(i, 0)
         found = (self.sorted_symbol[i] == symbol) & (self.sorted_start[i] < place)
         rank = self.sorted_before[i] + np.minimum(self.sorted_length[i], place - self.sorted_start[i])
