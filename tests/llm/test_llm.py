@@ -170,8 +170,8 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
 
 
-@pytest.mark.parametrize("block", [1536, 3])
-def test_ngram_join(spark, block):
+@pytest.mark.parametrize("block,grams", [(1024, 1_000_000), (3, 1_000_000), (1024, 300)])
+def test_ngram_join(spark, block, grams):
     """Links and classes of all pairs; small blocks force groups to be compared in pieces."""
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
@@ -198,9 +198,47 @@ def test_ngram_join(spark, block):
                 links[j] += 1
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_join(docs_of(spark, texts), block=block).collect()}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_join(docs_of(spark, texts), block=block, grams=grams).collect()}
     assert got == {i: (find(i), links[i]) for i in range(len(texts))}
-    assert {r.doc_id for r in ngram_join.drop_near_copies(docs_of(spark, texts), block=block).collect()} == {i for i in range(len(texts)) if find(i) == i}
+    assert {r.doc_id for r in ngram_join.drop_near_copies(docs_of(spark, texts), block=block, grams=grams).collect()} == {i for i in range(len(texts)) if find(i) == i}
+
+
+def test_ngram_join_with_null_and_reused_ids(spark):
+    """Texts that share an id are documents of their own; equal rows are copies."""
+    word = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, word(1)), (1, word(2)), (3, word(2) + " more"), (None, word(3)), (4, word(3) + " more"), (5, word(5)), (5, word(5)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id or 9, r.copy_of or 9, r.class_id or 9, r.n_links) for r in ngram_join.ngram_join(docs).collect()))
+    assert got == sorted([(1, 1, 1, 0), (1, 1, 1, 1), (3, 3, 1, 1), (9, 9, 4, 1), (4, 4, 4, 1), (5, 5, 5, 1), (5, 5, 5, 1), (9, 9, 9, 0)])
+    named = docs.withColumn("doc_id", F.concat(F.lit("doc-"), "doc_id"))
+    assert sorted(r.n_links for r in ngram_join.ngram_join(named).collect()) == sorted(r[3] for r in got)
+
+
+def test_ngram_join_of_long_texts(spark):
+    """A group of long texts is compared in blocks bounded by their n-grams."""
+    rng = random.Random(19)
+    base = [rng.randrange(50_000) for _ in range(20_000)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 500)):
+            w[rng.randrange(len(w))] = -1
+        texts.append(" ".join(map(str, w)))
+    sets = [shingles(t) for t in texts]
+    want = [sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1 for a in sets]
+    got = {r.doc_id: r.n_links for r in ngram_join.ngram_join(docs_of(spark, texts, extra=False), grams=100_000).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_ties():
+    """No two rows that differ in few enough places are parted; far ones are not chained."""
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 256, (40, 200)).astype(np.uint8).repeat(6, 0)
+    for r in rows:
+        r[rng.choice(200, rng.integers(0, 45), replace=False)] = rng.integers(0, 256)
+    root = ngram_join.ties(rows, 0.33)
+    apart = (rows[:, None] != rows[None]).mean(2)
+    assert (root[:, None] == root[None])[apart <= 0.33].all() and len(set(root.tolist())) >= 40
 
 
 def test_bands():
