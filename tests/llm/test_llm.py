@@ -335,6 +335,30 @@ def test_nearest(spark):
     assert ann.nearest_neighbours(df.filter("vec_id in (0, 1, 2)")).count() == 2
 
 
+def test_lists_read_on_clusters():
+    """Few lists hold nearly all true neighbours where vectors have clusters; none reads too few."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 32))[rng.integers(0, 300, 20_000)] + rng.normal(size=(20_000, 32)) * 0.25
+    graph = ann.CentroidGraph(ann.balanced_centroids(x, 100))
+    graph.tune(x, 10)
+    homes = [h for i in range(0, len(x), 256) for h in graph.borders(x[i : i + 256])]
+    sizes = np.bincount(np.concatenate(homes), minlength=len(graph.c))
+    asked = np.arange(0, len(x), 100)
+    read = graph.lists(x[asked], sizes, 10)
+    far = (x[asked] ** 2).sum(1)[:, None] - 2 * x[asked] @ x.T + (x**2).sum(1)[None]
+    far[np.arange(len(asked)), asked] = np.inf
+    found = [bool(np.isin(homes[v], read[i]).any()) for i, row in enumerate(np.argpartition(far, 10, 1)[:, :10]) for v in row]
+    assert np.mean(found) >= 0.9 and np.mean([len(r) for r in read]) < 0.2 * len(graph.c)
+    few = graph.lists(x[asked], np.ones(len(graph.c), int), 10)
+    assert min(len(r) for r in few) >= 10
+
+
+def test_nearest_with_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (7, [0.0, 1.5]), (8, [3.0, 0.0]), (8, [3.0, 0.0]), (None, [1.0, 0.0])]
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()]
+    assert sorted(got) == [(0, 1, 7, 0.5), (0, 2, 8, 2.0)]
+
+
 def auc(score, y):
     order = np.argsort(score)
     rank = np.empty(len(score))
@@ -392,23 +416,57 @@ def test_toxicity(spark):
     assert model.score(plain + " lumpenhumd") > model.score(plain) and model.score(plain + " lumpenhund") > 0.5
 
 
-def test_lm(spark, odd):
+@pytest.mark.parametrize("classes,known", [(6, 20), (3, 4), (500, 5000)])
+def test_lm(spark, odd, classes, known):
+    """Counts, base and score of every text by plain loops over the model's tables."""
     texts = [t or "" for t in odd_texts()]
     words = [byte_split(t) + [b""] for t in texts]
     out = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
     count = Counter(w for ws, h in zip(words, out, strict=True) if not h for w in ws)
     n, v = sum(count.values()), len(count)
-    rows = lm.lm_scores(odd, classes=6, known=20).orderBy("doc_id").collect()
+    rows = lm.lm_scores(odd, classes=classes, known=known).orderBy("doc_id").collect()
+    training = odd.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    model = lm.train(training, classes=classes, known=known)
+    within = {bytes(r.token): r.fit for r in model.rest.collect()}
+    frequent = {w: i for i, w in enumerate(model.words[: model.classes])}
+    assert set(within) | set(frequent) >= set(count) and not set(within) & set(frequent)
+    assert (10 ** model.table.astype(float)).sum(1) == pytest.approx(np.ones(len(model.table)), abs=1e-4)
+    for g in range(len(model.unseen)):
+        assert sum(10 ** (f[g]) for f in within.values()) + 10 ** model.unseen[g] == pytest.approx(1, abs=1e-4)
     for r, ws, h in zip(rows, words, out, strict=True):
-        base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws)
+        base, score, last, rest_before = 0.0, 0.0, 0, False
+        for w in ws:
+            g = model.cluster[last]
+            context = model.classes + g if rest_before else last
+            base += math.log10((count[w] + 1) / (n + v + 1))
+            score += model.table[context, frequent.get(w, model.classes)]
+            if w not in frequent:
+                score += within[w][g] if w in within else model.unseen[g]
+            last, rest_before = (frequent[w], False) if w in frequent else (last, True)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, len(ws), sum(count[w] > 0 for w in ws), n)
-        assert r.base_score == pytest.approx(base) and r.score < 0
+        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score, rel=1e-5, abs=1e-4)
 
 
 def byte_split(t):
     return t.encode().lower().split()
 
 
+def test_lm_learns_contexts_of_rare_tokens(spark):
+    """A token beyond the classes is likelier after the words that it follows."""
+    rng = random.Random(12)
+    names, verbs = [f"name{i}" for i in range(60)], [f"verb{i}" for i in range(60)]
+    texts = [" ".join(x for _ in range(30) for x in ("the", rng.choice(names), "can", rng.choice(verbs))) for _ in range(300)]
+    docs = docs_of(spark, [*texts, "the name1", "the verb1", "can verb1", "can name1"], extra=False)
+    score = {r.doc_id: r.score for r in lm.lm_scores(docs, classes=3, known=50).collect()}
+    assert score[300] > score[301] + 0.5 and score[302] > score[303] + 0.5
+
+
+def test_lm_with_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a"), (3, None)], "doc_id bigint, text string")
+    rows = lm.lm_scores(docs).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in rows) == [("3", 1), ("3", 2), ("None", 3), ("None", 3)]
+
+
 def test_lm_is_normalised_and_learns():
     rng = np.random.default_rng(1)
     p = rng.dirichlet(np.full(30, 0.1), 30)

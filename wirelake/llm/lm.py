@@ -1,20 +1,29 @@
 """Scoring by a log-bilinear language model trained with noise-contrastive estimation.
 
 Counting: every training token is counted, partial counts first, then by token over a shuffle.
-Model: for the ``CLASSES`` most frequent tokens, and one class for all others, the score of a
-class after a context token is the product of their vectors plus a bias. Bigram counts over all
-training documents are all that the noise-contrastive objective needs (its expectation over the
-noise has a closed form), so training runs in numpy on a matrix whose size no corpus changes.
-Scoring: one product of the two vector tables, normalised by rows, gives every log-probability;
-a token of the rest class is also paid for within that class by its smoothed frequency.
-
-Counts of the ``KNOWN`` most frequent tokens, a fixed number, go to the workers; the rare rest of
-each document meets its counts in a join, where no token can be frequent enough to be a hot key.
+
+Model: P(token | before) = P(class | context) * P(token | rest, cluster). The ``CLASSES`` most
+frequent tokens are classes of their own, all others make one. The context is the token before or,
+after a token of the rest, the cluster of the last frequent token with a mark. Both factors are
+log-bilinear, products of vectors plus a bias, and trained on the noise-contrastive objective, whose
+expectation over the noise has a closed form in the counts:
+
+* class and context vectors from counts of pairs over all training documents, in numpy on a
+  matrix whose size no corpus changes; frequent tokens with like vectors form ``CLUSTERS``;
+* a vector for every other token, however many the corpus has. Given the clusters' vectors, the
+  objective falls apart by token, so tasks fit batches of tokens side by side.
+
+Scoring: one product of the vector tables, normalised by rows, gives every class's log-probability;
+a sum over all tokens of the rest, a number per cluster, normalises theirs.
+
+Counts and fits of at most ``KNOWN`` of the most frequent tokens go to the workers; the rare rest of
+each document meets them in a join, where no token can be frequent enough to be a hot key.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +33,16 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .labelled import fold
 
-CLASSES, KNOWN = 2048, 1 << 18
-WIDTH, STEPS, RATE, NOISE = 32, 90, 0.05, 10.0
-#: Entries of a partial count before it is handed on.
-PARTIAL = 400_000
+#: Size of the model: tokens with a class of their own, clusters of them, dimensions of their vectors
+#: and of those of other tokens.
+CLASSES, CLUSTERS, WIDTH, NARROW = 2048, 16, 32, 8
+#: Tokens whose figures travel with the tasks.
+KNOWN = 1 << 17
+STEPS, RATE, NOISE = 90, 0.05, 10.0
+#: Steps for a token of the rest, and the weight that keeps its vector short.
+REST_STEPS, SHORT = 20, 1.0
+#: Entries of a partial count, and bytes of text, before it is handed on.
+PARTIAL, PARTIAL_BYTES = 300_000, 1 << 25
 END = b""
 
 
@@ -42,21 +57,21 @@ class _Ids(dict):
 
 
 class LogBilinear:
-    """log10 P(class | class before): ``table[u, w]``."""
+    """log10 P(class | context): ``table[context, class]``; ``contexts``: their vectors."""
 
-    def __init__(self, table: np.ndarray):
-        self.table = table
+    def __init__(self, table: np.ndarray, contexts: np.ndarray):
+        self.table, self.contexts = table, contexts
 
     @classmethod
     def fit(cls, bigrams: np.ndarray, width=WIDTH, steps=STEPS, rate=RATE, noise=NOISE, seed=11) -> LogBilinear:
-        """Learn from a square matrix of bigram counts by gradient steps on the noise-contrastive
-        objective, with the smoothed class frequencies as noise."""
+        """Learn from a matrix of pair counts, contexts by classes, by gradient steps on the
+        noise-contrastive objective, with the smoothed class frequencies as noise."""
         n = np.asarray(bigrams, np.float32)
-        size = len(n)
+        size = n.shape[1]
         total = max(float(n.sum()), 1.0)
         p = ((n.sum(0) + 0.5) / (float(n.sum()) + 0.5 * size)).astype(np.float32)
         rng = np.random.default_rng(seed)
-        params = [rng.normal(0, 0.1, (size, width)).astype(np.float32), rng.normal(0, 0.1, (size, width)).astype(np.float32), np.log(p)]
+        params = [rng.normal(0, 0.1, (len(n), width)).astype(np.float32), rng.normal(0, 0.1, (size, width)).astype(np.float32), np.log(p)]
         moments = [(np.zeros_like(v), np.zeros_like(v)) for v in params]
         weight = n.sum(1, keepdims=True) * (noise * p)[None]
         offset = np.log(noise * p)[None]
@@ -79,14 +94,75 @@ class LogBilinear:
         s = (q @ r.T + b).astype(np.float64)
         s -= s.max(1, keepdims=True)
         s -= np.log(np.exp(s).sum(1, keepdims=True))
-        return cls((s / np.log(10)).astype(np.float32))
+        return cls((s / np.log(10)).astype(np.float32), q)
+
+
+def clusters_of(vectors: np.ndarray, weight: np.ndarray, count: int = CLUSTERS, seed: int = 13) -> np.ndarray:
+    """Cluster of each row, by weighted k-means from seeded, far starts."""
+    rng, count = np.random.default_rng(seed), min(count, len(vectors))
+    centre = vectors[[int(np.argmax(weight))]]
+    while len(centre) < count:
+        away = ((vectors[:, None] - centre[None]) ** 2).sum(2).min(1) * weight
+        pick = rng.choice(len(vectors), p=away / away.sum()) if away.sum() > 0 else rng.integers(len(vectors))
+        centre = np.vstack([centre, vectors[pick]])
+    for _ in range(15):
+        mine = ((vectors[:, None] - centre[None]) ** 2).sum(2).argmin(1)
+        for g in range(count):
+            if weight[mine == g].sum() > 0:
+                centre[g] = np.average(vectors[mine == g], axis=0, weights=weight[mine == g])
+    return ((vectors[:, None] - centre[None]) ** 2).sum(2).argmin(1)
+
+
+def fit_tokens(n: np.ndarray, totals: np.ndarray, p: np.ndarray, directions: np.ndarray, steps=REST_STEPS, noise=NOISE, short=SHORT) -> np.ndarray:
+    """Log weights (tokens by clusters), product of a vector of each token and the clusters'
+    ``directions`` plus a bias, that fit counts ``n`` of tokens after clusters (of ``totals`` tokens
+    of the rest) by Newton steps, one parameter at a time held against the others' curvature."""
+    r, b = np.zeros((len(n), directions.shape[1])), np.log(p)[:, None]
+    offset, wide = np.log(noise * p)[:, None], noise * p[:, None] * totals[None]
+    for _ in range(steps):
+        s = 1 / (1 + np.exp(-np.clip(r @ directions.T + b - offset, -30, 30)))
+        slope, bend = n - (n + wide) * s, (n + wide) * s * (1 - s)
+        r += (slope @ directions - short * r) / (bend @ directions**2 * directions.shape[1] ** 0.5 + short)
+        b += slope.sum(1, keepdims=True) / (bend.sum(1, keepdims=True) + 1e-9) * 0.5
+    return r @ directions.T + b
+
+
+@dataclass
+class LanguageModel:
+    """``words`` known, classes first; ``table[context, class]``; ``cluster`` of each class; ``rest``:
+    (token, c, fit) of all training tokens that are no class, ``fit`` and ``unseen`` in log10 by cluster."""
+
+    words: list[bytes]
+    counts: np.ndarray
+    classes: int
+    total: int
+    distinct: int
+    table: np.ndarray
+    cluster: np.ndarray
+    rest: DataFrame
+    unseen: np.ndarray
+
+
+def contexts(i: np.ndarray, classes: int, cluster: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, cluster) at each place of a text of class numbers, ``classes`` for the rest."""
+    before = np.append(0, i[:-1])  # a text begins as after an end
+    rest = before == classes
+    last = before[np.maximum.accumulate(np.where(rest, 0, np.arange(len(before))))]
+    return np.where(rest, classes + cluster[last], before), cluster[last]
+
+
+def _class_numbers(w: list[bytes], ids: _Ids, classes: int) -> np.ndarray:
+    i = np.zeros(len(w) + 1, np.int64)
+    i[:-1] = np.fromiter(map(ids.__getitem__, w), np.int64, len(w))
+    i[(i < 0) | (i >= classes)] = classes
+    return i
 
 
 def token_totals(texts: DataFrame) -> DataFrame:
     """(token, c) over all rows of (id, text), the end token of each text among them."""
 
     def run(batches):
-        counts: Counter = Counter()
+        counts, size = Counter(), 0
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "c"])
@@ -94,47 +170,106 @@ def token_totals(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(1).to_pylist():
                 counts.update(tokens(text))
-                if len(counts) > PARTIAL:
+                size += len(text)
+                if len(counts) > PARTIAL or size > PARTIAL_BYTES:
                     yield out()
                     counts.clear()
+                    size = 0
             counts[END] += batch.num_rows
         yield out()
 
     return texts.mapInArrow(run, "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c")).filter("c > 0")
 
 
-def _class_ids(known: list[bytes], classes: int) -> _Ids:
-    return _Ids((w, i) for i, w in enumerate(known[:classes]))
+def pair_counts(texts: DataFrame, known: list[bytes], classes: int, cluster: np.ndarray, groups: int) -> tuple[np.ndarray, DataFrame]:
+    """Counts of (context, class) over all rows, and (token, n): how often each token of the rest
+    comes after each cluster, an array."""
+    width = classes + 1
+    size = (classes + groups) * width
+    mark = [bytes([g]) for g in range(groups)]
 
+    def run(batches):
+        ids = _Ids((w, i) for i, w in enumerate(known[:classes]))
+        total, counts, seen = np.zeros(size, np.int64), Counter(), 0
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64())
 
-def bigram_counts(texts: DataFrame, known: list[bytes], classes: int = CLASSES) -> np.ndarray:
-    """Counts of (class, next class) over all rows; index ``classes`` is the rest, 0 the end."""
-    size = classes + 1
+        def rows(pair, token, g, n):
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((pair, token, g, n), kinds, strict=True)], names=["pair", "token", "g", "n"])
+
+        def out():
+            return rows([None] * len(counts), [t[:-1] for t in counts], [t[-1] for t in counts], list(counts.values()))
 
-    def run(batches):
-        ids = _class_ids(known, classes)
-        total = np.zeros(size * size, np.int64)
         for batch in batches:
             for text in batch.column(1).to_pylist():
                 w = tokens(text)
-                i = np.zeros(len(w) + 2, np.int64)
-                i[1:-1] = np.fromiter(map(ids.__getitem__, w), np.int64, len(w))
-                i[i < 0] = classes
-                keys = i[:-1] * size + i[1:]
-                if len(keys) < 4096:
-                    np.add.at(total, keys, 1)
-                else:
-                    k, n = np.unique(keys, return_counts=True)
-                    total[k] += n
+                i = _class_numbers(w, ids, classes)
+                context, g = contexts(i, classes, cluster)
+                np.add.at(total, context * width + i, 1)
+                rest = np.flatnonzero(i == classes)
+                counts.update([w[j] + mark[k] for j, k in zip(rest.tolist(), g[rest].tolist(), strict=True)])
+                seen += len(text)
+                if len(counts) > PARTIAL or seen > PARTIAL_BYTES:
+                    yield out()
+                    counts.clear()
+                    seen = 0
+        yield out()
         at = np.flatnonzero(total)
         for k in range(0, len(at), 200_000):
             part = at[k : k + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["pair", "n"])
+            yield rows(part, [None] * len(part), [None] * len(part), total[part])
 
-    got = texts.mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
-    out = np.zeros(size * size, np.float32)
-    out[np.asarray(got.column("pair"))] = np.asarray(got.column("n"))
-    return out.reshape(size, size)
+    found = materialise(texts.mapInArrow(run, "pair bigint, token binary, g int, n bigint"), "lm-pairs")
+    got = found.filter("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most ``size`` rows
+    pairs = np.zeros(size, np.float32)
+    pairs[np.asarray(got.column("pair"))] = np.asarray(got.column("n"))
+    by_cluster = [F.sum(F.when(F.col("g") == g, F.col("n")).otherwise(0)) for g in range(groups)]
+    rest = found.filter("token is not null").groupBy("token").agg(F.array(*by_cluster).alias("n"))
+    return pairs.reshape(classes + groups, width), rest
+
+
+def train(texts: DataFrame, classes: int = CLASSES, known: int = KNOWN, clusters: int = CLUSTERS) -> LanguageModel:
+    """A model of all rows of (id, text)."""
+    counts = materialise(token_totals(texts), "token-counts")
+    N, V = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    level = F.floor(F.log2(F.col("c").cast("double")) * 16)  # tokens by size of count: no order over all of them
+    tops, least = 0, None
+    for r in counts.filter(F.col("token") != END).groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundreds of rows
+        if tops + r["count"] > known - 1:
+            break
+        tops, least = tops + r["count"], r.level
+    top = counts.filter((F.col("token") != END) & (level >= least if least is not None else F.lit(False))).toArrow()
+    order = sorted(zip((-c for c in top.column("c").to_pylist()), top.column("token").to_pylist(), strict=True))
+    ends = counts.filter(F.col("token") == END).first()
+    words, c = [END, *(t for _, t in order)], np.array([ends.c if ends else 0, *(-n for n, _ in order)], np.float64)
+    classes = min(classes, len(words))
+    plain, _ = pair_counts(texts, words, classes, np.zeros(classes, np.int64), 1)
+    first = LogBilinear.fit(plain)
+    cluster = clusters_of(first.contexts[:classes].astype(np.float64), plain[:classes].sum(1) + 1e-3, clusters)
+    groups = int(cluster.max()) + 1
+    pairs, rest = pair_counts(texts, words, classes, cluster, groups)
+    model = LogBilinear.fit(pairs)
+    share = pairs[:classes].sum(1) + 1e-3
+    centre = np.stack([np.average(model.contexts[:classes][cluster == g], axis=0, weights=share[cluster == g]) for g in range(groups)]).astype(np.float64)
+    centre -= centre.mean(0)
+    u, size, _ = np.linalg.svd(centre, full_matrices=False)
+    directions = (u * size)[:, :NARROW] / max(float(size[0]), 1e-9) * groups**0.5
+    totals = np.bincount(np.concatenate([cluster, np.arange(groups)]), pairs[:, classes], groups)
+    rest_n = float(N - c[:classes].sum())
+    rest_v = max(V - int((c[:classes] > 0).sum()), 0)
+    places = rest_n + rest_v + 1
+
+    def fit(batches):
+        for batch in batches:
+            n = np.asarray(batch.column(1).flatten()).astype(np.float64).reshape(-1, groups)
+            mine = n.sum(1)
+            s = fit_tokens(n, totals, (mine + 1) / places, directions)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mine.astype(np.int64)), pa.array(list(s), pa.list_(pa.float64()))], names=["token", "c", "fit"])
+
+    fitted = materialise(rest.mapInArrow(fit, "token binary, c bigint, fit array<double>"), "lm-tokens")
+    sums = fitted.agg(*(F.coalesce(F.sum(F.exp(F.col("fit")[g])), F.lit(0.0)) for g in range(groups))).first()
+    norm = np.log(np.array(sums) + 1 / places)
+    steady = F.zip_with("fit", F.array(*(F.lit(float(z)) for z in norm)), lambda s, z: (s - z) / F.lit(float(np.log(10))))
+    return LanguageModel(words, c, classes, int(N), int(V), model.table, cluster, fitted.select("token", "c", steady.alias("fit")), (-np.log(places) - norm) / np.log(10))
 
 
 def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, classes: int = CLASSES, known: int = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,58 +280,60 @@ def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, classes: int =
       tokens and one unseen token.
     * Documents outside the held-out fold are the training set; all of them are counted. Without
       any, N is 0, nothing is known, and scores are those of the untrained model.
-    * Rows are scored one by one, those that repeat an id as well; a null id is left out. An empty table gives an empty result; other columns are ignored.
+    * Rows are scored one by one, those that repeat an id or have none as well; ids of any type. An
+      empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (fold(F.col(id_col), folds) == held_out).alias("held_out")).filter("id is not null")
-    training = texts.filter("not held_out").select("id", "text")
-    counts = materialise(token_totals(training), "token-counts")
-    N, V = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.filter(F.col("token") != END).orderBy(F.desc("c"), "token").limit(known - 1).toArrow()
-    ends = counts.filter(F.col("token") == END).first()
-    words = [END, *top.column("token").to_pylist()]
-    c = np.array([ends.c if ends else 0, *top.column("c").to_pylist()], np.float64)
-    classes = min(classes, len(words))
-    model = LogBilinear.fit(bigram_counts(training, words, classes))
-    rest_n, rest_v = N - c[:classes].sum(), max(V - int((c[:classes] > 0).sum()), 0)
-    base = np.log10((c + 1) / (N + V + 1))
-    within = np.where(np.arange(len(c)) < classes, 0.0, np.log10((c + 1) / (rest_n + rest_v + 1)))
-    shared = spark.sparkContext.broadcast((words, base, within, c > 0, model.table))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (fold(F.col(id_col), folds) == held_out).alias("held_out"))
+    model = train(texts.filter("not held_out").select("id", "text"), classes, known)
+    classes, places, unseen = model.classes, model.total + model.distinct + 1, model.unseen
+    within = np.zeros((len(model.words), len(unseen)), np.float32)
+    at = {w: i for i, w in enumerate(model.words)}
+    least = int(model.counts[classes:].min()) if len(model.words) > classes else None
+    if least is not None:
+        some = model.rest.filter(F.col("c") >= least).toArrow()  # the known ones, at most ``known`` rows
+        where = np.array([at.get(t, -1) for t in some.column("token").to_pylist()])
+        values = np.asarray(some.column("fit").combine_chunks().flatten()).reshape(len(where), -1)
+        within[where[where >= 0]] = values[where >= 0]
+    shared = spark.sparkContext.broadcast((model.words, np.log10((model.counts + 1) / places), within, model.counts > 0, model.table, model.cluster))
 
     def score(batches):
-        words, base, within, seen, table = shared.value
-        ids = _class_ids(words, len(words))
+        words, base, within, seen, table, cluster = shared.value
+        ids = _Ids((w, i) for i, w in enumerate(words))
         for batch in batches:
-            n, k, b, s, rare, times = [], [], [], [], [], []
+            n, k, b, s, rare = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 w = tokens(text)
                 i = np.zeros(len(w) + 1, np.int64)
                 i[:-1] = np.fromiter(map(ids.__getitem__, w), np.int64, len(w))
-                missing = np.flatnonzero(i < 0)
-                extra = Counter([w[j] for j in missing.tolist()])
-                known_ = i[i >= 0] if len(missing) else i
-                cls = np.minimum(np.where(i < 0, classes, i), classes)
+                cls = np.where((i < 0) | (i >= classes), classes, i)
+                context, g = contexts(cls, classes, cluster)
+                missing, known_ = np.flatnonzero(i < 0), np.flatnonzero(i >= classes)
+                extra = Counter(zip([w[j] for j in missing.tolist()], g[missing].tolist(), strict=True))
+                found = i[i >= 0] if len(missing) else i
                 n.append(len(i))
-                k.append(int(seen[known_].sum()))
-                b.append(float(base[known_].sum()))
-                s.append(float(within[known_].sum()) + float(table[np.concatenate([[0], cls[:-1]]), cls].astype(np.float64).sum()))
-                rare.append(list(extra))
-                times.append(list(extra.values()))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(v, t) for v, t in zip((n, k, b, s, rare, times), kinds, strict=True))], names=["id", "held_out", "n_tokens", "k", "b", "s", "rare", "times"])
-
-    scored = materialise(texts.mapInArrow(score, "id bigint, held_out boolean, n_tokens bigint, k bigint, b double, s double, rare array<binary>, times array<bigint>").withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    tail = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("z")).select("row", F.col("z.rare").alias("token"), F.col("z.times").alias("n"))
-    lost = F.coalesce(F.col("c"), F.lit(0))
+                k.append(int(seen[found].sum()))
+                b.append(float(base[found].sum()))
+                s.append(float(table[context, cls].astype(np.float64).sum()) + float(within[i[known_], g[known_]].astype(np.float64).sum()))
+                rare.append([{"token": t, "g": c, "n": m} for (t, c), m in extra.items()])
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("token", pa.binary()), ("g", pa.int32()), ("n", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(v, t) for v, t in zip((n, k, b, s, rare), kinds, strict=True))], names=["id", "held_out", "n_tokens", "k", "b", "s", "rare"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    scored = texts.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens bigint, k bigint, b double, s double, rare array<struct<token: binary, g: int, n: bigint>>")
+    scored = materialise(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    tail = scored.select("row", F.inline("rare"))
+    met = F.coalesce(F.col("c"), F.lit(0))
+    lost = F.element_at(F.array(*(F.lit(float(x)) for x in unseen)), F.col("g") + 1)
     tail = (
-        tail.join(counts, "token", "left")
+        tail.join(model.rest, "token", "left")
         .groupBy("row")
         .agg(
-            F.sum(F.when(lost > 0, F.col("n")).otherwise(0)).alias("k2"),
-            F.sum(F.col("n") * F.log10((lost + 1) / F.lit(float(N + V + 1)))).alias("b2"),
-            F.sum(F.col("n") * F.log10((lost + 1) / F.lit(float(rest_n + rest_v + 1)))).alias("s2"),
+            F.sum(F.when(met > 0, F.col("n")).otherwise(0)).alias("k2"),
+            F.sum(F.col("n") * F.log10((met + 1) / F.lit(float(places)))).alias("b2"),
+            F.sum(F.col("n") * F.coalesce(F.element_at("fit", F.col("g") + 1), lost)).alias("s2"),
         )
     )
-    whole = scored.drop("rare", "times").join(tail, "row", "left")
+    whole = scored.drop("rare").join(tail, "row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return whole.select(F.col("id").alias(id_col), "held_out", "n_tokens", plus("k", "k2").cast("bigint").alias("n_known"), F.lit(int(N)).cast("bigint").alias("train_tokens"), plus("b", "b2").alias("base_score"), plus("s", "s2").alias("score"))
+    return whole.select(F.col("id").alias(id_col), "held_out", "n_tokens", plus("k", "k2").cast("bigint").alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"), plus("b", "b2").alias("base_score"), plus("s", "s2").alias("score"))
