@@ -205,7 +205,7 @@ def pair_counts(texts: DataFrame, known: list[bytes], classes: int, cluster: np.
                 i = _class_numbers(w, ids, classes)
                 context, g = contexts(i, classes, cluster)
                 np.add.at(total, context * width + i, 1)
-                rest = np.flatnonzero(i == classes)
+                rest = np.flatnonzero(i == classes) if groups > 1 else i[:0]  # one group: nothing to tell apart
                 counts.update([w[j] + mark[k] for j, k in zip(rest.tolist(), g[rest].tolist(), strict=True)])
                 seen += len(text)
                 if len(counts) > PARTIAL or seen > PARTIAL_BYTES:
