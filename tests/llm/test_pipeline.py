@@ -54,3 +54,22 @@ def test_null_and_reused_ids_lose_no_document(spark):
     near = drop_near_copies(kept)
     assert pairs(near) == sorted(set(once) - {(None, text(4) + " more")}, key=str) and near.columns == docs.columns
     assert set(pairs(mixed_documents(near))) == set(pairs(near))
+
+
+def test_stages_on_odd_rows(spark):
+    """Empty tables, null texts, repeated rows and clashing extra columns in every stage that keeps documents."""
+    from wirelake.llm.exact_dedup import drop_copies
+    from wirelake.llm.mixing import mixed_documents
+    from wirelake.llm.ngram_join import drop_near_copies
+    from wirelake.llm.quality import keep_good
+
+    text = " ".join(f"word{i}" for i in range(50))
+    rows = [(1, text, "a", {"k": "v"}, 7), (1, text, "a", {"k": "v"}, 7), (2, None, None, None, 1), (2, "", "b", None, 1), (3, "x " * 30_000, "a", None, 2), (4, text + " end", "b", None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, __key map<string,string>, copies int")
+    labels = spark.createDataFrame([(1, 1), (3, 0), (4, 1)], "doc_id bigint, quality int")
+    for stage in (lambda d: keep_good(d, labels), drop_copies, drop_near_copies, mixed_documents):
+        out = stage(docs)
+        assert out.columns == docs.columns and 0 < out.count() <= 2 * len(rows)
+        assert stage(docs.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in drop_copies(docs).collect()) == [1, 2, 3, 4]
+    assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == [1, 2, 3]

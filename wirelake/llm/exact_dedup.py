@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .frames import unused
+from .frames import first_rows, unused
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -71,11 +71,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts that share an id, null or not, all stay. Of rows that repeat id and text, the one that
     sorts first by its columns stays.
     """
-    name, sha, first = (unused(docs, n) for n in ("__keep", "__sha", "__first"))
+    name, sha = (unused(docs, n) for n in ("__keep", "__sha"))
     keep = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(name), F.col("text_sha256").alias(f"{sha}2")).distinct()
     rows = docs.withColumn(sha, F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
     rows = rows.join(keep, F.col(id_col).eqNullSafe(F.col(name)) & (F.col(sha) == F.col(f"{sha}2")), "left_semi")
-    whole = F.struct(*docs.columns)
-    sortable = F.struct(*(f.name for f in docs.schema if "map<" not in f.dataType.simpleString()))
-    first_row = F.min(whole) if "map<" not in docs.schema.simpleString() else F.min_by(whole, sortable)
-    return rows.groupBy(id_col, sha).agg(first_row.alias(first)).select(*(F.col(f"{first}.{c}").alias(c) for c in docs.columns))
+    return first_rows(rows, [id_col, sha], docs.columns)

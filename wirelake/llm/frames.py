@@ -16,6 +16,15 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def first_rows(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``columns`` of the row that sorts first by them among those that agree on ``keys``."""
+    first, chosen = unused(rows, "__first"), rows.select(*columns).schema
+    whole = F.struct(*columns)
+    sortable = [f.name for f in chosen if "map<" not in f.dataType.simpleString()]
+    pick = F.min(whole) if len(sortable) == len(columns) else F.min_by(whole, F.struct(*sortable))
+    return rows.groupBy(*keys).agg(pick.alias(first)).select(*(F.col(f"{first}.{c}").alias(c) for c in columns))
+
+
 def keyed(docs: DataFrame, key: str, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
     """``docs`` with a bigint column ``key`` that tells its documents, distinct (id, text), apart and
     orders them by id, null ids last, then by SHA-256; and whether it is just the id, as it is where

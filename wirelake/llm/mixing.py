@@ -122,9 +122,10 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_repe
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The documents of the mix, each as often as it is taken; documents that share an id, null or
-    not, are told apart by their texts."""
+    not, are told apart by their texts. Rows that repeat both are taken alike, as often as the one
+    that is taken most. An empty table gives an empty result; extra columns are kept."""
     mine, key, times, turn = (unused(docs, n) for n in ("__key", "__mixed", "__times", "__turn"))
     rows, _ = keyed(docs, mine, id_col, text_col)
-    plan = mix_sources(rows, id_col=mine, text_col=text_col, **params).filter("copies > 0").select(F.col(mine).alias(key), F.col("copies").alias(times)).dropDuplicates([key])
+    plan = mix_sources(rows, id_col=mine, text_col=text_col, **params).groupBy(F.col(mine).alias(key)).agg(F.max("copies").alias(times)).filter(F.col(times) > 0)
     out = rows.join(plan, F.col(mine).eqNullSafe(F.col(key)))
     return out.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .components import connected_components
-from .frames import keyed, unused
+from .frames import first_rows, keyed, unused
 
 WORDS, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.999, 256
 #: Members of one side of a block comparison at most, n-grams of one side, and blocks that even a
@@ -328,8 +328,9 @@ def ngram_join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY,
 
 def drop_near_copies(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, most_hashes: int = MOST_HASHES, block: int = BLOCK, grams: int = BLOCK_GRAMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the smallest id of each class, null ids after all others. Documents
-    that share an id, null or not, are told apart by their texts; rows that repeat both all stay
-    or all go, and null texts count as empty ones. An empty table gives an empty result."""
+    that share an id, null or not, are told apart by their texts; of rows that repeat both, the one
+    that sorts first by its columns stays. Null texts count as empty ones. An empty table gives an
+    empty result; extra columns are kept."""
     name, key = unused(docs, "__stay"), unused(docs, "__key")
     rows, plain = keyed(docs, key, id_col, text_col)
     if not plain:
@@ -337,4 +338,5 @@ def drop_near_copies(docs: DataFrame, n: int = WORDS, similarity: float = SIMILA
     texts = rows.select(F.col(key).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     _, classes = _linked(texts, plain, n, similarity, recall, most_hashes, block, grams)
     stay = classes.filter("rep = class_id").select(F.col("rep").alias(name))
-    return rows.join(stay, F.col(key) == F.col(name), "left_semi").drop(key)
+    kept = rows.join(stay, F.col(key) == F.col(name), "left_semi")
+    return kept.drop(key) if plain else first_rows(kept, [key], docs.columns)
