@@ -169,6 +169,28 @@ def test_dissection(spark, tmp_path):
     assert json.loads(messages.filter("not is_request").first().message)["answer"] == "1.2.3.4"
 
 
+def test_dissection_hides_secrets_and_tells_connections_apart(spark, tmp_path):
+    """Credentials never leave; a reused port and numbers that wrap lose no byte."""
+    c, s, head = "10.9.0.1", "10.9.0.2", struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+    t, top = 1_704_067_200_000_000, (1 << 32) - 10
+    ask = b"GET /gauge?id=4&Token=hush HTTP/1.1\r\nHost: h\r\nAuthorization: Basic hush\r\nX-Request-Id: r7\r\n\r\n"
+    answer = b"HTTP/1.1 200 OK\r\nContent-Length: 0\r\nSet-Cookie: k=hush\r\n\r\n"
+    data = head + segment(c, s, 6001, 8080, top - 1, 2, b"", t) + segment(c, s, 6001, 8080, top, 24, ask[:20], t + 10) + segment(c, s, 6001, 8080, 10, 24, ask[20:], t + 20) + segment(s, c, 8080, 6001, 5, 24, answer, t + 30)
+    data += segment(c, s, 6001, 8080, 900, 2, b"", t + 4_000_000) + segment(c, s, 6001, 8080, 901, 24, ask.replace(b"gauge", b"radar"), t + 4_000_010) + segment(s, c, 8080, 6001, 77, 24, answer, t + 4_000_020)
+    word = lambda *w: b"*%d\r\n" % len(w) + b"".join(b"$%d\r\n%s\r\n" % (len(x), x) for x in w)
+    data += segment(c, s, 50020, 6379, 1, 24, word(b"AUTH", b"bob", b"hush") + word(b"CONFIG", b"SET", b"requirepass", b"hush"), t + 50) + segment(s, c, 6379, 50020, 1, 24, b"+OK\r\n+OK\r\n", t + 60)
+    (tmp_path / "y.pcap").write_bytes(data)
+    packets = pcap.read_packets(spark, str(tmp_path / "y.pcap"))
+    rows = dissect.dissect_streams(packets).orderBy("seq").collect()
+    assert not any("hush" in str(r) for r in rows) and len(rows) == 4
+    assert [r.request.path for r in rows if r.protocol == "http"] == ["/gauge?id=4&Token=[REDACTED]", "/radar?id=4&Token=[REDACTED]"]
+    web = rows[0]
+    assert (web.traceId, web.request.http.query, web.request.headers["authorization"]) == ("r7", {"id": "4", "Token": "[REDACTED]"}, "[REDACTED]")
+    assert len({r.seq for r in rows}) == 4 and [r.timestamp for r in rows] == sorted(r.timestamp for r in rows)
+    assert {r.request.summary for r in rows if r.protocol == "redis"} == {"AUTH [REDACTED] [REDACTED]", "CONFIG SET requirepass [REDACTED]"}
+    assert "hush" in str(dissect.dissect_streams(packets, redact=False).collect())
+
+
 def test_export_reads_back(spark, tmp_path):
     side = "struct<ip: string, port: int>"
     rows = [("a", "http", ("10.0.0.1", 5000), ("10.0.0.2", 80), ("GET /",), ("200 OK",), datetime(2024, 1, 1, tzinfo=UTC), 12, 1), ("b", "dns", ("10.0.0.3", 5353), ("10.0.0.4", 53), ("q",), ("r",), datetime(2024, 1, 1, 0, 0, 1, tzinfo=UTC), 5, 2), ("c", "http", ("2001:db8::1", 1), ("2001:db8::2", 2), ("x",), ("y",), datetime(2024, 1, 1, tzinfo=UTC), 1, 3)]

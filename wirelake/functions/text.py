@@ -17,8 +17,8 @@ PORTS = {
 
 
 def collapsed(s: Column) -> Column:
-    """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    """Runs of ASCII white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(s, r"[\x09-\x0D\x20]+", " "))
 
 
 def human_bytes(n: Column) -> Column:

@@ -33,18 +33,21 @@ def without_repeats(packets: DataFrame, milliseconds: int = 5) -> DataFrame:
 
 
 def sessions(packets: DataFrame, idle_seconds: int = 20) -> DataFrame:
-    """(conn, started, ended, packets, bytes, by direction, flags, MSS, window, RTT): a session
-    ends after an idle gap or at the first FIN or RST; what follows that within the session is
-    not counted. RTT is from the first SYN to the first SYN+ACK."""
+    """(conn, started, ended, packets, bytes, by direction, flags, MSS, window, RTT): a session ends
+    after more than ``idle_seconds`` without a packet, or at the first FIN or RST; what follows that
+    is not counted, until a SYN opens the next session. RTT is from the first SYN to the first SYN+ACK."""
     order = Window.partitionBy("conn").orderBy("ts", "seq")
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order)) >= idle_seconds * 1_000_000
-    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = packets.withColumn("__new", F.coalesce(gap, F.lit(False)).cast("int"))
-    rows = rows.withColumn("session", F.sum("__new").over(run))
+    run, earlier = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
     bits = F.coalesce("flags", F.lit(0))
     closing = (bits.bitwiseAND(FIN | RST) != 0).cast("int")
-    earlier = Window.partitionBy("conn", "session").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__closed", F.coalesce(F.max(closing).over(earlier), F.lit(0))).filter("__closed = 0")
+    gap = F.coalesce(F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order)) > idle_seconds * 1_000_000, F.lit(False))
+    rows = packets.withColumn("__gap", gap).withColumn("__syn", bits.bitwiseAND(SYN | ACK) == SYN)
+    rows = rows.withColumn("__ends", F.coalesce(F.sum(closing).over(earlier), F.lit(0)))
+    known = F.coalesce(F.max(F.when(F.col("__gap") | F.col("__syn"), F.col("__ends"))).over(earlier), F.lit(0))  # ends before the last opening
+    rows = rows.withColumn("__known", known).withColumn("__new", (F.col("__gap") | (F.col("__syn") & (F.col("__ends") > F.col("__known")))).cast("int"))
+    rows = rows.withColumn("session", F.sum("__new").over(run))
+    before = Window.partitionBy("conn", "session").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__closed", F.coalesce(F.max(closing).over(before), F.lit(0))).filter("__closed = 0")
     client = from_client(F.col("sport"), F.col("dport"))
     us = F.unix_micros("ts")
     first = lambda want: F.min(F.when(bits.bitwiseAND(SYN | ACK) == want, us))

@@ -195,10 +195,16 @@ def parse(source: str):
 
 def java_pattern(pattern: str) -> str:
     """A pattern of linear-time syntax as Java reads it: '.' excludes the newline only, '$' means
-    the very end, named groups and POSIX classes are respelled."""
-    out, at = [], 0
+    the very end outside of classes, quotes, named groups and POSIX classes are respelled."""
+    out, at, inside = [], 0, None  # inside: where the open class began
     while at < len(pattern):
         c = pattern[at]
+        if inside is None and pattern.startswith("\\Q", at):
+            end = pattern.find("\\E", at)
+            end = len(pattern) if end < 0 else end
+            out += [f"\\{x}" if not x.isalnum() and x.isascii() and x.isprintable() and x != " " else x for x in pattern[at + 2 : end]]
+            at = end + 2
+            continue
         if c == "\\":
             out.append({"\\z": "\\z", "\\C": "[\\s\\S]"}.get(pattern[at : at + 2], pattern[at : at + 2]))
             at += 2
@@ -214,7 +220,15 @@ def java_pattern(pattern: str) -> str:
             out.append("\\" + (name.replace("p{", "P{") if m[1] else name))
             at += m.end()
             continue
-        out.append("\\z" if c == "$" and "(?m" not in pattern else c)
+        if inside is None and c == "[":
+            inside = at + pattern.startswith("[^", at) + 1
+        elif inside is not None and c == "]" and at > inside - 1 and at != inside:
+            inside = None
+        elif inside is not None and c in "[&" or (c == "]" and at == inside):
+            out.append("\\" + c)  # plain in a class
+            at += 1
+            continue
+        out.append("\\z" if c == "$" and inside is None and "(?m" not in pattern else c)
         at += 1
     return "(?d)" + "".join(out)
 
@@ -222,7 +236,7 @@ def java_pattern(pattern: str) -> str:
 def check_pattern(pattern: str) -> None:
     if len(pattern.encode("utf-8", "surrogatepass")) > MOST_PATTERN:
         raise FilterError("the pattern is too long")
-    bare = re.sub(r"\\\\", "", pattern)
+    bare = re.sub(r"\\Q.*?(\\E|$)", "", re.sub(r"\\\\", "", pattern), flags=re.S)
     if re.search(r"\(\?(?:[=!>]|<[=!]|\w*U)|\\[1-9]|\\k<|[*+?}]\+", re.sub(r"\\[^1-9kZ]", "", bare)):
         raise FilterError(f"invalid pattern {pattern!r}")
     plain = java_pattern(pattern)[4:].replace("(?<", "(?P<").replace("\\z", "\\Z")
@@ -254,10 +268,10 @@ _IPV4 = rf"^(?:::ffff:)?{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 def in_network(value: Column, network) -> Column:
     """Whether an address lies in a network, as arithmetic for IPv4; false for other text."""
     if network.version == 4:
-        octet = lambda k: F.regexp_extract(F.lower(value), _IPV4, k).cast("bigint")
+        octet = lambda k: F.regexp_extract(F.lower(value), _IPV4, k).try_cast("bigint")
         number = octet(1) * (1 << 24) + octet(2) * (1 << 16) + octet(3) * (1 << 8) + octet(4)
         free = 32 - network.prefixlen
-        return F.lower(value).rlike(_IPV4) & (F.shiftright(number, free) == F.lit(int(network.network_address) >> free))
+        return F.lower(value).rlike(_IPV4) & F.coalesce(F.shiftright(number, free) == F.lit(int(network.network_address) >> free), F.lit(False))
 
     from ..functions.addresses import in_network_v6
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from .functions import text as fn
 from .operators import compare, exporting, facets, flows, history, identity, pairing, stats
 from .operators.summary import graph, label, map_edges, map_nodes, summary, timeline
-from .plans import ifl
+from .plans import fields, ifl
 from .schema import text
 from .session import prepare, scratch_dir
+from .sources import varied
 from .sources.adapters import events_as_entries, events_stream, from_json_lines, read_table, sales_as_entries
 
 QUERIES: dict = {}
@@ -93,9 +94,9 @@ def filter_projected(spark, sf_dir):
     return events_as_entries(spark, sf_dir).select("id", ifl.flag("response.status >= 500 or dst.workload == click").alias("hit"))
 
 
-@query("SELECT url FROM pages WHERE FALSE")
+@query("SELECT event_id + 1 AS seq FROM events WHERE event_id % 2 = 0 AND event_id % 7 IN (2, 3)")
 def filter_cidr_v6(spark, sf_dir):
-    return read_table(spark, sf_dir, "pages").filter(ifl.in_network(F.col("url"), ifl.parse_network("2001:db8::/32"))).select("url")
+    return varied.varied_entries(spark, sf_dir).filter(ifl.where('src.ip == "2001:db8:2::/47"')).select("seq")
 
 
 # --- history -----------------------------------------------------------------------------------
@@ -376,22 +377,106 @@ def l4_attach(spark, sf_dir):
 
 
 _PACKETS = """p AS (SELECT user_id % 40 AS conn, ts, event_id AS seq, 40000 + user_id % 2 * 20000 AS sport, 50000 AS dport, CAST(floor(value) AS BIGINT) AS length,
- CAST(CASE event_type WHEN 'signup' THEN 17 WHEN 'view' THEN 24 ELSE 16 END AS INTEGER) AS flags FROM events)"""
+ CAST(CASE event_type WHEN 'signup' THEN 17 WHEN 'view' THEN 24 WHEN 'error' THEN 2 ELSE 16 END AS INTEGER) AS flags FROM events)"""
 
 
-@query(f"""WITH {_PACKETS}, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY conn ORDER BY ts, seq)) >= 14400000000 THEN 1 ELSE 0 END AS new FROM p),
- s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY conn ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g),
+@query(f"""WITH {_PACKETS}, g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 14400000000, FALSE) AS gap, flags & 18 = 2 AS syn,
+  coalesce(sum(CAST(flags & 5 <> 0 AS INTEGER)) OVER (PARTITION BY conn ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ends FROM p WINDOW w AS (PARTITION BY conn ORDER BY ts, seq)),
+ h AS (SELECT *, coalesce(max(CASE WHEN gap OR syn THEN ends END) OVER (PARTITION BY conn ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS known FROM g),
+ s AS (SELECT *, CAST(sum(CAST(gap OR (syn AND ends > known) AS INTEGER)) OVER (PARTITION BY conn ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM h),
  c AS (SELECT *, coalesce(max(flags & 5 <> 0) OVER (PARTITION BY conn, session ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS closed FROM s)
  SELECT conn, session, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) AS ended_us, count(*) AS packets, sum(length)::BIGINT AS bytes, coalesce(sum(length) FILTER (sport >= dport), 0)::BIGINT AS client_bytes, count(*) FILTER (sport < dport) AS server_packets
  FROM c WHERE NOT closed GROUP BY conn, session""")
 def flow_sessions(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
     packets = e.select((F.col("user_id") % 40).alias("conn"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("src"), (40000 + F.col("user_id") % 2 * 20000).alias("sport"), F.lit(50000).alias("dport"), F.floor("value").cast("bigint").alias("length"),
-                       F.expr("CASE event_type WHEN 'signup' THEN 17 WHEN 'view' THEN 24 ELSE 16 END").alias("flags"), F.lit(1460).alias("mss"), F.lit(65535).alias("window"))
+                       F.expr("CASE event_type WHEN 'signup' THEN 17 WHEN 'view' THEN 24 WHEN 'error' THEN 2 ELSE 16 END").alias("flags"), F.lit(1460).alias("mss"), F.lit(65535).alias("window"))
     out = flows.sessions(packets, 4 * 3600)
     return out.select("conn", "session", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "packets", "bytes", "client_bytes", "server_packets")
 
 
+# --- every field ---------------------------------------------------------------------------------
+
+#: Fields that are put together from several members: their value in SQL.
+_COMPOSED = {
+    "namespace": "CASE WHEN {src.namespace} <> '' THEN {src.namespace} ELSE {dst.namespace} END",
+    "summary": "{request.summary} || ' ' || {response.summary}",
+    "response.contenttype": "CASE WHEN {response.contentType} <> '' THEN {response.contentType} ELSE {request.contentType} END",
+    "dns.type": f"CASE WHEN n % {varied.ABSENT['request.dns']} = 0 THEN '' WHEN n % 2 = 0 THEN 'MX' ELSE 'TXT' END",
+    "amqp.method": "CASE WHEN n % 5 = 1 THEN {request.method} ELSE '' END",
+}
+
+
+def _sql_value(name: str) -> str:
+    """A field of ``varied_entries`` as text, empty where it is absent, in SQL over n and u."""
+    made = varied.values()
+    field = fields.catalogue()[name]
+
+    def shown(path):
+        parts = path.split(".")
+        there = [f"n % {varied.ABSENT[p]} <> 0" for p in (".".join(parts[:k]) for k in range(1, len(parts))) if p in varied.ABSENT]
+        value = f"CAST({made[path]} AS STRING)"
+        if path == "l4.rttMs":
+            value = f"regexp_replace({value}, '[.]0$', '')"
+        if path == "response.mysql.errorCode":  # no error has no text
+            value = f"CASE WHEN {made[path]} = 0 THEN '' ELSE {value} END"
+        return f"(CASE WHEN {' AND '.join(there)} THEN {value} ELSE '' END)" if there else f"({value})"
+
+    if field.path is None:
+        sql = _COMPOSED[name]
+        for path in made:
+            sql = sql.replace("{" + path + "}", shown(path))
+        return sql
+    return shown(field.path)
+
+
+_EVENTS = "FROM (SELECT event_id AS n, user_id AS u FROM events)"
+_NAMES = list(fields.catalogue())
+
+
+@query(f"SELECT n + 1 AS seq, {', '.join(f'{_sql_value(f)} AS {chr(34)}{f}{chr(34)}' for f in _NAMES)} {_EVENTS}")
+def field_values(spark, sf_dir):
+    """Every field of every entry, as text."""
+    df = varied.varied_entries(spark, sf_dir)
+    return df.select("seq", *[fields.find(f).text().alias(f) for f in _NAMES])
+
+
+def _tests(name: str) -> list[tuple[str, str]]:
+    """(operator, literal) pairs that a field is tested with."""
+    if fields.catalogue()[name].numeric:
+        return [(op, n) for op in ("==", "!=", "<", ">=") for n in ("0", "4", "1045", "500.5")]
+    return [("==", "http"), ("!=", "GET"), ("contains", "a"), ("startswith", "S"), ("matches", "^[a-z]+-1$"), ("in", "(job-2, true, MX, Basic)")]
+
+
+def _sql_test(name: str, op: str, literal: str) -> str:
+    """The same test in SQL. Numbers that an object lacks pass no order; equality is that of texts."""
+    v = _sql_value(name)
+    sides = [f"CAST({varied.values()[p]} AS STRING)" for p in ("src.namespace", "dst.namespace")] if name == "namespace" else [v]
+    any_of = lambda t: "(" + " OR ".join(t.format(f"lower({s})") for s in sides) + ")"
+    low = literal.lower()
+    if op in ("<", ">="):
+        return f"({v} <> '' AND TRY_CAST({v} AS DOUBLE) {op} {literal})"
+    if op == "matches":
+        return "(" + " OR ".join(f"regexp_matches({s}, '{literal}')" for s in sides) + ")"
+    if op == "in":
+        return any_of("{} IN (" + ", ".join(f"'{x.strip()}'" for x in low.strip("()").split(",")) + ")")
+    shape = {"==": "{} = '%s'", "!=": "{} = '%s'", "contains": "contains({}, '%s')", "startswith": "starts_with({}, '%s')"}[op] % low
+    return f"NOT {any_of(shape)}" if op == "!=" else any_of(shape)
+
+
+@query(" UNION ALL ".join(f"SELECT '{f} {op} {x}' AS test, count(*) FILTER ({_sql_test(f, op, x)}) AS matched {_EVENTS}" for f in _NAMES for op, x in _tests(f)))
+def field_tests(spark, sf_dir):
+    """How many entries pass each of some tests of every field, counted in one pass."""
+    tests = [(f, op, x) for f in _NAMES for op, x in _tests(f)]
+    row = varied.varied_entries(spark, sf_dir).agg(*[F.count_if(ifl.flag(f"{f} {op} {x if op == 'in' else chr(34) + x + chr(34)}")).alias(f"t{i}") for i, (f, op, x) in enumerate(tests)])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(f"{f} {op} {x}").alias("test"), F.col(f"t{i}").alias("matched")) for i, (f, op, x) in enumerate(tests)])).alias("r")).select("r.*")
+
+
+@query(f"SELECT n + 1 AS seq {_EVENTS} WHERE n % 6 = 4 OR u % 5 = 3")
+def filter_headers_both(spark, sf_dir):
+    return varied.varied_entries(spark, sf_dir).filter(ifl.where('response.header.Server == "EDGE-4" or request.header.x-tenant startswith tenant-3')).select("seq")
+
+
 # --- functions ---------------------------------------------------------------------------------
 
 
@@ -412,14 +497,16 @@ def trace_id(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select("event_id", fn.trace_id(headers).alias("trace"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', n_chars / 1024.0) END AS size FROM documents WHERE n_chars < 1048576")
+@query("SELECT doc_id, CASE WHEN m < 1024 THEN m || ' B' WHEN m < 1048576 THEN printf('%.1f KB', m / 1024.0) ELSE printf('%.1f MB', m / 1048576.0) END AS size FROM (SELECT doc_id, n_chars * 4096 // (1 + doc_id % 4096) AS m FROM documents)")
 def human_bytes(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").filter("n_chars < 1048576").select("doc_id", fn.human_bytes(F.col("n_chars")).alias("size"))
+    """Sizes from bytes to megabytes, made from lengths."""
+    size = F.expr("n_chars * 4096 div (1 + doc_id % 4096)")
+    return read_table(spark, sf_dir, "documents").select("doc_id", fn.human_bytes(size).alias("size"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, trim(regexp_replace(text, '[\\x09-\\x0D\\x20]+', ' ', 'g')) AS text FROM documents")
 def collapse_whitespace(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", fn.collapsed(F.col("text")).alias("text"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", fn.collapsed(F.col("text")).alias("text"))
 
 
 @query("SELECT conv_id, turn, text AS back, sha256(text) AS sha FROM conversations")

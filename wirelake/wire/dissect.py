@@ -1,8 +1,9 @@
 """From packets of TCP connections and DNS datagrams to entries.
 
-``packets`` as ``pcap.read_packets`` gives them. Connections are grouped by key; each group is
-reassembled, parsed by protocol and paired in order. What leaves a task is the JSON form of
-entries, so there is one reader of nested rows for every source.
+``packets`` as ``pcap.read_packets`` gives them. Connections are grouped by key and opening; each
+group is reassembled, parsed by protocol and paired in order. What leaves a task is the JSON form of
+entries, so there is one reader of nested rows for every source. Credentials are blotted out in the
+parsed members before anyone sees the entries.
 """
 
 from __future__ import annotations
@@ -10,24 +11,22 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as fn
 from ..operators.pairing import connection
 from ..sources.adapters import from_json_lines
 from . import amqp, dns, http, kafka, mongo, mysql, postgres, resp, sniff
 
-#: Bytes of one direction of a connection that are parsed.
-MOST_STREAM = 8 << 20
-
 
 def stream(packets: list[tuple[int, int, bytes]]) -> tuple[bytes, list[tuple[int, int]], bool]:
     """(bytes, [(offset, time)], lost): payloads of one direction in order of sequence numbers,
-    repeats dropped, up to the first gap."""
+    which may wrap, repeats dropped, up to the first gap."""
     out, marks, want, lost = bytearray(), [], None, False
-    for seq, at, data in sorted(packets, key=lambda p: (p[0], p[1])):
-        if not data:
-            continue
+    base = min(packets, key=lambda p: p[1])[0] if packets else 0
+    near = lambda seq: (seq - base + (1 << 31)) % (1 << 32) - (1 << 31)
+    for seq, at, data in sorted(((near(s), t, d) for s, t, d in packets if d), key=lambda p: p[:2]):
         want = seq if want is None else want
         if seq > want:
             lost = True
@@ -37,8 +36,6 @@ def stream(packets: list[tuple[int, int, bytes]]) -> tuple[bytes, list[tuple[int
             marks.append((len(out), at))
             out += fresh
             want += len(fresh)
-        if len(out) > MOST_STREAM:
-            break
     return bytes(out), marks, lost
 
 
@@ -131,8 +128,45 @@ def exchanges(kind: str, client: bytes, server: bytes) -> list[tuple[dict, dict
     return []
 
 
-def dissect_streams(packets: DataFrame) -> DataFrame:
-    """Entries of TCP connections. The client is the side that opened it, else the higher port."""
+def redacted(entries: DataFrame) -> DataFrame:
+    """``entries`` without the values of secret URL parameters and headers, of credentials in commands
+    of key-value stores, and of bound parameters; summaries are made again from what is left."""
+    request, response = F.col("request"), F.col("response")
+    args = fn.redacted_command(request["command"], request["redis"]["args"])
+    summary = F.when(args.isNotNull(), F.left(F.concat_ws(" ", request["command"], args), F.lit(256))).when(request["method"].isNotNull(), fn.redacted_url(request["summary"])).otherwise(request["summary"])
+    shown = (
+        request.withField("summary", summary)
+        .withField("path", fn.redacted_url(request["path"]))
+        .withField("headers", fn.redacted_headers(request["headers"]))
+        .withField("redis", F.when(request["redis"].isNotNull(), request["redis"].withField("args", args)))
+        .withField("postgres", F.when(request["postgres"].isNotNull(), request["postgres"].withField("params", fn.redacted_parameters(request["postgres"]["params"]))))
+    )
+    return entries.withColumn("request", shown).withColumn("response", response.withField("headers", fn.redacted_headers(response["headers"])))
+
+
+def completed(entries: DataFrame) -> DataFrame:
+    """``entries`` with trace ids, URL parameters and, in order of time, numbers: growing, not dense."""
+    request = F.col("request")
+    http = F.when(request["http"].isNotNull(), request["http"].withField("query", fn.query_map(request["path"])))
+    full = entries.withColumn("traceId", fn.trace_id(F.coalesce(request["headers"], F.create_map().cast("map<string,string>")))).withColumn("request", request.withField("http", http))
+    return full.orderBy("timestamp", "id").withColumn("seq", F.monotonically_increasing_id() + 1)
+
+
+def openings(packets: DataFrame) -> DataFrame:
+    """``packets`` with ``opening``: how many connections had begun on the same ports by then. A SYN
+    begins one unless it repeats the number of the SYN before."""
+    order = Window.partitionBy("conn").orderBy("ts_us", "seq")
+    so_far, before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
+    syn = F.col("flags").bitwiseAND(18) == 2
+    last = F.last(F.when(syn, F.col("seq")), ignorenulls=True).over(before)
+    new = F.when(syn & ~last.eqNullSafe(F.col("seq")), 1).otherwise(0)
+    return packets.withColumn("__new", new).withColumn("opening", F.sum("__new").over(so_far)).drop("__new")
+
+
+def dissect_streams(packets: DataFrame, redact: bool = True) -> DataFrame:
+    """Entries of TCP connections. The client is the side that opened it, else the higher port. Requests
+    without a response give no entry. A message has the time of the packet of its rank, which is its
+    own where each message has one packet. ``redact``: see ``redacted``."""
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         opened = rows[(rows["flags"] & 18) == 2]
@@ -156,7 +190,7 @@ def dissect_streams(packets: DataFrame) -> DataFrame:
             out.append(
                 json.dumps(
                     {
-                        "id": f"{key[0]}#{k}", "protocol": spoken, "timestamp": pd.Timestamp(start, unit="us", tz="UTC").isoformat(), "elapsedMs": max(stop - start, 0) // 1000, "status": status, "statusCode": code,
+                        "id": f"{key[0]}#{key[1]}.{k}", "protocol": spoken, "timestamp": pd.Timestamp(start, unit="us", tz="UTC").isoformat(), "elapsedMs": max(stop - start, 0) // 1000, "status": status, "statusCode": code,
                         "src": {"ip": first["src"], "port": int(first["sport"])}, "dst": {"ip": first["dst"], "port": int(first["dport"])}, "request": request, "response": response,
                     }
                 )
@@ -165,7 +199,8 @@ def dissect_streams(packets: DataFrame) -> DataFrame:
 
     keyed = packets.filter("proto = 'tcp'").withColumn("conn", connection(F.col("src"), F.col("sport"), F.col("dst"), F.col("dport")))
     columns = ["conn", "ts_us", "src", "dst", "sport", "dport", "flags", "seq", "payload"]
-    return from_json_lines(keyed.select(*columns).groupBy("conn").applyInPandas(run, "value string"))
+    entries = completed(from_json_lines(openings(keyed.select(*columns)).groupBy("conn", "opening").applyInPandas(run, "value string")))
+    return redacted(entries) if redact else entries
 
 
 def dns_messages(packets: DataFrame) -> DataFrame:
