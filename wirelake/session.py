@@ -17,7 +17,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, wherever the driver was started, and bound the Arrow
     batches they hold, unless the session has set a size of its own."""
     if spark.conf.get(_BATCH, None) == "67108864b":  # Spark's default
-        spark.conf.set(_BATCH, "16m")
+        spark.conf.set(_BATCH, "4m")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
