@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .arrays import tidy
 
 #: Vectors that the centroids may be fitted on, about, vectors of a list while the sample allows as
 #: many lists, and sample vectors that a centroid needs.
@@ -252,18 +253,18 @@ def nearest_neighbours(vectors: DataFrame, queries=None, k: int = 10, sample: in
     graph = CentroidGraph(balanced_centroids(x, -(-len(x) // lists)))
     graph.tune(x, k, recall)
     kind = rows.schema["v"].dataType.simpleString()
-    routed = materialise(rows.mapInArrow(_routes(graph.borders), f"id bigint, v {kind}, lists array<bigint>"), "posts")
+    routed = materialise(rows.mapInArrow(tidy(_routes(graph.borders)), f"id bigint, v {kind}, lists array<bigint>"), "posts")
     posts = routed.select("id", "v", F.explode("lists").alias("list"))
     sizes = np.zeros(len(graph.c), np.int64)
     for r in posts.groupBy("list").count().collect():  # a row per list
         sizes[r.list] = r["count"]
     wanted = (F.col("id") % 100 == 0) if queries is None else queries
-    asks = rows.filter(wanted).mapInArrow(_routes(lambda q: graph.lists(q, sizes, k)), f"id bigint, v {kind}, lists array<bigint>").select("id", "v", F.explode("lists").alias("list"))
+    asks = rows.filter(wanted).mapInArrow(tidy(_routes(lambda q: graph.lists(q, sizes, k))), f"id bigint, v {kind}, lists array<bigint>").select("id", "v", F.explode("lists").alias("list"))
     chunks = F.broadcast(spark.createDataFrame([(i, int(-(-n // CHUNK))) for i, n in enumerate(sizes.tolist()) if n], "list bigint, chunks int"))
     posts = posts.join(chunks, "list").select("list", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("kind"), "id", "v")
     asks = asks.join(chunks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("kind"), "id", "v")
     work = posts.unionByName(asks).repartition("list", "chunk").sortWithinPartitions("list", "chunk", "kind")
-    found = work.mapInArrow(_scan(k), "query_id bigint, vec_id bigint, score double")
+    found = work.mapInArrow(tidy(_scan(k)), "query_id bigint, vec_id bigint, score double")
     found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # replicas, repeated ids
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

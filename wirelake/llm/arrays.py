@@ -2,7 +2,28 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
+
+
+def tidy(run, forget=None):
+    """``run``, a function for mapInArrow, that gives its memory back when its task ends: workers live
+    on for later tasks. ``forget`` is called before that."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            if forget:
+                forget()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return tidied
 
 
 class IntMap:

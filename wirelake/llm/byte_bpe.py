@@ -20,14 +20,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import IntMap
+from .arrays import IntMap, tidy
 
 #: Fixed value: the pre-tokenizer pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = np.int32(2**31 - 1)
 #: Pre-tokens longer than this are matched one at a time: they would hold up the batch.
 LONG = 512
-CACHE = 300_000
+#: Bytes, about, of the words that a worker remembers, and what an entry takes besides its word.
+CACHE, ENTRY = 64 << 20, 320
 
 
 def byte_letters() -> list[str]:
@@ -72,6 +73,7 @@ class ByteBpe:
         self._build_trie(vocab.values())
         self._own()
         self.find = regex.compile(PATTERN).findall
+        self.held = 0
         self.words: dict[str, str] = {}
         self.plain: dict[str, bytes] = {}
 
@@ -262,10 +264,12 @@ class ByteBpe:
 
     def _learn(self, pieces: list[list[str]]) -> None:
         new = set().union(*pieces).difference(self.words)
-        if len(self.words) + len(new) > CACHE:
-            self.words.clear()
-            self.plain.clear()
+        size = lambda some: sum(map(len, some)) * 4 + ENTRY * len(some)
+        self.held += size(new)
+        if self.held > CACHE:
+            self.forget()
             new = set().union(*pieces)
+            self.held = size(new)
         if not new:
             return
         new = list(new)
@@ -297,6 +301,12 @@ class ByteBpe:
         joined = self.encode_joined([text])[0][0]
         return [int(i) for i in joined.split(",")] if joined else []
 
+    def forget(self) -> None:
+        """Drop the words remembered."""
+        self.words.clear()
+        self.plain.clear()
+        self.held = 0
+
     def encode_joined(self, texts: list[str]) -> list[tuple[str, bytes]]:
         """For each text its ids, joined by commas, and the bytes they decode to."""
         pieces = [self._pieces(t) for t in texts]
@@ -347,7 +357,7 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(run, lambda: load(path).forget()), f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -365,4 +375,4 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> Data
                 ids += [np.array(j.split(",") if j else [], np.int32) for j, _ in bpe.encode_joined(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "token_ids"])
 
-    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField("token_ids", ArrayType(IntegerType()))]))
+    return rest.mapInArrow(tidy(run, lambda: load(path).forget()), StructType([*rest.schema.fields, StructField("token_ids", ArrayType(IntegerType()))]))

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .arrays import tidy
 from .labelled import fold
 
 #: Size of the model: tokens with a class of their own, clusters of them, dimensions of their vectors
@@ -178,7 +179,7 @@ def token_totals(texts: DataFrame) -> DataFrame:
             counts[END] += batch.num_rows
         yield out()
 
-    return texts.mapInArrow(run, "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c")).filter("c > 0")
+    return texts.mapInArrow(tidy(run), "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c")).filter("c > 0")
 
 
 def pair_counts(texts: DataFrame, known: list[bytes], classes: int, cluster: np.ndarray, groups: int) -> tuple[np.ndarray, DataFrame]:
@@ -218,7 +219,7 @@ def pair_counts(texts: DataFrame, known: list[bytes], classes: int, cluster: np.
             part = at[k : k + 200_000]
             yield rows(part, [None] * len(part), [None] * len(part), total[part])
 
-    found = materialise(texts.mapInArrow(run, "pair bigint, token binary, g int, n bigint"), "lm-pairs")
+    found = materialise(texts.mapInArrow(tidy(run), "pair bigint, token binary, g int, n bigint"), "lm-pairs")
     got = found.filter("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most ``size`` rows
     pairs = np.zeros(size, np.float32)
     pairs[np.asarray(got.column("pair"))] = np.asarray(got.column("n"))
@@ -265,7 +266,7 @@ def train(texts: DataFrame, classes: int = CLASSES, known: int = KNOWN, clusters
             s = fit_tokens(n, totals, (mine + 1) / places, directions)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mine.astype(np.int64)), pa.array(list(s), pa.list_(pa.float64()))], names=["token", "c", "fit"])
 
-    fitted = materialise(rest.mapInArrow(fit, "token binary, c bigint, fit array<double>"), "lm-tokens")
+    fitted = materialise(rest.mapInArrow(tidy(fit), "token binary, c bigint, fit array<double>"), "lm-tokens")
     sums = fitted.agg(*(F.coalesce(F.sum(F.exp(F.col("fit")[g])), F.lit(0.0)) for g in range(groups))).first()
     norm = np.log(np.array(sums) + 1 / places)
     steady = F.zip_with("fit", F.array(*(F.lit(float(z)) for z in norm)), lambda s, z: (s - z) / F.lit(float(np.log(10))))
@@ -320,7 +321,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, classes: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(v, t) for v, t in zip((n, k, b, s, rare), kinds, strict=True))], names=["id", "held_out", "n_tokens", "k", "b", "s", "rare"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    scored = texts.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens bigint, k bigint, b double, s double, rare array<struct<token: binary, g: int, n: bigint>>")
+    scored = texts.mapInArrow(tidy(score), f"id {kind}, held_out boolean, n_tokens bigint, k bigint, b double, s double, rare array<struct<token: binary, g: int, n: bigint>>")
     scored = materialise(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     tail = scored.select("row", F.inline("rare"))
     met = F.coalesce(F.col("c"), F.lit(0))

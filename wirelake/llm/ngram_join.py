@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .arrays import tidy
 from .components import connected_components
 from .frames import first_rows, keyed, unused
 
@@ -262,7 +263,7 @@ def _linked(texts: DataFrame, unique: bool, n: int, similarity: float, recall: f
             kinds = (pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip((digest, signature, sketch, size), kinds, strict=True))], names=["id", "digest", "bands", "sketch", "size"])
 
-    signed = materialise(texts.mapInArrow(sign, "id bigint, digest binary, bands array<bigint>, sketch binary, size bigint"), "signatures")
+    signed = materialise(texts.mapInArrow(tidy(sign), "id bigint, digest binary, bands array<bigint>, sketch binary, size bigint"), "signatures")
     copies = signed.groupBy("digest").agg(F.min(F.struct("id", "bands", "sketch", "size")).alias("first"), F.count("*").alias("copies"))
     copies = materialise(copies.select("digest", "copies", "first.*"), "classes")
 
@@ -272,7 +273,7 @@ def _linked(texts: DataFrame, unique: bool, n: int, similarity: float, recall: f
     buckets = alike.select("one.band", "one.hash", "n")
     inside = materialise(hung.join(buckets, ["band", "hash"]).select(F.xxhash64("band", "hash").alias("bucket"), "id", "n"), "buckets")
     sketched = inside.join(copies.select("id", "sketch"), "id")
-    near = _in_blocks(sketched, "bucket", F.ceil(F.col("n") / block)).select("bucket", "bi", "bj", "id", "sketch").mapInArrow(_tie(far), "a bigint, b bigint")
+    near = _in_blocks(sketched, "bucket", F.ceil(F.col("n") / block)).select("bucket", "bi", "bj", "id", "sketch").mapInArrow(tidy(_tie(far)), "a bigint, b bigint")
     members = materialise(connected_components(near), "members")
     members = members.join(copies.select("id", "copies", "size"), "id")
     sizes = members.groupBy("component").agg(F.count("*").alias("members"), F.sum("size").alias("grams"))
@@ -287,10 +288,10 @@ def _linked(texts: DataFrame, unique: bool, n: int, similarity: float, recall: f
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(sets, pa.list_(pa.int64()))], names=["id", "comp", "members", "total", "copies", "grams"])
 
     found = (texts if unique else texts.dropDuplicates(["id"])).join(members, "id").select("id", "text", "comp", "members", F.col("grams").alias("total"), "copies")
-    sets = found.mapInArrow(to_sets, "id bigint, comp bigint, members bigint, total bigint, copies bigint, grams array<bigint>")
+    sets = found.mapInArrow(tidy(to_sets), "id bigint, comp bigint, members bigint, total bigint, copies bigint, grams array<bigint>")
     least = F.least(F.lit(SPREAD), F.ceil(F.col("members") * 4 / block))
     sets = _in_blocks(sets, "comp", F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("total") / grams), least))
-    compared = materialise(sets.select("comp", "bi", "bj", "side", "id", "copies", "grams").mapInArrow(_compare(similarity), "id bigint, links bigint, root bigint"), "compared")
+    compared = materialise(sets.select("comp", "bi", "bj", "side", "id", "copies", "grams").mapInArrow(tidy(_compare(similarity)), "id bigint, links bigint, root bigint"), "compared")
     linked = compared.groupBy("id").agg(F.sum("links").alias("links"))
     joined = connected_components(compared.select(F.col("id").alias("a"), F.col("root").alias("b")))
     classes = copies.select("digest", "id", "copies").join(linked, "id", "left").join(joined, "id", "left")

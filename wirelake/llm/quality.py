@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import tidy
 from .labelled import fold, training_rows
 
 #: Labelled rows that the forest may learn from.
@@ -152,7 +153,7 @@ def features(rows: DataFrame, text_at: int) -> DataFrame:
             x = [statistics(t or "") for t in batch.column(text_at).to_pylist()]
             yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != text_at] + [pa.array(x, pa.list_(pa.float64()))], names=[f.name for f in kept] + ["x"])
 
-    return rows.mapInArrow(run, StructType([*kept, StructField("x", ArrayType(DoubleType()))]))
+    return rows.mapInArrow(tidy(run), StructType([*kept, StructField("x", ArrayType(DoubleType()))]))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held_out: int = 0, most: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Forest:
@@ -176,11 +177,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
     def run(batches):
         for batch in batches:
             x = np.array([statistics(t or "") for t in batch.column(2).to_pylist()], np.float64).reshape(-1, len(NAMES))
-            s = np.concatenate([forest.score(x[i : i + 2048]) for i in range(0, len(x), 2048)]) if len(x) else np.zeros(0)
+            s = np.concatenate([forest.score(x[i : i + 1024]) for i in range(0, len(x), 1024)]) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).alias(id_col), (fold(F.col(id_col), folds) == held_out).alias("held_out"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
@@ -192,6 +193,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         for batch in batches:
             x = np.array([statistics(t or "") for t in batch.column(where).to_pylist()], np.float64).reshape(-1, len(NAMES))
             if len(x):
-                yield batch.filter(pa.array(forest.score(x) >= threshold))
+                yield batch.filter(pa.array(np.concatenate([forest.score(x[i : i + 1024]) for i in range(0, len(x), 1024)]) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

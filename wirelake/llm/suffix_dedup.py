@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .arrays import ranges
+from .arrays import ranges, tidy
 from .frames import keyed
 from .rindex import RunLengthIndex
 
@@ -347,18 +347,18 @@ def repeated_spans(texts: DataFrame, depth: int = DEPTH, group: int = GROUP, oft
     rounds: list[DataFrame] = []
     for level in range(len(anchors)):
         source = long if not level else fetch(rounds[-1].filter(F.col("kind") == ANEW), "at", "size")
-        rows = source.mapInArrow(_cut(depth, anchors, level, often), _COLUMNS)
+        rows = source.mapInArrow(tidy(_cut(depth, anchors, level, often)), _COLUMNS)
         if level:
             rows = rows.unionByName(rounds[-1].filter(F.col("kind") >= level))
-        met = rows.repartition("h").sortWithinPartitions("h", "s", "id", "at").mapInArrow(_meet(level, level + 1 == len(anchors), group), _COLUMNS)
+        met = rows.repartition("h").sortWithinPartitions("h", "s", "id", "at").mapInArrow(tidy(_meet(level, level + 1 == len(anchors), group)), _COLUMNS)
         rounds.append(materialise(met, "segments"))
         if rounds[-1].filter((F.col("kind") == ANEW) | (F.col("kind") > level)).isEmpty():
             break
     every = rounds[0]
     for r in rounds[1:]:
         every = every.unionByName(r)
-    picked = fetch(every.filter(F.col("kind") == ASK), "h", "at", "size").mapInArrow(_pick, "h bigint, id bigint, at bigint, seg binary")
-    unlike = picked.repartition("h").sortWithinPartitions("h", "id", "at").mapInArrow(_mark(depth), "id bigint, at bigint, size int")
+    picked = fetch(every.filter(F.col("kind") == ASK), "h", "at", "size").mapInArrow(tidy(_pick), "h bigint, id bigint, at bigint, seg binary")
+    unlike = picked.repartition("h").sortWithinPartitions("h", "id", "at").mapInArrow(tidy(_mark(depth)), "id bigint, at bigint, size int")
     return every.filter(F.col("kind") == SPAN).select("id", "at", "size").unionByName(unlike)
 
 
@@ -381,7 +381,7 @@ def suffix_dedup(docs: DataFrame, depth: int = DEPTH, group: int = GROUP, often:
         texts = texts.dropDuplicates(["id"])
     marks = repeated_spans(texts, depth, group, often).groupBy("id").agg(F.collect_list(F.struct("at", "size")).alias("marks"))
     none = F.array().cast("array<struct<at: bigint, size: int>>")
-    judged = texts.join(marks, "id", "left").select("id", "raw", F.coalesce("marks", none).alias("marks")).mapInArrow(_apply, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, sha string")
+    judged = texts.join(marks, "id", "left").select("id", "raw", F.coalesce("marks", none).alias("marks")).mapInArrow(tidy(_apply), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, sha string")
     if not plain:
         judged = rows.select(F.col("__id"), F.col(key).alias("id")).join(judged, "id")
     else:

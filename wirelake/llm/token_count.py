@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import IntMap
+from .arrays import IntMap, tidy
 from .byte_bpe import some_at_a_time
 
 MARK = "▁"
 NONE = np.int32(2**31 - 1)
-#: Distinct words whose counts a worker remembers.
-CACHE = 400_000
+#: Bytes, about, of the words whose counts a worker remembers, and what an entry takes besides its word.
+CACHE, ENTRY = 64 << 20, 160
 
 
 class PieceCounter:
@@ -61,6 +61,7 @@ class PieceCounter:
         alone = "".join(c for c in "\n\t\r" if c not in inside)
         self.words = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]+" if alone else "")).findall
         self.counts: dict[str, int] = {}
+        self.held = 0
 
     def exact(self, word: str) -> int:
         """Merge lowest rank first, leftmost on ties; the count of one word."""
@@ -141,13 +142,21 @@ class PieceCounter:
             total[w] = self.exact(words[w])
         return total
 
+    def forget(self) -> None:
+        """Drop the words remembered."""
+        self.counts.clear()
+        self.held = 0
+
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
         split = [self.words(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         new = list(set().union(*split).difference(self.counts)) if split else []
-        if len(self.counts) + len(new) > CACHE:
-            self.counts.clear()
+        size = lambda some: sum(map(len, some)) * 2 + ENTRY * len(some)
+        self.held += size(new)
+        if self.held > CACHE:
+            self.forget()
             new = list(set().union(*split))
+            self.held = size(new)
         if new:
             self.counts.update(zip(new, self.count_words(new).tolist(), strict=True))
         get = self.counts.__getitem__
@@ -175,4 +184,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias(id_col), F.octet_length(text).cast("bigint").alias("n_bytes"), text.alias("__text"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return rows.mapInArrow(tidy(run, lambda: load(path).forget()), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")

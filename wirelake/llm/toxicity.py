@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, release
+from .arrays import tidy
 from .labelled import fold, training_rows
 
 #: Labelled documents that the model may learn from.
@@ -24,7 +25,8 @@ BUCKETS, WIDTH, EPOCHS, BATCH, RATE = 1 << 17, 8, 60, 64, 0.5
 #: where it tells labels apart at all: to a half at so many standard errors. One more document in
 #: the variance makes rare buckets count less; unshrunk, they would just be memorised.
 ERRORS = 5.0
-CACHE = 400_000
+#: Bytes, about, of the words whose scores a worker remembers.
+CACHE = 48 << 20
 #: Pieces in which the driver fetches the sample's bags.
 PARTS = 12
 _TRIM = ".,;:!?\"'()[]{}<>|#$%&*…«»-_"
@@ -80,9 +82,10 @@ class SubwordModel:
     def __init__(self, weight: np.ndarray, bias: float):
         self.weight, self.bias = weight, bias
         self._known: dict[str, float] = {}
+        self._held = 0
 
     def __getstate__(self):
-        return {"weight": self.weight, "bias": self.bias, "_known": {}}
+        return {"weight": self.weight, "bias": self.bias, "_known": {}, "_held": 0}
 
     @classmethod
     def fit(cls, bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width=WIDTH, epochs=EPOCHS, batch=BATCH, rate=RATE, seed=3) -> SubwordModel:
@@ -132,9 +135,12 @@ class SubwordModel:
         """Probability of label 1 for a whole text."""
         words = text.split()
         known = self._known
-        if len(known) > CACHE:
-            known.clear()
         new = list(set(words).difference(known))
+        self._held += sum(map(len, new)) * 2 + 160 * len(new)
+        if self._held > CACHE:
+            known.clear()
+            new = list(set(words))
+            self._held = 0
         if new:
             owner, bucket = subwords(new)
             mean = np.bincount(owner, self.weight[bucket], len(new)) / np.bincount(owner, minlength=len(new))
@@ -158,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
         ids = np.flatnonzero(held.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(held[:, ids].sum(0)), pa.array(held[1, ids])], names=["bucket", "held", "positive"])
 
-    seen = sample.mapInArrow(count, "bucket bigint, held bigint, positive bigint").groupBy("bucket").agg(F.sum("held"), F.sum("positive")).toArrow()  # at most BUCKETS rows
+    seen = sample.mapInArrow(tidy(count), "bucket bigint, held bigint, positive bigint").groupBy("bucket").agg(F.sum("held"), F.sum("positive")).toArrow()  # at most BUCKETS rows
     held, positive = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = np.asarray(seen.column(0))
     held[at], positive[at] = np.asarray(seen.column(1)), np.asarray(seen.column(2))
@@ -173,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     bags, y = [], []
     for part in range(PARTS):  # the driver's JVM holds one part at a time
         mine = sample.filter(F.pmod(F.xxhash64("__id"), F.lit(PARTS)) == part)
-        got = mine.mapInArrow(run, f"id {sample.schema[0].dataType.simpleString()}, label int, buckets array<int>, shares array<float>").toArrow().sort_by("id")
+        got = mine.mapInArrow(tidy(run), f"id {sample.schema[0].dataType.simpleString()}, label int, buckets array<int>, shares array<float>").toArrow().sort_by("id")
         bags += [(np.asarray(b.values), np.asarray(v.values)) for b, v in zip(got.column("buckets"), got.column("shares"), strict=True)]
         y += got.column("label").to_pylist()
     release(docs.sparkSession, sample)
@@ -197,4 +203,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", fo
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).alias(id_col), (fold(F.col(id_col), folds) == held_out).alias("held_out"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int")
