@@ -21,6 +21,8 @@ from .labelled import fold, training_rows
 #: Labelled documents that the model may learn from.
 MOST_ROWS = 12_000
 BUCKETS, WIDTH, EPOCHS, BATCH, RATE = 1 << 17, 8, 60, 64, 0.5
+#: Steps after which training ends, or after ``EPOCHS``: larger samples need fewer rounds.
+STEPS = 2_850
 #: Every bucket of the sample gets an embedding. Its shares are shrunk, smoothly and never to nothing
 #: where it tells labels apart at all: to a half at so many standard errors. One more document in
 #: the variance makes rare buckets count less; unshrunk, they would just be memorised.
@@ -105,6 +107,7 @@ class SubwordModel:
         U = rng.normal(0, 0.1, (width, 2)).astype(np.float32)
         b = np.array([0.0, bias], np.float32)
         E2, U2, b2 = np.full(E.shape, 1e-8, np.float32), np.full(U.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
+        epochs = min(epochs, -(-STEPS // -(-len(y) // batch)))
         for epoch in range(epochs):
             step = rate * (1 - epoch / epochs)
             order = rng.permutation(len(y))
@@ -114,19 +117,20 @@ class SubwordModel:
                 owner = np.repeat(np.arange(len(rows)), [len(bags[r][0]) for r in rows])
                 v = U[:, 1] - U[:, 0]
                 z = np.bincount(owner, share * (E @ v)[i], len(rows)) + (b[1] - b[0])
-                d = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[rows]
+                d = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[rows]).astype(np.float32)
                 # with two classes every gradient is a multiple of one number per bucket
                 g = np.bincount(i, share * d[owner], len(used)).astype(np.float32)
                 touched = np.flatnonzero(g)
-                gU = (E[touched].T @ g[touched])[:, None] * np.array([-1, 1], np.float32)
+                gt, Et = g[touched, None], E[touched]
+                gU = (Et.T @ gt) * np.array([-1, 1], np.float32)
                 gb = np.array([-d.sum(), d.sum()], np.float32)
-                gE = g[touched, None] * v
+                E2t = E2[touched] + gt**2 * v**2
                 U2 += gU**2
                 b2 += gb**2
-                E2[touched] += gE**2
                 U -= step * gU / np.sqrt(U2)
                 b -= 0.1 * step * gb / np.sqrt(b2)
-                E[touched] -= step * gE / np.sqrt(E2[touched])
+                E2[touched] = E2t
+                E[touched] = Et - step * gt * v / np.sqrt(E2t)
         weight = np.zeros(BUCKETS, np.float32)
         weight[used] = E @ (U[:, 1] - U[:, 0])
         return cls(weight, float(b[1] - b[0]))
