@@ -439,7 +439,7 @@ def test_lm(spark, odd, classes, known):
             g = model.cluster[last]
             context = model.classes + g if rest_before else last
             base += math.log10((count[w] + 1) / (n + v + 1))
-            score += model.table[context, frequent.get(w, model.classes)]
+            score += float(model.table[context, frequent.get(w, model.classes)])
             if w not in frequent:
                 score += within[w][g] if w in within else model.unseen[g]
             last, rest_before = (frequent[w], False) if w in frequent else (last, True)

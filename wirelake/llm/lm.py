@@ -182,7 +182,7 @@ def token_totals(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(tidy(run), "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c")).filter("c > 0")
 
 
-def pair_counts(texts: DataFrame, known: list[bytes], classes: int, cluster: np.ndarray, groups: int) -> tuple[np.ndarray, DataFrame]:
+def pair_counts(texts: DataFrame, known: list[bytes], classes: int, cluster: np.ndarray, groups: int, with_rest: bool = True) -> tuple[np.ndarray, DataFrame]:
     """Counts of (context, class) over all rows, and (token, n): how often each token of the rest
     comes after each cluster, an array."""
     width = classes + 1
@@ -206,7 +206,7 @@ def pair_counts(texts: DataFrame, known: list[bytes], classes: int, cluster: np.
                 i = _class_numbers(w, ids, classes)
                 context, g = contexts(i, classes, cluster)
                 np.add.at(total, context * width + i, 1)
-                rest = np.flatnonzero(i == classes) if groups > 1 else i[:0]  # one group: nothing to tell apart
+                rest = np.flatnonzero(i == classes) if with_rest else i[:0]
                 counts.update([w[j] + mark[k] for j, k in zip(rest.tolist(), g[rest].tolist(), strict=True)])
                 seen += len(text)
                 if len(counts) > PARTIAL or seen > PARTIAL_BYTES:
@@ -243,7 +243,7 @@ def train(texts: DataFrame, classes: int = CLASSES, known: int = KNOWN, clusters
     ends = counts.filter(F.col("token") == END).first()
     words, c = [END, *(t for _, t in order)], np.array([ends.c if ends else 0, *(-n for n, _ in order)], np.float64)
     classes = min(classes, len(words))
-    plain, _ = pair_counts(texts, words, classes, np.zeros(classes, np.int64), 1)
+    plain, _ = pair_counts(texts, words, classes, np.zeros(classes, np.int64), 1, with_rest=False)
     first = LogBilinear.fit(plain)
     cluster = clusters_of(first.contexts[:classes].astype(np.float64), plain[:classes].sum(1) + 1e-3, clusters)
     groups = int(cluster.max()) + 1
