@@ -103,36 +103,46 @@ class SubwordModel:
         used, spot = np.flatnonzero(present), (np.cumsum(present) - 1).astype(np.int32)
         if not len(used):
             return cls(np.zeros(BUCKETS, np.float32), bias)
-        E = rng.normal(0, 0.1, (len(used), width)).astype(np.float32)
+        E = np.ascontiguousarray(rng.normal(0, 0.1, (len(used), width)).T.astype(np.float32))  # a row per dimension
         U = rng.normal(0, 0.1, (width, 2)).astype(np.float32)
         b = np.array([0.0, bias], np.float32)
         E2, U2, b2 = np.full(E.shape, 1e-8, np.float32), np.full(U.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
+        spots = [spot[ids] for ids, _ in bags]
+        held = np.array([len(s) for s in spots], np.int64)
+        move = np.empty(len(used), np.float32)
         epochs = min(epochs, -(-STEPS // -(-len(y) // batch)))
         for epoch in range(epochs):
-            step = rate * (1 - epoch / epochs)
+            step = np.float32(rate * (1 - epoch / epochs))
             order = rng.permutation(len(y))
             for at in range(0, len(order), batch):
                 rows = order[at : at + batch]
-                i, share = spot[np.concatenate([bags[r][0] for r in rows])], np.concatenate([bags[r][1] for r in rows])
-                owner = np.repeat(np.arange(len(rows)), [len(bags[r][0]) for r in rows])
+                sizes = held[rows]
                 v = U[:, 1] - U[:, 0]
-                z = np.bincount(owner, share * (E @ v)[i], len(rows)) + (b[1] - b[0])
+                z = np.full(len(rows), b[1] - b[0], np.float32)
+                if sizes.any():
+                    i, share = np.concatenate([spots[r] for r in rows]), np.concatenate([bags[r][1] for r in rows])
+                    full = np.flatnonzero(sizes)
+                    z[full] += np.add.reduceat(share * (v @ E)[i], (np.cumsum(sizes) - sizes)[full])
                 d = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[rows]).astype(np.float32)
-                # with two classes every gradient is a multiple of one number per bucket
-                g = np.bincount(i, share * d[owner], len(used)).astype(np.float32)
-                touched = np.flatnonzero(g)
-                gt, Et = g[touched, None], E[touched]
-                gU = (Et.T @ gt) * np.array([-1, 1], np.float32)
+                if sizes.any():
+                    # with two classes every gradient is a multiple of one number per bucket
+                    g = np.bincount(i, share * np.repeat(d, sizes), len(used)).astype(np.float32)
+                    gU = (E @ g)[:, None] * np.array([-1, 1], np.float32)
+                    squares = g * g
+                    for k in range(width):  # buckets that no row holds stay: their gradient is 0
+                        np.multiply(squares, v[k] * v[k], out=move)
+                        E2[k] += move
+                        np.sqrt(E2[k], out=move)
+                        np.divide(g, move, out=move)
+                        move *= step * v[k]
+                        E[k] -= move
+                    U2 += gU**2
+                    U -= step * gU / np.sqrt(U2)
                 gb = np.array([-d.sum(), d.sum()], np.float32)
-                E2t = E2[touched] + gt**2 * v**2
-                U2 += gU**2
                 b2 += gb**2
-                U -= step * gU / np.sqrt(U2)
-                b -= 0.1 * step * gb / np.sqrt(b2)
-                E2[touched] = E2t
-                E[touched] = Et - step * gt * v / np.sqrt(E2t)
+                b -= np.float32(0.1) * step * gb / np.sqrt(b2)
         weight = np.zeros(BUCKETS, np.float32)
-        weight[used] = E @ (U[:, 1] - U[:, 0])
+        weight[used] = (U[:, 1] - U[:, 0]) @ E
         return cls(weight, float(b[1] - b[0]))
 
     def score(self, text: str) -> float:
