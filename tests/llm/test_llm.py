@@ -461,6 +461,38 @@ def test_lm_learns_contexts_of_rare_tokens(spark):
     assert score[300] > score[301] + 0.5 and score[302] > score[303] + 0.5
 
 
+def test_lm_fits_tokens_of_any_count():
+    """Fits stay finite whatever the counts, rise step by step in the objective, and near its top."""
+    rng = np.random.default_rng(0)
+    groups, tokens_ = 16, 500
+    directions = rng.normal(0, 1, (groups, 8)) / np.sqrt(np.arange(1, 9))
+    totals = rng.dirichlet(np.ones(groups)) * 2e6
+    share = np.exp(-np.arange(tokens_) / 60)
+    true = np.exp(rng.normal(0, 0.7, (tokens_, 8)) @ directions.T) * share[:, None]
+    n = rng.poisson(true / true.sum(0) * totals).astype(float)
+    n[0] = 0
+    n[0, 0], n[1], n[2] = 100_000, 0, np.arange(groups) == 3
+    p = (n.sum(1) + 1) / (n.sum() + tokens_)
+    noise, offset = lm.NOISE * p[:, None] * totals, np.log(lm.NOISE * p)[:, None]
+
+    def objective(s):
+        return -(n * np.logaddexp(0, offset - s) + noise * np.logaddexp(0, s - offset)).sum()
+
+    steps = {k: lm.fit_tokens(n, totals, p, directions, steps=k) for k in (0, 1, 5, 20, 300)}
+    assert all(np.isfinite(s).all() and s.max() < 5 for s in steps.values())
+    values = [objective(s) for s in steps.values()]
+    assert values == sorted(values)
+    assert values[3] - values[0] > 0.8 * (values[4] - values[0])
+
+
+def test_lm_scores_are_finite_with_frequent_tokens(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    docs = docs_of(spark, [" ".join(rng.choices(words, [1 / (i + 1) for i in range(300)], k=2000)) for _ in range(40)], extra=False)
+    for r in lm.lm_scores(docs, classes=20, known=200).collect():
+        assert math.isfinite(r.score) and r.score > r.base_score - 0.1 * r.n_tokens
+
+
 def test_lm_with_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a"), (3, None)], "doc_id bigint, text string")
     rows = lm.lm_scores(docs).collect()

@@ -117,15 +117,21 @@ def clusters_of(vectors: np.ndarray, weight: np.ndarray, count: int = CLUSTERS,
 def fit_tokens(n: np.ndarray, totals: np.ndarray, p: np.ndarray, directions: np.ndarray, steps=REST_STEPS, noise=NOISE, short=SHORT) -> np.ndarray:
     """Log weights (tokens by clusters), product of a vector of each token and the clusters'
     ``directions`` plus a bias, that fit counts ``n`` of tokens after clusters (of ``totals`` tokens
-    of the rest) by Newton steps, one parameter at a time held against the others' curvature."""
-    r, b = np.zeros((len(n), directions.shape[1])), np.log(p)[:, None]
+    of the rest). Steps along the gradient of the noise-contrastive objective, each parameter's
+    divided by a bound on its curvature that includes what the others add; no step moves a log weight
+    by more than 1, over which the curvature changes little, so no count makes it diverge."""
+    d = np.hstack([directions, np.ones((len(directions), 1))])  # the bias is a vector's last number
+    bound = np.abs(d) * np.abs(d).sum(1, keepdims=True)
+    keep = np.append(np.full(directions.shape[1], short), 0.0)
+    r = np.zeros((len(n), d.shape[1]))
+    r[:, -1] = np.log(p)
     offset, wide = np.log(noise * p)[:, None], noise * p[:, None] * totals[None]
     for _ in range(steps):
-        s = 1 / (1 + np.exp(-np.clip(r @ directions.T + b - offset, -30, 30)))
+        s = 1 / (1 + np.exp(-np.clip(r @ d.T - offset, -30, 30)))
         slope, bend = n - (n + wide) * s, (n + wide) * s * (1 - s)
-        r += (slope @ directions - short * r) / (bend @ directions**2 * directions.shape[1] ** 0.5 + short)
-        b += slope.sum(1, keepdims=True) / (bend.sum(1, keepdims=True) + 1e-9) * 0.5
-    return r @ directions.T + b
+        move = (slope @ d - keep * r) / (bend @ bound + keep + 1e-9)
+        r += move / np.maximum(np.abs(move @ d.T).max(1, keepdims=True), 1)
+    return r @ d.T
 
 
 @dataclass
