@@ -167,6 +167,9 @@ def test_dissection(spark, tmp_path):
     pair = keyed_pairs(messages, ["client", "port", "id"]).collect()
     assert [(p.client, p.port, p.id, p.elapsed_ms) for p in pair] == [(c, 5353, 9, 1)]
     assert json.loads(messages.filter("not is_request").first().message)["answer"] == "1.2.3.4"
+    (named,) = dissect.dns_entries(packets).collect()
+    assert (named.protocol, named.status, named.elapsedMs, named.src.ip, named.src.port, named.dst.ip, named.seq) == ("dns", "success", 1, c, 5353, s, 1)
+    assert (named.request.summary, named.response.answer, named.response.dns.rcode, named.response.dns.answers[0].ttl) == ("A www.example.com", "1.2.3.4", "NOERROR", 60)
 
 
 def test_dissection_hides_secrets_and_tells_connections_apart(spark, tmp_path):
@@ -191,6 +194,37 @@ def test_dissection_hides_secrets_and_tells_connections_apart(spark, tmp_path):
     assert "hush" in str(dissect.dissect_streams(packets, redact=False).collect())
 
 
+def test_dissection_times_messages_by_their_bytes(spark, tmp_path):
+    """Two messages in a packet and one over three keep the times of their first bytes."""
+    c, s, head = "10.8.0.1", "10.8.0.2", struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+    t = 1_704_067_200_000_000
+    word = lambda *w: b"*%d\r\n" % len(w) + b"".join(b"$%d\r\n%s\r\n" % (len(x), x) for x in w)
+    both, long = word(b"SELECT", b"3") + word(b"GET", b"rain"), word(b"SET", b"wind", b"n" * 40)
+    answers = [b"+OK\r\n$4\r\n\x00\xff\x01\x02\r\n", b"+OK\r\n"]
+    data = head + segment(c, s, 50030, 6379, 1, 24, both, t)
+    at = 1 + len(both)
+    for k in range(3):
+        part = long[k * 20 : k * 20 + 20 if k < 2 else None]
+        data += segment(c, s, 50030, 6379, at, 24, part, t + 100_000 + k * 10_000)
+        at += len(part)
+    data += segment(s, c, 6379, 50030, 1, 24, answers[0], t + 5_000) + segment(s, c, 6379, 50030, 1 + len(answers[0]), 24, answers[1], t + 170_000)
+    (tmp_path / "z.pcap").write_bytes(data)
+    rows = dissect.dissect_streams(pcap.read_packets(spark, str(tmp_path / "z.pcap"))).orderBy("seq").collect()
+    assert [(r.request.command, r.elapsedMs, r.request.redis.dbIndex) for r in rows] == [("SELECT", 5, 0), ("GET", 5, 3), ("SET", 70, 3)]
+    assert rows[2].timestamp - rows[1].timestamp == timedelta(milliseconds=100) and rows[1].response.summary == "\\x00ff0102"
+
+
+def test_previews_and_frames_of_both_sides():
+    from wirelake.wire.preview import shown
+
+    assert shown("é\n".encode()) == "é\n" and shown(b"\x00" * 40) == "\\x" + "00" * 32 + "… (40 bytes)" and shown(b"\xff") == "\\xff"
+    assert shown("aé".encode()[:2], 9) == "a" and shown("aé".encode()[:2]) == "\\x61c3"
+    frame = lambda text: bytes([0x81, len(text)]) + text
+    up = b"GET /live HTTP/1.1\r\nUpgrade: websocket\r\n\r\n"
+    pairs = dissect.exchanges("http", up + frame(b"hail"), b"HTTP/1.1 101 Switching\r\n\r\n" + frame(b"snow") + frame(b"\x00\x01"))
+    assert [(q.get("from"), q["body"]) for q, _ in pairs[1:]] == [(0, "hail"), (1, "snow"), (1, "\\x0001")] and pairs[1][0]["at"] == len(up)
+
+
 def test_export_reads_back(spark, tmp_path):
     side = "struct<ip: string, port: int>"
     rows = [("a", "http", ("10.0.0.1", 5000), ("10.0.0.2", 80), ("GET /",), ("200 OK",), datetime(2024, 1, 1, tzinfo=UTC), 12, 1), ("b", "dns", ("10.0.0.3", 5353), ("10.0.0.4", 53), ("q",), ("r",), datetime(2024, 1, 1, 0, 0, 1, tzinfo=UTC), 5, 2), ("c", "http", ("2001:db8::1", 1), ("2001:db8::2", 2), ("x",), ("y",), datetime(2024, 1, 1, tzinfo=UTC), 1, 3)]

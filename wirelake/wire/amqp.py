@@ -13,14 +13,14 @@ MOST_BODY = 4096
 
 
 def frames(data: bytes):
-    """(type, channel, content) of the complete frames."""
+    """(type, channel, content, place) of the complete frames."""
     at = 8 if data.startswith(b"AMQP") else 0
     while at + 8 <= len(data):
         size = int.from_bytes(data[at + 3 : at + 7], "big")
         end = at + 7 + size
         if end >= len(data) or data[end] != 0xCE:
             return
-        yield data[at], int.from_bytes(data[at + 1 : at + 3], "big"), data[at + 7 : end]
+        yield data[at], int.from_bytes(data[at + 1 : at + 3], "big"), data[at + 7 : end], at
         at = end + 1
 
 
@@ -41,13 +41,13 @@ class _Reader:
 def methods(data: bytes) -> list[dict]:
     """The shown methods of one direction in order, contents assembled per channel."""
     out, open_ = [], {}
-    for kind, channel, raw in frames(data):
+    for kind, channel, raw, start in frames(data):
         if kind == 1 and len(raw) >= 4:
             group, number = int.from_bytes(raw[:2], "big"), int.from_bytes(raw[2:4], "big")
             name = METHODS.get((group, number))
             if name is None:
                 continue
-            r, m = _Reader(raw, 4), {"class": CLASSES[group], "method": name, "channel": channel, "status": "success", "body": b""}
+            r, m = _Reader(raw, 4), {"class": CLASSES[group], "method": name, "channel": channel, "status": "success", "body": b"", "at": start}
             if name == "Publish":
                 r.number(2)
                 m |= {"exchange": r.text(), "routingKey": r.text()}

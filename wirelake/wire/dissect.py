@@ -9,6 +9,7 @@ parsed members before anyone sees the entries.
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators.pairing import connection
+from ..schema import conform, field_type
 from ..sources.adapters import from_json_lines
 from . import amqp, dns, http, kafka, mongo, mysql, postgres, resp, sniff
+from .preview import shown
 
 
 def stream(packets: list[tuple[int, int, bytes]]) -> tuple[bytes, list[tuple[int, int]], bool]:
@@ -39,22 +42,19 @@ def stream(packets: list[tuple[int, int, bytes]]) -> tuple[bytes, list[tuple[int
     return bytes(out), marks, lost
 
 
-def _time(marks, offset):
-    last = marks[0][1] if marks else 0
-    for at, t in marks:
-        if at > offset:
-            break
-        last = t
-    return last
+def _time(marks: list[tuple[int, int]], offset: int) -> int:
+    """Time of the packet that brought the byte at an offset."""
+    return marks[max(bisect_right(marks, offset, key=lambda m: m[0]) - 1, 0)][1]
 
 
-def _even(n: int, marks) -> list[int]:
-    """Times of n messages that don't tell their offsets: of the k-th packet, as far as any."""
-    return [marks[min(k, len(marks) - 1)][1] for k in range(n)] if marks else []
+def _body(m: http.Message) -> str:
+    return shown(m.body, max(m.size, len(m.body) + (len(m.body) == http.MOST_BODY)))
 
 
 def exchanges(kind: str, client: bytes, server: bytes) -> list[tuple[dict, dict | None]]:
-    """(request, response) records of a connection, in order; a request may lack its response."""
+    """(request, response) records of a connection, in order; a request may lack its response. ``at``
+    tells where each begins in its direction, for requests that of the client unless ``from`` is 1;
+    a response without it has the time of its request."""
     if kind == "http":
         asked = http.messages(client)
         heads = [m.first[1] == "HEAD" for m in asked]
@@ -62,27 +62,30 @@ def exchanges(kind: str, client: bytes, server: bytes) -> list[tuple[dict, dict
         out = []
         for k, m in enumerate(asked):
             path, _, _ = m.first[2].partition("#")
-            request = {"summary": f"{m.first[1]} {path}", "method": m.first[1], "path": path, "host": m.headers.get("host", ""), "headers": m.headers, "body": m.body.decode("utf-8", "replace"), "size": m.size, "http": {"version": m.first[3], "contentType": m.headers.get("content-type", "")}}
+            request = {"at": m.at, "summary": f"{m.first[1]} {path}", "method": m.first[1], "path": path, "host": m.headers.get("host", ""), "headers": m.headers, "body": _body(m), "size": m.size, "http": {"version": m.first[3], "contentType": m.headers.get("content-type", "")}}
             response = None
             if k < len(answers):
                 a = answers[k]
                 code = a.first[1]
-                response = {"summary": f"{code} {a.first[2]}".strip(), "statusCode": code, "headers": a.headers, "body": a.body.decode("utf-8", "replace"), "size": a.size, "contentType": a.headers.get("content-type", ""), "status": "error" if code >= 500 else "warning" if code >= 400 else "success"}
+                response = {"at": a.at, "summary": f"{code} {a.first[2]}".strip(), "statusCode": code, "headers": a.headers, "body": _body(a), "size": a.size, "contentType": a.headers.get("content-type", ""), "status": "error" if code >= 500 else "warning" if code >= 400 else "success"}
             out.append((request, response))
-        if answers and answers[-1].first[1] == 101:
-            for f in http.frames(answers[-1].body):
-                out.append(({"summary": f"{f['opcode']} {f['length']} bytes", "wsOpcode": f["opcode"], "body": f["preview"].decode("utf-8", "replace"), "size": f["length"], "protocol": "ws"}, {"status": "success"}))
+        if asked and answers and answers[-1].first[1] == 101:
+            for side, begin, data in ((0, asked[-1].end, client), (1, answers[-1].end, server)):
+                for f in http.frames(data[begin:]):
+                    out.append(({"at": begin + f["at"], "from": side, "summary": f"{f['opcode']} {f['length']} bytes", "wsOpcode": f["opcode"], "body": shown(f["preview"], f["length"]), "size": f["length"], "protocol": "ws"}, {"status": "success"}))
         return out
     if kind in ("redis", "valkey"):
-        asked = [c for c in map(resp.command, resp.values(client)) if c]
-        answers = [resp.reply(v) for v in resp.values(server) if v[0] != ">"]
-        out = []
-        for k, (name, args) in enumerate(asked):
+        asked = [(at, c) for at, c in ((at, resp.command(v)) for at, v in resp.placed(client)) if c]
+        answers = [(at, resp.reply(v)) for at, v in resp.placed(server) if v[0] != ">"]
+        out, base = [], 0
+        for k, (at, (name, args)) in enumerate(asked):
             response = None
             if k < len(answers):
-                text, how, status = answers[k]
-                response = {"summary": text[:256], "redis": {"reply": text[:256], "replyType": how}, "status": status}
-            out.append(({"summary": " ".join([name, *args])[:256], "command": name, "redis": {"args": args}}, response))
+                end, (text, how, status) = answers[k]
+                response = {"at": end, "summary": text[:256], "redis": {"reply": text[:256], "replyType": how}, "status": status}
+            out.append(({"at": at, "summary": " ".join([name, *args])[:256], "command": name, "redis": {"args": args, "dbIndex": base}}, response))
+            if name == "SELECT" and response and response["status"] == "success" and args and args[0].isdecimal():
+                base = min(int(args[0]), 2**31 - 1)
         return out
     if kind == "postgres":
         asked, answers = postgres.requests(client), postgres.responses(server)
@@ -91,8 +94,8 @@ def exchanges(kind: str, client: bytes, server: bytes) -> list[tuple[dict, dict
             response = None
             if k < len(answers):
                 a = answers[k]
-                response = {"summary": a["summary"], "rowCount": a["rowCount"], "status": a["status"], "postgres": {"tag": a.get("tag", ""), "columns": a["columns"], "error": a.get("error"), "txStatus": a.get("txStatus", "")}}
-            out.append(({"summary": q["query"][:256], "query": q["query"][:8192], "postgres": {"statementName": q["statementName"], "portal": q["portal"], "params": q["params"]}}, response))
+                response = {"at": a["at"], "summary": a["summary"], "rowCount": a["rowCount"], "status": a["status"], "postgres": {"tag": a.get("tag", ""), "columns": a["columns"], "error": a.get("error"), "txStatus": a.get("txStatus", "")}}
+            out.append(({"at": q["at"], "summary": q["query"][:256], "query": q["query"][:8192], "postgres": {"statementName": q["statementName"], "portal": q["portal"], "params": q["params"]}}, response))
         return out
     if kind == "kafka":
         asked = kafka.requests(client)
@@ -101,8 +104,8 @@ def exchanges(kind: str, client: bytes, server: bytes) -> list[tuple[dict, dict
         out = []
         for q in asked:
             a = answers.get(q["correlationId"])
-            response = {"summary": "" if not a["errorCode"] else f"error {a['errorCode']}", "kafka": {"errorCode": a["errorCode"], "correlationId": a["correlationId"]}, "status": a["status"]} if a else None
-            out.append(({"summary": q["summary"], "kafka": {k: q[k] for k in ("apiKey", "apiVersion", "topic", "clientId", "correlationId")}}, response))
+            response = {"at": a["at"], "summary": "" if not a["errorCode"] else f"error {a['errorCode']}", "kafka": {"errorCode": a["errorCode"], "correlationId": a["correlationId"]}, "status": a["status"]} if a else None
+            out.append(({"at": q["at"], "summary": q["summary"], "kafka": {k: q[k] for k in ("apiKey", "apiVersion", "topic", "clientId", "correlationId")}}, response))
         return out
     if kind == "mysql":
         asked = mysql.requests(client)
@@ -110,21 +113,21 @@ def exchanges(kind: str, client: bytes, server: bytes) -> list[tuple[dict, dict
         out = []
         for q in asked:
             a = next(answers, None) if q["answered"] else None
-            response = {"summary": a["errorMessage"] or f"{a['rowCount']} rows", "rowCount": a["rowCount"], "mysql": {"errorCode": a["errorCode"], "errorMessage": a["errorMessage"]}, "status": a["status"]} if a else None
-            out.append(({"summary": f"{q['command']} {q['query']}".strip()[:256], "query": q["query"][:8192], "mysql": {"command": q["command"]}}, response))
+            response = {"at": a["at"], "summary": a["errorMessage"] or f"{a['rowCount']} rows", "rowCount": a["rowCount"], "mysql": {"errorCode": a["errorCode"], "errorMessage": a["errorMessage"]}, "status": a["status"]} if a else None
+            out.append(({"at": q["at"], "summary": f"{q['command']} {q['query']}".strip()[:256], "query": q["query"][:8192], "mysql": {"command": q["command"]}}, response))
         return out
     if kind == "mongodb":
         answers = {m["answers"]: m for m in mongo.messages(server)}
         out = []
         for m in mongo.messages(client):
             a = answers.get(m["number"])
-            response = {"summary": a["errmsg"] or "ok", "mongo": {"ok": a["ok"], "errmsg": a["errmsg"]}, "status": a["status"]} if a else None
-            out.append(({"summary": f"{m['command']} {m['collection']}".strip(), "mongo": {k: m[k] for k in ("command", "collection", "database")}}, response))
+            response = {"at": a["at"], "summary": a["errmsg"] or "ok", "mongo": {"ok": a["ok"], "errmsg": a["errmsg"]}, "status": a["status"]} if a else None
+            out.append(({"at": m["at"], "summary": f"{m['command']} {m['collection']}".strip(), "mongo": {k: m[k] for k in ("command", "collection", "database")}}, response))
         return out
     if kind == "amqp":
         members = ("exchange", "routingKey", "queue", "deliveryTag", "class", "method", "correlationId", "replyTo", "messageId", "contentType", "size")
-        shown = [m for side in (client, server) for m in amqp.methods(side)]
-        return [({"summary": f"{m['class']}.{m['method']}", "body": m["body"].decode("utf-8", "replace"), **{k: m[k] for k in members if k in m}}, {"summary": m.get("replyText", ""), "status": m["status"]}) for m in shown]
+        seen = [(k, m) for k, side in enumerate((client, server)) for m in amqp.methods(side)]
+        return [({"at": m["at"], "from": k, "summary": f"{m['class']}.{m['method']}", "body": shown(m["body"], m.get("size")), **{n: m[n] for n in members if n in m}}, {"summary": m.get("replyText", ""), "status": m["status"]}) for k, m in seen]
     return []
 
 
@@ -165,8 +168,8 @@ def openings(packets: DataFrame) -> DataFrame:
 
 def dissect_streams(packets: DataFrame, redact: bool = True) -> DataFrame:
     """Entries of TCP connections. The client is the side that opened it, else the higher port. Requests
-    without a response give no entry. A message has the time of the packet of its rank, which is its
-    own where each message has one packet. ``redact``: see ``redacted``."""
+    without a response give no entry. A message has the time of the packet that its first byte came in.
+    ``redact``: see ``redacted``."""
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         opened = rows[(rows["flags"] & 18) == 2]
@@ -179,12 +182,12 @@ def dissect_streams(packets: DataFrame, redact: bool = True) -> DataFrame:
         (client, asked, _), (server, answered, _) = sides
         kind = sniff.protocol(int(first["sport"]), int(first["dport"]), client)
         pairs = exchanges(kind, client, server)
-        at, end, out = _even(len(pairs), asked), _even(len(pairs), answered), []
+        out = []
         for k, (request, response) in enumerate(pairs):
             if response is None:
                 continue
-            start = at[k] if k < len(at) else int(rows["ts_us"].min())
-            stop = end[k] if k < len(end) else start
+            start = _time((asked, answered)[request.pop("from", 0)], request.pop("at"))
+            stop = _time(answered, response.pop("at")) if "at" in response else start
             spoken = request.pop("protocol", kind)
             status, code = response.pop("status", "success"), response.get("statusCode", 0)
             out.append(
@@ -219,4 +222,25 @@ def dns_messages(packets: DataFrame) -> DataFrame:
     rows = packets.filter("proto = 'udp' and (sport = 53 or dport = 53)").select("ts_us", "src", "dst", "sport", "dport", "payload")
     out = rows.mapInPandas(run, "ts_us bigint, src string, dst string, sport int, dport int, id int, is_request boolean, message string")
     asks = F.col("is_request")
-    return out.select(F.when(asks, F.col("src")).otherwise(F.col("dst")).alias("client"), F.when(asks, F.col("sport")).otherwise(F.col("dport")).alias("port"), "id", F.timestamp_micros("ts_us").alias("ts"), F.col("ts_us").alias("seq"), "is_request", "message")
+    return out.select(F.when(asks, F.col("dst")).otherwise(F.col("src")).alias("server"), F.when(asks, F.col("src")).otherwise(F.col("dst")).alias("client"), F.when(asks, F.col("sport")).otherwise(F.col("dport")).alias("port"), "id", F.timestamp_micros("ts_us").alias("ts"), F.col("ts_us").alias("seq"), "is_request", "message")
+
+
+def dns_entries(packets: DataFrame, expire_seconds: int = 30) -> DataFrame:
+    """Entries of DNS over UDP: the first response after a client's latest query of its number, within
+    the time. Queries without one give no entry."""
+    keys = ["client", "port", "server", "id"]
+    order = Window.partitionBy(*keys).orderBy("ts", F.desc("is_request")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turns = dns_messages(packets).withColumn("turn", F.sum(F.col("is_request").cast("int")).over(order)).filter("turn > 0")
+    said = F.struct("ts", "message")
+    pairs = turns.groupBy(*keys, "turn").agg(F.max(F.when(F.col("is_request"), said)).alias("q"), F.min(F.when(~F.col("is_request"), said)).alias("r")).filter("r is not null")
+    elapsed = F.floor((F.unix_micros("r.ts") - F.unix_micros("q.ts")) / 1000)
+    record = f"struct<question: string, answer: string, status: string, {field_type('request.dns').simpleString()[7:-1]}>"
+    pairs = pairs.filter(elapsed <= expire_seconds * 1000).withColumn("ask", F.from_json("q.message", record)).withColumn("got", F.from_json("r.message", record))
+    members = lambda side, names: F.struct(*[F.col(f"{side}.{n}") for n in names]).alias("dns")
+    entries = pairs.select(
+        F.concat_ws("-", F.lit("dns"), "client", "port", "server", F.col("id"), F.unix_micros("q.ts")).alias("id"), F.lit("dns").alias("protocol"), F.col("q.ts").alias("timestamp"), elapsed.alias("elapsedMs"), "got.status",
+        F.struct(F.col("client").alias("ip"), "port").alias("src"), F.struct(F.col("server").alias("ip"), F.lit(53).alias("port")).alias("dst"),
+        F.struct(F.concat_ws(" ", F.get("ask.questions", 0)["type"], "ask.question").alias("summary"), "ask.question", members("ask", ("id", "questions"))).alias("request"),
+        F.struct(F.when(F.col("got.answer") != "", F.col("got.answer")).otherwise(F.col("got.rcode")).alias("summary"), "got.answer", members("got", ("id", "answers", "authority", "additional", "rcode", "authoritative", "recursionAvailable"))).alias("response"),
+    )
+    return conform(entries.orderBy("timestamp", "id").withColumn("seq", F.monotonically_increasing_id() + 1))

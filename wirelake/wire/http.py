@@ -19,6 +19,8 @@ class Message:
     body: bytes = b""
     size: int = 0
     complete: bool = True
+    at: int = 0  # where it begins, and where the next one would
+    end: int = 0
 
 
 def inflate(body: bytes, encoding: str, most: int = MOST_BODY) -> bytes:
@@ -73,7 +75,7 @@ def messages(data: bytes, heads: list[bool] | None = None) -> list[Message]:
                 key = name.decode("latin-1").strip().lower()
                 text = value.decode("utf-8", "replace").strip()
                 headers[key] = f"{headers[key]}, {text}" if key in headers else text
-        at = end + 4
+        start, at = at, end + 4
         if request:
             m = Message(("request", request[1].decode(), request[2].decode("utf-8", "replace"), request[3].decode()), headers)
         else:
@@ -81,6 +83,7 @@ def messages(data: bytes, heads: list[bool] | None = None) -> list[Message]:
             m = Message(("response", code, (response[3] or b"").decode("utf-8", "replace"), response[1].decode()), headers)
             if 100 <= code < 200 and code != 101:
                 continue
+        m.at, m.end = start, at
         if response and int(response[2]) == 101:
             m.body, at = data[at:], len(data)
             out.append(m)
@@ -97,7 +100,7 @@ def messages(data: bytes, heads: list[bool] | None = None) -> list[Message]:
             at += size
         elif response:
             m.body, at = data[at:], len(data)
-        m.size = len(m.body)
+        m.size, m.end = len(m.body), at
         m.body = inflate(m.body, headers.get("content-encoding", ""))
         out.append(m)
     return out
@@ -126,7 +129,7 @@ def frames(data: bytes, preview: int = 256, most: int = 8 << 20) -> list[dict]:
         raw = data[head : head + min(length, preview)]
         if key:
             raw = bytes(b ^ key[i % 4] for i, b in enumerate(raw))
-        frame = {"opcode": OPCODES[opcode], "length": length, "preview": raw}
+        frame = {"opcode": OPCODES[opcode], "length": length, "preview": raw, "at": at}
         if opcode == 8 and length >= 2:
             frame |= {"code": int.from_bytes(raw[:2], "big"), "reason": raw[2:].decode("utf-8", "replace")}
         out.append(frame)

@@ -7,13 +7,13 @@ KEYS = {0: "Produce", 1: "Fetch", 2: "ListOffsets", 3: "Metadata", 8: "OffsetCom
 FLEXIBLE = {0: 9, 1: 12, 2: 6, 3: 9, 8: 8, 9: 6, 10: 3, 11: 6, 12: 4, 13: 4, 14: 4, 18: 3, 19: 5, 20: 4, 22: 2}
 
 
-def _framed(data: bytes) -> list[bytes]:
+def _framed(data: bytes) -> list[tuple[int, bytes]]:
     out, at = [], 0
     while at + 4 <= len(data):
         size = int.from_bytes(data[at : at + 4], "big", signed=True)
         if size < 4 or at + 4 + size > len(data):
             break
-        out.append(data[at + 4 : at + 4 + size])
+        out.append((at, data[at + 4 : at + 4 + size]))
         at += 4 + size
     return out
 
@@ -28,7 +28,7 @@ def _string(raw: bytes, at: int) -> tuple[str, int]:
 def requests(data: bytes) -> list[dict]:
     """Requests in order: key, version, correlation id, client, first topic of older layouts."""
     out = []
-    for raw in _framed(data):
+    for start, raw in _framed(data):
         key, version = (int.from_bytes(raw[k : k + 2], "big", signed=True) for k in (0, 2))
         client, at = _string(raw, 8) if len(raw) > 9 else ("", len(raw))
         topic = ""
@@ -43,14 +43,14 @@ def requests(data: bytes) -> list[dict]:
                 at += 12 + (4 if version >= 3 else 0) + (1 if version >= 4 else 0) + (8 if version >= 7 else 0)
                 topic = _string(raw, at + 4)[0] if int.from_bytes(raw[at : at + 4], "big", signed=True) > 0 else ""
         name = KEYS.get(key, f"Api{key}")
-        out.append({"apiKey": name, "apiVersion": version, "correlationId": int.from_bytes(raw[4:8], "big", signed=True), "clientId": client, "topic": topic, "summary": f"{name.upper()}{f' topic={topic}' if topic else ''} (v{version})"})
+        out.append({"at": start, "apiKey": name, "apiVersion": version, "correlationId": int.from_bytes(raw[4:8], "big", signed=True), "clientId": client, "topic": topic, "summary": f"{name.upper()}{f' topic={topic}' if topic else ''} (v{version})"})
     return out
 
 
 def responses(data: bytes, asked: dict[int, tuple[str, int]]) -> list[dict]:
     """Responses in order with the first error code, where the request's layout is known."""
     out = []
-    for raw in _framed(data):
+    for start, raw in _framed(data):
         number = int.from_bytes(raw[:4], "big", signed=True)
         name, version = asked.get(number, ("", 0))
         code = 0
@@ -62,5 +62,5 @@ def responses(data: bytes, asked: dict[int, tuple[str, int]]) -> list[dict]:
             code = int.from_bytes(raw[at : at + 2], "big", signed=True)
         elif name == "ApiVersions":
             code = int.from_bytes(raw[4:6], "big", signed=True)
-        out.append({"correlationId": number, "apiKey": name, "errorCode": code, "status": "error" if code else "success"})
+        out.append({"at": start, "correlationId": number, "apiKey": name, "errorCode": code, "status": "error" if code else "success"})
     return out

@@ -53,6 +53,6 @@ def messages(data: bytes) -> list[dict]:
         if body is not None:
             name = next(iter(body), "")
             ok = body.get("ok", 1) in (1, 1.0, True) and "$err" not in body
-            out.append({"number": number, "answers": answers, "command": name, "collection": body[name] if isinstance(body.get(name), str) else "", "database": body.get("$db") or "", "ok": ok, "errmsg": body.get("errmsg") or body.get("$err") or "", "status": "success" if ok else "error"})
+            out.append({"at": at, "number": number, "answers": answers, "command": name, "collection": body[name] if isinstance(body.get(name), str) else "", "database": body.get("$db") or "", "ok": ok, "errmsg": body.get("errmsg") or body.get("$err") or "", "status": "success" if ok else "error"})
         at += size
     return out

@@ -8,14 +8,14 @@ _SILENT = ("QUIT", "STMT_CLOSE")
 _SSL = 0x0800
 
 
-def packets(data: bytes) -> list[tuple[int, bytes]]:
-    """(sequence number, content) of the complete packets."""
+def packets(data: bytes) -> list[tuple[int, bytes, int]]:
+    """(sequence number, content, place) of the complete packets."""
     out, at = [], 0
     while at + 4 <= len(data):
         size = int.from_bytes(data[at : at + 3], "little")
         if at + 4 + size > len(data):
             break
-        out.append((data[at + 3], data[at + 4 : at + 4 + size]))
+        out.append((data[at + 3], data[at + 4 : at + 4 + size], at))
         at += 4 + size
     return out
 
@@ -31,14 +31,14 @@ def _number(raw: bytes, at: int) -> int:
 def requests(data: bytes) -> list[dict]:
     """Commands in order, up to a switch to TLS."""
     out = []
-    for number, raw in packets(data):
+    for number, raw, start in packets(data):
         if number == 1 and not out and len(raw) == 32 and int.from_bytes(raw[:2], "little") & _SSL:
             break  # what follows is encrypted
         if number or not raw or raw[0] not in COMMANDS:
             continue
         name = COMMANDS[raw[0]]
         text = raw[1:].decode("utf-8", "replace") if name in ("QUERY", "STMT_PREPARE", "INIT_DB") else str(int.from_bytes(raw[1:5], "little")) if name.startswith("STMT") else ""
-        out.append({"command": name, "query": text, "answered": name not in _SILENT})
+        out.append({"at": start, "command": name, "query": text, "answered": name not in _SILENT})
     return out
 
 
@@ -53,17 +53,17 @@ def responses(data: bytes, commands: list[str]) -> list[dict]:
             at += 1
         if at >= len(flow):
             break
-        raw = flow[at][1]
+        _, raw, start = flow[at]
         at += 1
         mark = raw[0] if raw else 0
         if mark == 0xFF:
             text = raw[3:]
             text = text[6:] if text[:1] == b"#" else text
-            out.append({"errorCode": int.from_bytes(raw[1:3], "little"), "errorMessage": text.decode("utf-8", "replace"), "rowCount": 0, "status": "error"})
+            out.append({"at": start, "errorCode": int.from_bytes(raw[1:3], "little"), "errorMessage": text.decode("utf-8", "replace"), "rowCount": 0, "status": "error"})
             continue
         rows, ends = 0, 0
         if mark == 0 or name in ("PING", "INIT_DB"):
-            out.append({"errorCode": 0, "errorMessage": "", "rowCount": _number(raw, 1) if name in ("QUERY", "STMT_EXECUTE") else 0, "status": "success"})
+            out.append({"at": start, "errorCode": 0, "errorMessage": "", "rowCount": _number(raw, 1) if name in ("QUERY", "STMT_EXECUTE") else 0, "status": "success"})
             continue
         columns = _number(raw, 0)
         seen = 0
@@ -77,5 +77,5 @@ def responses(data: bytes, commands: list[str]) -> list[dict]:
             else:
                 seen += 1
                 rows += seen > columns
-        out.append({"errorCode": 0, "errorMessage": "", "rowCount": rows, "status": "success"})
+        out.append({"at": start, "errorCode": 0, "errorMessage": "", "rowCount": rows, "status": "success"})
     return out

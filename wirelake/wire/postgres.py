@@ -10,8 +10,8 @@ TYPES = {16: "bool", 17: "bytea", 20: "int8", 21: "int2", 23: "int4", 25: "text"
 FIELDS = {"S": "severity", "C": "code", "M": "message", "D": "detail", "H": "hint", "W": "where"}
 
 
-def records(data: bytes, client: bool) -> list[tuple[str, bytes]]:
-    """(type, content) of the complete messages; a start-up message has type ''."""
+def records(data: bytes, client: bool) -> list[tuple[str, bytes, int]]:
+    """(type, content, place) of the complete messages; a start-up message has type ''."""
     out, at = [], 0
     while at + 4 < len(data):
         if client and not out and data[at] == 0:
@@ -21,7 +21,7 @@ def records(data: bytes, client: bool) -> list[tuple[str, bytes]]:
         end = head + size - 4
         if size < 4 or end > len(data):
             break
-        out.append((kind, data[head:end]))
+        out.append((kind, data[head:end], at))
         at = end
     return out
 
@@ -35,9 +35,9 @@ def _text(raw: bytes, at: int = 0) -> tuple[str, int]:
 def requests(data: bytes) -> list[dict]:
     """Queries in order: text, statement, portal and parameters."""
     out, statements, portals = [], OrderedDict(), {}
-    for kind, raw in records(data, True):
+    for kind, raw, start in records(data, True):
         if kind == "Q":
-            out.append({"query": _text(raw)[0], "statementName": "", "portal": "", "params": []})
+            out.append({"at": start, "query": _text(raw)[0], "statementName": "", "portal": "", "params": []})
         elif kind == "P":
             name, at = _text(raw)
             statements[name] = _text(raw, at)[0]
@@ -66,14 +66,14 @@ def requests(data: bytes) -> list[dict]:
         elif kind == "E":
             portal = _text(raw)[0]
             name, params = portals.get(portal, ("", []))
-            out.append({"query": statements.get(name, ""), "statementName": name, "portal": portal, "params": params})
+            out.append({"at": start, "query": statements.get(name, ""), "statementName": name, "portal": portal, "params": params})
     return out
 
 
 def responses(data: bytes) -> list[dict]:
     """Completions and errors in order, each with the rows and columns before it."""
     out, rows, columns, status = [], 0, [], deque()
-    for kind, raw in records(data, False):
+    for kind, raw, start in records(data, False):
         if kind == "T":
             columns, at = [], 2
             for _ in range(int.from_bytes(raw[:2], "big")):
@@ -85,7 +85,7 @@ def responses(data: bytes) -> list[dict]:
             rows += 1
         elif kind in "CI":
             tag = _text(raw)[0] if kind == "C" else ""
-            out.append({"summary": f"{tag} ({rows} rows)" if rows else tag, "tag": tag, "rowCount": rows or (int(tag.split()[-1]) if tag and tag.split()[-1].isdigit() else 0), "columns": columns, "status": "success"})
+            out.append({"at": start, "summary": f"{tag} ({rows} rows)" if rows else tag, "tag": tag, "rowCount": rows or (int(tag.split()[-1]) if tag and tag.split()[-1].isdigit() else 0), "columns": columns, "status": "success"})
             status.append(out[-1])
             rows, columns = 0, []
         elif kind == "E":
@@ -95,7 +95,7 @@ def responses(data: bytes) -> list[dict]:
                 if (name := FIELDS.get(chr(raw[at]))) is not None:
                     error[name] = value
                 at = nxt
-            out.append({"summary": f"{error.get('message', '')} ({error.get('code', '')})", "error": error, "rowCount": 0, "columns": [], "status": "error"})
+            out.append({"at": start, "summary": f"{error.get('message', '')} ({error.get('code', '')})", "error": error, "rowCount": 0, "columns": [], "status": "error"})
             status.append(out[-1])
             rows, columns = 0, []
         elif kind == "Z":

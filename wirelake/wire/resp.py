@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .preview import shown
+
 MOST_DEPTH, MOST_ITEMS, MOST_ARGS = 64, 1 << 20, 64
 
 
@@ -55,25 +57,30 @@ def value(data: bytes, at: int = 0, depth: int = 0):
     return (kind, items), at
 
 
-def values(data: bytes) -> list:
-    """All complete values; attributes are dropped from in front of theirs."""
+def placed(data: bytes) -> list[tuple[int, tuple]]:
+    """(place, value) of all complete values; attributes are dropped from in front of theirs."""
     out, at = [], 0
     while at < len(data):
         try:
+            start = at
             item, at = value(data, at)
         except (Short, Bad):
             break
         if item[0] != "|":
-            out.append(item)
+            out.append((start, item))
     return out
 
 
+def values(data: bytes) -> list:
+    return [v for _, v in placed(data)]
+
+
 def command(item) -> tuple[str, list[str]] | None:
     """(name, arguments) of a request, at most MOST_ARGS of them."""
     kind, content = item
     if kind not in ("*", "inline") or not content:
         return None
-    words = [(c or b"").decode("utf-8", "replace") if not isinstance(c, list) else "" for _, c in content]
+    words = [shown(c or b"") if not isinstance(c, list) else "" for _, c in content]
     return words[0].upper(), words[1 : MOST_ARGS + 1]
 
 
@@ -96,4 +103,4 @@ def reply(item) -> tuple[str, str, str]:
         return f"({KINDS[kind]}) {count} items", KINDS[kind], status
     if kind == "=":
         content = content[4:]
-    return content.decode("utf-8", "replace"), KINDS.get(kind, "inline"), status
+    return shown(content), KINDS.get(kind, "inline"), status
