@@ -221,6 +221,14 @@ def test_api(spark):
     assert t.summary(filter="status == error").first()["count"] == 10 and t.graph().count() == 1 and t.timeline(bucket="10", since="40s").count() == 5
     assert t.field_values("status").count() == 3 and t.fields().count() == 81 and t.list_namespaces().first().key == "shop" and t.metrics().count() == 4
     assert t.diff(("40s", "21s"), ("20s", "0.001s")).count() == 2 and t.error_clusters().count() == 1
+    page = t.entries(limit=3)
+    assert t.next_cursor(page, 3) == 38 and t.next_cursor(t.entries(before_seq=3, limit=3), 3) is None
+    assert [r.seq for r in t.entries_table("latency", "desc", limit=2).collect()] == [40, 39] and [r.seq for r in t.entries_table("bytes", "asc", limit=2).collect()] == [40, 39]
+    assert [r.key for r in t.top(sort="errRate").collect()] == ["shop/a", "shop/b"]
+    with pytest.raises(ValueError):
+        t.entries_table("colour")
+    with pytest.raises(ValueError):
+        t.top(sort="colour").count()
     assert capped("é" * 10, 5).startswith("éé\n") and capped("abc") == "abc"
 
 
@@ -242,3 +250,21 @@ def test_clauses():
         assert ifl.parse(source) is not None
     assert clauses.expects("")[0] == "field" and clauses.expects("http.me") == ("field", ["http.method"]) and clauses.expects("http.method ")[0] == "operator"
     assert clauses.expects("http.method == ")[0] == "value" and clauses.expects("http.method == GET ") == ("boolean", ["and", "or"])
+
+
+def test_line_diff(spark):
+    rng = random.Random(4)
+    texts = [("\n".join(rng.choices("abc", k=rng.randint(0, 12))), "\n".join(rng.choices("abc", k=rng.randint(0, 12)))) for _ in range(60)]
+    rows = texts + [("a\nb\nc", "a\nx\nc"), (None, "q"), ("x\n" * 500, "y")]
+    got = compare.line_diff(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, before string, after string")).orderBy("i").collect()
+    assert [(c.op, c.line) for c in got[60].changes] == [("same", "a"), ("del", "b"), ("add", "x"), ("same", "c")]
+    assert [(c.op, c.line) for c in got[61].changes] == [("del", ""), ("add", "q")] and got[62].changes is None
+    for (old, new), r in zip(texts, got, strict=False):
+        assert [c.line for c in r.changes if c.op != "add"] == old.split("\n") and [c.line for c in r.changes if c.op != "del"] == new.split("\n")
+        a, b = old.split("\n"), new.split("\n")
+        best = [0] * (len(b) + 1)
+        for x in a:
+            before = list(best)
+            for j, y in enumerate(b):
+                best[j + 1] = before[j] + 1 if x == y else max(before[j + 1], best[j])
+        assert sum(c.op == "same" for c in r.changes) == best[-1]

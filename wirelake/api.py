@@ -47,6 +47,13 @@ class Traffic:
     def entry(self, id: str) -> DataFrame:
         return history.by_id(self._entries, id)
 
+    def entries_table(self, column="time", order="desc", filter="", since="", until="", limit=None) -> DataFrame:
+        return history.sorted_table(self._entries, column, order, history.clamp(limit, 200, CAPACITY), filter, *self._range(since, until))
+
+    def next_cursor(self, page: DataFrame, limit=None) -> int | None:
+        """What to pass as ``before_seq`` for the page after ``page``, None at the end."""
+        return history.next_cursor(page, history.clamp(limit, 200, CAPACITY))
+
     def stats(self) -> DataFrame:
         """Totals and trailing windows as (kind, name, count)."""
         windows = stats.trailing_windows(self._entries, self.now).select(F.lit("window").alias("kind"), F.col("seconds").cast("string").alias("name"), F.col("entries").alias("count"))
@@ -58,6 +65,9 @@ class Traffic:
     def summary(self, group_by="workload", filter="", since="", until="", limit=None) -> DataFrame:
         return sums.summary(self._entries, group_by, history.clamp(limit, 50, 1000), filter, *self._range(since, until))
 
+    def top(self, group_by="workload", sort="calls", order="desc", filter="", since="", until="", limit=None) -> DataFrame:
+        return sums.top_view(self._entries, group_by, sort, order, history.clamp(limit, 50, 1000), filter, *self._range(since, until))
+
     def timeline(self, bucket=None, filter="", since="", until="") -> DataFrame:
         a, b = self._range(since, until)
         b = b or self.now
@@ -88,7 +98,9 @@ class Traffic:
         return stats.workers(self._reports, self.now)
 
     def metrics(self) -> DataFrame:
-        return stats.exposition(stats.totals(self._entries))
+        """Lines of the totals and, where there are reports, of each worker."""
+        lines = stats.exposition(stats.totals(self._entries))
+        return lines if self._reports is None else lines.unionByName(stats.worker_exposition(self.workers()))
 
     def export_pcap(self, path: str, filter="", since="", until="", limit=None) -> int:
         from .wire import pcap

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +61,37 @@ def error_clusters(entries: DataFrame, filter: str = "", since=None, until=None,
     )
     out = out.orderBy(F.desc("count"), "summary")
     return out if limit is None else out.limit(limit)
+
+
+#: Lines of a text up to which two are compared.
+MOST_LINES = 400
+
+
+def line_diff(pairs: DataFrame, before: str = "before", after: str = "after") -> DataFrame:
+    """``pairs`` with ``changes``: the lines of two texts as an array of (op, line), op being same, del
+    or add, with as many lines alike as possible. Null for texts of over MOST_LINES lines, which are
+    shown side by side; null texts count as empty. Of equally good ways a line goes before one comes."""
+
+    def changes(old: list[str], new: list[str]):
+        if max(len(old), len(new)) > MOST_LINES:
+            return None
+        y = np.array(new, dtype=object)
+        common = np.zeros((len(old) + 1, len(new) + 1), np.int32)  # lines alike from here on
+        for i in range(len(old) - 1, -1, -1):
+            best = np.maximum(common[i + 1, :-1], common[i + 1, 1:] + (y == old[i]))
+            common[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+        out, j = [], 0
+        for i, line in enumerate(old):
+            while j < len(new) and new[j] != line and common[i, j + 1] > common[i + 1, j]:
+                out.append({"op": "add", "line": new[j]})
+                j += 1
+            same = j < len(new) and new[j] == line
+            out.append({"op": "same" if same else "del", "line": line})
+            j += same
+        return out + [{"op": "add", "line": line} for line in new[j:]]
+
+    @F.pandas_udf("array<struct<op: string, line: string>>")
+    def compared(old: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([changes(a.split("\n"), b.split("\n")) for a, b in zip(old, new, strict=True)], dtype=object)
+
+    return pairs.withColumn("changes", compared(F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))))

@@ -63,7 +63,7 @@ def sessions(packets: DataFrame, idle_seconds: int = 20) -> DataFrame:
         flag_names(F.coalesce(F.bit_or(F.when(client, bits)), F.lit(0))).alias("client_flags"),
         flag_names(F.coalesce(F.bit_or(F.when(~client, bits)), F.lit(0))).alias("server_flags"),
         F.max("mss").alias("mss"),
-        F.max_by("window", "ts").alias("window"),
+        F.max_by("window", F.struct("ts", "seq")).alias("window"),
         ((first(SYN | ACK) - first(SYN)) / 1000.0).alias("rtt_ms"),
     )
 
@@ -71,35 +71,32 @@ def sessions(packets: DataFrame, idle_seconds: int = 20) -> DataFrame:
 def retransmits(packets: DataFrame) -> DataFrame:
     """(conn, src, sport, retransmits): segments with data that start before what is expected
     next, where only a segment that starts there moves the expectation. That depends on each
-    segment in turn, so a direction of a connection is walked in order; it is read in slices and
-    keeps one number."""
+    segment in turn, in order of ts, seq and length, so a direction of a connection is walked by one
+    task, batch by batch; two numbers are kept."""
     import pandas as pd
 
-    def walk(key, frames):
-        want, count = None, 0
-        for frame in frames:
-            for seq, size in zip(frame["seq"].tolist(), frame["length"].tolist(), strict=True):
-                if not size:
-                    continue
-                if want is None or seq == want:
-                    want = seq + size
-                elif seq < want:
-                    count += 1
-        yield pd.DataFrame([(*key, count)], columns=["conn", "src", "sport", "retransmits"])
-
-    rows = packets.select("conn", "src", "sport", "ts", "seq", "length").repartition("conn", "src", "sport").sortWithinPartitions("conn", "src", "sport", "ts")
+    keys = ["conn", "src", "sport"]
 
     def run(frames):
-        key, held = None, []
+        key, want, count = None, None, 0
         for frame in frames:
-            for k, part in frame.groupby(["conn", "src", "sport"], sort=False):
-                if key is not None and k != key:
-                    yield from walk(key, held)
-                    held = []
-                key = k
-                held.append(part)
+            done = []
+            for k, part in frame.groupby(keys, sort=False, dropna=False):
+                if k != key:
+                    if key is not None:
+                        done.append((*key, count))
+                    key, want, count = k, None, 0
+                for seq, size in zip(part["seq"].tolist(), part["length"].tolist(), strict=True):
+                    if not size:
+                        continue
+                    if want is None or seq == want:
+                        want = seq + size
+                    elif seq < want:
+                        count += 1
+            yield pd.DataFrame(done, columns=[*keys, "retransmits"])
         if key is not None:
-            yield from walk(key, held)
+            yield pd.DataFrame([(*key, count)], columns=[*keys, "retransmits"])
 
+    rows = packets.select(*keys, "ts", "seq", "length").repartition(*keys).sortWithinPartitions(*keys, "ts", "seq", "length")
     kinds = {f.name: f.dataType.simpleString() for f in packets.schema.fields}
     return rows.mapInPandas(run, f"conn {kinds['conn']}, src {kinds['src']}, sport {kinds['sport']}, retransmits bigint")

@@ -66,6 +66,28 @@ def top_k(entries: DataFrame, sort: str, order: str = "desc", limit: int = 200,
     return rows.orderBy(value.asc() if order == "asc" else value.desc(), F.desc("seq")).limit(limit)
 
 
+#: Columns that a table of entries is sorted by.
+TABLE_COLUMNS = {"proto": "protocol", "status": "status", "latency": "elapsedMs", "time": "timestamp", "node": "node", "bytes": "request.bytes", "packets": "request.packets"}
+
+
+def sorted_table(entries: DataFrame, column: str, order: str = "asc", limit: int = 200, filter: str = "", since=None, until=None) -> DataFrame:
+    """The first matching entries in order of a column of the table; absent texts count as empty and
+    absent numbers as zero, and ties go to the newer entry."""
+    if column not in TABLE_COLUMNS:
+        raise ValueError(f"{column!r} is no column to sort by")
+    value = F.col(TABLE_COLUMNS[column])
+    if column != "time":
+        value = F.coalesce(value, F.lit("" if column in ("proto", "status", "node") else 0))
+    return matching(entries, filter, since, until).orderBy(value.desc() if order == "desc" else value.asc(), F.desc("seq")).limit(limit)
+
+
+def next_cursor(page: DataFrame, limit: int) -> int | None:
+    """The ``before_seq`` of the page after a newest-first one; None where this one isn't full, so
+    nothing older is left."""
+    seen = page.agg(F.count("*").alias("n"), F.min("seq").alias("seq")).first()
+    return seen.seq if seen.n and seen.n >= limit else None
+
+
 def replay(entries: DataFrame, filter: str = "", limit: int = 500) -> DataFrame:
     """What a new subscriber is sent first: the newest matching entries, oldest first."""
     return latest(entries, limit, filter).orderBy("seq")

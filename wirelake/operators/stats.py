@@ -62,3 +62,15 @@ def exposition(totals: DataFrame, prefix: str = "wirelake") -> DataFrame:
     name = F.when(F.col("kind") == "total", f"{prefix}_entries_total").otherwise(F.concat(F.lit(f"{prefix}_entries_by_"), F.col("kind"), F.lit("_total")))
     labels = F.when(F.col("kind") == "total", "").otherwise(F.concat(F.lit("{"), F.col("kind"), F.lit('="'), F.regexp_replace("name", r'(["\\])', r"\\$1"), F.lit('"}')))
     return totals.select(F.concat(name, labels, F.lit(" "), F.col("count").cast("string")).alias("line")).orderBy("line")
+
+
+def worker_exposition(workers: DataFrame, prefix: str = "wirelake") -> DataFrame:
+    """Text lines of each worker: entries received and whether it is connected, and every other whole
+    number that it reports, as a counter of its name."""
+    node = F.concat(F.lit('{node="'), F.regexp_replace("node", r'(["\\])', r"\\$1"), F.lit('"} '))
+    numbers = [f.name for f in workers.schema.fields if f.dataType.simpleString() in ("bigint", "int") and f.name != "entries"]
+    names = {"entries": "entries_total", "connected": "connected"}
+    for n in numbers:
+        names[n] = f"{''.join('_' + c.lower() if c.isupper() else c for c in n)}_total"
+    lines = [F.concat(F.lit(f"{prefix}_worker_{shown}"), node, F.coalesce(F.col(n).cast("bigint"), F.lit(0)).cast("string")) for n, shown in names.items()]
+    return workers.select(F.explode(F.array(*lines)).alias("line")).orderBy("line")

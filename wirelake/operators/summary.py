@@ -67,6 +67,16 @@ def summary(entries: DataFrame, by: str = "workload", limit: int | None = 50, fi
     return out if limit is None else out.limit(limit)
 
 
+def top_view(entries: DataFrame, by: str = "workload", sort: str = "calls", order: str = "desc", limit: int | None = 50, filter: str = "", since=None, until=None) -> DataFrame:
+    """Keys in order of their calls, share of errors (errRate), p50 or p95; ties by key. All keys are
+    sorted, not only the busiest."""
+    values = {"calls": F.col("count"), "errRate": F.col("errors") / F.col("count"), "p50": F.col("p50"), "p95": F.col("p95")}
+    if sort not in values:
+        raise ValueError(f"can't sort by {sort!r}")
+    out = summarise(matching(entries, filter, since, until), by).orderBy(values[sort].asc() if order == "asc" else values[sort].desc(), "key")
+    return out if limit is None else out.limit(limit)
+
+
 def list_namespaces(entries: DataFrame) -> DataFrame:
     return summary(entries, "namespace", 200)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as fn
 from .operators import compare, exporting, facets, flows, history, identity, pairing, stats
-from .operators.summary import graph, label, map_edges, map_nodes, summary, timeline
+from .operators.summary import graph, label, map_edges, map_nodes, summary, timeline, top_view
 from .plans import fields, ifl
 from .schema import text
 from .session import prepare, scratch_dir
@@ -63,7 +63,7 @@ _FILTERS = {
     "filter_case_fold": ('STATUS == "Error" or Http.Method == "post"', "lower(status) = 'error' OR lower(method) = 'post'"),
     "filter_numeric": ("elapsedMs >= 250 and response.status < 500", "ms >= 250 AND code < 500"),
     "filter_numeric_text": ("response.status == 503.0 or response.status == 404", "CAST(code AS VARCHAR) = '503.0' OR CAST(code AS VARCHAR) = '404'"),
-    "filter_zero_value": ("bytes < 10 and not (l4.ttl < 10)", "TRUE"),
+    "filter_zero_value": ("bytes < 10 and not (l4.ttl < 10) and elapsedMs < 100", "ms < 100"),
     "filter_in": ("response.status in (404, 503)", "code IN (404, 503)"),
     "filter_contains": ('request.path contains "SIGNUP"', "contains(lower(path), 'signup')"),
     "filter_startswith": ('request.path startswith "/View"', "starts_with(lower(path), '/view')"),
@@ -148,6 +148,16 @@ def history_replay(spark, sf_dir):
     return _rows(history.replay(events_as_entries(spark, sf_dir), "protocol == redis"))
 
 
+@query(f"{_FLAT} SELECT {_ROW} FROM l ORDER BY status DESC, seq DESC LIMIT 300")
+def table_sort_status(spark, sf_dir):
+    return _rows(history.sorted_table(events_as_entries(spark, sf_dir), "status", "desc", 300))
+
+
+@query(f"{_FLAT} SELECT {_ROW} FROM l WHERE protocol <> 'tcp' ORDER BY ts, seq DESC LIMIT 120")
+def table_sort_time(spark, sf_dir):
+    return _rows(history.sorted_table(events_as_entries(spark, sf_dir), "time", "asc", 120, "protocol != tcp"))
+
+
 @query(f"""{_FLAT}, n AS (SELECT *, row_number() OVER (ORDER BY seq DESC) AS r FROM l),
  s AS (SELECT *, sum(length(path)) OVER (ORDER BY seq DESC) AS used FROM n WHERE r <= 900) SELECT {_ROW} FROM s WHERE used <= 9000""")
 def retention_view(spark, sf_dir):
@@ -176,6 +186,16 @@ def summary_filtered(spark, sf_dir):
     return _flat_summary(summary(events_as_entries(spark, sf_dir), "workload", None, 'status != "success"'))
 
 
+@query(f"{_FLAT}, k AS ({_BOTH}) SELECT key, {_MEASURES}{_SEEN} FROM k GROUP BY key ORDER BY count(*) FILTER (status = 'error') / count(*) DESC, key LIMIT 12")
+def top_view_errors(spark, sf_dir):
+    return _flat_summary(top_view(events_as_entries(spark, sf_dir), sort="errRate", limit=12))
+
+
+@query(f"{_FLAT}, k AS ({_BOTH}) SELECT key, {_MEASURES}{_SEEN} FROM k GROUP BY key ORDER BY p95, key LIMIT 12")
+def top_view_p95(spark, sf_dir):
+    return _flat_summary(top_view(events_as_entries(spark, sf_dir), sort="p95", order="asc", limit=12))
+
+
 @query(f"{_FLAT}, k AS (SELECT sns AS key, * FROM l WHERE sns <> '' UNION ALL SELECT dns, * FROM l WHERE dns <> '' AND dns <> sns) SELECT key, {_MEASURES}{_SEEN} FROM k GROUP BY key")
 def summary_namespace(spark, sf_dir):
     return _flat_summary(summary(events_as_entries(spark, sf_dir), "namespace", None))
@@ -249,13 +269,14 @@ def client_map_edges(spark, sf_dir):
 
 @query(f"""{_FLAT}, k AS (SELECT *, ts BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-09' AS b, ts BETWEEN TIMESTAMP '2024-01-16' AND TIMESTAMP '2024-01-23' AS a FROM ({_BOTH})),
  g AS (SELECT key, count(*) FILTER (b) AS before_count, count(*) FILTER (b AND status = 'error') AS before_errors, CAST(coalesce(quantile_disc(ms, 0.95) FILTER (b), 0) AS BIGINT) AS before_p95,
-  count(*) FILTER (a) AS after_count, count(*) FILTER (a AND status = 'error') AS after_errors, CAST(coalesce(quantile_disc(ms, 0.95) FILTER (a), 0) AS BIGINT) AS after_p95 FROM k WHERE a OR b GROUP BY key)
- SELECT key, before_count, before_errors, before_p95, after_count, after_errors, after_p95,
+  count(*) FILTER (a) AS after_count, count(*) FILTER (a AND status = 'error') AS after_errors, CAST(coalesce(quantile_disc(ms, 0.95) FILTER (a), 0) AS BIGINT) AS after_p95 FROM k WHERE a OR b GROUP BY key),
+ r AS (SELECT *, CASE WHEN before_count > 0 THEN before_errors / before_count ELSE 0.0::DOUBLE END AS before_rate, CASE WHEN after_count > 0 THEN after_errors / after_count ELSE 0.0::DOUBLE END AS after_rate FROM g)
+ SELECT key, before_rate, after_rate, after_rate - before_rate AS rate_delta, before_count, before_errors, before_p95, after_count, after_errors, after_p95,
   CASE WHEN before_count = 0 THEN 'appeared' WHEN after_count = 0 THEN 'disappeared' ELSE 'changed' END AS status,
-  after_count - before_count AS count_delta, after_errors - before_errors AS errors_delta, after_p95 - before_p95 AS p95_delta FROM g""")
+  after_count - before_count AS count_delta, after_errors - before_errors AS errors_delta, after_p95 - before_p95 AS p95_delta FROM r""")
 def diff_windows(spark, sf_dir):
     day = lambda d: datetime(2024, 1, d, tzinfo=UTC)
-    return compare.diff(events_as_entries(spark, sf_dir), (day(2), day(9)), (day(16), day(23)), limit=None).drop("before_rate", "after_rate", "rate_delta")
+    return compare.diff(events_as_entries(spark, sf_dir), (day(2), day(9)), (day(16), day(23)), limit=None)
 
 
 @query(f"""{_FLAT}, n AS (SELECT * FROM l WHERE status IN ('error', 'warning') ORDER BY seq DESC LIMIT 2000)
@@ -323,6 +344,14 @@ def worker_registry(spark, sf_dir):
     return stats.workers(reports, datetime(2024, 1, 30, tzinfo=UTC), 10**9).select("node", F.unix_micros("at").alias("at_us"), "entries", "connected")
 
 
+@query("""WITH w AS (SELECT 'node-' || (user_id % 5) AS node, sum(event_id)::BIGINT AS n, max_by(value, (ts, value)) > 100 AS c, max(event_id) AS d FROM events GROUP BY 1)
+ SELECT 'wirelake_worker_entries_total{node="' || node || '"} ' || n AS line FROM w UNION ALL SELECT 'wirelake_worker_connected{node="' || node || '"} ' || CAST(c AS INTEGER) FROM w UNION ALL SELECT 'wirelake_worker_ring_drops_total{node="' || node || '"} ' || d FROM w""")
+def worker_metrics(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events").withColumn("node", F.concat(F.lit("node-"), F.col("user_id") % 5))
+    w = e.groupBy("node").agg(F.sum("event_id").alias("entries"), (F.max_by("value", F.struct("ts", "value")) > 100).alias("connected"), F.max("event_id").alias("ringDrops"))
+    return stats.worker_exposition(w)
+
+
 # --- joins -------------------------------------------------------------------------------------
 
 
@@ -377,7 +406,10 @@ def l4_attach(spark, sf_dir):
 
 
 _PACKETS = """p AS (SELECT user_id % 40 AS conn, ts, event_id AS seq, 40000 + user_id % 2 * 20000 AS sport, 50000 AS dport, CAST(floor(value) AS BIGINT) AS length,
- CAST(CASE event_type WHEN 'signup' THEN 17 WHEN 'view' THEN 24 WHEN 'error' THEN 2 ELSE 16 END AS INTEGER) AS flags FROM events)"""
+ CAST(CASE event_type WHEN 'signup' THEN 17 WHEN 'view' THEN 24 WHEN 'error' THEN 2 WHEN 'click' THEN 18 ELSE 48 END AS INTEGER) AS flags,
+ event_id % 700 + 800 AS mss, event_id % 60000 AS win FROM events)"""
+# Flags of one side by name.
+_FLAGS = lambda side: "concat_ws(',', " + ", ".join(f"CASE WHEN coalesce(bit_or(flags) FILTER ({side}), 0) & {b} <> 0 THEN '{n}' END" for n, b in (("SYN", 2), ("ACK", 16), ("FIN", 1), ("RST", 4), ("PSH", 8), ("URG", 32))) + ")"
 
 
 @query(f"""WITH {_PACKETS}, g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 14400000000, FALSE) AS gap, flags & 18 = 2 AS syn,
@@ -385,14 +417,16 @@ _PACKETS = """p AS (SELECT user_id % 40 AS conn, ts, event_id AS seq, 40000 + us
  h AS (SELECT *, coalesce(max(CASE WHEN gap OR syn THEN ends END) OVER (PARTITION BY conn ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS known FROM g),
  s AS (SELECT *, CAST(sum(CAST(gap OR (syn AND ends > known) AS INTEGER)) OVER (PARTITION BY conn ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM h),
  c AS (SELECT *, coalesce(max(flags & 5 <> 0) OVER (PARTITION BY conn, session ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS closed FROM s)
- SELECT conn, session, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) AS ended_us, count(*) AS packets, sum(length)::BIGINT AS bytes, coalesce(sum(length) FILTER (sport >= dport), 0)::BIGINT AS client_bytes, count(*) FILTER (sport < dport) AS server_packets
+ SELECT conn, session, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) AS ended_us, count(*) AS packets, sum(length)::BIGINT AS bytes, coalesce(sum(length) FILTER (sport >= dport), 0)::BIGINT AS client_bytes, count(*) FILTER (sport < dport) AS server_packets,
+  coalesce(sum(length) FILTER (sport < dport), 0)::BIGINT AS server_bytes, count(*) FILTER (sport >= dport) AS client_packets, {_FLAGS('sport >= dport')} AS client_flags, {_FLAGS('sport < dport')} AS server_flags,
+  max(mss) AS mss, max_by(win, (ts, seq)) AS window_size, coalesce((min(epoch_us(ts)) FILTER (flags & 18 = 18) - min(epoch_us(ts)) FILTER (flags & 18 = 2)) / 1000, -1e9) AS rtt_ms
  FROM c WHERE NOT closed GROUP BY conn, session""")
 def flow_sessions(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
     packets = e.select((F.col("user_id") % 40).alias("conn"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("src"), (40000 + F.col("user_id") % 2 * 20000).alias("sport"), F.lit(50000).alias("dport"), F.floor("value").cast("bigint").alias("length"),
-                       F.expr("CASE event_type WHEN 'signup' THEN 17 WHEN 'view' THEN 24 WHEN 'error' THEN 2 ELSE 16 END").alias("flags"), F.lit(1460).alias("mss"), F.lit(65535).alias("window"))
+                       F.expr("CASE event_type WHEN 'signup' THEN 17 WHEN 'view' THEN 24 WHEN 'error' THEN 2 WHEN 'click' THEN 18 ELSE 48 END").alias("flags"), (F.col("event_id") % 700 + 800).alias("mss"), (F.col("event_id") % 60000).alias("window"))
     out = flows.sessions(packets, 4 * 3600)
-    return out.select("conn", "session", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "packets", "bytes", "client_bytes", "server_packets")
+    return out.select("conn", "session", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "packets", "bytes", "client_bytes", "server_bytes", "client_packets", "server_packets", "client_flags", "server_flags", "mss", F.col("window").alias("window_size"), F.coalesce("rtt_ms", F.lit(-1e9)).alias("rtt_ms"))
 
 
 # --- every field ---------------------------------------------------------------------------------
@@ -521,14 +555,18 @@ def json_roundtrip(spark, sf_dir):
     return from_json_lines(lines).groupBy(label("src").alias("src"), label("dst").alias("dst")).agg(F.count("*").alias("count"))
 
 
-@query(f"""{_FLAT} SELECT id, epoch_us(ts) AS at_us, protocol, status, CAST(code AS INTEGER) AS "statusCode", ms AS "elapsedMs", sip AS source, dip AS destination, method, path, coalesce(props, '') AS request, said AS response
- FROM l WHERE protocol = 'postgres'""")
+@query(f"""{_FLAT} SELECT id, epoch_us(ts) AS at_us, protocol, status, CAST(code AS INTEGER) AS "statusCode", ms AS "elapsedMs", sip AS source, -1 AS "sourcePort", dip AS destination, CAST(dport AS INTEGER) AS "destinationPort", method, path, coalesce(props, '') AS request, said AS response
+ FROM l""")
 def csv_export(spark, sf_dir):
-    df = exporting.csv_rows(history.matching(events_as_entries(spark, sf_dir), "protocol == postgres"))
-    return df.withColumn("at_us", F.unix_micros("timestamp")).drop("timestamp", "sourcePort", "destinationPort")
+    """All entries; they have no source port, shown as -1."""
+    df = exporting.csv_rows(events_as_entries(spark, sf_dir))
+    return df.withColumn("at_us", F.unix_micros("timestamp")).withColumn("sourcePort", F.coalesce("sourcePort", F.lit(-1))).drop("timestamp")
 
 
-@query()
+@query("""WITH RECURSIVE p AS MATERIALIZED (SELECT user_id % 40 AS conn, event_id % 100 AS seq, event_id % 7 AS n, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id % 100, event_id % 7) AS r FROM events WHERE event_id % 7 > 0),
+ w AS (SELECT conn, r, seq + n AS want, 0 AS again FROM p WHERE r = 1
+  UNION ALL SELECT p.conn, p.r, CASE WHEN p.seq = w.want THEN p.seq + p.n ELSE w.want END, w.again + CASE WHEN p.seq < w.want THEN 1 ELSE 0 END FROM w JOIN p ON p.conn = w.conn AND p.r = w.r + 1)
+ SELECT c.conn, '10.0.0.1' AS src, 4000 AS sport, coalesce(max(again), 0)::BIGINT AS retransmits FROM (SELECT DISTINCT user_id % 40 AS conn FROM events) c LEFT JOIN w ON c.conn = w.conn GROUP BY c.conn""")
 def retransmits(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
     return flows.retransmits(e.select((F.col("user_id") % 40).alias("conn"), F.col("ts"), F.lit("10.0.0.1").alias("src"), F.lit(4000).alias("sport"), (F.col("event_id") % 100).alias("seq"), (F.col("event_id") % 7).alias("length")))
