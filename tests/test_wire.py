@@ -172,6 +172,30 @@ def test_dissection(spark, tmp_path):
     assert (named.request.summary, named.response.answer, named.response.dns.rcode, named.response.dns.answers[0].ttl) == ("A www.example.com", "1.2.3.4", "NOERROR", 60)
 
 
+def test_capture_entries(spark, tmp_path):
+    """Exchanges carry the figures of their connection; what holds none is a flow; the command line writes them."""
+    from wirelake.__main__ import main
+
+    c, s, head = "10.7.0.1", "10.7.0.2", struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+    t = 1_704_067_200_000_000
+    data = head + segment(c, s, 5000, 8080, 1, 2, b"", t) + segment(s, c, 8080, 5000, 1, 18, b"", t + 4000) + segment(c, s, 5000, 8080, 2, 24, b"GET /rain HTTP/1.1\r\n\r\n", t + 6000) + segment(s, c, 8080, 5000, 2, 24, b"HTTP/1.1 200 OK\r\nContent-Length: 0\r\n\r\n", t + 9000)
+    data += segment(c, s, 5001, 443, 1, 2, b"", t) + segment(s, c, 443, 5001, 1, 4, b"", t + 8000)
+    other = [pcap.frame("udp", c, s, 40000, 123, b"time"), pcap.frame("icmp", c, s, 0, 0, b"x" * 8), pcap.frame("dns", c, s, 5353, 53, dns_bytes(9)), pcap.frame("dns", s, c, 53, 5353, dns_bytes(9, b"\1\2\3\4"))]
+    data += b"".join(struct.pack("<IIII", t // 10**6, 10_000 + k * 1000, len(f), len(f)) + f for k, f in enumerate(other))
+    (tmp_path / "w.pcap").write_bytes(data)
+    entries = dissect.capture_entries(pcap.read_packets(spark, str(tmp_path / "w.pcap"))).cache()
+    got = {r.protocol: r for r in entries.collect()}
+    assert sorted(got) == ["dns", "http", "icmp", "tcp", "udp"] and entries.count() == 5
+    web, flow = got["http"], got["tcp"]
+    assert (web.l4.rttMs, web.l4.clientPackets, web.l4.serverPackets, web.l4.clientTcpFlags, web.elapsedMs) == (4.0, 2, 2, "SYN,ACK,PSH", 3)
+    assert (flow.request.summary, flow.status, flow.elapsedMs, flow.request.packets, flow.src.port, flow.dst.port, flow.response.summary) == ("tcp https", "error", 8, 2, 5001, 443, "closed · 108 B · 2 pkts")
+    assert (got["udp"].request.summary, got["udp"].response.summary[:4], got["icmp"].status, got["icmp"].request.summary) == ("udp/123", "idle", "success", "type 8 code 0")
+    main(["--pcap-file", str(tmp_path / "w.pcap"), "--filter", "protocol == http or status == error", "--out", str(tmp_path / "lines")])
+    assert {json.loads(r.value)["protocol"] for r in spark.read.text(str(tmp_path / "lines")).collect()} == {"http", "tcp"}
+    main(["--demo", "30", "--out", str(tmp_path / "demo")])
+    assert spark.read.text(str(tmp_path / "demo")).count() == 30
+
+
 def test_dissection_hides_secrets_and_tells_connections_apart(spark, tmp_path):
     """Credentials never leave; a reused port and numbers that wrap lose no byte."""
     c, s, head = "10.9.0.1", "10.9.0.2", struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)

@@ -76,10 +76,15 @@ def _fit(have: T.DataType | None, want: T.DataType, col: Column) -> Column:
     return col if have == want else col.cast(want)
 
 
+def fitted(df: DataFrame) -> list[Column]:
+    """The columns of an entry from those of ``df``; whatever it lacks is null."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return [_fit(kinds.get(f.name), f.dataType, F.col(f"`{f.name}`")).alias(f.name) for f in ENTRY.fields]
+
+
 def conform(df: DataFrame) -> DataFrame:
     """``df`` with exactly the columns of an entry; whatever it lacks is null, extras go."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    return df.select(*[_fit(kinds.get(f.name), f.dataType, F.col(f"`{f.name}`")).alias(f.name) for f in ENTRY.fields])
+    return df.select(*fitted(df))
 
 
 def field_type(path: str) -> T.DataType:

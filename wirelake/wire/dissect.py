@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators.pairing import connection
-from ..schema import conform, field_type
+from ..operators import flows
+from ..operators.pairing import attach_latest, connection
+from ..schema import conform, field_type, fitted
 from ..sources.adapters import from_json_lines
-from . import amqp, dns, http, kafka, mongo, mysql, postgres, resp, sniff
+from . import amqp, dns, http, kafka, mongo, mysql, pcap, postgres, resp, sniff
 from .preview import shown
 
 
@@ -147,12 +148,16 @@ def redacted(entries: DataFrame) -> DataFrame:
     return entries.withColumn("request", shown).withColumn("response", response.withField("headers", fn.redacted_headers(response["headers"])))
 
 
+def _numbered(entries: DataFrame) -> DataFrame:
+    return conform(entries.orderBy("timestamp", "id").withColumn("seq", F.monotonically_increasing_id() + 1))
+
+
 def completed(entries: DataFrame) -> DataFrame:
     """``entries`` with trace ids, URL parameters and, in order of time, numbers: growing, not dense."""
     request = F.col("request")
     http = F.when(request["http"].isNotNull(), request["http"].withField("query", fn.query_map(request["path"])))
     full = entries.withColumn("traceId", fn.trace_id(F.coalesce(request["headers"], F.create_map().cast("map<string,string>")))).withColumn("request", request.withField("http", http))
-    return full.orderBy("timestamp", "id").withColumn("seq", F.monotonically_increasing_id() + 1)
+    return _numbered(full)
 
 
 def openings(packets: DataFrame) -> DataFrame:
@@ -243,4 +248,46 @@ def dns_entries(packets: DataFrame, expire_seconds: int = 30) -> DataFrame:
         F.struct(F.concat_ws(" ", F.get("ask.questions", 0)["type"], "ask.question").alias("summary"), "ask.question", members("ask", ("id", "questions"))).alias("request"),
         F.struct(F.when(F.col("got.answer") != "", F.col("got.answer")).otherwise(F.col("got.rcode")).alias("summary"), "got.answer", members("got", ("id", "answers", "authority", "additional", "rcode", "authoritative", "recursionAvailable"))).alias("response"),
     )
-    return conform(entries.orderBy("timestamp", "id").withColumn("seq", F.monotonically_increasing_id() + 1))
+    return _numbered(entries)
+
+
+def _flows(packets: DataFrame, idle_seconds: int) -> DataFrame:
+    """(conn, session, started, e): each TCP connection and each flow of UDP other than DNS, as an entry."""
+    rows = packets.filter("proto = 'tcp' or (proto = 'udp' and sport <> 53 and dport <> 53)")
+    key = F.concat_ws(" ", "proto", connection(F.col("src"), F.col("sport"), F.col("dst"), F.col("dport")))
+    found = flows.sessions(rows.withColumn("conn", key), idle_seconds)
+    part = lambda k: F.regexp_extract("conn", r"^(\w+) (.*):(\d+)\|(.*):(\d+)$", k)
+    ends = [F.struct(part(k).alias("ip"), part(k + 1).cast("int").alias("port")) for k in (2, 4)]
+    first = ends[0]["port"] >= ends[1]["port"]
+    either = F.concat_ws(",", "client_flags", "server_flags")
+    reset, closed = either.contains("RST"), either.contains("FIN")
+    millis = F.floor((F.unix_micros("ended") - F.unix_micros("started")) / 1000)
+    made = found.withColumn("src", F.when(first, ends[0]).otherwise(ends[1])).withColumn("dst", F.when(first, ends[1]).otherwise(ends[0]))
+    e = F.struct(
+        F.concat(F.lit("flow "), "conn", F.lit("#"), F.col("session")).alias("id"), part(1).alias("protocol"), F.col("started").alias("timestamp"), millis.alias("elapsedMs"), "src", "dst", F.when(reset, "error").otherwise("success").alias("status"),
+        F.struct(fn.port_label(part(1), F.col("dst.port")).alias("summary"), "packets", "bytes", F.concat_ws("/", F.nullif("client_flags", F.lit("")), F.nullif("server_flags", F.lit(""))).alias("flags")).alias("request"),
+        F.struct(F.concat(F.when(reset | closed, "closed").otherwise("idle"), F.lit(" · "), fn.human_bytes(F.col("bytes")), F.lit(" · "), F.col("packets"), F.lit(" pkts")).alias("summary")).alias("response"),
+        F.struct(F.col("client_flags").alias("clientTcpFlags"), F.col("server_flags").alias("serverTcpFlags"), "window", "mss", F.col("rtt_ms").alias("rttMs"), millis.alias("durationMs"), F.col("client_bytes").alias("clientBytes"), F.col("server_bytes").alias("serverBytes"), F.col("client_packets").alias("clientPackets"), F.col("server_packets").alias("serverPackets")).alias("l4"),
+    )
+    return made.select("conn", "session", "started", e.alias("e"))
+
+
+def flow_entries(packets: DataFrame, idle_seconds: int = 20) -> DataFrame:
+    """An entry per TCP connection and per flow of UDP other than DNS; resets are errors."""
+    return _numbered(_flows(packets, idle_seconds).select("e.*"))
+
+
+def capture_entries(packets: DataFrame, redact: bool = True, idle_seconds: int = 20) -> DataFrame:
+    """All that a capture shows, numbered in order of time: exchanges of TCP connections with the figures of
+    the connection they ran in, DNS over UDP, ICMP, and the flows in which no exchange was found."""
+    found = _flows(packets, idle_seconds)
+    said = dissect_streams(packets, redact)
+    said = said.withColumn("conn", F.concat(F.lit("tcp "), connection(F.col("src.ip"), F.col("src.port"), F.col("dst.ip"), F.col("dst.port")))).withColumn("ts", F.col("timestamp"))
+    told = attach_latest(said, found.select("conn", F.col("started").alias("ts"), F.struct("session", "e.l4").alias("state")))
+    told = told.withColumn("session", F.col("state.session")).withColumn("l4", F.col("state.l4"))
+    parts = told.select("conn", "session", F.struct(*fitted(told)).alias("e"), F.lit(True).alias("said"))
+    rest = found.select("conn", "session", "e.*")
+    parts = parts.unionByName(rest.select("conn", "session", F.struct(*fitted(rest)).alias("e"), F.lit(False).alias("said")))
+    any_said = F.max("said").over(Window.partitionBy("conn", "session"))
+    kept = parts.withColumn("any", any_said).filter("said or not any").select("e.*")
+    return _numbered(kept.unionByName(dns_entries(packets)).unionByName(pcap.icmp_entries(packets)))

@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKET = "file string, number bigint, ts_us bigint, proto string, src string, dst string, sport int, dport int, ttl int, ip_version int, flags int, seq bigint, ack bigint, window int, mss int, icmp_type int, icmp_code int, payload binary"
+from ..schema import conform
+
+PACKET = "file string, number bigint, ts_us bigint, proto string, src string, dst string, sport int, dport int, ttl int, ip_version int, flags int, seq bigint, ack bigint, window int, mss int, icmp_type int, icmp_code int, payload binary, length int"
 _NAMES = [c.split()[0] for c in PACKET.split(", ")]
 _KINDS = [{"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]] for c in PACKET.split(", ")]
 
@@ -89,7 +91,7 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
                 for number, (at, link, frame) in enumerate(records(data), 1):
                     packet = decode(link, frame)
                     if packet:
-                        rows.append(packet | {"file": name, "number": number, "ts_us": at})
+                        rows.append(packet | {"file": name, "number": number, "ts_us": at, "length": len(frame)})
                     if len(rows) >= 5000:
                         yield _batch(rows)
                         rows = []
@@ -103,15 +105,20 @@ def _batch(rows):
 
 
 def severity(icmp_type, version):
-    """Status of an ICMP message: unreachable, exceeded and the like are errors."""
-    bad = ((version == 4) & icmp_type.isin(3, 11, 12)) | ((version == 6) & icmp_type.isin(1, 2, 3, 4))
-    return F.when(bad, "error").when((version == 4) & icmp_type.isin(4, 5), "warning").otherwise("success")
+    """Status of an ICMP message: unreachable and time exceeded are errors, quench, redirect and too
+    big are warnings."""
+    bad = ((version == 4) & icmp_type.isin(3, 11)) | ((version == 6) & icmp_type.isin(1, 3))
+    odd = ((version == 4) & icmp_type.isin(4, 5)) | ((version == 6) & icmp_type.isin(2, 137))
+    return F.when(bad, "error").when(odd, "warning").otherwise("success")
 
 
 def icmp_entries(packets: DataFrame) -> DataFrame:
-    """A row per ICMP packet."""
+    """An entry per ICMP packet."""
+    said = F.format_string("type %d code %d", "icmp_type", "icmp_code")
     rows = packets.filter("proto = 'icmp'")
-    return rows.select(F.concat_ws("-", F.lit("icmp"), "number").alias("id"), F.lit("icmp").alias("protocol"), F.col("ts").alias("timestamp"), "src", "dst", "icmp_type", "icmp_code", severity(F.col("icmp_type"), F.col("ip_version")).alias("status"))
+    made = rows.select(F.concat_ws("-", F.lit("icmp"), "number").alias("id"), F.lit("icmp").alias("protocol"), F.col("ts").alias("timestamp"), F.lit(0).alias("elapsedMs"), F.struct(F.col("src").alias("ip")).alias("src"), F.struct(F.col("dst").alias("ip")).alias("dst"),
+                       F.struct(said.alias("summary"), F.col("length").cast("bigint").alias("bytes")).alias("request"), F.struct(said.alias("summary")).alias("response"), severity(F.col("icmp_type"), F.col("ip_version")).alias("status"))
+    return conform(made)
 
 
 # --- writing -----------------------------------------------------------------------------------
