@@ -8,6 +8,7 @@ from ..session import prepare
 from .ann import nearest_neighbours
 from .byte_bpe import bpe_digests
 from .exact_dedup import exact_dedup
+from .importance import importance_resample
 from .lm import lm_scores
 from .mixing import mix_sources
 from .ngram_join import ngram_join
@@ -67,13 +68,17 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_nearest_neighbours, op4_ngram_join, op5_mix_sources, op6_suffix_dedup, op7_toxicity, op8_exact_dedup, op9_byte_bpe, op10_lm_scores, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_nearest_neighbours, op4_ngram_join, op5_mix_sources, op6_suffix_dedup, op7_toxicity, op8_exact_dedup, op9_byte_bpe, op10_lm_scores, op13_importance_resampling, pipeline)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
