@@ -17,6 +17,7 @@ from .quality import quality_scores
 from .suffix_dedup import suffix_dedup
 from .token_count import token_counts
 from .toxicity import toxicity_scores
+from .turns import repaired_conversations
 
 
 def tokenizer(name: str) -> str:
@@ -69,6 +70,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"), damage=True)
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -83,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_nearest_neighbours, op4_ngram_join, op5_mix_sources, op6_suffix_dedup, op7_toxicity, op8_exact_dedup, op9_byte_bpe, op10_lm_scores, op12_best_fit_packing, op13_importance_resampling, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_nearest_neighbours, op4_ngram_join, op5_mix_sources, op6_suffix_dedup, op7_toxicity, op8_exact_dedup, op9_byte_bpe, op10_lm_scores, op11_conversation_repair, op12_best_fit_packing, op13_importance_resampling, pipeline)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
