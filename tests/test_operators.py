@@ -268,3 +268,53 @@ def test_line_diff(spark):
             for j, y in enumerate(b):
                 best[j + 1] = before[j] + 1 if x == y else max(before[j + 1], best[j])
         assert sum(c.op == "same" for c in r.changes) == best[-1]
+
+
+def plain_queues(rows, expire, backlog):
+    """(conn, request, response, elapsed, waiting before) of queues that are walked message by message."""
+    out, queues = [], defaultdict(deque)
+    for conn, us, seq, is_request in sorted(rows, key=lambda r: (r[1], r[2])):
+        waiting = queues[conn]
+        while waiting and expire is not None and us - waiting[0][0] > expire * 10**6:
+            waiting.popleft()
+        if is_request:
+            waiting.append((us, seq, len(waiting)))
+            if backlog is not None and len(waiting) > backlog:
+                waiting.popleft()
+        elif waiting:
+            at, request, depth = waiting.popleft()
+            out.append((conn, request, seq, (us - at) // 1000, depth))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("expire, backlog, share, span", [(30, 1024, 0.6, 500), (3, 4, 0.7, 60), (3, 4, 0.4, 300), (None, None, 0.55, 100), (None, 5, 0.7, 100), (1, 1, 0.5, 60)])
+def test_queues_that_forget(spark, expire, backlog, share, span):
+    rng = random.Random(span)
+    rows = [(rng.choice([0, 0, 0, 1, 2]), rng.randrange(0, span * 10**6, 250_000), i, rng.random() < share) for i in range(1500)]
+    df = spark.createDataFrame(rows, "conn int, us long, seq long, is_request boolean").select("conn", F.timestamp_micros("us").alias("ts"), "seq", "is_request")
+    assert sorted(tuple(r) for r in pairing.fifo_pairs(df, expire, backlog).collect()) == plain_queues(rows, expire, backlog)
+
+
+def test_an_expired_request_lets_the_next_one_pair(spark):
+    df = spark.sql("SELECT 0 conn, timestamp_seconds(s) ts, s seq, q is_request FROM VALUES (0, true), (100, true), (101, false) t(s, q)")
+    assert [tuple(r) for r in pairing.fifo_pairs(df).collect()] == [(0, 100, 101, 1000, 0)]
+
+
+@pytest.mark.parametrize(
+    "url, shown",
+    [
+        ("/pay?%74oken=s&b=1", "/pay?b=1&token=%5BREDACTED%5D"),
+        ("/pay?Api%5FKey=s&to=%2Fx&who=a+b", "/pay?Api_Key=%5BREDACTED%5D&to=%2Fx&who=a+b"),
+        ("/pay?token=s&z=1&token=t&a=~*", "/pay?a=~%2A&token=%5BREDACTED%5D&z=1"),
+        ("/pay?token=s;c=1", "/pay?%5BREDACTED%5D"),
+        ("/pay?sig=s&b=%zz", "/pay?%5BREDACTED%5D"),
+        ("/pay?b=%4", "/pay?%5BREDACTED%5D"),
+        ("/list?z=a+b&a=%2f", "/list?z=a+b&a=%2f"),
+        ("/list?", "/list?"),
+        ("/list", "/list"),
+    ],
+)
+def test_secrets_in_urls(spark, url, shown):
+    row = spark.range(1).select(fn.redacted_url(F.lit(url)).alias("u"), fn.query_map(F.lit(url)).alias("m")).head()
+    assert row.u == shown
+    assert (row.m == {}) == ("?%5B" in shown or "=" not in url) and "s" not in row.m.values()

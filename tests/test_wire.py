@@ -210,7 +210,7 @@ def test_dissection_hides_secrets_and_tells_connections_apart(spark, tmp_path):
     packets = pcap.read_packets(spark, str(tmp_path / "y.pcap"))
     rows = dissect.dissect_streams(packets).orderBy("seq").collect()
     assert not any("hush" in str(r) for r in rows) and len(rows) == 4
-    assert [r.request.path for r in rows if r.protocol == "http"] == ["/gauge?id=4&Token=[REDACTED]", "/radar?id=4&Token=[REDACTED]"]
+    assert [r.request.path for r in rows if r.protocol == "http"] == ["/gauge?Token=%5BREDACTED%5D&id=4", "/radar?Token=%5BREDACTED%5D&id=4"]
     web = rows[0]
     assert (web.traceId, web.request.http.query, web.request.headers["authorization"]) == ("r7", {"id": "4", "Token": "[REDACTED]"}, "[REDACTED]")
     assert len({r.seq for r in rows}) == 4 and [r.timestamp for r in rows] == sorted(r.timestamp for r in rows)

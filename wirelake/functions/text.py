@@ -46,23 +46,45 @@ def query_of(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit(""))
 
 
+def _parameters(query: Column) -> tuple[Column, Column]:
+    """(name, value) structs of a query string, decoded, and whether all of it is well formed:
+    every name and value decodes, and nothing is parted by ';'."""
+    parts = F.filter(F.split(query, "&"), lambda p: p != "")
+    value = lambda p: F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise(F.lit(""))
+    pairs = F.transform(parts, lambda p, i: F.struct(F.try_url_decode(F.substring_index(p, "=", 1)).alias("name"), i.alias("place"), F.try_url_decode(value(p)).alias("value")))
+    return pairs, ~F.contains(query, F.lit(";")) & F.forall(pairs, lambda p: p["name"].isNotNull() & p["value"].isNotNull())
+
+
 def query_map(url: Column, secrets=SECRET_PARAMETERS) -> Column:
     """Parameters of a URL, repeated ones joined by ', ', with secret ones redacted; empty if any
     part is malformed."""
     query = query_of(url)
-    parts = F.filter(F.split(query, "&"), lambda p: p != "")
-    decoded = lambda s: F.try_url_decode(s)
-    pairs = F.transform(parts, lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("k"), decoded(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise(F.lit(""))).alias("v")))
-    fine = F.forall(pairs, lambda p: p["k"].isNotNull() & p["v"].isNotNull())
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    joined = lambda n: F.array_join(F.transform(F.filter(pairs, lambda p: p["k"] == n), lambda p: p["v"]), ", ")
+    pairs, fine = _parameters(query)
+    names = F.array_distinct(F.transform(pairs, lambda p: p["name"]))
+    joined = lambda n: F.array_join(F.transform(F.filter(pairs, lambda p: p["name"] == n), lambda p: p["value"]), ", ")
     shown = F.transform(names, lambda n: F.struct(n.alias("key"), F.when(F.lower(n).isin(secrets), F.lit(REDACTED)).otherwise(joined(n)).alias("value")))
     return F.when(query.isNotNull() & fine, F.map_from_entries(shown)).otherwise(F.create_map().cast("map<string,string>"))
 
 
+def query_escaped(s: Column) -> Column:
+    """Percent-encoding of a query component: letters, digits and ``-_.~`` stay, a space is '+'."""
+    return F.replace(F.replace(F.url_encode(s), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def redacted_url(url: Column, secrets=SECRET_PARAMETERS) -> Column:
-    """A URL with the values of secret parameters replaced."""
-    return F.regexp_replace(url, rf"(?i)([?&](?:{'|'.join(secrets)})=)[^&#]*", "$1" + REDACTED.replace("[", r"\[").replace("]", r"\]"))
+    """A URL without the values of secret parameters, whose names are decoded before they are compared.
+
+    With one among them the query is written anew, in order of names, each secret one once; a query that
+    isn't well formed is hidden whole, since no name in it can be relied on; any other URL stays as it is.
+    """
+    query = query_of(url)
+    pairs, fine = _parameters(query)
+    secret = lambda p: F.lower(p["name"]).isin(secrets)
+    first = lambda p: F.forall(pairs, lambda other: (other["name"] != p["name"]) | (other["place"] >= p["place"]))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~secret(p) | first(p)))
+    written = F.array_join(F.transform(kept, lambda p: F.concat(query_escaped(p["name"]), F.lit("="), query_escaped(F.when(secret(p), F.lit(REDACTED)).otherwise(p["value"])))), "&")
+    path = F.concat(F.substring_index(url, "?", 1), F.lit("?"))
+    return F.when(query.isNull(), url).when(~fine, F.concat(path, query_escaped(F.lit(REDACTED)))).when(F.exists(pairs, secret), F.concat(path, written)).otherwise(url)
 
 
 def redacted_headers(headers: Column, secrets=SECRET_HEADERS) -> Column:

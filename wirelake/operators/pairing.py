@@ -1,4 +1,4 @@
-"""Pairing requests with responses, as window functions over each connection.
+"""Pairing requests with responses, as scans and window functions over each connection.
 
 ``messages``: conn, ts, seq (order of arrival within a connection), is_request, and whatever else.
 """
@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def connection(ip_a: Column, port_a: Column, ip_b: Column, port_b: Column) -> Column:
@@ -15,36 +16,92 @@ def connection(ip_a: Column, port_a: Column, ip_b: Column, port_b: Column) -> Co
     return F.concat_ws("|", F.least(a, b), F.greatest(a, b))
 
 
-def fifo_pairs(messages: DataFrame, expire_seconds: int | None = 30, epoch: str | None = None) -> DataFrame:
-    """(conn, request_seq, response_seq, elapsed_ms, depth): the k-th request with the k-th
-    response that isn't an orphan; an orphan takes the running balance below all before.
+#: Bounds that bind nothing, for rows that leave a queue's head where it is.
+_LOW, _HIGH = -(1 << 62), 1 << 62
 
-    ``epoch``: a column that changes at a loss, across which nothing pairs. Pairs further apart
-    than ``expire_seconds`` are dropped afterwards, which differs from a queue that forgets as it
-    goes only where an expired request held back later ones. ``depth``: requests waiting before
-    this one.
+
+def _running_bounds(rows: DataFrame, group: list[str], order: list) -> DataFrame:
+    """``rows`` with ``from_`` and ``to_``: what the bounds ``lo`` and ``hi`` of the rows before it in
+    its group come to. Bounds applied one after the other are one pair of bounds, so a group's rows
+    may be cut anywhere and put together again. Rows go through tasks in order; two numbers are kept."""
+    import pyarrow as pa
+
+    rows = rows.repartition(*group).sortWithinPartitions(*group, *order)
+    n = len(group)
+
+    def run(batches):
+        key, low, high = None, _LOW, _HIGH
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*group, "lo", "hi")]
+            lows, highs = [], []
+            for row in zip(*columns, strict=True):
+                if row[:n] != key:
+                    key, low, high = row[:n], _LOW, _HIGH
+                lows.append(low)
+                highs.append(high)
+                lo, hi = row[n:]
+                low, high = min(max(low, lo), hi), min(max(high, lo), hi)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lows, pa.int64()), pa.array(highs, pa.int64())], names=[*batch.schema.names, "from_", "to_"])
+
+    return rows.mapInArrow(run, StructType(list(rows.schema.fields)).add("from_", "long").add("to_", "long"))
+
+
+def fifo_pairs(messages: DataFrame, expire_seconds: int | None = 30, backlog: int | None = 1024, epoch: str | None = None) -> DataFrame:
+    """(conn, request_seq, response_seq, elapsed_ms, depth): each response with the oldest request
+    that still waits on its connection, ``depth`` of which waited before it.
+
+    A request is forgotten once it has waited for more than ``expire_seconds``, and when more than
+    ``backlog`` wait, the oldest is; a response that finds none is dropped. ``epoch``: a column that
+    changes at a loss, across which nothing pairs. None: no bound of that kind.
+
+    With requests numbered per connection, a queue is the number of its first one. A response at a
+    time when ``T`` requests have come and those before ``L`` are forgotten moves it from ``h`` to
+    ``min(max(h, L) + 1, T + 1)``: apart from the count of responses, a pair of bounds. So connections
+    are cut into slices of time, no longer than what a request waits; each slice gives one pair of
+    bounds, and a second scan, of one row per slice, gives the state that every slice begins with.
     """
     keys = ["conn"] + ([epoch] if epoch else [])
-    order = Window.partitionBy(*keys).orderBy("ts", "seq")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = messages.withColumn("__balance", F.sum(F.when(F.col("is_request"), 1).otherwise(-1)).over(so_far))
-    rows = rows.withColumn("__floor", F.least(F.coalesce(F.min("__balance").over(earlier), F.lit(0)), F.lit(0)))
-    rows = rows.filter(F.col("is_request") | (F.col("__balance") >= F.col("__floor")))
-    rows = rows.withColumn("__k", F.sum(F.lit(1)).over(Window.partitionBy(*keys, "is_request").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    pick = lambda flag, c: F.max(F.when(F.col("is_request") == flag, F.col(c)))
-    pairs = rows.groupBy(*keys, "__k").agg(
-        pick(True, "seq").alias("request_seq"),
-        pick(False, "seq").alias("response_seq"),
-        pick(True, "ts").alias("__at"),
-        pick(False, "ts").alias("__end"),
-        F.max(F.when(F.col("is_request"), F.col("__balance") - 1 - F.col("__floor"))).alias("depth"),
-    )
-    elapsed = F.floor((F.unix_micros("__end") - F.unix_micros("__at")) / 1000)
-    pairs = pairs.filter(F.col("request_seq").isNotNull() & F.col("response_seq").isNotNull()).withColumn("elapsed_ms", elapsed)
-    if expire_seconds is not None:
-        pairs = pairs.filter(F.col("elapsed_ms") <= expire_seconds * 1000)
-    return pairs.select(*keys, "request_seq", "response_seq", "elapsed_ms", "depth")
+    width = (expire_seconds or 3600) * 1_000_000
+    rows = messages.withColumn("us", F.unix_micros("ts")).select(*keys, "us", "seq", "is_request", F.floor(F.col("us") / width).alias("slice"), F.lit(False).alias("earlier"))
+    slices = rows.groupBy(*keys, "slice").agg(F.count_if("is_request").alias("requests"), F.count_if(~F.col("is_request")).alias("responses"))
+    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # a row per slice
+    slices = slices.select(*keys, "slice", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("requests", "responses")))
+    if expire_seconds is not None:  # the requests of the slice before may still wait
+        rows = rows.unionByName(rows.filter("is_request").withColumn("slice", F.col("slice") + 1).withColumn("earlier", F.lit(True)))
+    group = [*keys, "slice"]
+    rows = rows.join(slices, group)
+    order = Window.partitionBy(*group).orderBy("us", F.col("earlier").desc(), "seq")
+    so_far = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    waiting = F.sum(F.when(F.col("earlier"), 1).otherwise(0)).over(Window.partitionBy(*group).orderBy("us").rangeBetween(-width, 0))
+    rows = rows.select(
+        *group,
+        "us",
+        "seq",
+        "is_request",
+        "earlier",
+        (F.col("requests_before") + so_far(F.col("is_request") & ~F.col("earlier"))).alias("t"),
+        (F.col("responses_before") + so_far(~F.col("is_request"))).alias("k"),
+        (F.lit(1) if expire_seconds is None else F.col("requests_before") - waiting + 1).cast("bigint").alias("fresh"),
+    ).filter("not earlier")
+    overflow = F.lit(1) if backlog is None else F.col("t") - backlog + 1
+    rows = rows.withColumn("least", F.greatest("fresh", overflow))
+    bound = lambda c, none: F.when(F.col("is_request"), F.lit(none)).otherwise(c).cast("bigint")
+    rows = rows.withColumn("lo", bound(F.col("least") + 1 - F.col("k"), _LOW)).withColumn("hi", bound(F.col("t") + 1 - F.col("k"), _HIGH))
+    rows = _running_bounds(rows, group, ["us", "seq"])
+
+    within = lambda c: F.least(F.greatest(c, F.col("lo")), F.col("hi"))
+    last = rows.groupBy(*group).agg(F.max_by(F.struct(within(F.col("from_")).alias("lo"), within(F.col("to_")).alias("hi")), F.struct("us", "seq")).alias("b"))
+    begins = _running_bounds(last.select(*group, "b.lo", "b.hi"), keys, ["slice"])
+    begins = begins.select(*group, F.least(F.greatest(F.lit(1), F.col("from_")), F.col("to_")).alias("begin"))
+
+    rows = rows.join(begins, group)
+    head = F.least(F.greatest(F.col("begin"), F.col("from_")), F.col("to_")) + F.col("k") - F.when(F.col("is_request"), 0).otherwise(1)
+    rows = rows.withColumn("head", head)
+    spill = F.lit(1) if backlog is None else F.col("t") - backlog
+    requests = rows.filter("is_request").select(*keys, F.col("t").alias("number"), F.col("seq").alias("request_seq"), F.col("us").alias("at"), (F.col("t") - F.greatest("head", "fresh", spill)).alias("depth"))
+    responses = rows.filter(~F.col("is_request")).withColumn("number", F.greatest("head", "least")).filter(F.col("number") <= F.col("t"))
+    pairs = requests.join(responses.select(*keys, "number", F.col("seq").alias("response_seq"), "us"), [*keys, "number"])
+    return pairs.select(*keys, "request_seq", "response_seq", F.floor((F.col("us") - F.col("at")) / 1000).alias("elapsed_ms"), "depth")
 
 
 def keyed_pairs(messages: DataFrame, keys: list[str], expire_seconds: int = 30) -> DataFrame:

@@ -382,12 +382,37 @@ def _messages(spark, sf_dir):
 _MESSAGES = "m AS (SELECT user_id % 40 AS conn, ts, event_id AS seq, event_type IN ('view', 'click', 'purchase') AS is_request, event_id % 50 AS number FROM events)"
 
 
-@query(f"""WITH {_MESSAGES}, s AS (SELECT *, sum(CASE WHEN is_request THEN 1 ELSE -1 END) OVER (PARTITION BY conn ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS bal FROM m),
- f AS (SELECT *, least(coalesce(min(bal) OVER (PARTITION BY conn ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS low FROM s),
- k AS (SELECT *, row_number() OVER (PARTITION BY conn, is_request ORDER BY ts, seq) AS k FROM f WHERE is_request OR bal >= low)
- SELECT q.conn, q.seq AS request_seq, r.seq AS response_seq, (epoch_us(r.ts) - epoch_us(q.ts)) // 1000 AS elapsed_ms, CAST(q.bal - 1 - q.low AS BIGINT) AS depth FROM k q JOIN k r ON q.conn = r.conn AND q.k = r.k AND q.is_request AND NOT r.is_request""")
+#: A month in a minute and a half, two thirds of it on one connection: requests expire, and queues overflow.
+_RUSH = "rush AS (SELECT CASE WHEN user_id % 3 > 0 THEN 0 ELSE user_id % 40 END AS conn, epoch_us(ts) // 30000 AS us, event_id AS seq, event_type <> 'error' AS is_request FROM events)"
+
+
+def _rush(e: DataFrame) -> DataFrame:
+    us = F.expr("unix_micros(CAST(ts AS timestamp)) div 30000")
+    return e.select(F.when(F.col("user_id") % 3 > 0, 0).otherwise(F.col("user_id") % 40).alias("conn"), F.timestamp_micros(us).alias("ts"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("is_request"))
+
+
+def _fifo_sql(seconds: int, backlog: int, columns: str = "request_seq, response_seq, elapsed_ms, depth") -> str:
+    """Queues by recursion: ``head`` is the number of the request that is next after each message."""
+    return f"""WITH RECURSIVE {_RUSH}, p AS MATERIALIZED (SELECT *, row_number() OVER w AS n, sum(CAST(is_request AS INTEGER)) OVER (PARTITION BY conn ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS t,
+  1 + coalesce(sum(CAST(is_request AS INTEGER)) OVER (PARTITION BY conn ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND {seconds * 10**6 + 1} PRECEDING), 0) AS fresh FROM rush WINDOW w AS (PARTITION BY conn ORDER BY us, seq)),
+ q AS (SELECT conn, n, us, seq, is_request, t, CAST(greatest(fresh, t - {backlog - 1}) AS BIGINT) AS first, CAST(greatest(fresh, t - {backlog}) AS BIGINT) AS kept FROM p),
+ w AS (SELECT conn, 0::BIGINT AS n, 1::BIGINT AS head, NULL::BIGINT AS took, NULL::BIGINT AS depth FROM (SELECT DISTINCT conn FROM rush)
+  UNION ALL SELECT q.conn, q.n, CASE WHEN q.is_request THEN greatest(w.head, q.first) ELSE least(greatest(w.head, q.first) + 1, q.t + 1) END,
+   CASE WHEN NOT q.is_request AND greatest(w.head, q.first) <= q.t THEN greatest(w.head, q.first) END, CASE WHEN q.is_request THEN q.t - greatest(w.head, q.kept) END FROM w JOIN q ON q.conn = w.conn AND q.n = w.n + 1),
+ m AS (SELECT q.*, w.took, w.depth FROM q JOIN w USING (conn, n)),
+ pairs AS (SELECT a.conn, a.seq AS request_seq, b.seq AS response_seq, (b.us - a.us) // 1000 AS elapsed_ms, a.depth FROM m a JOIN m b ON a.conn = b.conn AND b.took = a.t WHERE a.is_request)
+ SELECT conn, {columns} FROM pairs"""
+
+
+@query(_fifo_sql(30, 1024))
 def fifo_pairing(spark, sf_dir):
-    return pairing.fifo_pairs(_messages(spark, sf_dir), expire_seconds=None)
+    return pairing.fifo_pairs(_rush(read_table(spark, sf_dir, "events")))
+
+
+@query(_fifo_sql(2, 16))
+def fifo_pairing_short(spark, sf_dir):
+    """The same with queues of 16 that forget after two seconds."""
+    return pairing.fifo_pairs(_rush(read_table(spark, sf_dir, "events")), 2, 16)
 
 
 @query(f"""WITH {_MESSAGES}, t AS (SELECT *, sum(CASE WHEN is_request THEN 1 ELSE 0 END) OVER (PARTITION BY conn, number ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS turn FROM m)
@@ -519,9 +544,21 @@ def digit_normalize(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", compare.digits_folded(F.col("text")).alias("folded"))
 
 
-@query("SELECT page_id, regexp_replace(url || '?a=1&token=' || page_id || '&b=2&Password=x#f', '([?&](?:access_token|api_key|apikey|auth|client_secret|password|refresh_token|secret|session_token|sig|signature|token)=)[^&#]*', '\\1[REDACTED]', 'gi') AS shown FROM pages")
+# Queries of URLs, and what is shown of them.
+_SECRETS = [
+    ("'?b=2&token=' || page_id || '&a=1&Password=x%20y&a=' || page_id", "'?Password=%5BREDACTED%5D&a=1&a=' || page_id || '&b=2&token=%5BREDACTED%5D'"),
+    ("'?a+b=/' || page_id || '&%74oken=' || page_id || '&api%5Fkey=1&token=2'", "'?a+b=%2F' || page_id || '&api_key=%5BREDACTED%5D&token=%5BREDACTED%5D'"),
+    ("'?token=' || page_id || '&b=%zz'", "'?%5BREDACTED%5D'"),
+    ("'?token=' || page_id || ';c=1'", "'?%5BREDACTED%5D'"),
+    ("'?q=a+b&sort=' || page_id || '&tokens=%41'", "'?q=a+b&sort=' || page_id || '&tokens=%41'"),
+]
+_CASE = lambda k: "CASE page_id % 5 " + " ".join(f"WHEN {i} THEN {c[k]}" for i, c in enumerate(_SECRETS)) + " END"
+
+
+@query(f"SELECT page_id, split_part(url, '?', 1) || {_CASE(1)} AS shown FROM pages")
 def redact_query(spark, sf_dir):
-    return read_table(spark, sf_dir, "pages").select("page_id", fn.redacted_url(F.concat("url", F.lit("?a=1&token="), "page_id", F.lit("&b=2&Password=x#f"))).alias("shown"))
+    urls = read_table(spark, sf_dir, "pages").withColumn("url", F.expr(f"substring_index(url, '?', 1) || {_CASE(0)}"))
+    return urls.select("page_id", fn.redacted_url(F.col("url")).alias("shown"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN md5(CAST(event_id AS VARCHAR)) WHEN event_id % 3 = 1 THEN 'req-' || event_id ELSE '' END AS trace FROM events")
