@@ -12,7 +12,7 @@ from .operators import compare, exporting, facets, flows, history, identity, pai
 from .operators.summary import graph, label, map_edges, map_nodes, summary, timeline, top_view
 from .plans import fields, ifl
 from .schema import text
-from .session import prepare, scratch_dir
+from .session import prepare, scratch_folder
 from .sources import varied
 from .sources.adapters import events_as_entries, events_stream, from_json_lines, read_table, sales_as_entries
 
@@ -375,8 +375,12 @@ def identity_build(spark, sf_dir):
     return identity.build_identities(pods, services)
 
 
+def _messages_of(e: DataFrame, *more: str) -> DataFrame:
+    return e.select((F.col("user_id") % 40).alias("conn"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").isin("view", "click", "purchase").alias("is_request"), (F.col("event_id") % 50).alias("number"), *more)
+
+
 def _messages(spark, sf_dir):
-    return read_table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("conn"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").isin("view", "click", "purchase").alias("is_request"), (F.col("event_id") % 50).alias("number"))
+    return _messages_of(read_table(spark, sf_dir, "events"))
 
 
 _MESSAGES = "m AS (SELECT user_id % 40 AS conn, ts, event_id AS seq, event_type IN ('view', 'click', 'purchase') AS is_request, event_id % 50 AS number FROM events)"
@@ -386,9 +390,9 @@ _MESSAGES = "m AS (SELECT user_id % 40 AS conn, ts, event_id AS seq, event_type
 _RUSH = "rush AS (SELECT CASE WHEN user_id % 3 > 0 THEN 0 ELSE user_id % 40 END AS conn, epoch_us(ts) // 30000 AS us, event_id AS seq, event_type <> 'error' AS is_request FROM events)"
 
 
-def _rush(e: DataFrame) -> DataFrame:
+def _rush_columns(e: DataFrame, *more: str) -> DataFrame:
     us = F.expr("unix_micros(CAST(ts AS timestamp)) div 30000")
-    return e.select(F.when(F.col("user_id") % 3 > 0, 0).otherwise(F.col("user_id") % 40).alias("conn"), F.timestamp_micros(us).alias("ts"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("is_request"))
+    return e.select(F.when(F.col("user_id") % 3 > 0, 0).otherwise(F.col("user_id") % 40).alias("conn"), F.timestamp_micros(us).alias("ts"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("is_request"), *more)
 
 
 def _fifo_sql(seconds: int, backlog: int, columns: str = "request_seq, response_seq, elapsed_ms, depth") -> str:
@@ -406,18 +410,22 @@ def _fifo_sql(seconds: int, backlog: int, columns: str = "request_seq, response_
 
 @query(_fifo_sql(30, 1024))
 def fifo_pairing(spark, sf_dir):
-    return pairing.fifo_pairs(_rush(read_table(spark, sf_dir, "events")))
+    return pairing.fifo_pairs(_rush_columns(read_table(spark, sf_dir, "events")))
 
 
 @query(_fifo_sql(2, 16))
 def fifo_pairing_short(spark, sf_dir):
     """The same with queues of 16 that forget after two seconds."""
-    return pairing.fifo_pairs(_rush(read_table(spark, sf_dir, "events")), 2, 16)
+    return pairing.fifo_pairs(_rush_columns(read_table(spark, sf_dir, "events")), 2, 16)
 
 
-@query(f"""WITH {_MESSAGES}, t AS (SELECT *, sum(CASE WHEN is_request THEN 1 ELSE 0 END) OVER (PARTITION BY conn, number ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS turn FROM m)
+def _dns_sql(milliseconds: str) -> str:
+    return f"""WITH {_MESSAGES}, t AS (SELECT *, sum(CASE WHEN is_request THEN 1 ELSE 0 END) OVER (PARTITION BY conn, number ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS turn FROM m)
  SELECT q.conn, q.number, q.seq AS request_seq, r.seq AS response_seq, (epoch_us(r.ts) - epoch_us(q.ts)) // 1000 AS elapsed_ms FROM t q JOIN (SELECT *, row_number() OVER (PARTITION BY conn, number, turn ORDER BY ts, seq) AS n FROM t WHERE NOT is_request) r
- ON q.conn = r.conn AND q.number = r.number AND q.turn = r.turn WHERE q.is_request AND r.n = 1 AND (epoch_us(r.ts) - epoch_us(q.ts)) // 1000 <= 200000000""")
+ ON q.conn = r.conn AND q.number = r.number AND q.turn = r.turn WHERE q.is_request AND r.n = 1 AND (epoch_us(r.ts) - epoch_us(q.ts)) // 1000 <= {milliseconds}"""
+
+
+@query(_dns_sql("200000000"))
 def dns_interval_pairing(spark, sf_dir):
     return pairing.keyed_pairs(_messages(spark, sf_dir), ["conn", "number"], 200_000)
 
@@ -433,23 +441,34 @@ def l4_attach(spark, sf_dir):
 _PACKETS = """p AS (SELECT user_id % 40 AS conn, ts, event_id AS seq, 40000 + user_id % 2 * 20000 AS sport, 50000 AS dport, CAST(floor(value) AS BIGINT) AS length,
  CAST(CASE event_type WHEN 'signup' THEN 17 WHEN 'view' THEN 24 WHEN 'error' THEN 2 WHEN 'click' THEN 18 ELSE 48 END AS INTEGER) AS flags,
  event_id % 700 + 800 AS mss, event_id % 60000 AS win FROM events)"""
+
+
+def _packets_of(e: DataFrame, *more: str) -> DataFrame:
+    return e.select((F.col("user_id") % 40).alias("conn"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("src"), (40000 + F.col("user_id") % 2 * 20000).alias("sport"), F.lit(50000).alias("dport"), F.floor("value").cast("bigint").alias("length"),
+                       F.expr("CASE event_type WHEN 'signup' THEN 17 WHEN 'view' THEN 24 WHEN 'error' THEN 2 WHEN 'click' THEN 18 ELSE 48 END").alias("flags"), (F.col("event_id") % 700 + 800).alias("mss"), (F.col("event_id") % 60000).alias("window"), *more)
+
+
 # Flags of one side by name.
 _FLAGS = lambda side: "concat_ws(',', " + ", ".join(f"CASE WHEN coalesce(bit_or(flags) FILTER ({side}), 0) & {b} <> 0 THEN '{n}' END" for n, b in (("SYN", 2), ("ACK", 16), ("FIN", 1), ("RST", 4), ("PSH", 8), ("URG", 32))) + ")"
 
 
-@query(f"""WITH {_PACKETS}, g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 14400000000, FALSE) AS gap, flags & 18 = 2 AS syn,
+def _sessions_sql(columns: str) -> str:
+    return f"""WITH {_PACKETS}, g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 14400000000, FALSE) AS gap, flags & 18 = 2 AS syn,
   coalesce(sum(CAST(flags & 5 <> 0 AS INTEGER)) OVER (PARTITION BY conn ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ends FROM p WINDOW w AS (PARTITION BY conn ORDER BY ts, seq)),
  h AS (SELECT *, coalesce(max(CASE WHEN gap OR syn THEN ends END) OVER (PARTITION BY conn ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS known FROM g),
  s AS (SELECT *, CAST(sum(CAST(gap OR (syn AND ends > known) AS INTEGER)) OVER (PARTITION BY conn ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM h),
- c AS (SELECT *, coalesce(max(flags & 5 <> 0) OVER (PARTITION BY conn, session ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS closed FROM s)
- SELECT conn, session, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) AS ended_us, count(*) AS packets, sum(length)::BIGINT AS bytes, coalesce(sum(length) FILTER (sport >= dport), 0)::BIGINT AS client_bytes, count(*) FILTER (sport < dport) AS server_packets,
+ c AS (SELECT *, coalesce(max(flags & 5 <> 0) OVER (PARTITION BY conn, session ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS closed FROM s),
+ z AS (SELECT conn, session, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) AS ended_us, count(*) AS packets, sum(length)::BIGINT AS bytes, coalesce(sum(length) FILTER (sport >= dport), 0)::BIGINT AS client_bytes, count(*) FILTER (sport < dport) AS server_packets,
   coalesce(sum(length) FILTER (sport < dport), 0)::BIGINT AS server_bytes, count(*) FILTER (sport >= dport) AS client_packets, {_FLAGS('sport >= dport')} AS client_flags, {_FLAGS('sport < dport')} AS server_flags,
   max(mss) AS mss, max_by(win, (ts, seq)) AS window_size, coalesce((min(epoch_us(ts)) FILTER (flags & 18 = 18) - min(epoch_us(ts)) FILTER (flags & 18 = 2)) / 1000, -1e9) AS rtt_ms
- FROM c WHERE NOT closed GROUP BY conn, session""")
+ FROM c WHERE NOT closed GROUP BY conn, session)
+ SELECT conn, {columns} FROM z"""
+
+
+@query(_sessions_sql("session, started_us, ended_us, packets, bytes, client_bytes, server_bytes, client_packets, server_packets, client_flags, server_flags, mss, window_size, rtt_ms"))
 def flow_sessions(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
-    packets = e.select((F.col("user_id") % 40).alias("conn"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("src"), (40000 + F.col("user_id") % 2 * 20000).alias("sport"), F.lit(50000).alias("dport"), F.floor("value").cast("bigint").alias("length"),
-                       F.expr("CASE event_type WHEN 'signup' THEN 17 WHEN 'view' THEN 24 WHEN 'error' THEN 2 WHEN 'click' THEN 18 ELSE 48 END").alias("flags"), (F.col("event_id") % 700 + 800).alias("mss"), (F.col("event_id") % 60000).alias("window"))
+    packets = _packets_of(e)
     out = flows.sessions(packets, 4 * 3600)
     return out.select("conn", "session", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "packets", "bytes", "client_bytes", "server_bytes", "client_packets", "server_packets", "client_flags", "server_flags", "mss", F.col("window").alias("window_size"), F.coalesce("rtt_ms", F.lit(-1e9)).alias("rtt_ms"))
 
@@ -619,23 +638,78 @@ def demo_traffic(spark, sf_dir):
 # --- streams -----------------------------------------------------------------------------------
 
 
-def _settled(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there and reads the result: appended rows, or the last complete
-    table."""
-    import uuid
-
-    where = f"{scratch_dir(spark)}/wirelake/stream-{uuid.uuid4().hex}"
+def _run(stream: DataFrame, where: str, mode: str) -> None:
+    """What there is now, appended or as the last complete table, under ``where``."""
     write = "append" if mode == "append" else "overwrite"
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/state").foreachBatch(lambda df, _: df.write.mode(write).parquet(f"{where}/rows"))
     run.trigger(availableNow=True).start().awaitTermination()
+
+
+def _settled(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over what is there and reads the result."""
+    where = scratch_folder(spark, "stream")
+    _run(stream, where, mode)
+    return spark.read.schema(stream.schema).parquet(f"{where}/rows")
+
+
+def _arriving(spark: SparkSession, rows: DataFrame, at: str, job) -> DataFrame:
+    """Runs ``job``, from a stream to a stream in append mode, over rows that arrive in the order of
+    their column ``slice``, one micro-batch each, and reads what it appends. At the end a row with
+    nothing but a time (column ``at``) of a year later tells that no more comes."""
+    where = scratch_folder(spark, "arriving")
+    schema = rows.drop("slice").schema
+    spark.createDataFrame([], schema).write.parquet(f"{where}/in")
+    stream = job(spark.readStream.schema(schema).parquet(f"{where}/in"))
+    spark.createDataFrame([], stream.schema).write.parquet(f"{where}/rows")
+    end = rows.agg((F.max(at) + F.expr("INTERVAL 1 YEAR")).alias(at)).select(*[F.col(at) if f.name == at else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+    for part in [*(rows.filter(F.col("slice") == k).drop("slice") for k in range(_SLICES)), end]:
+        part.write.mode("append").parquet(f"{where}/in")
+        _run(stream, where, "append")
     return spark.read.schema(stream.schema).parquet(f"{where}/rows")
 
 
-@query(f"{_FLAT} SELECT epoch_us(date_trunc('second', ts)) AS second_us, protocol, count(*) AS entries, count(*) FILTER (status = 'error') AS errors FROM l GROUP BY ALL")
+#: Events arrive up to a day late, in so many micro-batches of equal time.
+_SLICES = 4
+_SLICE = "CAST(greatest(0, least(3, ({us} + event_id * 7919 % 86400 * 1000000 - 1704067200000000) {div} 648000000000)) AS INTEGER)"
+_SLICE_SQL = _SLICE.format(us="epoch_us(ts)", div="//")
+
+
+def _sliced(e: DataFrame) -> DataFrame:
+    return e.withColumn("slice", F.expr(_SLICE.format(us="unix_micros(CAST(ts AS timestamp))", div="div")))
+
+
+#: Entries by slice, their times clamped to noon of the last day, and whether their second is over by
+#: the watermark, which trails the newest time of the slices before by six hours.
+_LATE = f"""{_FLAT}, c AS (SELECT protocol, status, {_SLICE_SQL} AS slice, least(ts, TIMESTAMP '2024-01-30 12:00:00') AS ts FROM (SELECT l.*, seq - 1 AS event_id FROM l)),
+ s AS (SELECT k AS slice, (SELECT max(ts) FROM c WHERE slice < k) AS newest FROM range({_SLICES}) t(k)),
+ m AS (SELECT c.*, coalesce(date_trunc('second', c.ts) + INTERVAL 1 SECOND <= s.newest - INTERVAL 6 HOUR, FALSE) AS late FROM c JOIN s USING (slice))"""
+def _noon():
+    """What the clock says while entries arrive; the row that ends the stream comes later."""
+    return F.when(F.col("protocol").isNotNull(), F.lit(datetime(2024, 1, 30, 12, tzinfo=UTC)))
+
+
+
+
+def _sliced_entries(spark, sf_dir) -> DataFrame:
+    entries = events_as_entries(spark, sf_dir)
+    return _sliced(entries.withColumn("event_id", F.col("seq") - 1).withColumn("ts", F.col("timestamp"))).select("id", "timestamp", "protocol", "status", "slice")
+
+
+@query(f"{_LATE} SELECT epoch_us(date_trunc('second', ts)) AS second_us, protocol, count(*) AS entries, count(*) FILTER (status = 'error') AS errors FROM m WHERE NOT late GROUP BY ALL")
 def stream_rates(spark, sf_dir):
+    """Seconds given out once, by the watermark; some entries come too late, some from the future."""
     from .streaming.jobs import rates
 
-    return _settled(spark, rates(events_stream(spark, sf_dir)), "complete").select(F.unix_micros("second").alias("second_us"), "protocol", "entries", "errors")
+    out = _arriving(spark, _sliced_entries(spark, sf_dir), "timestamp", lambda s: rates(s, 6 * 3600, _noon()))
+    return out.filter("protocol IS NOT NULL").select(F.unix_micros("second").alias("second_us"), "protocol", "entries", "errors")
+
+
+@query(f"{_LATE} SELECT protocol, count(*) AS late FROM m WHERE late GROUP BY protocol")
+def stream_too_late(spark, sf_dir):
+    from .streaming.jobs import too_late
+
+    out = _arriving(spark, _sliced_entries(spark, sf_dir), "timestamp", lambda s: too_late(s, 6 * 3600, _noon()))
+    return out.groupBy("protocol").agg(F.sum("late").alias("late"))
 
 
 @query(f"{_FLAT} SELECT {_ROW} FROM l WHERE protocol = 'http' AND ms >= 100")
@@ -645,17 +719,49 @@ def stream_live_filter(spark, sf_dir):
     return _settled(spark, _rows(live(events_stream(spark, sf_dir), "protocol == http and elapsedMs >= 100")), "append")
 
 
-@query(f"""WITH {_MESSAGES}, s AS (SELECT *, sum(CASE WHEN is_request THEN 1 ELSE -1 END) OVER (PARTITION BY conn ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS bal FROM m),
- f AS (SELECT *, least(coalesce(min(bal) OVER (PARTITION BY conn ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS low FROM s),
- k AS (SELECT *, row_number() OVER (PARTITION BY conn, is_request ORDER BY ts, seq) AS k FROM f WHERE is_request OR bal >= low)
- SELECT q.conn, q.seq AS request_seq, r.seq AS response_seq, (epoch_us(r.ts) - epoch_us(q.ts)) // 1000 AS elapsed_ms FROM k q JOIN k r ON q.conn = r.conn AND q.k = r.k AND q.is_request AND NOT r.is_request""")
+@query(_fifo_sql(30, 1024))
 def stream_pairing(spark, sf_dir):
-    from .streaming.jobs import pair_in_order
+    """Queues as state: requests expire by event time, messages arrive out of order."""
+    from .streaming.ordered import pair_in_order, with_timers
+
+    with_timers(spark)
+    e = _sliced(read_table(spark, sf_dir, "events"))
+    return _arriving(spark, _rush_columns(e, "slice"), "ts", lambda s: pair_in_order(s, late="4 seconds"))
+
+
+@query(_dns_sql("200000000"))
+def stream_dns_pairing(spark, sf_dir):
+    """The latest request of a number as state, for 200,000 seconds."""
+    from .streaming.ordered import pair_by_number, with_timers
+
+    with_timers(spark)
+    rows = _messages_of(_sliced(read_table(spark, sf_dir, "events")), "slice")
+    return _arriving(spark, rows, "ts", lambda s: pair_by_number(s, ["conn", "number"], 200_000, "25 hours"))
+
+
+@query(_sessions_sql("started_us, ended_us, packets, bytes, client_bytes, server_bytes, client_packets, server_packets, client_flags, server_flags, mss, window_size, rtt_ms"))
+def stream_flow_sessions(spark, sf_dir):
+    """Sessions as state, given out at a FIN or RST or by a timer after four idle hours."""
+    from .streaming.ordered import sessions, with_timers
+
+    with_timers(spark)
+    rows = _packets_of(_sliced(read_table(spark, sf_dir, "events")), "slice")
+    out = _arriving(spark, rows, "ts", lambda s: sessions(s, 4 * 3600, "25 hours"))
+    return out.withColumn("rtt_ms", F.coalesce("rtt_ms", F.lit(-1e9))).withColumnRenamed("window", "window_size")
+
+
+@query(f"""WITH r AS (SELECT conn, CAST(conn % 3 AS VARCHAR) AS src, seq % 2 AS sport, us, seq % 5 AS seq, seq % 3 AS length FROM (SELECT user_id % 40 AS conn, epoch_us(ts) // 500000 AS us, event_id AS seq FROM events)),
+ l AS (SELECT *, lag(us) OVER w AS us_, lag(seq) OVER w AS seq_, lag(length) OVER w AS length_ FROM r WINDOW w AS (PARTITION BY conn, src, sport ORDER BY us, seq, length))
+ SELECT conn, src, sport, us, seq, length FROM l WHERE NOT coalesce(length > 0 AND seq = seq_ AND length = length_ AND us - us_ <= 5000, FALSE)""")
+def stream_repeats(spark, sf_dir):
+    """Packets seen twice within five milliseconds are dropped; a month in five seconds, so many are."""
+    from .streaming.ordered import with_timers, without_repeats
 
-    entries = events_stream(spark, sf_dir)
-    user = F.regexp_extract("request.path", "[0-9]+$", 0).cast("bigint")
-    messages = entries.select((user % 40).cast("string").alias("conn"), F.col("timestamp").alias("ts"), (F.col("seq") - 1).alias("seq"), F.col("protocol").isin("http", "redis", "postgres").alias("is_request"))
-    return _settled(spark, pair_in_order(messages, 10**7, 10**6), "append").withColumn("conn", F.col("conn").cast("bigint"))
+    with_timers(spark)
+    n, conn = F.col("event_id"), F.col("user_id") % 40
+    us = F.expr("unix_micros(CAST(ts AS timestamp)) div 500000")
+    rows = _sliced(read_table(spark, sf_dir, "events")).select(conn.alias("conn"), (conn % 3).cast("string").alias("src"), (n % 2).alias("sport"), F.timestamp_micros(us).alias("ts"), (n % 5).alias("seq"), (n % 3).alias("length"), "slice")
+    return _arriving(spark, rows, "ts", lambda s: without_repeats(s, late="1 second"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,13 +43,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below the shared one; it goes when the driver's interpreter ends."""
+    path = f"{scratch_dir(spark)}/wirelake/{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and later readers
     survive the loss of any executor. The table goes when the driver's interpreter ends."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/wirelake/{label}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, label)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,20 +1,18 @@
-"""Streaming: ingest, live filters, rates with late data, sinks, exact pairing with state."""
+"""Streaming: ingest, live filters, rates with late data, sinks."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.history import matching
 from ..sources.adapters import from_json_lines
 
-#: Requests of a connection that wait for an answer; beyond it the oldest is given up.
-BACKLOG = 1024
-
 
 def ingest(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """Entries from JSON lines that appear under a folder."""
@@ -27,14 +25,36 @@ def live(entries: DataFrame, filter: str) -> DataFrame:
     return matching(entries, filter)
 
 
-def rates(entries: DataFrame, late_seconds: int = 300) -> DataFrame:
-    """Entries and errors of each second by protocol; what is later than the watermark is not
-    counted here, though it stays in history."""
-    rows = entries.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", f"{late_seconds} seconds")
-    counted = rows.groupBy(F.window("timestamp", "1 second"), "protocol").agg(F.count("*").alias("entries"), F.count_if(F.col("status") == "error").alias("errors"))
+def _clamped(entries: DataFrame, late_seconds: int, now: datetime | Column | None) -> DataFrame:
+    at = F.col("timestamp").cast("timestamp")
+    if now is not None:
+        at = F.least(at, F.lit(now).cast("timestamp"))
+    return entries.withColumn("timestamp", at).withWatermark("timestamp", f"{late_seconds} seconds")
+
+
+def rates(entries: DataFrame, late_seconds: int = 300, now: datetime | Column | None = None) -> DataFrame:
+    """Entries and errors of each second by protocol, for append mode: a second is given out once, when
+    the watermark has passed it. What comes later than that isn't counted here (``too_late`` does),
+    though it stays in history. Times after ``now`` count as now, so that no clock that is ahead
+    moves the watermark."""
+    counted = _clamped(entries, late_seconds, now).groupBy(F.window("timestamp", "1 second"), "protocol").agg(F.count("*").alias("entries"), F.count_if(F.col("status") == "error").alias("errors"))
     return counted.select(F.col("window.start").alias("second"), "protocol", "entries", "errors")
 
 
+def too_late(entries: DataFrame, late_seconds: int = 300, now: datetime | Column | None = None, parts: int = 64) -> DataFrame:
+    """(protocol, late) for append mode: with each micro-batch, how many of its entries ``rates`` doesn't
+    count. A protocol's entries are counted in ``parts`` parts, whose sum is its count."""
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        passed = state.getCurrentWatermarkMs()
+        late = sum(int((f["until"] <= passed).sum()) for f in frames)
+        yield pd.DataFrame([(key[0], late)] if late else [], columns=["protocol", "late"])
+
+    until = (F.unix_seconds("timestamp") + 1) * 1000
+    rows = _clamped(entries, late_seconds, now).select("protocol", "timestamp", until.alias("until"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
+    return rows.groupBy("protocol", "part").applyInPandasWithState(step, "protocol string, late long", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
 def to_json_files(entries: DataFrame, path: str, checkpoint: str, per_file: int = 100_000):
     """A running query that appends entries as JSON lines, exactly once."""
     return entries.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", per_file).outputMode("append")
@@ -58,38 +78,3 @@ def to_webhook(entries: DataFrame, post: Callable[[list[str]], None], checkpoint
         df.select(F.to_json(F.struct("*")).alias("value")).foreachPartition(send)
 
     return entries.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-
-
-def pair_in_order(messages: DataFrame, expire_seconds: int = 30, backlog: int = BACKLOG, late_seconds: int = 60) -> DataFrame:
-    """(conn, request_seq, response_seq, elapsed_ms): each response with the oldest request still
-    waiting on its connection. Requests expire, overflow drops the oldest, and a response that
-    finds none waiting is dropped; waiting requests are state, kept until the watermark, which
-    trails the newest message by ``late_seconds``, has passed their time.
-
-    ``messages``: conn string, ts timestamp, seq long, is_request boolean.
-    """
-    expire = expire_seconds * 1_000_000
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        waiting = list(zip(*state.get, strict=True)) if state.exists else []
-        rows = pd.concat(list(frames), ignore_index=True)
-        out = []
-        for r in rows.sort_values(["us", "seq"]).itertuples():
-            waiting = [w for w in waiting if r.us - w[0] <= expire]
-            if r.is_request:
-                waiting = (waiting + [(int(r.us), int(r.seq))])[-backlog:]
-            elif waiting:
-                us, seq = waiting.pop(0)
-                out.append((key[0], seq, int(r.seq), (int(r.us) - us) // 1000))
-        if waiting:
-            state.update(([w[0] for w in waiting], [w[1] for w in waiting]))
-            state.setTimeoutTimestamp(max(waiting[-1][0] // 1000 + expire_seconds * 1000, state.getCurrentWatermarkMs()) + 1)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["conn", "request_seq", "response_seq", "elapsed_ms"])
-
-    keyed = messages.withWatermark("ts", f"{late_seconds} seconds").select("conn", "ts", F.unix_micros("ts").alias("us"), "seq", "is_request")
-    return keyed.groupBy("conn").applyInPandasWithState(step, "conn string, request_seq long, response_seq long, elapsed_ms long", "us array<long>, seq array<long>", "append", GroupStateTimeout.EventTimeTimeout)

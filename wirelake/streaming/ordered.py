@@ -6,8 +6,8 @@ are dropped. What is remembered of a key is kept while it matters, and a timer w
 time alone changes something: a row may be handled, a request expires, a connection has been idle.
 
 A job is a small class: ``row`` takes a row in its turn, ``clock`` says that time has come so far,
-``wakes`` when it wants to hear of that next, in microseconds. Memory of a job is what JSON can hold;
-None means that nothing needs to be remembered.
+``wakes`` when it wants to hear of that next, in microseconds. ``load`` and ``save`` turn its memory from and to
+what JSON can hold; None means that nothing needs to be remembered.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class Replay(StatefulProcessor):
     """Holds back rows (us, seq, …) until the watermark and hands them to a job in order."""
 
-    def __init__(self, job, held: StructType):
+    def __init__(self, job, held: StructType, keys: list[str]):
         self.job, self.schema = job, held
+        self.names = [*keys, *(c.split()[0] for c in job.columns.split(", "))]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -50,7 +51,7 @@ class Replay(StatefulProcessor):
         held = [tuple(h) for h in self.held.get()] if self.held.exists() else []
         waiting = sorted(held + new)
         ready = [r for r in waiting if r[0] <= now]
-        memory = json.loads(self.memory.get()[0]) if self.memory.exists() else None
+        memory = self.job.load(json.loads(self.memory.get()[0])) if self.memory.exists() else None
         out: list[tuple] = []
         for r in ready:
             memory = self.job.clock(memory, r[0] - 1, out)
@@ -64,7 +65,7 @@ class Replay(StatefulProcessor):
         if memory is None:
             self.memory.clear()
         else:
-            self.memory.update((json.dumps(memory),))
+            self.memory.update((json.dumps(self.job.save(memory)),))
         wakes = ([rest[0][0]] if rest else []) + ([self.job.wakes(memory)] if memory is not None else [])
         at = max(-(-min(wakes) // 1000), now // 1000 + 1) if wakes else None
         for t in list(self.handle.listTimers()):
@@ -73,7 +74,7 @@ class Replay(StatefulProcessor):
         if at is not None:
             self.handle.registerTimer(at)
         for o in out:
-            yield Row(*key, *o)
+            yield Row(**dict(zip(self.names, (*key, *o), strict=True)))
 
     def close(self) -> None:
         pass
@@ -90,7 +91,7 @@ def replayed(rows: DataFrame, keys: list[str], job, late: str) -> DataFrame:
     timed = timed.select(*keys, "ts", F.unix_micros("ts").alias("us"), "seq", *job.reads)
     held = StructType([timed.schema[n] for n in reads])
     out = ", ".join(f"{k} {timed.schema[k].dataType.simpleString()}" for k in keys) + ", " + job.columns
-    return timed.groupBy(*keys).transformWithState(Replay(job, held), out, "Append", "EventTime")
+    return timed.groupBy(*keys).transformWithState(Replay(job, held, keys), out, "Append", "EventTime")
 
 
 def with_timers(spark) -> None:
@@ -98,7 +99,17 @@ def with_timers(spark) -> None:
     spark.conf.set(PROVIDER, ROCKSDB)
 
 
-class Queues:
+class Job:
+    """What the jobs have in common: memory that JSON holds as it is."""
+
+    def load(self, saved):
+        return saved
+
+    def save(self, memory):
+        return memory
+
+
+class Queues(Job):
     """Each response with the oldest request that waits; requests expire, and overflow drops the oldest."""
 
     reads, columns = ("is_request",), "request_seq long, response_seq long, elapsed_ms long, depth long"
@@ -106,32 +117,39 @@ class Queues:
     def __init__(self, expire_seconds: int = 30, backlog: int = 1024):
         self.expire, self.backlog = expire_seconds * 1_000_000, backlog
 
+    def load(self, saved):
+        return deque(saved)
+
+    def save(self, memory):
+        return list(memory)
+
     def row(self, waiting, r: dict, out: list):
-        queue = deque(waiting or ())
+        waiting = deque() if waiting is None else waiting
         if r["is_request"]:
-            queue.append((r["us"], r["seq"], len(queue)))
-            if len(queue) > self.backlog:
-                queue.popleft()
-        elif queue:
-            us, seq, depth = queue.popleft()
+            waiting.append((r["us"], r["seq"], len(waiting)))
+            if len(waiting) > self.backlog:
+                waiting.popleft()
+        elif waiting:
+            us, seq, depth = waiting.popleft()
             out.append((seq, r["seq"], (r["us"] - us) // 1000, depth))
-        return list(queue) or None
+        return waiting or None
 
     def clock(self, waiting, us: int, out: list):
-        fresh = [w for w in waiting or () if us - w[0] < self.expire]
-        return fresh or None
+        while waiting and us - waiting[0][0] >= self.expire:
+            waiting.popleft()
+        return waiting or None
 
     def wakes(self, waiting) -> int:
         return waiting[0][0] + self.expire
 
 
-class Latest:
+class Latest(Job):
     """The first response after the latest request of a number, within the time."""
 
     reads, columns = ("is_request",), "request_seq long, response_seq long, elapsed_ms long"
 
     def __init__(self, expire_seconds: int = 30):
-        self.expire = expire_seconds * 1_000_000
+        self.expire = expire_seconds * 1_000_000 + 999  # times are compared in whole milliseconds
 
     def row(self, request, r: dict, out: list):
         if r["is_request"]:
@@ -141,13 +159,13 @@ class Latest:
         return None
 
     def clock(self, request, us: int, out: list):
-        return None if request is None or us - request[0] > self.expire else request
+        return None if request is None or us - request[0] >= self.expire else request
 
     def wakes(self, request) -> int:
-        return request[0] + self.expire + 1
+        return request[0] + self.expire
 
 
-class Once:
+class Once(Job):
     """Packets but those with data that repeat number and length of the one before within a few milliseconds."""
 
     reads, columns = ("length",), "us long, seq long, length long"
@@ -162,13 +180,13 @@ class Once:
         return now
 
     def clock(self, last, us: int, out: list):
-        return None if last is None or us - last[0] > self.near else last
+        return None if last is None or us - last[0] >= self.near else last
 
     def wakes(self, last) -> int:
-        return last[0] + self.near + 1
+        return last[0] + self.near
 
 
-class Sessions:
+class Sessions(Job):
     """Connections as sessions of packets; one ends at the first FIN or RST or after idle time. What
     follows a FIN or RST isn't counted until a SYN opens the next session."""
 
