@@ -354,6 +354,11 @@ def _node(node) -> Column:
     return ~hit if node.op == "!=" else hit
 
 
+def condition_of(parts: tuple) -> Column:
+    """The condition that some trees of filters all hold."""
+    return _node(parts[0] if len(parts) == 1 else Many("and", tuple(parts)))
+
+
 def where(source: str) -> Column | None:
     """The condition of a filter, for use under ``filter``; None matches everything."""
     tree = parse(source)

@@ -719,6 +719,70 @@ def stream_live_filter(spark, sf_dir):
     return _settled(spark, _rows(live(events_stream(spark, sf_dir), "protocol == http and elapsedMs >= 100")), "append")
 
 
+def _many_filters() -> list[tuple[str, str]]:
+    """Two hundred filters and their conditions on the flat columns."""
+    out = [(f'request.path == "/{k}/{n}"', f"lower(path) = '/{k}/{n}'") for n in range(20) for k in ("view", "click")]
+    out += [(f"src.workload == WL-{n} and elapsedMs >= {m}", f"swl = 'wl-{n}' AND ms >= {m}") for n in range(16) for m in (100, 250, 400)]
+    out += [(f"elapsedMs < {10 * n} and response.status in (503, 404) and src.namespace == shop", f"ms < {10 * n} AND code IN (503, 404) AND sns = 'shop'") for n in range(1, 33)]
+    out += [(f"namespace == {s} and status != {t} and not request.path contains {n}", f"(sns = '{s}' OR dns = '{s}') AND status <> '{t}' AND NOT contains(path, '{n}')") for s in ("shop", "platform") for t in ("error", "success") for n in range(10)]
+    out += [(f'src.ip == "10.0.1.{32 * n}/27" and elapsedMs > 50', f"CAST(split_part(sip, '.', 4) AS INT) BETWEEN {32 * n} AND {32 * n + 31} AND ms > 50") for n in range(8)]
+    out += [(f"protocol == {p} or elapsedMs >= {m}", f"protocol = '{p}' OR ms >= {m}") for p in ("http", "dns", "tcp", "redis") for m in (200, 300, 400, 480)]
+    out += [(f"/signup/{n}", f"contains(lower(path), '/signup/{n}')") for n in range(8)]
+    return [*out, *out[-8:]]  # some subscribers share a filter
+
+
+@query(_FLAT + ", h AS (" + " UNION ALL ".join(f"SELECT 's{i}' AS subscriber, count(*) AS entries, CAST(sum(seq) AS BIGINT) AS seqs FROM l WHERE {c}" for i, (_, c) in enumerate(_many_filters())) + ") SELECT * FROM h WHERE entries > 0")
+def stream_many_filters(spark, sf_dir):
+    """One stream that serves two hundred subscribers, each by its own filter."""
+    from .streaming.feed import Feed, delivered
+
+    feed = Feed({f"s{i}": f for i, (f, _) in enumerate(_many_filters())})
+    sent = delivered(events_stream(spark, sf_dir), feed).select("subscriber", "seq")
+    return _settled(spark, sent, "append").groupBy("subscriber").agg(F.count("*").alias("entries"), F.sum("seq").alias("seqs"))
+
+
+#: Who asks for what with which of four parts of the entries, and what that is in SQL; the last is no filter.
+_SWAPS = [
+    (0, "a", "protocol == http", "protocol = 'http'"),
+    (1, "b", "status == error", "status = 'error'"),
+    (1, "a", "elapsedMs >= 250", "ms >= 250"),
+    (2, "a", "protocol == dns and elapsedMs < 100", "protocol = 'dns' AND ms < 100"),
+    (2, "b", "(status == error", None),
+    (3, "b", "src.namespace == shop", "sns = 'shop'"),
+]
+
+
+def _swaps_sql() -> str:
+    part, seen, out = "(SELECT l.*, (seq - 1) * 4 // (SELECT max(seq) FROM l) AS part FROM l)", {}, []
+    for k in range(4):
+        for _, who, _, condition in (s for s in _SWAPS if s[0] == k and s[3]):
+            seen[who] = condition
+            out.append(f"(SELECT '{who}' AS subscriber, {k} AS part, TRUE AS replayed, seq FROM {part} WHERE part < {k} AND ({condition}) ORDER BY seq DESC LIMIT 500)")
+        out += [f"SELECT '{who}', {k}, FALSE, seq FROM {part} WHERE part = {k} AND ({condition})" for who, condition in seen.items()]
+    return f"{_FLAT}, s AS ({' UNION ALL '.join(out)}) SELECT subscriber, CAST(part AS BIGINT) AS part, replayed, seq FROM s"
+
+
+@query(_swaps_sql())
+def stream_filter_swap(spark, sf_dir):
+    """Two subscribers that change their filters between four parts of the entries; one sends what is no filter."""
+    from .streaming.feed import Switchboard
+
+    where = scratch_folder(spark, "switchboard")
+    entries = events_as_entries(spark, sf_dir)
+    last = entries.agg(F.max("seq")).scalar()
+    entries = entries.withColumn("part", ((F.col("seq") - 1) * 4 / last).cast("bigint"))
+    rows = entries.withColumns({"subscriber": F.lit(None).cast("string"), "filter": F.lit(None).cast("string")})
+    asked = spark.createDataFrame([(k, s, f, i) for i, (k, s, f, _) in enumerate(_SWAPS)], "part long, subscriber string, filter string, seq long")
+    rows = rows.unionByName(asked, allowMissingColumns=True)
+    schema, board = rows.drop("part").schema, Switchboard(spark, where)
+    spark.createDataFrame([], schema).write.parquet(f"{where}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{where}/in")
+    for k in range(4):
+        rows.filter(F.col("part") == k).drop("part").write.mode("append").parquet(f"{where}/in")
+        board.start(stream, availableNow=True).awaitTermination()
+    return board.sent().select("subscriber", F.col("batch").cast("bigint").alias("part"), "replayed", "seq")
+
+
 @query(_fifo_sql(30, 1024))
 def stream_pairing(spark, sf_dir):
     """Queues as state: requests expire by event time, messages arrive out of order."""
