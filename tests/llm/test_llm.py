@@ -539,3 +539,18 @@ def test_toxicity_learns_rare_words(spark):
     labels = spark.createDataFrame([(i, int(i in rude)) for i in range(400)], "doc_id bigint, toxic int")
     model, plain = toxicity.train(docs_of(spark, texts), labels), " ".join(vocabulary[:30])
     assert model.score(plain + " zwxyqq") > model.score(plain + " zwxyq") > model.score(plain)
+
+
+def test_long_tokens_stay_off_the_driver(spark, monkeypatch):
+    """Texts without white space: what travels with the tasks is bounded in bytes, whatever they hold,
+    and scores are those of tokens that travel."""
+    texts = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.sha2(F.col("id").cast("string").cast("binary"), 256), F.lit(300)).alias("text"))
+    model = lm.train(texts.select("doc_id", "text"))
+    assert model.distinct == 301 and sum(map(len, model.words)) <= lm.KNOWN * lm.LONGEST and model.words == [lm.END]
+    mixed = texts.limit(40).unionByName(spark.createDataFrame([(1000 + i, f"some words of {'x' * (i % 3 * 50)} text {i % 5}") for i in range(60)], "doc_id bigint, text string"))
+    monkeypatch.setattr(lm, "LONGEST", 1 << 20)
+    want = {r.doc_id: r for r in lm.lm_scores(mixed).collect()}
+    monkeypatch.setattr(lm, "LONGEST", 64)
+    got = {r.doc_id: r for r in lm.lm_scores(mixed).collect()}
+    assert all((a.n_tokens, a.n_known, a.train_tokens) == (b.n_tokens, b.n_known, b.train_tokens) and math.isclose(a.base_score, b.base_score, abs_tol=1e-9) for a, b in ((got[i], want[i]) for i in want))
+    assert all(np.isfinite(r.score) and r.score < 0 for r in got.values())

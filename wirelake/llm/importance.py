@@ -193,10 +193,10 @@ def importance_resample(docs: DataFrame, target: DataFrame, percent: int = 5, le
     gains = bucket_gains(texts.select("text"), target.select(F.col(target_text_col).cast("binary").alias("text")), buckets)
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256), 1, 8), 16, 10).cast("bigint")
     noise = F.floor(F.lit(-1000.0) * F.log(-F.log((h + F.lit(0.5)) / F.lit(4294967296.0))))
-    scored = document_weights(texts, gains).withColumn("score", F.col("weight") + noise)
+    scored = document_weights(texts, gains).withColumn("score", F.col("weight") + noise).withColumn("row", F.monotonically_increasing_id())
     scored = materialise(scored, "importance-scores")
     fit = F.col("n_words") >= least_words
-    order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
+    order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("row")]  # no two rows tie, so any range can be cut
     # one global order: the number of a row within its range of scores, and the rows of the ranges before
     placed = scored.filter(fit).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
     placed = materialise(placed, "importance-order")

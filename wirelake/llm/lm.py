@@ -37,8 +37,9 @@ from .labelled import fold
 #: Size of the model: tokens with a class of their own, clusters of them, dimensions of their vectors
 #: and of those of other tokens.
 CLASSES, CLUSTERS, WIDTH, NARROW = 2048, 16, 32, 8
-#: Tokens whose figures travel with the tasks.
-KNOWN = 1 << 17
+#: Tokens whose figures travel with the tasks, and the bytes that each may have: 8 MB in all. Longer
+#: ones are served by a join, as rare ones are.
+KNOWN, LONGEST = 1 << 17, 64
 STEPS, RATE, NOISE = 90, 0.05, 10.0
 #: Steps for a token of the rest, and the weight that keeps its vector short.
 REST_STEPS, SHORT = 20, 1.0
@@ -240,11 +241,12 @@ def train(texts: DataFrame, classes: int = CLASSES, known: int = KNOWN, clusters
     N, V = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     level = F.floor(F.log2(F.col("c").cast("double")) * 16)  # tokens by size of count: no order over all of them
     tops, least = 0, None
-    for r in counts.filter(F.col("token") != END).groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundreds of rows
+    short = (F.col("token") != END) & (F.octet_length("token") <= LONGEST)
+    for r in counts.filter(short).groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundreds of rows
         if tops + r["count"] > known - 1:
             break
         tops, least = tops + r["count"], r.level
-    top = counts.filter((F.col("token") != END) & (level >= least if least is not None else F.lit(False))).toArrow()
+    top = counts.filter(short & (level >= least if least is not None else F.lit(False))).toArrow()
     order = sorted(zip((-c for c in top.column("c").to_pylist()), top.column("token").to_pylist(), strict=True))
     ends = counts.filter(F.col("token") == END).first()
     words, c = [END, *(t for _, t in order)], np.array([ends.c if ends else 0, *(-n for n, _ in order)], np.float64)
@@ -298,7 +300,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, classes: int =
     at = {w: i for i, w in enumerate(model.words)}
     least = int(model.counts[classes:].min()) if len(model.words) > classes else None
     if least is not None:
-        some = model.rest.filter(F.col("c") >= least).toArrow()  # the known ones, at most ``known`` rows
+        some = model.rest.filter((F.col("c") >= least) & (F.octet_length("token") <= LONGEST)).toArrow()  # the known ones, at most ``known`` rows
         where = np.array([at.get(t, -1) for t in some.column("token").to_pylist()])
         values = np.asarray(some.column("fit").combine_chunks().flatten()).reshape(len(where), -1)
         within[where[where >= 0]] = values[where >= 0]
