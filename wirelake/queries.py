@@ -312,6 +312,13 @@ def facet_topn(spark, sf_dir):
     return facets.facet_snapshot(events_as_entries(spark, sf_dir))
 
 
+@query(ORACLE_SQL["facet_topn"])
+def facet_sketched(spark, sf_dir):
+    """The same from sketches of every day, merged; no field has more values than counters."""
+    days = events_as_entries(spark, sf_dir).withColumn("day", F.to_date("timestamp"))
+    return facets.sketched_snapshot(facets.facet_sketches(days, ("day",)))
+
+
 @query(f"{_FLAT} SELECT 'request' AS side, 'user-agent' AS name, count(*) AS count FROM l UNION ALL SELECT 'response', CASE WHEN event_type = 'view' THEN 'content-type' ELSE 'x-served-by' END, count(*) FROM l GROUP BY 2")
 def header_facets(spark, sf_dir):
     return facets.header_facets(events_as_entries(spark, sf_dir))
@@ -719,6 +726,27 @@ def stream_live_filter(spark, sf_dir):
     return _settled(spark, _rows(live(events_stream(spark, sf_dir), "protocol == http and elapsedMs >= 100")), "append")
 
 
+@query(ORACLE_SQL["facet_topn"])
+def stream_facets(spark, sf_dir):
+    """Sketches that a stream leaves behind, micro-batch by micro-batch, and a snapshot of them."""
+    from .streaming.jobs import to_facet_sketches
+
+    where = scratch_folder(spark, "facets")
+    to_facet_sketches(events_stream(spark, sf_dir), f"{where}/sketches", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    return facets.sketched_snapshot(spark.read.parquet(f"{where}/sketches"))
+
+
+@query(f"{_FLAT} SELECT {_ROW}, '/' || event_type || '/' || user_id AS path FROM l")
+def stream_rotating_export(spark, sf_dir):
+    """Entries as JSON lines in files of 64 KiB, all of them kept, read back."""
+    from .streaming.jobs import to_rotating_files
+
+    where = scratch_folder(spark, "export")
+    to_rotating_files(events_stream(spark, sf_dir), f"{where}/lines", f"{where}/state", 64 << 10, 0).trigger(availableNow=True).start().awaitTermination()
+    back = from_json_lines(spark.read.text(f"{where}/lines"))
+    return back.select("id", "seq", "protocol", "status", F.col("elapsedMs").alias("ms"), "request.path")
+
+
 def _many_filters() -> list[tuple[str, str]]:
     """Two hundred filters and their conditions on the flat columns."""
     out = [(f'request.path == "/{k}/{n}"', f"lower(path) = '/{k}/{n}'") for n in range(20) for k in ("view", "click")]

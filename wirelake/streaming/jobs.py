@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.facets import facet_sketches
 from ..operators.history import matching
 from ..sources.adapters import from_json_lines
+from ..sources.rotating import RotatingLines
 
 
 def ingest(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -55,11 +57,30 @@ def too_late(entries: DataFrame, late_seconds: int = 300, now: datetime | Column
     return rows.groupBy("protocol", "part").applyInPandasWithState(step, "protocol string, late long", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def to_facet_sketches(entries: DataFrame, path: str, checkpoint: str):
+    """A running query that leaves the sketches of each micro-batch under ``path``, once each; a snapshot
+    then merges sketches and reads no entries."""
+
+    def keep(df: DataFrame, batch: int) -> None:
+        facet_sketches(df).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return entries.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+
+
 def to_json_files(entries: DataFrame, path: str, checkpoint: str, per_file: int = 100_000):
     """A running query that appends entries as JSON lines, exactly once."""
     return entries.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", per_file).outputMode("append")
 
 
+def to_rotating_files(entries: DataFrame, path: str, checkpoint: str, most_bytes: int = 100 << 20, keep: int = 5, seconds: float = 2):
+    """A running query that flushes entries every few seconds as JSON lines, to files of so many bytes of
+    which the newest stay: see ``sources.rotating``."""
+    entries.sparkSession.dataSource.register(RotatingLines)
+    lines = entries.select(F.to_json(F.struct("*")).alias("value"))
+    options = {"path": path, "checkpointLocation": checkpoint, "mostBytes": most_bytes, "keep": keep}
+    return lines.writeStream.format(RotatingLines.name()).options(**options).outputMode("append").trigger(processingTime=f"{seconds} seconds")
+
+
 def to_webhook(entries: DataFrame, post: Callable[[list[str]], None], checkpoint: str, batch: int = 500):
     """A running query whose executors hand JSON documents to ``post``, ``batch`` at most at once.
     ``post`` opens its own connection; what it raises fails the batch, which is tried again."""
