@@ -3,15 +3,18 @@
 import gzip
 import json
 import os
+import random
 import struct
 from datetime import UTC, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from wirelake.operators.pairing import keyed_pairs
 from wirelake.schema import conform
+from wirelake.sources import captures
 from wirelake.sources.demo import demo_entries
-from wirelake.streaming import jobs
+from wirelake.streaming import jobs, ordered
 from wirelake.wire import amqp, dissect, dns, http, kafka, mongo, mysql, pcap, postgres, resp, sniff
 
 
@@ -48,11 +51,14 @@ def test_dns():
 
 
 def test_resp():
-    asked = [resp.command(v) for v in resp.values(b"*2\r\n$3\r\nGET\r\n$5\r\nmykey\r\n*3\r\n$3\r\nset\r\n$3\r\nfoo\r\n$3\r\nbar\r\nPING\r\n")]
-    assert asked == [("GET", ["mykey"]), ("SET", ["foo", "bar"]), ("PING", [])]
-    got = [resp.reply(v) for v in resp.values(b"+OK\r\n-ERR bad command\r\n:42\r\n$3\r\nabc\r\n$-1\r\n%1\r\n+k\r\n:1\r\n")]
-    assert [g[0] for g in got] == ["OK", "ERR bad command", "(integer) 42", "abc", "(nil)", "(map) 1 items"] and [g[2] for g in got][:2] == ["success", "error"]
-    assert resp.values(b"*1\r\n" * 200) == [] and resp.values(b"$5\r\nab") == []
+    """Arrays, inline commands and every kind of reply, cut ones included."""
+    bulk = lambda *parts: b"*%d\r\n" % len(parts) + b"".join(b"$%d\r\n%b\r\n" % (len(x), x) for x in parts)
+    sent = b"echo  tide\r\n" + bulk(b"zadd", b"heights", b"4.5", b"dover") + bulk(b"TTL", "mär".encode())
+    assert [resp.command(v) for v in resp.values(sent)] == [("ECHO", ["tide"]), ("ZADD", ["heights", "4.5", "dover"]), ("TTL", ["mär"])]
+    told = {b"$0\r\n\r\n": ("", "success"), b"_\r\n": ("(nil)", "success"), b":-7\r\n": ("(integer) -7", "success"), b"-WRONGTYPE no list\r\n": ("WRONGTYPE no list", "error"), b"%2\r\n+low\r\n:1\r\n+high\r\n:9\r\n": ("(map) 2 items", "success"), b"+QUEUED\r\n": ("QUEUED", "success")}
+    got = [resp.reply(v) for v in resp.values(b"".join(told))]
+    assert [(g[0], g[2]) for g in got] == list(told.values())
+    assert resp.values(b"*1\r\n" * 99) == [] and resp.values(bulk(b"tide")[:-3]) == []
 
 
 def pg(kind, content):
@@ -73,10 +79,10 @@ def kafka_frame(raw):
 
 
 def test_kafka():
-    raw = struct.pack(">hhih", 0, 7, 42, 3) + b"cli" + struct.pack(">hhiih", -1, 1, 1000, 1, 6) + b"orders"
+    raw = struct.pack(">hhih", 0, 7, 42, 3) + b"cli" + struct.pack(">hhiih", -1, 1, 1000, 1, 6) + b"gauges"
     q = kafka.requests(kafka_frame(raw))[0]
-    assert (q["summary"], q["correlationId"], q["clientId"]) == ("PRODUCE topic=orders (v7)", 42, "cli")
-    answer = struct.pack(">iih", 42, 1, 6) + b"orders" + struct.pack(">iih", 1, 0, 3)
+    assert (q["summary"], q["correlationId"], q["clientId"]) == ("PRODUCE topic=gauges (v7)", 42, "cli")
+    answer = struct.pack(">iih", 42, 1, 6) + b"gauges" + struct.pack(">iih", 1, 0, 3)
     a = kafka.responses(kafka_frame(answer), {42: ("Produce", 7)})[0]
     assert (a["errorCode"], a["status"]) == (3, "error")
 
@@ -118,10 +124,10 @@ def test_amqp():
         return struct.pack(">BHI", kind, 1, len(raw)) + raw + b"\xce"
 
     short = lambda s: bytes([len(s)]) + s
-    data = b"AMQP\0\0\x09\x01" + frame(1, struct.pack(">HHH", 60, 40, 0) + short(b"orders") + short(b"new") + b"\0")
+    data = b"AMQP\0\0\x09\x01" + frame(1, struct.pack(">HHH", 60, 40, 0) + short(b"gauges") + short(b"set") + b"\0")
     data += frame(2, struct.pack(">HHQH", 60, 0, 5, 0x8400) + short(b"text/plain") + short(b"c-1")) + frame(3, b"hel") + frame(3, b"lo") + frame(1, struct.pack(">HHQB", 60, 120, 7, 0))
     a, b = amqp.methods(data)
-    assert (a["class"], a["method"], a["exchange"], a["routingKey"], a["body"], a["contentType"], a["correlationId"], a["size"]) == ("Basic", "Publish", "orders", "new", b"hello", "text/plain", "c-1", 5)
+    assert (a["class"], a["method"], a["exchange"], a["routingKey"], a["body"], a["contentType"], a["correlationId"], a["size"]) == ("Basic", "Publish", "gauges", "set", b"hello", "text/plain", "c-1", 5)
     assert (b["method"], b["deliveryTag"], b["status"]) == ("Nack", 7, "warning")
 
 
@@ -285,6 +291,62 @@ def test_stateful_pairs(spark, tmp_path):
     rows = [("c", t(0), 0, True), ("c", t(1), 1, True), ("c", t(2), 2, False), ("c", t(40), 3, False), ("d", t(0), 4, False), ("d", t(1), 5, True), ("d", t(3), 6, False)]
     spark.createDataFrame(rows, "conn string, ts timestamp, seq bigint, is_request boolean").coalesce(1).write.parquet(str(tmp_path / "m"))
     stream = spark.readStream.schema("conn string, ts timestamp, seq bigint, is_request boolean").parquet(str(tmp_path / "m"))
-    assert jobs.pair_in_order(stream).writeStream.format("memory").queryName("pairs").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    ordered.with_timers(spark)
+    assert ordered.pair_in_order(stream, late="0 seconds").writeStream.format("memory").queryName("pairs").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
     got = {(r.conn, r.request_seq, r.response_seq, r.elapsed_ms) for r in spark.sql("select * from pairs").collect()}
     assert got == {("c", 0, 2, 2000), ("d", 5, 6, 2000)}
+
+
+def whole_file(path):
+    """(place, microseconds, frame) of a capture file, walked from its start."""
+    data, at = open(path, "rb").read(), 24
+    while at + 16 <= len(data):
+        seconds, micros, size, _ = struct.unpack("<IIII", data[at : at + 16])
+        if at + 16 + size > len(data):
+            return
+        yield at, seconds * 10**6 + micros, data[at + 16 : at + 16 + size]
+        at += 16 + size
+
+
+def nested_capture(path, n, seed):
+    """A capture whose payloads hold records of captures themselves, some up to the end of their packet."""
+    rng, t = random.Random(seed), 1_704_067_200
+    with open(path, "wb") as f:
+        f.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 2000, 1))
+        for i in range(n):
+            inner = b"".join(struct.pack("<IIII", t + k, 5, 20, 20) + bytes(20) for k in range(rng.randint(0, 30)))
+            payload = rng.choice([inner, inner + b"x" * rng.randint(1, 9), rng.randbytes(rng.randint(0, 200)), bytes(rng.randint(0, 300))])
+            frame = pcap.frame(rng.choice(["tcp", "udp", "icmp"]), "10.0.0.1", "10.0.0.2", rng.choice([80, 443, 5000]), 7000 + i % 3, payload)
+            f.write(struct.pack("<IIII", t + i, i, len(frame), len(frame)) + frame)
+        f.write(struct.pack("<IIII", t, 0, 90, 90) + b"cut")
+
+
+@pytest.mark.parametrize("split", [64, 999, 40_000, 1 << 20])
+def test_ranges_of_a_capture_file(tmp_path, split):
+    """Ranges however cut give every record once, whatever packets hold."""
+    path = str(tmp_path / "a.pcap")
+    nested_capture(path, 120, split)
+    want, got = list(whole_file(path)), []
+    reader = captures.CaptureReader(path, split, frozenset())
+    parts = reader.partitions()
+    assert len(parts) == -(-(os.path.getsize(path) - 24) // split)
+    files, name = captures.file_system(path)
+    for p in parts:
+        with files.open_input_file(name) as f:
+            got += captures.records(f, p.start, p.end, "<", 1, 2000)
+    assert got == want and len(want) == 120
+
+
+def test_capture_files_in_many_tasks(spark, tmp_path):
+    for k in range(3):
+        nested_capture(f"{tmp_path}/f{k}.pcap", 400, k)
+    packets = pcap.read_packets(spark, f"{tmp_path}/f*.pcap", 20_000)
+    assert packets.rdd.getNumPartitions() > 20
+    whole = pcap.read_packets(spark, str(tmp_path))
+    assert packets.count() == whole.count() == 1200 and packets.exceptAll(whole).count() == 0
+    icmp = pcap.icmp_entries(packets)
+    assert icmp.count() == icmp.select("id").distinct().count() > 100
+    some = pcap.read_packets(spark, str(tmp_path), 20_000).filter("sport in (80, 443) and proto = 'tcp'")
+    assert some.count() == sum(r.sport in (80, 443) and r.proto == "tcp" for r in whole.collect()) > 0
+    near = "proto = 'icmp' or sport in (80) or dport in (80)"
+    assert pcap.read_packets(spark, str(tmp_path), ports=(80,)).count() == whole.filter(near).count()

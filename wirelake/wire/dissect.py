@@ -19,6 +19,7 @@ from ..functions import text as fn
 from ..operators import flows
 from ..operators.pairing import attach_latest, connection
 from ..schema import conform, field_type, fitted
+from ..session import materialise
 from ..sources.adapters import from_json_lines
 from . import amqp, dns, http, kafka, mongo, mysql, pcap, postgres, resp, sniff
 from .preview import shown
@@ -149,15 +150,16 @@ def redacted(entries: DataFrame) -> DataFrame:
 
 
 def _numbered(entries: DataFrame) -> DataFrame:
-    return conform(entries.orderBy("timestamp", "id").withColumn("seq", F.monotonically_increasing_id() + 1))
+    """Numbers in order of time, growing, not dense; written once, so they are the same for every reader."""
+    return materialise(conform(entries.orderBy("timestamp", "id").withColumn("seq", F.monotonically_increasing_id() + 1)), "numbered")
 
 
 def completed(entries: DataFrame) -> DataFrame:
-    """``entries`` with trace ids, URL parameters and, in order of time, numbers: growing, not dense."""
+    """``entries`` with trace ids and URL parameters."""
     request = F.col("request")
     http = F.when(request["http"].isNotNull(), request["http"].withField("query", fn.query_map(request["path"])))
     full = entries.withColumn("traceId", fn.trace_id(F.coalesce(request["headers"], F.create_map().cast("map<string,string>")))).withColumn("request", request.withField("http", http))
-    return _numbered(full)
+    return conform(full)
 
 
 def openings(packets: DataFrame) -> DataFrame:
@@ -171,7 +173,7 @@ def openings(packets: DataFrame) -> DataFrame:
     return packets.withColumn("__new", new).withColumn("opening", F.sum("__new").over(so_far)).drop("__new")
 
 
-def dissect_streams(packets: DataFrame, redact: bool = True) -> DataFrame:
+def stream_entries(packets: DataFrame, redact: bool = True) -> DataFrame:
     """Entries of TCP connections. The client is the side that opened it, else the higher port. Requests
     without a response give no entry. A message has the time of the packet that its first byte came in.
     ``redact``: see ``redacted``."""
@@ -211,6 +213,11 @@ def dissect_streams(packets: DataFrame, redact: bool = True) -> DataFrame:
     return redacted(entries) if redact else entries
 
 
+def dissect_streams(packets: DataFrame, redact: bool = True) -> DataFrame:
+    """The exchanges of TCP connections, numbered."""
+    return _numbered(stream_entries(packets, redact))
+
+
 def dns_messages(packets: DataFrame) -> DataFrame:
     """Decoded DNS datagrams: client, port, number, time, and the message as JSON."""
 
@@ -231,6 +238,11 @@ def dns_messages(packets: DataFrame) -> DataFrame:
 
 
 def dns_entries(packets: DataFrame, expire_seconds: int = 30) -> DataFrame:
+    """Entries of DNS over UDP, numbered."""
+    return _numbered(_answered(packets, expire_seconds))
+
+
+def _answered(packets: DataFrame, expire_seconds: int = 30) -> DataFrame:
     """Entries of DNS over UDP: the first response after a client's latest query of its number, within
     the time. Queries without one give no entry."""
     keys = ["client", "port", "server", "id"]
@@ -248,7 +260,7 @@ def dns_entries(packets: DataFrame, expire_seconds: int = 30) -> DataFrame:
         F.struct(F.concat_ws(" ", F.get("ask.questions", 0)["type"], "ask.question").alias("summary"), "ask.question", members("ask", ("id", "questions"))).alias("request"),
         F.struct(F.when(F.col("got.answer") != "", F.col("got.answer")).otherwise(F.col("got.rcode")).alias("summary"), "got.answer", members("got", ("id", "answers", "authority", "additional", "rcode", "authoritative", "recursionAvailable"))).alias("response"),
     )
-    return _numbered(entries)
+    return conform(entries)
 
 
 def _flows(packets: DataFrame, idle_seconds: int) -> DataFrame:
@@ -279,9 +291,11 @@ def flow_entries(packets: DataFrame, idle_seconds: int = 20) -> DataFrame:
 
 def capture_entries(packets: DataFrame, redact: bool = True, idle_seconds: int = 20) -> DataFrame:
     """All that a capture shows, numbered in order of time: exchanges of TCP connections with the figures of
-    the connection they ran in, DNS over UDP, ICMP, and the flows in which no exchange was found."""
+    the connection they ran in, DNS over UDP, ICMP, and the flows in which no exchange was found. Packets
+    are decoded once, and written for the readers that follow."""
+    packets = materialise(packets, "packets")
     found = _flows(packets, idle_seconds)
-    said = dissect_streams(packets, redact)
+    said = stream_entries(packets, redact)
     said = said.withColumn("conn", F.concat(F.lit("tcp "), connection(F.col("src.ip"), F.col("src.port"), F.col("dst.ip"), F.col("dst.port")))).withColumn("ts", F.col("timestamp"))
     told = attach_latest(said, found.select("conn", F.col("started").alias("ts"), F.struct("session", "e.l4").alias("state")))
     told = told.withColumn("session", F.col("state.session")).withColumn("l4", F.col("state.l4"))
@@ -290,4 +304,4 @@ def capture_entries(packets: DataFrame, redact: bool = True, idle_seconds: int =
     parts = parts.unionByName(rest.select("conn", "session", F.struct(*fitted(rest)).alias("e"), F.lit(False).alias("said")))
     any_said = F.max("said").over(Window.partitionBy("conn", "session"))
     kept = parts.withColumn("any", any_said).filter("said or not any").select("e.*")
-    return _numbered(kept.unionByName(dns_entries(packets)).unionByName(pcap.icmp_entries(packets)))
+    return _numbered(kept.unionByName(_answered(packets)).unionByName(pcap.icmp_entries(packets)))

@@ -16,22 +16,16 @@ _NAMES = [c.split()[0] for c in PACKET.split(", ")]
 _KINDS = [{"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]] for c in PACKET.split(", ")]
 
 
-def records(data: bytes):
-    """(microseconds, link type, frame) of each record; stops cleanly where the file is cut."""
-    if len(data) < 24:
-        return
+HEADER, RECORD = 24, 16
+
+
+def header(data: bytes) -> tuple[str, int, int, int]:
+    """(byte order, parts of a second to a microsecond, longest record, link type) of a file."""
     order = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}.get(data[:4])
-    if order is None:
+    if order is None or len(data) < HEADER:
         raise ValueError("no classic capture file")
-    mark, scale = order
-    link = struct.unpack(mark + "I", data[20:24])[0] & 0xFFFF
-    at = 24
-    while at + 16 <= len(data):
-        seconds, part, size, _ = struct.unpack(mark + "IIII", data[at : at + 16])
-        if at + 16 + size > len(data):
-            return
-        yield seconds * 1_000_000 + part // scale, link, data[at + 16 : at + 16 + size]
-        at += 16 + size
+    longest, link = struct.unpack(order[0] + "II", data[16:24])
+    return *order, longest, link & 0xFFFF
 
 
 def decode(link: int, frame: bytes) -> dict | None:
@@ -81,23 +75,16 @@ def decode(link: int, frame: bytes) -> dict | None:
         return None
 
 
-def read_packets(spark: SparkSession, path: str) -> DataFrame:
-    """Packets of capture files, a task per file."""
-
-    def run(batches):
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                for number, (at, link, frame) in enumerate(records(data), 1):
-                    packet = decode(link, frame)
-                    if packet:
-                        rows.append(packet | {"file": name, "number": number, "ts_us": at, "length": len(frame)})
-                    if len(rows) >= 5000:
-                        yield _batch(rows)
-                        rows = []
-                yield _batch(rows)
+def read_packets(spark: SparkSession, path: str, split_bytes: int = 64 << 20, ports: tuple[int, ...] = ()) -> DataFrame:
+    """Packets of the capture files at a path, of a folder or a pattern, a task per ``split_bytes``; of ``ports``
+    and ICMP alone if some are given. ``number`` is a record's place in its file, in bytes. The session
+    is let push filters to Python sources."""
+    from ..sources.captures import CaptureFiles
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, PACKET).withColumn("ts", F.timestamp_micros("ts_us"))
+    spark.dataSource.register(CaptureFiles)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    options = {"path": path, "splitBytes": split_bytes, "ports": ",".join(map(str, ports))}
+    return spark.read.format(CaptureFiles.name()).options(**options).load().withColumn("ts", F.timestamp_micros("ts_us"))
 
 
 def _batch(rows):
@@ -116,7 +103,7 @@ def icmp_entries(packets: DataFrame) -> DataFrame:
     """An entry per ICMP packet."""
     said = F.format_string("type %d code %d", "icmp_type", "icmp_code")
     rows = packets.filter("proto = 'icmp'")
-    made = rows.select(F.concat_ws("-", F.lit("icmp"), "number").alias("id"), F.lit("icmp").alias("protocol"), F.col("ts").alias("timestamp"), F.lit(0).alias("elapsedMs"), F.struct(F.col("src").alias("ip")).alias("src"), F.struct(F.col("dst").alias("ip")).alias("dst"),
+    made = rows.select(F.concat_ws("-", F.lit("icmp"), F.element_at(F.split("file", "/"), -1), "number").alias("id"), F.lit("icmp").alias("protocol"), F.col("ts").alias("timestamp"), F.lit(0).alias("elapsedMs"), F.struct(F.col("src").alias("ip")).alias("src"), F.struct(F.col("dst").alias("ip")).alias("dst"),
                        F.struct(said.alias("summary"), F.col("length").cast("bigint").alias("bytes")).alias("request"), F.struct(said.alias("summary")).alias("response"), severity(F.col("icmp_type"), F.col("ip_version")).alias("status"))
     return conform(made)
 
