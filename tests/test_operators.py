@@ -12,6 +12,7 @@ from wirelake.functions import text as fn
 from wirelake.operators import compare, facets, flows, history, pairing, stats
 from wirelake.operators.summary import graph, label, summary, timeline
 from wirelake.schema import conform
+from wirelake.sources.adapters import worker_frames
 
 BASE = datetime(2024, 1, 1, 14, tzinfo=UTC)
 
@@ -170,6 +171,9 @@ def test_sessions(spark):
     df = spark.createDataFrame(p, "conn string, ts timestamp, src string, sport int, dst string, dport int, length bigint, flags int, seq bigint, mss int, window int")
     a, b = flows.sessions(df).orderBy("session").collect()
     assert (a.packets, a.client_bytes, a.server_bytes, a.client_flags, a.server_flags, a.mss, a.rtt_ms, b.packets) == (4, 10, 30, "SYN,ACK,PSH", "SYN,ACK,FIN", 1460, 3.0, 1)
+    assert (a.seq_start, a.ack_start, b.seq_start) == (1, 9, None) and "ttl" not in a
+    linked = flows.sessions(df.withColumns({"ttl": F.lit(64) + F.col("sport") % 2, "src_mac": F.when(F.col("sport") == 80, "m")})).orderBy("session").first()
+    assert (linked.ttl, linked.src_mac) == (64, "m")
     twice = df.unionByName(df.filter("length = 10").withColumn("ts", F.lit(t(7))))
     assert flows.without_repeats(twice).count() == df.count()
 
@@ -204,7 +208,7 @@ def test_retransmits(spark):
     want = None
     count = 0
     for s, n in walk:
-        if n and (want is None or s == want):
+        if n and (want is None or s >= want):
             want = s + n
         elif n and s < want:
             count += 1
@@ -318,3 +322,28 @@ def test_secrets_in_urls(spark, url, shown):
     row = spark.range(1).select(fn.redacted_url(F.lit(url)).alias("u"), fn.query_map(F.lit(url)).alias("m")).head()
     assert row.u == shown
     assert (row.m == {}) == ("?%5B" in shown or "=" not in url) and "s" not in row.m.values()
+
+
+def test_worker_frames(spark):
+    """A connection is its latest greeting's node; broken and early frames give nothing; null entries don't count."""
+    t = lambda s: BASE + timedelta(seconds=s)
+    rows = [
+        ("x", 0, '{"type": "entry", "entry": {"id": "early"}}'),
+        ("x", 1, '{"type": "hello", "hello": {"node": "n1", "version": "2"}}'),
+        ("x", 2, '{"type": "entryBatch", "entries": [{"id": "a"}, null, {"id": "b"}]}'),
+        ("x", 3, '{"type": "workerStats", "workerStats": {"dropped": 3, "captureTls": true}}'),
+        ("x", 4, '{"type": "workerStats"}'),
+        ("x", 5, '{"type": "entry"'),
+        ("y", 6, '{"type": "hello", "hello": {"node": "n2"}}'),
+        ("y", 7, '{"type": "entry", "entry": null}'),
+        ("y", 8, None),
+        ("x", 9, '{"type": "filter", "filter": "a"}'),
+        ("z", 10, '{"type": "hello", "hello": {"node": "gone", "version": "1"}}'),
+        ("z", 11, None),
+    ]
+    frames = spark.createDataFrame([(c, t(s), s, v) for c, s, v in rows], "conn string, at timestamp, place int, value string")
+    seen = {r.node: r for r in stats.registry(worker_frames(frames), t(3608), 3600).collect()}
+    assert set(seen) == {"n1", "gone"}
+    one = seen["n1"]
+    assert (one.connected, one.version, one.entries, one.dropped, one.captureTls, one.ringDrops) == (True, "2", 2, 3, True, None)
+    assert not seen["gone"].connected and seen["gone"].entries == 0

@@ -194,6 +194,7 @@ def test_capture_entries(spark, tmp_path):
     assert sorted(got) == ["dns", "http", "icmp", "tcp", "udp"] and entries.count() == 5
     web, flow = got["http"], got["tcp"]
     assert (web.l4.rttMs, web.l4.clientPackets, web.l4.serverPackets, web.l4.clientTcpFlags, web.elapsedMs) == (4.0, 2, 2, "SYN,ACK,PSH", 3)
+    assert (web.l4.ttl, web.l4.ipVersion, web.l4.srcMac is not None) == (64, 4, True)
     assert (flow.request.summary, flow.status, flow.elapsedMs, flow.request.packets, flow.src.port, flow.dst.port, flow.response.summary) == ("tcp https", "error", 8, 2, 5001, 443, "closed · 108 B · 2 pkts")
     assert (got["udp"].request.summary, got["udp"].response.summary[:4], got["icmp"].status, got["icmp"].request.summary) == ("udp/123", "idle", "success", "type 8 code 0")
     main(["--pcap-file", str(tmp_path / "w.pcap"), "--filter", "protocol == http or status == error", "--out", str(tmp_path / "lines")])

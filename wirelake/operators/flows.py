@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Figures of the layers below that packets may have.
+LINK = ("ttl", "ip_version", "ip_flags", "src_mac", "dst_mac")
 FIN, SYN, RST, PSH, ACK, URG = 1, 2, 4, 8, 16, 32
 
 
@@ -33,8 +35,8 @@ def without_repeats(packets: DataFrame, milliseconds: int = 5) -> DataFrame:
 
 
 def sessions(packets: DataFrame, idle_seconds: int = 20) -> DataFrame:
-    """(conn, started, ended, packets, bytes, by direction, flags, MSS, window, RTT): a session ends
-    after more than ``idle_seconds`` without a packet, or at the first FIN or RST; what follows that
+    """(conn, started, ended, packets, bytes, by direction, flags, MSS, window, RTT, numbers that both sides
+    started from, and of ``LINK`` what packets have, as the first one has it): a session ends after more than ``idle_seconds`` without a packet, or at the first FIN or RST; what follows that
     is not counted, until a SYN opens the next session. RTT is from the first SYN to the first SYN+ACK."""
     order = Window.partitionBy("conn").orderBy("ts", "seq")
     run, earlier = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
@@ -50,6 +52,7 @@ def sessions(packets: DataFrame, idle_seconds: int = 20) -> DataFrame:
     rows = rows.withColumn("__closed", F.coalesce(F.max(closing).over(before), F.lit(0))).filter("__closed = 0")
     client = from_client(F.col("sport"), F.col("dport"))
     us = F.unix_micros("ts")
+    at = F.struct("ts", "seq")
     first = lambda want: F.min(F.when(bits.bitwiseAND(SYN | ACK) == want, us))
     return rows.groupBy("conn", "session").agg(
         F.min("ts").alias("started"),
@@ -65,12 +68,15 @@ def sessions(packets: DataFrame, idle_seconds: int = 20) -> DataFrame:
         F.max("mss").alias("mss"),
         F.max_by("window", F.struct("ts", "seq")).alias("window"),
         ((first(SYN | ACK) - first(SYN)) / 1000.0).alias("rtt_ms"),
+        F.max_by("seq", F.when(client & (bits.bitwiseAND(SYN | ACK) == SYN), at)).alias("seq_start"),
+        F.max_by("seq", F.when(~client & (bits.bitwiseAND(SYN | ACK) == SYN | ACK), at)).alias("ack_start"),
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in LINK if c in packets.columns],
     )
 
 
 def retransmits(packets: DataFrame) -> DataFrame:
-    """(conn, src, sport, retransmits): segments with data that start before what is expected
-    next, where only a segment that starts there moves the expectation. That depends on each
+    """(conn, src, sport, retransmits): segments with data that start before what is expected next. Those
+    that start there or later, as after a loss, move the expectation to their end. That depends on each
     segment in turn, in order of ts, seq and length, so a direction of a connection is walked by one
     task, batch by batch; two numbers are kept."""
     import pandas as pd
@@ -89,9 +95,9 @@ def retransmits(packets: DataFrame) -> DataFrame:
                 for seq, size in zip(part["seq"].tolist(), part["length"].tolist(), strict=True):
                     if not size:
                         continue
-                    if want is None or seq == want:
+                    if want is None or seq >= want:
                         want = seq + size
-                    elif seq < want:
+                    else:
                         count += 1
             yield pd.DataFrame(done, columns=[*keys, "retransmits"])
         if key is not None:

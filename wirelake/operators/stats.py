@@ -57,6 +57,25 @@ def workers(reports: DataFrame, now: datetime, forget: int = 3600) -> DataFrame:
     return out.filter(F.col("connected") | (F.unix_seconds("at") >= int(now.timestamp()) - forget))
 
 
+def registry(frames: DataFrame, now: datetime, forget: int = 3600) -> DataFrame:
+    """The workers that some frames (``adapters.worker_frames``) tell of: node, connected, version,
+    connectedAt, lastSeen, entries, and their latest report. Nodes that are not connected and were last
+    seen more than ``forget`` seconds ago are dropped."""
+    when = F.struct("at", "place")
+    latest = lambda c, on: F.max_by(F.when(on, c), F.when(on, when))
+    hello, ends, report = (F.col("kind") == k for k in ("hello", "end", "report"))
+    out = frames.groupBy("node").agg(
+        latest(hello, hello | ends).alias("connected"),
+        latest(F.col("version"), hello).alias("version"),
+        F.max(F.when(hello, F.col("at"))).alias("connectedAt"),
+        F.max(F.when(~ends, F.col("at"))).alias("lastSeen"),
+        F.sum("entries").alias("entries"),
+        latest(F.col("report"), report).alias("report"),
+    )
+    out = out.filter(F.col("connected") | (F.unix_seconds("lastSeen") >= int(now.timestamp()) - forget))
+    return out.select("node", "connected", "version", "connectedAt", "lastSeen", "entries", "report.*")
+
+
 def exposition(totals: DataFrame, prefix: str = "wirelake") -> DataFrame:
     """Text lines of counters by protocol and status, in the exposition format of metrics."""
     name = F.when(F.col("kind") == "total", f"{prefix}_entries_total").otherwise(F.concat(F.lit(f"{prefix}_entries_by_"), F.col("kind"), F.lit("_total")))

@@ -14,7 +14,7 @@ from .plans import fields, ifl
 from .schema import text
 from .session import prepare, scratch_folder
 from .sources import varied
-from .sources.adapters import events_as_entries, events_stream, from_json_lines, read_table, sales_as_entries
+from .sources.adapters import events_as_entries, events_stream, from_json_lines, read_table, sales_as_entries, worker_frames
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -359,6 +359,28 @@ def worker_metrics(spark, sf_dir):
     return stats.worker_exposition(w)
 
 
+#: What workers send: a frame per event, by kind of event; every 41st ends its connection.
+_FRAMES = """CASE WHEN event_id % 41 = 0 THEN NULL
+ WHEN event_type = 'signup' THEN '{"type": "hello", "hello": {"node": "node-' || user_id % 7 || '", "version": "1.' || event_id % 9 || '"}}'
+ WHEN event_type = 'view' THEN '{"type": "entry", "entry": {"id": "e' || event_id || '"}}'
+ WHEN event_type = 'click' THEN '{"type": "entryBatch", "entries": [{"id": "a"}, null, {"id": "b"}]}'
+ WHEN event_type = 'error' THEN '{"type": "workerStats", "workerStats": {"dropped": ' || event_id || ', "captureLive": ' || CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END || ', "ringDrops": ' || user_id || '}}'
+ ELSE '{"type": "stats"' END"""
+
+
+@query("""WITH f AS (SELECT user_id AS conn, ts AS t, event_id AS place, user_id, CASE WHEN event_id % 41 = 0 THEN 'end' ELSE event_type END AS kind FROM events WHERE event_type <> 'purchase' OR event_id % 41 = 0),
+ n AS (SELECT *, last_value(CASE WHEN kind = 'signup' THEN 'node-' || user_id % 7 END IGNORE NULLS) OVER (PARTITION BY conn ORDER BY t, place ROWS UNBOUNDED PRECEDING) AS node FROM f),
+ g AS (SELECT node, arg_max((kind = 'signup'), (t, place)) FILTER (kind IN ('signup', 'end')) AS connected, '1.' || arg_max(place % 9, (t, place)) FILTER (kind = 'signup') AS version,
+  epoch_us(max(t) FILTER (kind = 'signup')) AS connected_us, epoch_us(max(t) FILTER (kind <> 'end')) AS seen_us, CAST(sum(CASE kind WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 0 END) AS BIGINT) AS entries,
+  arg_max(place, (t, place)) FILTER (kind = 'error') AS dropped, arg_max(user_id, (t, place)) FILTER (kind = 'error') AS ring FROM n WHERE node IS NOT NULL GROUP BY node)
+ SELECT node, connected, version, connected_us, seen_us, entries, coalesce(dropped, -1) AS dropped, coalesce(ring, -1) AS ring, coalesce(ring % 2 = 0, FALSE) AS live FROM g WHERE connected OR seen_us >= epoch_us(TIMESTAMP '2024-01-30 20:00:00') - 21600000000""")
+def worker_connections(spark, sf_dir):
+    """The registry that frames of workers leave: greetings, entries, reports and ended connections."""
+    frames = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("conn"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("place"), F.expr(_FRAMES).alias("value"))
+    out = stats.registry(worker_frames(frames), datetime(2024, 1, 30, 20, tzinfo=UTC), 6 * 3600)
+    return out.select("node", "connected", "version", F.unix_micros("connectedAt").alias("connected_us"), F.unix_micros("lastSeen").alias("seen_us"), "entries", F.coalesce("dropped", F.lit(-1)).alias("dropped"), F.coalesce("ringDrops", F.lit(-1)).alias("ring"), F.coalesce("captureLive", F.lit(False)).alias("live"))
+
+
 # --- joins -------------------------------------------------------------------------------------
 
 
@@ -467,17 +489,18 @@ def _sessions_sql(columns: str) -> str:
  c AS (SELECT *, coalesce(max(flags & 5 <> 0) OVER (PARTITION BY conn, session ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS closed FROM s),
  z AS (SELECT conn, session, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) AS ended_us, count(*) AS packets, sum(length)::BIGINT AS bytes, coalesce(sum(length) FILTER (sport >= dport), 0)::BIGINT AS client_bytes, count(*) FILTER (sport < dport) AS server_packets,
   coalesce(sum(length) FILTER (sport < dport), 0)::BIGINT AS server_bytes, count(*) FILTER (sport >= dport) AS client_packets, {_FLAGS('sport >= dport')} AS client_flags, {_FLAGS('sport < dport')} AS server_flags,
-  max(mss) AS mss, max_by(win, (ts, seq)) AS window_size, coalesce((min(epoch_us(ts)) FILTER (flags & 18 = 18) - min(epoch_us(ts)) FILTER (flags & 18 = 2)) / 1000, -1e9) AS rtt_ms
+  max(mss) AS mss, max_by(win, (ts, seq)) AS window_size, coalesce((min(epoch_us(ts)) FILTER (flags & 18 = 18) - min(epoch_us(ts)) FILTER (flags & 18 = 2)) / 1000, -1e9) AS rtt_ms,
+  coalesce(max_by(seq, (ts, seq)) FILTER (sport >= dport AND flags & 18 = 2), -1) AS seq_start, coalesce(max_by(seq, (ts, seq)) FILTER (sport < dport AND flags & 18 = 18), -1) AS ack_start
  FROM c WHERE NOT closed GROUP BY conn, session)
  SELECT conn, {columns} FROM z"""
 
 
-@query(_sessions_sql("session, started_us, ended_us, packets, bytes, client_bytes, server_bytes, client_packets, server_packets, client_flags, server_flags, mss, window_size, rtt_ms"))
+@query(_sessions_sql("session, started_us, ended_us, packets, bytes, client_bytes, server_bytes, client_packets, server_packets, client_flags, server_flags, mss, window_size, rtt_ms, seq_start, ack_start"))
 def flow_sessions(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
     packets = _packets_of(e)
     out = flows.sessions(packets, 4 * 3600)
-    return out.select("conn", "session", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "packets", "bytes", "client_bytes", "server_bytes", "client_packets", "server_packets", "client_flags", "server_flags", "mss", F.col("window").alias("window_size"), F.coalesce("rtt_ms", F.lit(-1e9)).alias("rtt_ms"))
+    return out.select("conn", "session", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "packets", "bytes", "client_bytes", "server_bytes", "client_packets", "server_packets", "client_flags", "server_flags", "mss", F.col("window").alias("window_size"), F.coalesce("rtt_ms", F.lit(-1e9)).alias("rtt_ms"), *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("seq_start", "ack_start")])
 
 
 # --- every field ---------------------------------------------------------------------------------
@@ -492,10 +515,34 @@ _COMPOSED = {
 }
 
 
+#: Where each other field lies in an entry.
+_PATHS = {
+    "protocol": "protocol", "status": "status", "node": "node", "elapsedMs": "elapsedMs", "src.name": "src.name", "src.namespace": "src.namespace",
+    "src.workload": "src.workload", "dst.name": "dst.name", "dst.namespace": "dst.namespace", "dst.workload": "dst.workload", "src.ip": "src.ip",
+    "dst.ip": "dst.ip", "src.port": "src.port", "dst.port": "dst.port", "http.method": "request.method", "response.status": "statusCode",
+    "request.host": "request.host", "request.path": "request.path", "dns.question": "request.question", "dns.answer": "response.answer",
+    "redis.command": "request.command", "postgres.query": "request.query", "request.body": "request.body", "response.body": "response.body",
+    "bytes": "request.bytes", "packets": "request.packets", "flags": "request.flags", "trace.id": "traceId", "http.version": "request.http.version",
+    "dns.rcode": "response.dns.rcode", "redis.db": "request.redis.dbIndex", "redis.reply": "response.redis.reply",
+    "postgres.error": "response.postgres.error.code", "postgres.statement": "request.postgres.statementName",
+    "postgres.txstatus": "response.postgres.txStatus", "mysql.command": "request.mysql.command", "mysql.error": "response.mysql.errorCode",
+    "mongo.collection": "request.mongo.collection", "mongo.command": "request.mongo.command", "kafka.topic": "request.kafka.topic",
+    "kafka.apikey": "request.kafka.apiKey", "l4.ttl": "l4.ttl", "l4.retransmits": "l4.retransmits", "l4.window": "l4.window", "l4.mss": "l4.mss",
+    "l4.rttms": "l4.rttMs", "l4.durationms": "l4.durationMs", "l4.clientbytes": "l4.clientBytes", "l4.serverbytes": "l4.serverBytes",
+    "tls.sni": "l4.tls.sni", "amqp.class": "request.class", "amqp.exchange": "request.exchange", "amqp.routingkey": "request.routingKey",
+    "amqp.queue": "request.queue", "amqp.deliverytag": "request.deliveryTag", "amqp.correlationid": "request.correlationId",
+    "amqp.replyto": "request.replyTo", "ws.opcode": "request.wsOpcode", "redis.pipelinedepth": "request.redis.pipelineDepth",
+    "postgres.portal": "request.postgres.portal", "dns.authoritative": "response.dns.authoritative",
+    "dns.recursionavailable": "response.dns.recursionAvailable", "request.size": "request.size", "response.size": "response.size",
+    "postgres.rowcount": "response.rowCount", "http.ttfbms": "response.http.ttfbMs", "l4.srcmac": "l4.srcMac", "l4.dstmac": "l4.dstMac",
+    "l4.ipversion": "l4.ipVersion", "l4.ipflags": "l4.ipFlags", "l4.clienttcpflags": "l4.clientTcpFlags", "l4.servertcpflags": "l4.serverTcpFlags",
+    "l4.seqstart": "l4.seqStart", "l4.ackstart": "l4.ackStart", "l4.clientpackets": "l4.clientPackets", "l4.serverpackets": "l4.serverPackets",
+}
+
+
 def _sql_value(name: str) -> str:
     """A field of ``varied_entries`` as text, empty where it is absent, in SQL over n and u."""
     made = varied.values()
-    field = fields.catalogue()[name]
 
     def shown(path):
         parts = path.split(".")
@@ -507,16 +554,16 @@ def _sql_value(name: str) -> str:
             value = f"CASE WHEN {made[path]} = 0 THEN '' ELSE {value} END"
         return f"(CASE WHEN {' AND '.join(there)} THEN {value} ELSE '' END)" if there else f"({value})"
 
-    if field.path is None:
+    if name in _COMPOSED:
         sql = _COMPOSED[name]
         for path in made:
             sql = sql.replace("{" + path + "}", shown(path))
         return sql
-    return shown(field.path)
+    return shown(_PATHS[name])
 
 
 _EVENTS = "FROM (SELECT event_id AS n, user_id AS u FROM events)"
-_NAMES = list(fields.catalogue())
+_NAMES = sorted(_PATHS | _COMPOSED)
 
 
 @query(f"SELECT n + 1 AS seq, {', '.join(f'{_sql_value(f)} AS {chr(34)}{f}{chr(34)}' for f in _NAMES)} {_EVENTS}")
@@ -628,7 +675,7 @@ def csv_export(spark, sf_dir):
 
 @query("""WITH RECURSIVE p AS MATERIALIZED (SELECT user_id % 40 AS conn, event_id % 100 AS seq, event_id % 7 AS n, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id % 100, event_id % 7) AS r FROM events WHERE event_id % 7 > 0),
  w AS (SELECT conn, r, seq + n AS want, 0 AS again FROM p WHERE r = 1
-  UNION ALL SELECT p.conn, p.r, CASE WHEN p.seq = w.want THEN p.seq + p.n ELSE w.want END, w.again + CASE WHEN p.seq < w.want THEN 1 ELSE 0 END FROM w JOIN p ON p.conn = w.conn AND p.r = w.r + 1)
+  UNION ALL SELECT p.conn, p.r, CASE WHEN p.seq >= w.want THEN p.seq + p.n ELSE w.want END, w.again + CASE WHEN p.seq < w.want THEN 1 ELSE 0 END FROM w JOIN p ON p.conn = w.conn AND p.r = w.r + 1)
  SELECT c.conn, '10.0.0.1' AS src, 4000 AS sport, coalesce(max(again), 0)::BIGINT AS retransmits FROM (SELECT DISTINCT user_id % 40 AS conn FROM events) c LEFT JOIN w ON c.conn = w.conn GROUP BY c.conn""")
 def retransmits(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import ENTRY, conform
@@ -83,3 +83,27 @@ def from_json_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     some = F.when(frame["type"] == "entry", F.array(frame["entry"])).when(frame["type"] == "entryBatch", frame["entries"]).when(frame["type"].isNull() & bare["id"].isNotNull(), F.array(bare))
     rows = lines.select(F.explode(some).alias("e")).filter("e is not null")
     return conform(rows.select("e.*"))
+
+
+#: What a worker says of itself in a ``workerStats`` frame.
+REPORT = "dropped bigint, captureLive boolean, captureTls boolean, capturePaused boolean, ringPackets bigint, ringDrops bigint, flowsEvicted bigint, tlsLagDrops bigint, tlsBudgetDrops bigint, tcpLossEvents bigint"
+
+
+def worker_frames(frames: DataFrame, column: str = "value") -> DataFrame:
+    """(node, at, place, kind, entries, version, report) of the frames that workers send over connections.
+
+    ``frames``: conn, at, place (order within a connection), and the JSON of a frame; null is the end of
+    the connection. A connection belongs to the node of its latest ``hello``; what comes before one, broken
+    text and frames of other types give nothing. ``entries``: how many entries a frame holds.
+    """
+    report = "struct<" + REPORT.replace(" ", ": ").replace(",:", ",") + ">"
+    some = "struct<id: string>"  # that an entry is there is all that is counted
+    frame = F.from_json(F.col(column), f"struct<type: string, hello: struct<node: string, version: string>, entry: {some}, entries: array<{some}>, workerStats: {report}>")
+    rows = frames.select("conn", "at", "place", F.col(column).isNull().alias("ends"), frame.alias("f"))
+    kind = F.when(F.col("ends"), "end").when((F.col("f.type") == "hello") & F.col("f.hello").isNotNull(), "hello").when(F.col("f.type").isin("entry", "entryBatch"), "entries").when((F.col("f.type") == "workerStats") & F.col("f.workerStats").isNotNull(), "report")
+    held = F.when(F.col("f.type") == "entry", F.col("f.entry").isNotNull().cast("bigint")).when(F.col("f.type") == "entryBatch", F.size(F.filter(F.coalesce("f.entries", F.array().cast("array<struct<id: string>>")), lambda e: e.isNotNull())).cast("bigint"))
+    # only what is short goes into the window over a connection
+    rows = rows.select("conn", "at", "place", kind.alias("kind"), F.coalesce(held, F.lit(0)).alias("entries"), "f.hello", F.col("f.workerStats").alias("report")).filter("kind IS NOT NULL")
+    so_far = Window.partitionBy("conn").orderBy("at", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("node", F.last(F.when(F.col("kind") == "hello", F.coalesce("hello.node", F.lit(""))), ignorenulls=True).over(so_far)).filter("node IS NOT NULL")
+    return rows.select("node", "at", "place", "kind", "entries", F.when(F.col("kind") == "hello", F.coalesce("hello.version", F.lit(""))).alias("version"), F.when(F.col("kind") == "report", F.col("report")).alias("report"))

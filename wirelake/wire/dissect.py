@@ -279,7 +279,7 @@ def _flows(packets: DataFrame, idle_seconds: int) -> DataFrame:
         F.concat(F.lit("flow "), "conn", F.lit("#"), F.col("session")).alias("id"), part(1).alias("protocol"), F.col("started").alias("timestamp"), millis.alias("elapsedMs"), "src", "dst", F.when(reset, "error").otherwise("success").alias("status"),
         F.struct(fn.port_label(part(1), F.col("dst.port")).alias("summary"), "packets", "bytes", F.concat_ws("/", F.nullif("client_flags", F.lit("")), F.nullif("server_flags", F.lit(""))).alias("flags")).alias("request"),
         F.struct(F.concat(F.when(reset | closed, "closed").otherwise("idle"), F.lit(" · "), fn.human_bytes(F.col("bytes")), F.lit(" · "), F.col("packets"), F.lit(" pkts")).alias("summary")).alias("response"),
-        F.struct(F.col("client_flags").alias("clientTcpFlags"), F.col("server_flags").alias("serverTcpFlags"), "window", "mss", F.col("rtt_ms").alias("rttMs"), millis.alias("durationMs"), F.col("client_bytes").alias("clientBytes"), F.col("server_bytes").alias("serverBytes"), F.col("client_packets").alias("clientPackets"), F.col("server_packets").alias("serverPackets")).alias("l4"),
+        F.struct(F.col("client_flags").alias("clientTcpFlags"), F.col("server_flags").alias("serverTcpFlags"), "window", "mss", F.col("rtt_ms").alias("rttMs"), millis.alias("durationMs"), F.col("client_bytes").alias("clientBytes"), F.col("server_bytes").alias("serverBytes"), F.col("client_packets").alias("clientPackets"), F.col("server_packets").alias("serverPackets"), F.col("seq_start").alias("seqStart"), F.col("ack_start").alias("ackStart"), "ttl", F.col("ip_version").alias("ipVersion"), F.nullif("ip_flags", F.lit("")).alias("ipFlags"), F.nullif("src_mac", F.lit("")).alias("srcMac"), F.nullif("dst_mac", F.lit("")).alias("dstMac")).alias("l4"),
     )
     return made.select("conn", "session", "started", e.alias("e"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..schema import conform
 
-PACKET = "file string, number bigint, ts_us bigint, proto string, src string, dst string, sport int, dport int, ttl int, ip_version int, flags int, seq bigint, ack bigint, window int, mss int, icmp_type int, icmp_code int, payload binary, length int"
+PACKET = "file string, number bigint, ts_us bigint, proto string, src string, dst string, sport int, dport int, ttl int, ip_version int, ip_flags string, src_mac string, dst_mac string, flags int, seq bigint, ack bigint, window int, mss int, icmp_type int, icmp_code int, payload binary, length int"
 _NAMES = [c.split()[0] for c in PACKET.split(", ")]
 _KINDS = [{"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]] for c in PACKET.split(", ")]
 
@@ -55,7 +55,9 @@ def decode(link: int, frame: bytes) -> dict | None:
         else:
             return None
         word = lambda k: int.from_bytes(body[k : k + 2], "big")
-        out = {"src": src, "dst": dst, "ttl": ttl, "ip_version": version}
+        marks = "|".join(n for n, bit in (("DF", 0x40), ("MF", 0x20)) if version == 4 and frame[at + 6] & bit)
+        macs = (frame[k : k + 6].hex(":") if link == 1 else "" for k in (6, 0))
+        out = dict(zip(("src", "dst", "ttl", "ip_version", "ip_flags", "src_mac", "dst_mac"), (src, dst, ttl, version, marks, *macs), strict=True))
         if proto == 6:
             offset, mss, k = (body[12] >> 4) * 4, None, 20
             while k < offset and body[k]:
