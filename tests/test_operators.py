@@ -256,6 +256,48 @@ def test_clauses():
     assert clauses.expects("http.method == ")[0] == "value" and clauses.expects("http.method == GET ") == ("boolean", ["and", "or"])
 
 
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("|", ("field", "", False, None)),
+        ("pro|to", ("field", "pro", False, None)),
+        ("proto |", ("operator", "", False, "proto")),
+        ("proto =|", ("operator", "=", False, "proto")),
+        ("proto ==|", ("operator", "==", False, "proto")),
+        ("proto == |", ("value", "", False, "proto")),
+        ("proto == 'a\\'b|c' and x", ("value", "a'b", True, "proto")),
+        ("proto == 'abc'|", ("value", "abc", False, "proto")),
+        ('proto contains "open|', ("value", "open", True, "proto")),
+        ('proto contains "half\\|', ("value", "half", True, "proto")),
+        ("proto == http |", ("boolean", "", False, None)),
+        ("proto == http an|", ("boolean", "an", False, None)),
+        ("proto == http and not (st|atus", ("field", "st", False, None)),
+        ("(proto == http) |", ("boolean", "", False, None)),
+        ("status in (4|", ("field", "4", False, None)),
+        ("503 |", ("boolean", "", False, None)),
+        ("'two words' |", ("boolean", "", False, None)),
+        ("a == b or c |== d", ("operator", "", False, "c")),
+    ],
+)
+def test_caret(source, want):
+    from wirelake.plans import clauses
+
+    at = clauses.context_at(source.replace("|", ""), source.index("|"))
+    assert (at.expects, at.prefix, at.quoted, at.field) == want
+
+
+def test_entry_text(spark):
+    import json
+
+    from wirelake.api import Traffic
+
+    df = rows_of(spark, [("shop/web", "10.0.0.1", "http", "success", 5, 0)])
+    entry = df.first()
+    (text,) = Traffic(df).entry_text(entry.id).collect()
+    assert json.loads(text.text)["src"]["workload"] == "web" and "\n  " in text.text
+    assert Traffic(df).entry_text("nobody").count() == 0
+
+
 def test_line_diff(spark):
     rng = random.Random(4)
     texts = [("\n".join(rng.choices("abc", k=rng.randint(0, 12))), "\n".join(rng.choices("abc", k=rng.randint(0, 12)))) for _ in range(60)]

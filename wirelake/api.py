@@ -47,6 +47,10 @@ class Traffic:
     def entry(self, id: str) -> DataFrame:
         return history.by_id(self._entries, id)
 
+    def entry_text(self, id: str) -> DataFrame:
+        """The entry as indented JSON, members it lacks left out; no row if there is none of that id."""
+        return self.entry(id).select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("text"))
+
     def entries_table(self, column="time", order="desc", filter="", since="", until="", limit=None) -> DataFrame:
         return history.sorted_table(self._entries, column, order, history.clamp(limit, 200, CAPACITY), filter, *self._range(since, until))
 
