@@ -7,6 +7,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .api import Traffic
 from .functions import text as fn
 from .operators import compare, exporting, facets, flows, history, identity, pairing, stats
 from .operators.summary import graph, label, map_edges, map_nodes, summary, timeline, top_view
@@ -73,16 +74,23 @@ _FILTERS = {
     "filter_namespace_none": ('ns != "shop"', "NOT (sns = 'shop' OR dns = 'shop')"),
     "filter_fulltext": ("purchase and 10.0.1.1", "contains(lower(path), 'purchase') AND contains(sip, '10.0.1.1')"),
     "filter_header": ('request.header.user-agent == "agent/3"', "user_id % 5 = 3"),
+    "filter_whitespace": ("\tprotocol\n==  http\tand(elapsedMs>=100)\n", "protocol = 'http' AND ms >= 100"),
+    "filter_header_number": ("request.header.x-load >= 25.5 and not request.header.x-load > 4e1", "event_id % 50 >= 25.5 AND NOT event_id % 50 > 40"),
+    "filter_header_words": ("request.header.user-agent < 5 or status == error", "status = 'error'"),
     "filter_not_nested": ('not (status == "success" or not (elapsedMs > 100 and protocol != "dns"))', "NOT (status = 'success' OR NOT (ms > 100 AND protocol <> 'dns'))"),
 }
 
 
 def _filter_query(name: str, source: str, condition: str) -> None:
     def run(spark, sf_dir):
-        return history.matching(events_as_entries(spark, sf_dir), source).select("id", "seq", "protocol", "status")
+        entries = events_as_entries(spark, sf_dir)
+        if "x-load" in source:
+            load = F.create_map(F.lit("x-load"), ((F.col("seq") - 1) % 50).cast("string"))
+            entries = entries.withColumn("request", F.col("request").withField("headers", F.map_concat("request.headers", load)))
+        return history.matching(entries, source).select("id", "seq", "protocol", "status")
 
     run.__name__ = name
-    query(f"{_FLAT} SELECT id, seq, protocol, status FROM l WHERE {condition}")(run)
+    query(f"{_FLAT} SELECT id, seq, protocol, status FROM (SELECT *, seq - 1 AS event_id FROM l) WHERE {condition}")(run)
 
 
 for _name, (_source, _condition) in _FILTERS.items():
@@ -503,6 +511,51 @@ def flow_sessions(spark, sf_dir):
     return out.select("conn", "session", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "packets", "bytes", "client_bytes", "server_bytes", "client_packets", "server_packets", "client_flags", "server_flags", "mss", F.col("window").alias("window_size"), F.coalesce("rtt_ms", F.lit(-1e9)).alias("rtt_ms"), *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("seq_start", "ack_start")])
 
 
+@query("""SELECT event_id, CASE WHEN a < b THEN a || '|' || b ELSE b || '|' || a END AS conn
+ FROM (SELECT event_id, '10.0.1.' || user_id % 250 || ':' || (30000 + event_id % 9) AS a, '10.0.2.9:' || (8000 + user_id % 3) AS b FROM events)""")
+def connection_keys(spark, sf_dir):
+    """One key for both directions: every other event has its ends changed over."""
+    n, user = F.col("event_id"), F.col("user_id")
+    client, server = F.struct(F.concat(F.lit("10.0.1."), user % 250).alias("ip"), (30000 + n % 9).alias("port")), F.struct(F.lit("10.0.2.9").alias("ip"), (8000 + user % 3).alias("port"))
+    ends = read_table(spark, sf_dir, "events").select("event_id", F.when(n % 2 == 0, client).otherwise(server).alias("a"), F.when(n % 2 == 0, server).otherwise(client).alias("b"))
+    return ends.select("event_id", pairing.connection(F.col("a.ip"), F.col("a.port"), F.col("b.ip"), F.col("b.port")).alias("conn"))
+
+
+# --- requests with parameters --------------------------------------------------------------------
+
+_NOW = datetime(2024, 1, 30, tzinfo=UTC)
+
+
+@query(f"{_FLAT} SELECT {_ROW} FROM l WHERE protocol = 'http' AND ts >= TIMESTAMP '2024-01-30' - INTERVAL 1 DAY - INTERVAL 12 HOUR AND ts <= TIMESTAMP '2024-01-29 18:00:00' ORDER BY seq DESC LIMIT 10000")
+def api_entries(spark, sf_dir):
+    """Times as a duration and in RFC 3339, a limit beyond the largest."""
+    return _rows(Traffic(events_as_entries(spark, sf_dir), now=_NOW).entries("protocol == http", "36h", "2024-01-29T20:00:00+02:00", "5000000"))
+
+
+@query(f"""{_FLAT}, b AS (SELECT (TIMESTAMP '2024-01-29 23:45:00' + k * INTERVAL 1 MINUTE) AS t FROM range(16) r(k))
+ SELECT epoch_us(t) AS start_us, count(seq) AS entries, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status = 'warning') AS warnings FROM b LEFT JOIN l ON ts >= t AND ts < t + INTERVAL 1 MINUTE AND ts <= TIMESTAMP '2024-01-30' GROUP BY t""")
+def timeline_defaults(spark, sf_dir):
+    """Without parameters: the last quarter of an hour by minutes."""
+    return Traffic(events_as_entries(spark, sf_dir), now=_NOW).timeline().select(F.unix_micros("start").alias("start_us"), "entries", "errors", "warnings")
+
+
+@query(f"""{_FLAT}, c AS (SELECT kind, name, count(*) AS n, count(*) FILTER (name = 'dns' OR ts < TIMESTAMP '2024-01-10') AS was FROM (SELECT 'total' AS kind, '' AS name, ts FROM l UNION ALL SELECT 'protocol', protocol, ts FROM l UNION ALL SELECT 'status', status, ts FROM l) GROUP BY ALL)
+ SELECT kind, name, greatest(n - was, 0) AS count FROM c WHERE kind <> 'protocol' OR n > was""")
+def stats_baseline(spark, sf_dir):
+    """Totals since a snapshot, in which all of one protocol had been seen."""
+    entries = events_as_entries(spark, sf_dir)
+    early = F.col("timestamp") < F.lit(datetime(2024, 1, 10, tzinfo=UTC))
+    snapshot = stats.totals(entries.filter(early)).filter("name <> 'dns'").unionByName(stats.totals(entries).filter("name = 'dns'"))
+    return stats.since_clear(stats.totals(entries), snapshot)
+
+
+@query("SELECT h AS at_us, n FROM (SELECT epoch_us(date_trunc('hour', ts)) AS h, count(*) AS n FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 300)")
+def stats_history(spark, sf_dir):
+    """The newest 300 of a series of hourly samples."""
+    points = read_table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("timestamp")).agg(F.count("*").alias("n"))
+    return stats.stats_history(points).select(F.unix_micros("timestamp").alias("at_us"), "n")
+
+
 # --- every field ---------------------------------------------------------------------------------
 
 #: Fields that are put together from several members: their value in SQL.
@@ -682,11 +735,63 @@ def retransmits(spark, sf_dir):
     return flows.retransmits(e.select((F.col("user_id") % 40).alias("conn"), F.col("ts"), F.lit("10.0.0.1").alias("src"), F.lit(4000).alias("sport"), (F.col("event_id") % 100).alias("seq"), (F.col("event_id") % 7).alias("length")))
 
 
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'tcp https' WHEN 1 THEN 'udp postgres' WHEN 2 THEN 'tcp/' || (20000 + user_id) ELSE 'udp/' || (20000 + user_id) END AS label FROM events""")
+def port_labels(spark, sf_dir):
+    n, own = F.col("event_id") % 4, 20000 + F.col("user_id")
+    port = F.when(n == 0, 443).when(n == 1, 5432).otherwise(own)
+    return read_table(spark, sf_dir, "events").select("event_id", fn.port_label(F.when(n % 2 == 0, "tcp").otherwise("udp"), port).alias("label"))
+
+
+@query("""SELECT event_id, 'accept=a/' || user_id || CASE WHEN event_id % 2 = 0 THEN ';Authorization=[REDACTED];x-api-key=[REDACTED]' ELSE ';Set-Cookie=[REDACTED]' END || ';x-tenant=t' || event_id AS shown FROM events""")
+def redact_headers(spark, sf_dir):
+    user, n = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    first, last = (F.lit("accept"), F.concat(F.lit("a/"), user)), (F.lit("x-tenant"), F.concat(F.lit("t"), n))
+    even = F.create_map(*first, F.lit("Authorization"), F.concat(F.lit("Basic "), n), F.lit("x-api-key"), n, *last)
+    odd = F.create_map(*first, F.lit("Set-Cookie"), F.concat(F.lit("k="), n), *last)
+    shown = fn.redacted_headers(F.when(F.col("event_id") % 2 == 0, even).otherwise(odd))
+    return read_table(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(F.map_entries(shown), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("shown"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN '[REDACTED] [REDACTED]' WHEN 'click' THEN '3 auth [REDACTED] [REDACTED] SETNAME c' || user_id WHEN 'purchase' THEN 'SET requirepass [REDACTED] dir /d' || user_id WHEN 'signup' THEN 'k' || user_id || ' ' || event_id ELSE 'GET masterauth' END AS args,
+ '[REDACTED],[REDACTED]' AS params FROM events""")
+def redact_commands(spark, sf_dir):
+    """Arguments of commands that carry credentials or don't, and bound parameters."""
+    e = read_table(spark, sf_dir, "events")
+    kinds = [("view", "auth", "'bob', 'p' || event_id"), ("click", "HELLO", "'3', 'auth', 'bob', 'p' || event_id, 'SETNAME', 'c' || user_id"), ("purchase", "config", "'SET', 'requirepass', 'p' || event_id, 'dir', '/d' || user_id"), ("signup", "SETEX", "'k' || user_id, '' || event_id"), ("error", "CONFIG", "'GET', 'masterauth'")]
+    case = lambda k, show: "CASE event_type " + " ".join(f"WHEN '{x[0]}' THEN {show(x[k])}" for x in kinds) + " END"
+    args = fn.redacted_command(F.expr(case(1, lambda c: f"'{c}'")), F.expr(case(2, lambda a: f"array({a})")))
+    return e.select("event_id", F.concat_ws(" ", args).alias("args"), F.array_join(fn.redacted_parameters(F.array(F.col("user_id").cast("string"), F.col("event_type"))), ",").alias("params"))
+
+
+@query("""SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 90 THEN text ELSE left(text, (SELECT max(k) FROM range(91) r(k) WHERE octet_length(encode(left(text, k))) <= 90)) || '…' END AS shown FROM documents""")
+def truncate_text(spark, sf_dir):
+    """Texts of four languages cut at 90 bytes, between characters."""
+    return read_table(spark, sf_dir, "documents").select("doc_id", fn.truncated(F.col("text"), 90).alias("shown"))
+
+
+@query(r"""SELECT event_id, 'curl -X POST ''http://10.0.2.9/' || event_type || '?n=' || user_id || ''' -H ''accept: a/' || user_id || ''' -H ''x-note: it' || '''\''''' || 's ' || event_id || '''' || CASE WHEN event_id % 3 = 0 THEN '' ELSE ' --data-raw ''' || props || '''' END AS command FROM events""")
+def curl_commands(spark, sf_dir):
+    n, user = F.col("event_id"), F.col("user_id")
+    headers = F.create_map(F.lit("x-note"), F.concat(F.lit("it's "), n), F.lit("Host"), F.lit("h"), F.lit("accept"), F.concat(F.lit("a/"), user), F.lit("Content-Length"), F.lit("9"))
+    url = F.concat(F.lit("http://10.0.2.9/"), F.col("event_type"), F.lit("?n="), user)
+    return read_table(spark, sf_dir, "events").select("event_id", fn.curl(F.lit("POST"), url, headers, F.when(n % 3 == 0, "").otherwise(F.col("props"))).alias("command"))
+
+
+@query("""WITH t AS (SELECT doc_id, hex(encode(left(text, 40))) AS h FROM documents), n AS (SELECT doc_id, CAST(r.k AS INTEGER) AS k, lower(substr(h, CAST(r.k * 32 + 1 AS INTEGER), 32)) AS d FROM t, range(11) r(k) WHERE r.k * 32 < length(h)),
+ x AS (SELECT doc_id, k, list_transform(range(16), lambda i: CASE WHEN 2 * i < length(d) THEN substr(d, CAST(2 * i + 1 AS INTEGER), 2) ELSE '  ' END) AS p FROM n)
+ SELECT doc_id, string_agg(lpad(lower(printf('%x', k * 16)), 8, '0') || '  ' || array_to_string(p[1:8], ' ') || '  ' || array_to_string(p[9:16], ' ') || '  |' || array_to_string(list_transform(list_filter(p, lambda y: y <> '  '), lambda y: CASE WHEN y >= '20' AND y <= '7e' THEN chr(CAST(('0x' || y) AS INTEGER)) ELSE '.' END), '') || '|', chr(10) ORDER BY k) AS dump FROM x GROUP BY doc_id""")
+def hexdump_text(spark, sf_dir):
+    """The dump itself, of the first 40 characters of every text."""
+    dump = fn.hex_dump(F.left(F.col("text"), F.lit(40)).cast("binary"))
+    return read_table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", dump.alias("dump"))
+
+
 @query()
 def demo_traffic(spark, sf_dir):
     from .sources.demo import demo_entries
 
-    return summary(demo_entries(spark, 10_000), "protocol", None).select("key", "count", "errors", "warnings", "p50", "p95")
+    numbers = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("n"))
+    return summary(demo_entries(spark, numbers=numbers), "protocol", None).select("key", "count", "errors", "warnings", "p50", "p95")
 
 
 # --- streams -----------------------------------------------------------------------------------
