@@ -554,3 +554,29 @@ def test_long_tokens_stay_off_the_driver(spark, monkeypatch):
     got = {r.doc_id: r for r in lm.lm_scores(mixed).collect()}
     assert all((a.n_tokens, a.n_known, a.train_tokens) == (b.n_tokens, b.n_known, b.train_tokens) and math.isclose(a.base_score, b.base_score, abs_tol=1e-9) for a, b in ((got[i], want[i]) for i in want))
     assert all(np.isfinite(r.score) and r.score < 0 for r in got.values())
+
+
+def test_mix_is_the_plain_order_of_finish_times(spark):
+    """Every document's share of the mix, from one sort of all finish times that is cut at the budget."""
+    rng = random.Random(8)
+    rows = [(i, " ".join("w" * rng.choice([0, 1, 3, 40, 200])), rng.choice(["a", "b", "b", "c", "d", None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix_sources(df).collect()}
+    sized = df.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("bigint").alias("size"))
+    spread = {r.doc_id: r.at for r in sized.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id", "size"), 11).alias("at")).collect()}
+    by = defaultdict(list)
+    for r in sized.collect():
+        by[r.source].append((spread[r.doc_id], r.doc_id, r.size))
+    turns, budget = [], min(1.5 * sum(r.size for r in got.values()), 2.0 * sum(r.size for r in got.values()))
+    for some in by.values():
+        total, served = sum(s for _, _, s in some), 0
+        for _, i, size in sorted(some):
+            served += size
+            goal = got[i].target
+            turns += [((served + e * total) / goal if goal else 0.0, i, size, e) for e in (0, 1)]
+    want, spent = Counter(), 0
+    for _, i, size, _ in sorted(turns):
+        spent += size
+        if spent <= budget:
+            want[i] += size
+    assert {i: r.taken for i, r in got.items()} == {i: want[i] for i in got}
