@@ -72,7 +72,8 @@ def fifo_pairs(messages: DataFrame, expire_seconds: int | None = 30, backlog: in
     rows = rows.join(slices, group)
     order = Window.partitionBy(*group).orderBy("us", F.col("earlier").desc(), "seq")
     so_far = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    waiting = F.sum(F.when(F.col("earlier"), 1).otherwise(0)).over(Window.partitionBy(*group).orderBy("us").rangeBetween(-width, 0))
+    # a frame that only grows is one pass over a slice, however many rows it holds
+    gone = F.coalesce(F.sum(F.when(F.col("earlier"), 1).otherwise(0)).over(Window.partitionBy(*group).orderBy("us").rangeBetween(Window.unboundedPreceding, -width - 1)), F.lit(0))
     rows = rows.select(
         *group,
         "us",
@@ -81,7 +82,7 @@ def fifo_pairs(messages: DataFrame, expire_seconds: int | None = 30, backlog: in
         "earlier",
         (F.col("requests_before") + so_far(F.col("is_request") & ~F.col("earlier"))).alias("t"),
         (F.col("responses_before") + so_far(~F.col("is_request"))).alias("k"),
-        (F.lit(1) if expire_seconds is None else F.col("requests_before") - waiting + 1).cast("bigint").alias("fresh"),
+        (F.lit(1) if expire_seconds is None else F.col("requests_before") - so_far(F.col("earlier")) + gone + 1).cast("bigint").alias("fresh"),
     ).filter("not earlier")
     overflow = F.lit(1) if backlog is None else F.col("t") - backlog + 1
     rows = rows.withColumn("least", F.greatest("fresh", overflow))
