@@ -798,10 +798,17 @@ def demo_traffic(spark, sf_dir):
 
 
 def _run(stream: DataFrame, where: str, mode: str) -> None:
-    """What there is now, appended or as the last complete table, under ``where``."""
-    write = "append" if mode == "append" else "overwrite"
+    """What there is now, appended or as the last complete table, under ``where``. State gets as many
+    partitions as there are cores: they are fixed for as long as a stream lives."""
+    spark, partitions = stream.sparkSession, "spark.sql.shuffle.partitions"
+    write, before = "append" if mode == "append" else "overwrite", spark.conf.get(partitions)
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/state").foreachBatch(lambda df, _: df.write.mode(write).parquet(f"{where}/rows"))
-    run.trigger(availableNow=True).start().awaitTermination()
+    spark.conf.set(partitions, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        query = run.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(partitions, before)
+    query.awaitTermination()
 
 
 def _settled(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
