@@ -2,7 +2,9 @@
 
 ``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written and read again as the next one's ``docs``. All but the last return the
-columns of ``documents``.
+columns of ``documents``. How nulls, empty and long texts, repeated rows, reused ids and ties are handled
+is stated with the operator that a stage calls; extra columns stay, and an empty table passes through
+all stages as one.
 """
 
 from __future__ import annotations
