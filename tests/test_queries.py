@@ -61,3 +61,14 @@ def test_stream_pairing_with_a_long_queue(spark, tmp_path):
     for name in ("stream_pairing", "fifo_pairing"):
         got, want = queries.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(queries.ORACLE_SQL[name]).df()
         assert len(want) == 1024 and plain(got) == plain(want)
+
+
+def test_port_labels_beyond_the_small_tables(spark, tmp_path):
+    """A user whose number makes a port with a name: query and SQL both name it, as the reference does."""
+    values = {"event_id": "id", "user_id": "7015 + id", "event_type": "'view'", "ts": "timestamp_seconds(1704067200 + id)", "value": "1.0"}
+    schema = spark.read.parquet(f"{SF}/events.parquet").schema
+    spark.range(4).selectExpr(*(f"CAST({values.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema)).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got, want = queries.QUERIES["port_labels"](spark, str(tmp_path)).toPandas(), con.execute(queries.ORACLE_SQL["port_labels"]).df()
+    assert plain(got) == plain(want) == [("0", "tcp https"), ("1", "udp postgres"), ("2", "tcp mongodb"), ("3", "udp/27018")]

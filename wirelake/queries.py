@@ -735,7 +735,10 @@ def retransmits(spark, sf_dir):
     return flows.retransmits(e.select((F.col("user_id") % 40).alias("conn"), F.col("ts"), F.lit("10.0.0.1").alias("src"), F.lit(4000).alias("sport"), (F.col("event_id") % 100).alias("seq"), (F.col("event_id") % 7).alias("length")))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'tcp https' WHEN 1 THEN 'udp postgres' WHEN 2 THEN 'tcp/' || (20000 + user_id) ELSE 'udp/' || (20000 + user_id) END AS label FROM events""")
+@query("""WITH p AS (SELECT event_id, CASE event_id % 2 WHEN 0 THEN 'tcp' ELSE 'udp' END AS proto, CASE event_id % 4 WHEN 0 THEN 443 WHEN 1 THEN 5432 ELSE 20000 + user_id END AS port FROM events),
+ names AS (SELECT * FROM (VALUES (22, 'ssh'), (25, 'smtp'), (110, 'pop3'), (143, 'imap'), (443, 'https'), (587, 'smtp'), (853, 'dns-tls'), (1433, 'mssql'), (2181, 'zookeeper'), (2379, 'etcd'),
+  (3306, 'mysql'), (3389, 'rdp'), (5432, 'postgres'), (5672, 'amqp'), (6379, 'redis'), (8883, 'mqtt'), (9042, 'cassandra'), (9092, 'kafka'), (11211, 'memcached'), (27017, 'mongodb')) AS t(port, name))
+ SELECT event_id, CASE WHEN name IS NULL THEN proto || '/' || p.port ELSE proto || ' ' || name END AS label FROM p LEFT JOIN names ON p.port = names.port""")
 def port_labels(spark, sf_dir):
     n, own = F.col("event_id") % 4, 20000 + F.col("user_id")
     port = F.when(n == 0, 443).when(n == 1, 5432).otherwise(own)
