@@ -84,6 +84,13 @@ def test_feed_is_each_filter_alone(spark):
     assert delivered(entries, Feed({})).count() == 0 and delivered(entries, Feed({"x": "("})).count() == 0
 
 
+def test_feed_evaluates_each_condition_once(spark):
+    """Not once more to leave out entries for nobody, and not within a lambda function."""
+    feed = Feed({"a": "protocol == http and elapsedMs >= 123457", "b": "elapsedMs < 765432 or status == error"})
+    plan = delivered(some_entries(spark), feed).select("subscriber", "seq")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("123457") == plan.count("765432") == 1 and "lambda" not in plan
+
+
 def test_feed_groups_what_filters_share():
     feed = Feed({f"s{i}": f for i, (f, _) in enumerate(_many_filters())})
     assert not feed.errors and sum(map(len, feed.subscribers)) == len(_many_filters()) > len(feed.subscribers)

@@ -69,8 +69,9 @@ class Feed:
                 self.tables[parts[k].field.name][value.lower()].add(number)
             self.rests[tuple(parts[:k] + parts[k + 1 :])].append(number)
 
-    def matched(self, entries: DataFrame) -> DataFrame:
-        """``entries``, batch or stream, with ``subscribers``: who is to get each; rows for nobody go."""
+    def _hits(self, entries: DataFrame) -> DataFrame:
+        """``entries``, batch or stream, with ``__hits``: the numbers of the filters that let each through. No
+        condition is inside a lambda function, where Spark evaluates it without generated code."""
         spark, rows, found = entries.sparkSession, entries, []
         for t, (name, values) in enumerate(self.tables.items()):
             table = spark.createDataFrame([(v, sorted(n)) for v, n in values.items()], "value string, filters array<int>")
@@ -79,22 +80,30 @@ class Feed:
                 rows = rows.join(F.broadcast(looked), F.lower(side) == F.col(f"__value{t}_{s}"), "left").drop(f"__value{t}_{s}")
                 found.append(f"__found{t}_{s}")
         none = F.array().cast("array<int>")
-        some = F.flatten(F.array(*[F.coalesce(F.col(c), none) for c in found])) if found else none
-        rows = rows.withColumn("__some", F.array_distinct(some)).drop(*found)
+        some = F.array_distinct(F.flatten(F.array(*[F.coalesce(F.col(c), none) for c in found]))) if found else none
+        rows = rows.withColumn("__some", some).drop(*found)
         hits: list[Column] = []
         for rest, numbers in self.rests.items():
             mine = F.array_intersect("__some", F.array(*map(F.lit, numbers)))
-            hits.append(F.when(F.coalesce(ifl.condition_of(rest), F.lit(False)), mine).otherwise(none) if rest else mine)
+            hits.append(F.when((F.size("__some") > 0) & F.coalesce(ifl.condition_of(rest), F.lit(False)), mine).otherwise(none) if rest else mine)
         for number, tree in self.others:
             hits.append(F.when(F.lit(True) if tree is None else F.coalesce(ifl.condition_of((tree,)), F.lit(False)), F.array(F.lit(number))).otherwise(none))
+        return rows.withColumn("__hits", F.flatten(F.array(*hits)) if hits else none).drop("__some")
+
+    def matched(self, entries: DataFrame) -> DataFrame:
+        """``entries``, batch or stream, with ``subscribers``: who is to get each; rows for nobody go."""
         names = F.array(*[F.array(*map(F.lit, s)) for s in self.subscribers]) if self.subscribers else F.array(F.array(F.lit("")))
-        who = F.flatten(F.transform(F.flatten(F.array(*hits)) if hits else none, lambda n: F.get(names, n)))
-        return rows.withColumn("subscribers", who).drop("__some").filter(F.size("subscribers") > 0)
+        who = F.flatten(F.transform("__hits", lambda n: F.get(names, n)))
+        return self._hits(entries).withColumn("subscribers", who).drop("__hits").filter(F.size("subscribers") > 0)
 
 
 def delivered(entries: DataFrame, feed: Feed) -> DataFrame:
-    """(subscriber, entry columns…): a row for each entry that a subscriber gets."""
-    return feed.matched(entries).select(F.explode("subscribers").alias("subscriber"), *entries.columns)
+    """(subscriber, entry columns…): a row for each entry that a subscriber gets. Hits are evaluated once: the
+    inner ``explode`` would have Spark filter by them first, and so evaluate all conditions twice."""
+    names = [(n, s) for n, some in enumerate(feed.subscribers) for s in some]
+    who = F.broadcast(entries.sparkSession.createDataFrame(names, "__hit int, subscriber string"))
+    hits = feed._hits(entries).select(*entries.columns, F.explode_outer("__hits").alias("__hit"))
+    return hits.join(who, "__hit").select("subscriber", *entries.columns)
 
 
 class Switchboard:
