@@ -341,6 +341,22 @@ def test_queues_that_forget(spark, expire, backlog, share, span):
     assert sorted(tuple(r) for r in pairing.fifo_pairs(df, expire, backlog).collect()) == plain_queues(rows, expire, backlog)
 
 
+def test_a_rush_on_one_connection_is_cut_into_slices(spark, monkeypatch):
+    """However many messages come within the time that a request waits, what is sorted together is bounded."""
+    rng, sizes, scan = random.Random(8), [], pairing._running_bounds
+
+    def watched(rows, group, order):
+        sizes.append(rows.groupBy(*group).count().agg(F.max("count")).first()[0])
+        return scan(rows, group, order)
+
+    monkeypatch.setattr(pairing, "SLICE_ROWS", 256, raising=False)
+    monkeypatch.setattr(pairing, "_running_bounds", watched)
+    rows = sorted((0, rng.randrange(0, 20_000_000, 500), i, rng.random() < 0.55) for i in range(6000))
+    df = spark.createDataFrame(rows, "conn long, us long, seq long, is_request boolean").withColumn("ts", F.timestamp_micros("us"))
+    assert sorted(tuple(r) for r in pairing.fifo_pairs(df, 4, 64).collect()) == plain_queues(rows, 4, 64)
+    assert sizes[0] < 600
+
+
 def test_an_expired_request_lets_the_next_one_pair(spark):
     df = spark.sql("SELECT 0 conn, timestamp_seconds(s) ts, s seq, q is_request FROM VALUES (0, true), (100, true), (101, false) t(s, q)")
     assert [tuple(r) for r in pairing.fifo_pairs(df).collect()] == [(0, 100, 101, 1000, 0)]

@@ -18,6 +18,9 @@ def connection(ip_a: Column, port_a: Column, ip_b: Column, port_b: Column) -> Co
 
 #: Bounds that bind nothing, for rows that leave a queue's head where it is.
 _LOW, _HIGH = -(1 << 62), 1 << 62
+#: Rows of a slice of a connection, in which each request counts twice: a slice takes whole buckets of time
+#: until it has them. Buckets within the time that a request waits.
+SLICE_ROWS, BUCKETS = 1 << 18, 128
 
 
 def _running_bounds(rows: DataFrame, group: list[str], order: list) -> DataFrame:
@@ -57,33 +60,35 @@ def fifo_pairs(messages: DataFrame, expire_seconds: int | None = 30, backlog: in
     With requests numbered per connection, a queue is the number of its first one. A response at a
     time when ``T`` requests have come and those before ``L`` are forgotten moves it from ``h`` to
     ``min(max(h, L) + 1, T + 1)``: apart from the count of responses, a pair of bounds. So connections
-    are cut into slices of time, no longer than what a request waits; each slice gives one pair of
-    bounds, and a second scan, of one row per slice, gives the state that every slice begins with.
+    are cut into slices of time, of about ``SLICE_ROWS`` rows however many come at once; each slice gives one pair
+    of bounds, and a second scan, of one row per slice, gives the state that every slice begins with.
     """
     keys = ["conn"] + ([epoch] if epoch else [])
     width = (expire_seconds or 3600) * 1_000_000
-    rows = messages.withColumn("us", F.unix_micros("ts")).select(*keys, "us", "seq", "is_request", F.floor(F.col("us") / width).alias("slice"), F.lit(False).alias("earlier"))
-    slices = rows.groupBy(*keys, "slice").agg(F.count_if("is_request").alias("requests"), F.count_if(~F.col("is_request")).alias("responses"))
-    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # a row per slice
-    slices = slices.select(*keys, "slice", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("requests", "responses")))
-    if expire_seconds is not None:  # the requests of the slice before may still wait
-        rows = rows.unionByName(rows.filter("is_request").withColumn("slice", F.col("slice") + 1).withColumn("earlier", F.lit(True)))
+    rows = messages.withColumn("us", F.unix_micros("ts")).select(*keys, "us", "seq", "is_request", F.lit(False).alias("gone"))
+    if expire_seconds is not None:  # a request comes again when it is forgotten
+        rows = rows.unionByName(rows.filter("is_request").withColumn("us", F.col("us") + width + 1).withColumn("gone", F.lit(True)))
+    rows = rows.withColumn("bucket", F.floor(F.col("us") / (width // BUCKETS)))
+    counts = {"requests": F.col("is_request") & ~F.col("gone"), "responses": ~F.col("is_request"), "forgotten": F.col("gone")}
+    buckets = rows.groupBy(*keys, "bucket").agg(F.count("*").alias("all"), *(F.count_if(c).alias(n) for n, c in counts.items()))
+    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    buckets = buckets.select(*keys, "bucket", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("all", *counts)))
+    buckets = buckets.withColumn("slice", F.floor(F.col("all_before") / SLICE_ROWS))
     group = [*keys, "slice"]
-    rows = rows.join(slices, group)
-    order = Window.partitionBy(*group).orderBy("us", F.col("earlier").desc(), "seq")
-    so_far = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # a frame that only grows is one pass over a slice, however many rows it holds
-    gone = F.coalesce(F.sum(F.when(F.col("earlier"), 1).otherwise(0)).over(Window.partitionBy(*group).orderBy("us").rangeBetween(Window.unboundedPreceding, -width - 1)), F.lit(0))
+    starts = [F.min(f"{c}_before").over(Window.partitionBy(*group)).alias(f"{c}_before") for c in counts]
+    rows = rows.join(buckets.select(*group, "bucket", *starts), [*keys, "bucket"])
+    order = Window.partitionBy(*group).orderBy("us", F.col("gone").desc(), "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = lambda n: F.col(f"{n}_before") + F.sum(F.when(counts[n], 1).otherwise(0)).over(order)
     rows = rows.select(
         *group,
         "us",
         "seq",
         "is_request",
-        "earlier",
-        (F.col("requests_before") + so_far(F.col("is_request") & ~F.col("earlier"))).alias("t"),
-        (F.col("responses_before") + so_far(~F.col("is_request"))).alias("k"),
-        (F.lit(1) if expire_seconds is None else F.col("requests_before") - so_far(F.col("earlier")) + gone + 1).cast("bigint").alias("fresh"),
-    ).filter("not earlier")
+        "gone",
+        so_far("requests").alias("t"),
+        so_far("responses").alias("k"),
+        (so_far("forgotten") + 1).cast("bigint").alias("fresh"),
+    ).filter("not gone")
     overflow = F.lit(1) if backlog is None else F.col("t") - backlog + 1
     rows = rows.withColumn("least", F.greatest("fresh", overflow))
     bound = lambda c, none: F.when(F.col("is_request"), F.lit(none)).otherwise(c).cast("bigint")
