@@ -2,9 +2,12 @@
 
 import random
 from datetime import UTC, datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wirelake.operators import flows
 from wirelake.plans import ifl
@@ -54,6 +57,56 @@ def test_wakes_when_the_clock_changes_something():
         assert memory is not None and job.clock(memory, at, []) is None
 
 
+class Kept:
+    """The state and timers of one key in memory, and which pieces were read."""
+
+    def __init__(self):
+        self.pieces, self.known, self.timers, self.read = {}, None, set(), []
+
+    def handle(self):
+        def read(k):
+            self.read.append(k[0])
+            return self.pieces[k]
+
+        pieces = SimpleNamespace(getValue=read, updateValue=self.pieces.__setitem__, removeKey=self.pieces.pop)
+        known = SimpleNamespace(exists=lambda: self.known is not None, get=lambda: self.known, update=lambda v: setattr(self, "known", v), clear=lambda: setattr(self, "known", None))
+        return SimpleNamespace(getMapState=lambda *_: pieces, getValueState=lambda *_: known, listTimers=lambda: iter(self.timers), deleteTimer=self.timers.discard, registerTimer=self.timers.add)
+
+
+def test_rows_wait_in_bounded_pieces(spark, monkeypatch):
+    """Many rows of a key cost a few pieces of state, of which only those are read whose time has come."""
+    monkeypatch.setattr(ordered, "PIECE", 100)
+    rng = random.Random(6)
+    rows = [(rng.randrange(0, 9_000_000, 1000), i, rng.random() < 0.6) for i in range(1000)]
+    held, kept, got = StructType.fromDDL("us long, seq long, is_request boolean"), Kept(), []
+    replay = ordered.Replay(ordered.Queues(3, 40), held, ["conn"])
+    replay.init(kept.handle())
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    for part in (rows[:600], rows[600:]):
+        got += replay.handleInputRows((7,), iter([pd.DataFrame(part[k : k + 150], columns=held.names) for k in range(0, len(part), 150)]), at(0))
+    assert len(kept.pieces) == 10 and not kept.read and not got
+    for ms in (1000, 5000, 9000, 99_000):
+        kept.read.clear()
+        got += replay.handleExpiredTimer((7,), at(ms), None)
+        assert ms > 1000 or len(kept.read) < 5
+    assert [tuple(r)[1:] for f in got for r in f.itertuples(index=False)] == ordered.of_keys(rows, ordered.Queues(3, 40))
+    assert not kept.pieces and kept.known is None and not kept.timers
+
+
+def test_packets_without_flags_or_mss_at_the_same_time(spark, tmp_path):
+    """Rows that differ in a null alone have an order, and what is null stays so."""
+    ordered.with_timers(spark)
+    names = "conn long, ts timestamp, seq long, sport int, dport int, length long, flags int, mss long, window long"
+    big = (1 << 53) + 1
+    rows = [(1, BASE, 1, 9, 5, 4, None, None, 7), (1, BASE, 1, 9, 5, 4, None, 5, 7), (2, BASE, big, 5, 9, 3, None, None, None), (None, BASE + timedelta(days=9), *[None] * 7)]
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/in")
+    stream = ordered.sessions(spark.readStream.schema(names).parquet(f"{tmp_path}/in"), 60)
+    write = lambda df, _: df.write.mode("append").parquet(f"{tmp_path}/out")
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("conn", "packets", "bytes", "client_bytes", "mss", "window").collect())
+    assert got == [(1, 2, 8, 8, 5, 7), (2, 1, 3, 0, None, None)]
+
+
 def some_entries(spark, n=60):
     rows = [(f"e{i}", i, BASE + timedelta(seconds=i), ("http", "dns")[i % 2], ("success", "error")[i % 3 == 0], i % 7 * 100, (f"10.0.1.{i % 9}", "", ("Shop", "")[i % 4 == 0])) for i in range(n)]
     return conform(spark.createDataFrame(rows, "id string, seq long, timestamp timestamp, protocol string, status string, elapsedMs long, src struct<ip: string, name: string, namespace: string>"))

@@ -4,6 +4,8 @@ Rows of a key wait as state until the watermark has passed them, so what comes o
 rows alone and not on how they arrived, as long as none comes later than the watermark allows; those
 are dropped. What is remembered of a key is kept while it matters, and a timer wakes the key when
 time alone changes something: a row may be handled, a request expires, a connection has been idle.
+Rows wait in pieces of ``PIECE``, columns in Arrow's format, cut from rows in order: a row costs no state
+of its own, and a piece is read when its first row's time has come.
 
 A job is a small class: ``row`` takes a row in its turn, ``clock`` says that time has come so far,
 ``wakes`` when it wants to hear of that next, in microseconds. ``load`` and ``save`` turn its memory from and to
@@ -16,9 +18,13 @@ import json
 from collections import deque
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..operators.flows import ACK, FIN, RST, SYN, flag_names, from_client
@@ -27,59 +33,97 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Rows of a key that are kept as one piece of state, and that are handed to a job at once.
+PIECE = 1 << 16
+
+
 class Replay(StatefulProcessor):
     """Holds back rows (us, seq, …) until the watermark and hands them to a job in order."""
 
     def __init__(self, job, held: StructType, keys: list[str]):
-        self.job, self.schema = job, held
+        self.job, self.schema = job, to_arrow_schema(held)
         self.names = [*keys, *(c.split()[0] for c in job.columns.split(", "))]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.schema)
-        self.memory = handle.getValueState("memory", "json string")
+        self.pieces = handle.getMapState("pieces", "number long", "rows binary")
+        #: the job's memory; number and first time of each piece; the number of the next one
+        self.known = handle.getValueState("known", "json string")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = self.schema.names
-        return self._go(key, [tuple(r[n] for n in names) for r in rows], timerValues)
+        return self._go(key, [pa.RecordBatch.from_pandas(r[names], self.schema, preserve_index=False) for r in rows], timerValues)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         return self._go(key, [], timerValues)
 
-    def _go(self, key, new: list[tuple], timerValues) -> Iterator[Row]:
+    def _taken(self, number: int) -> list[pa.RecordBatch]:
+        rows = bytes(self.pieces.getValue((number,))[0])
+        self.pieces.removeKey((number,))
+        return pa.ipc.open_stream(rows).read_all().to_batches()
+
+    def _kept(self, number: int, piece: pa.Table) -> None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.schema) as writer:
+            writer.write_table(piece)
+        self.pieces.updateValue((number,), (sink.getvalue().to_pybytes(),))
+
+    def _go(self, key, rows: list[pa.RecordBatch], timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [tuple(h) for h in self.held.get()] if self.held.exists() else []
-        waiting = sorted(held + new)
-        ready = [r for r in waiting if r[0] <= now]
-        memory = self.job.load(json.loads(self.memory.get()[0])) if self.memory.exists() else None
-        out: list[tuple] = []
-        for r in ready:
-            memory = self.job.clock(memory, r[0] - 1, out)
-            memory = self.job.row(memory, dict(zip(self.schema.names, r)), out)
+        saved, pieces, number = json.loads(self.known.get()[0]) if self.known.exists() else (None, [], 0)
+        memory = None if saved is None else self.job.load(saved)
+        for n, first in pieces:
+            if first <= now:
+                rows += self._taken(n)
+        pieces = [p for p in pieces if p[1] > now]
+        waiting = pa.Table.from_batches(rows, self.schema).combine_chunks()
+        rows.clear()
+        waiting = waiting.take(pa.compute.sort_indices(waiting, [(n, "ascending") for n in self.schema.names]))
+        ready = int(waiting["us"].to_numpy().searchsorted(now, "right"))
+        for at in range(0, ready, PIECE):
+            out: list[tuple] = []
+            part = waiting.slice(at, min(PIECE, ready - at))
+            for r in zip(*(_values(c) for c in part.columns)):
+                memory = self.job.clock(memory, r[0] - 1, out)
+                memory = self.job.row(memory, dict(zip(self.schema.names, r)), out)
+            if out:
+                yield self._frame(key, out)
+        out = []
         memory = self.job.clock(memory, now, out)
-        rest = waiting[len(ready) :]
-        if rest:
-            self.held.put(rest)
+        if out:
+            yield self._frame(key, out)
+        for at in range(ready, len(waiting), PIECE):
+            piece = waiting.slice(at, PIECE)
+            self._kept(number, piece)
+            pieces.append((number, piece["us"][0].as_py()))
+            number += 1
+        if memory is None and not pieces:
+            self.known.clear()
         else:
-            self.held.clear()
-        if memory is None:
-            self.memory.clear()
-        else:
-            self.memory.update((json.dumps(self.job.save(memory)),))
-        wakes = ([rest[0][0]] if rest else []) + ([self.job.wakes(memory)] if memory is not None else [])
+            self.known.update((json.dumps((None if memory is None else self.job.save(memory), pieces, number)),))
+        wakes = [first for _, first in pieces] + ([self.job.wakes(memory)] if memory is not None else [])
         at = max(-(-min(wakes) // 1000), now // 1000 + 1) if wakes else None
-        for t in list(self.handle.listTimers()):
+        timers = list(self.handle.listTimers())
+        for t in timers:
             if t != at:
                 self.handle.deleteTimer(t)
-        if at is not None:
+        if at is not None and at not in timers:
             self.handle.registerTimer(at)
-        for o in out:
-            yield Row(**dict(zip(self.names, (*key, *o), strict=True)))
+
+    def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(out, columns=self.names[len(key) :], dtype=object)
+        for k, (name, value) in enumerate(zip(self.names, key)):
+            made.insert(k, name, pd.Series([value] * len(made), dtype=object))
+        return made
 
     def close(self) -> None:
         pass
 
 
+def _values(column: pa.ChunkedArray) -> list:
+    return column.to_pylist() if column.null_count or not pa.types.is_integer(column.type) else column.to_numpy().tolist()
+
+
 def replayed(rows: DataFrame, keys: list[str], job, late: str) -> DataFrame:
     """The output of a job over a stream: its keys and ``job.columns``. ``rows``: keys, ts, seq and
     ``job.reads``. Rows without a key only move the watermark.
@@ -91,7 +135,7 @@ def replayed(rows: DataFrame, keys: list[str], job, late: str) -> DataFrame:
     timed = timed.select(*keys, "ts", F.unix_micros("ts").alias("us"), "seq", *job.reads)
     held = StructType([timed.schema[n] for n in reads])
     out = ", ".join(f"{k} {timed.schema[k].dataType.simpleString()}" for k in keys) + ", " + job.columns
-    return timed.groupBy(*keys).transformWithState(Replay(job, held, keys), out, "Append", "EventTime")
+    return timed.groupBy(*keys).transformWithStateInPandas(Replay(job, held, keys), out, "Append", "EventTime")
 
 
 def with_timers(spark) -> None:
