@@ -7,6 +7,7 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from wirelake import queries
 
@@ -63,6 +64,18 @@ def test_stream_pairing_with_a_long_queue(spark, tmp_path):
         assert len(want) == 1024 and plain(got) == plain(want)
 
 
+def test_stream_filter_swap_deals_its_parts_out(spark, tmp_path, monkeypatch):
+    """A part of the entries, which lie together in one file, is handled by all cores and not by one."""
+    monkeypatch.setattr(queries, "scratch_folder", lambda spark, label: f"file://{tmp_path}/{label}")
+    queries.QUERIES["stream_filter_swap"](spark, SF)
+    kept = spark.read.parquet(f"file://{tmp_path}/switchboard/history").filter("subscriber IS NULL")
+    files = kept.groupBy("batch", F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) == 1000
+    for batch in range(4):
+        mine = [r["count"] for r in files if r.batch == batch]
+        assert sum(mine) == 250 and len(mine) >= 4 and max(mine) < 125
+
+
 def test_port_labels_beyond_the_small_tables(spark, tmp_path):
     """A user whose number makes a port with a name: query and SQL both name it, as the reference does."""
     values = {"event_id": "id", "user_id": "7015 + id", "event_type": "'view'", "ts": "timestamp_seconds(1704067200 + id)", "value": "1.0"}

@@ -171,6 +171,24 @@ def test_a_batch_tried_again_sends_the_same(spark, tmp_path):
     assert errors == {(0, "c"), (1, "a")}
 
 
+def test_a_switchboard_computes_a_batch_once(spark, tmp_path):
+    """What a stream does to a row is not done again to find who asks for what."""
+    rows = some_entries(spark).withColumns({"subscriber": F.lit(None).cast("string"), "filter": F.lit(None).cast("string")})
+    rows = rows.unionByName(spark.createDataFrame([(0, "a", "protocol == http")], "seq long, subscriber string, filter string"), allowMissingColumns=True)
+    rows.write.parquet(f"{tmp_path}/in")
+    done = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(node):
+        done.add(1)
+        return node
+
+    board = Switchboard(spark, f"file://{tmp_path}/b")
+    board.start(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in").withColumn("node", noted("node")), availableNow=True).awaitTermination()
+    assert done.value == 61
+    assert sorted(r.seq for r in board.sent().collect()) == list(range(0, 60, 2))
+
+
 def test_no_entry_is_both_counted_and_late(spark, tmp_path):
     """What rates leaves out is what too_late counts, batch by batch."""
     entries = some_entries(spark)

@@ -15,7 +15,7 @@ from .plans import fields, ifl
 from .schema import text
 from .session import prepare, scratch_folder
 from .sources import varied
-from .sources.adapters import events_as_entries, events_stream, from_json_lines, read_table, sales_as_entries, worker_frames
+from .sources.adapters import entries_of_events, events_as_entries, events_stream, from_json_lines, read_table, sales_as_entries, worker_frames
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -958,15 +958,16 @@ def stream_filter_swap(spark, sf_dir):
     from .streaming.feed import Switchboard
 
     where = scratch_folder(spark, "switchboard")
-    entries = events_as_entries(spark, sf_dir)
-    last = entries.agg(F.max("seq")).scalar()
-    entries = entries.withColumn("part", ((F.col("seq") - 1) * 4 / last).cast("bigint"))
-    rows = entries.withColumns({"subscriber": F.lit(None).cast("string"), "filter": F.lit(None).cast("string")})
-    asked = spark.createDataFrame([(k, s, f, i) for i, (k, s, f, _) in enumerate(_SWAPS)], "part long, subscriber string, filter string, seq long")
+    events = read_table(spark, sf_dir, "events")
+    last = events.agg(F.max("event_id") + 1).scalar()
+    rows = events.withColumns({"part": (F.col("event_id") * 4 / last).cast("bigint"), "subscriber": F.lit(None).cast("string"), "filter": F.lit(None).cast("string")})
+    asked = spark.createDataFrame([(k, s, f, i - 1) for i, (k, s, f, _) in enumerate(_SWAPS)], "part long, subscriber string, filter string, event_id long")
     rows = rows.unionByName(asked, allowMissingColumns=True)
     schema, board = rows.drop("part").schema, Switchboard(spark, where)
     spark.createDataFrame([], schema).write.parquet(f"{where}/in")
-    stream = spark.readStream.schema(schema).parquet(f"{where}/in")
+    # a part lies together in the table, and so in few files; dealt out while rows are narrow, every core gets some
+    came = spark.readStream.schema(schema).parquet(f"{where}/in").repartition(spark.sparkContext.defaultParallelism, "event_id")
+    stream = entries_of_events(came, "subscriber", "filter")
     for k in range(4):
         rows.filter(F.col("part") == k).drop("part").write.mode("append").parquet(f"{where}/in")
         board.start(stream, availableNow=True).awaitTermination()

@@ -82,9 +82,9 @@ def fitted(df: DataFrame) -> list[Column]:
     return [_fit(kinds.get(f.name), f.dataType, F.col(f"`{f.name}`")).alias(f.name) for f in ENTRY.fields]
 
 
-def conform(df: DataFrame) -> DataFrame:
-    """``df`` with exactly the columns of an entry; whatever it lacks is null, extras go."""
-    return df.select(*fitted(df))
+def conform(df: DataFrame, *also: str) -> DataFrame:
+    """``df`` with exactly the columns of an entry; whatever it lacks is null, extras go but for those named."""
+    return df.select(*fitted(df), *also)
 
 
 def field_type(path: str) -> T.DataType:

@@ -23,8 +23,8 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries_of_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parque*"))
 
 
-def entries_of_events(e: DataFrame) -> DataFrame:
-    """Rows of ``events``, batch or streaming, as entries."""
+def entries_of_events(e: DataFrame, *also: str) -> DataFrame:
+    """Rows of ``events``, batch or streaming, as entries, with some of their columns besides."""
     user, kind = F.col("user_id"), F.col("event_type")
     space = F.element_at(F.array(*map(F.lit, ("shop", "platform", "kube-system", ""))), (user % 4 + 1).cast("int"))
     of_kind = lambda default, **m: F.expr("CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in m.items()) + f" ELSE '{default}' END")
@@ -42,7 +42,9 @@ def entries_of_events(e: DataFrame) -> DataFrame:
             status.alias("status"),
             F.expr("CASE event_type WHEN 'error' THEN 503 WHEN 'signup' THEN 404 ELSE 200 END").alias("statusCode"),
             (F.col("event_id") + 1).alias("seq"),
-        )
+            *also,
+        ),
+        *also,
     )
 
 

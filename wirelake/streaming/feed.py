@@ -116,8 +116,10 @@ class Switchboard:
     first, and this batch's entries already by the new filter, so none is missed and none sent twice.
     A text that isn't a filter is answered by an error and changes nothing; a null filter leaves.
 
-    Under ``where``: ``history``, ``filters`` after each batch, ``sent`` and ``errors``, all by batch, which a
-    batch that is tried again overwrites. Only the filters pass through the driver.
+    Under ``where``: ``history`` (all that came, control rows too), ``filters`` after each batch, ``sent`` and
+    ``errors``, all by batch, which a batch that is tried again overwrites. Only the filters pass through the
+    driver. A batch is computed once, for its history, and the rest is read from there. All that has as many
+    tasks as the batch has partitions: a stream of few files should be dealt out before.
     """
 
     def __init__(self, spark: SparkSession, where: str, history: int = 500):
@@ -131,9 +133,12 @@ class Switchboard:
 
     def deliver(self, df: DataFrame, batch: int) -> None:
         spark, where = self.spark, self.where
+        part = lambda name: f"{where}/{name}/batch={batch}"
+        df.write.mode("overwrite").parquet(part("history"))
+        came = spark.read.schema(df.schema).parquet(part("history"))
         current = self._filters(batch - 1)
         changes, wrong = {}, []
-        asked = df.filter(F.col("subscriber").isNotNull()).select("subscriber", "filter", "seq")
+        asked = came.filter(F.col("subscriber").isNotNull()).select("subscriber", "filter", "seq")
         for r in asked.orderBy("seq").limit(MOST_SUBSCRIBERS + 1).collect():
             problem = None if r["filter"] is None else Feed({r["subscriber"]: r["filter"]}).errors.get(r["subscriber"])
             if problem:
@@ -141,14 +146,12 @@ class Switchboard:
             else:
                 changes[r["subscriber"]] = r["filter"]
         current = {s: f for s, f in (current | changes).items() if f is not None}
-        entries = df.filter(F.col("subscriber").isNull()).drop("subscriber", "filter")
-        part = lambda name: f"{where}/{name}/batch={batch}"
-        entries.write.mode("overwrite").parquet(part("history"))
-        entries = spark.read.schema(entries.schema).parquet(part("history"))
+        entries = came.filter(F.col("subscriber").isNull()).drop("subscriber", "filter")
         sent = delivered(entries, Feed(current)).withColumn("replayed", F.lit(False))
         new = {s: f for s, f in changes.items() if f is not None}
         if new and batch > 0:
-            before = spark.read.schema(StructType([*entries.schema, StructField("batch", LongType())])).parquet(f"{where}/history").filter(F.col("batch") < batch).drop("batch")
+            before = spark.read.schema(StructType([*came.schema, StructField("batch", LongType())])).parquet(f"{where}/history").filter(F.col("batch") < batch)
+            before = before.filter(F.col("subscriber").isNull()).select(*entries.columns)
             for subscriber, text in new.items():
                 again = replay(before, text, self.newest).select(F.lit(subscriber).alias("subscriber"), *entries.columns)
                 sent = sent.unionByName(again.withColumn("replayed", F.lit(True)))
